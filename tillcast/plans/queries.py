@@ -247,3 +247,252 @@ FROM lines WHERE split = 'train'""", ops=("A21",))
 def q_discount_extremes(spark, sf):
     """Largest and smallest non-zero discount share of train."""
     return P.discount_extremes(P.enrich_transactions(_train(spark, sf)))
+
+
+# --- exploration results and per-transaction measures (A3, A13, A14, J6, F4-F9) ----------
+
+from tillcast.operators import profile as PR  # noqa: E402
+
+
+def _eda_txn(spark, sf):
+    """Exploration input: all orders with a positive price, with date."""
+    return P.positive_prices(P.add_split(_li(spark, sf), LC))
+
+
+def _all_txn(spark, sf):
+    """All orders with date (no price filter), as in the matrix notebook."""
+    return P.add_split(_li(spark, sf), LC)
+
+
+EDA_SQL = f"""eda AS (
+  SELECT itemID, "order", salesPrice, time, CAST(time AS DATE) AS date,
+         salesPrice < max(salesPrice) OVER (PARTITION BY itemID) AS in_promotion
+  FROM txn WHERE salesPrice > 0),
+res0 AS (
+  SELECT date, itemID, CAST(sum("order") AS BIGINT) AS "order",
+         avg(salesPrice / nullif("order", 0)) AS weightedAveragePrice,
+         bool_or(in_promotion) AS in_promotion
+  FROM eda GROUP BY date, itemID),
+res AS (
+  SELECT r.*, i.brand, i.manufacturer, i.customerRating, i.category1, i.category2,
+         i.category3, i.recommendedRetailPrice,
+         i.customerRating = 0 AS customerRatingIndicator,
+         (r.weightedAveragePrice - i.recommendedRetailPrice) / nullif(i.recommendedRetailPrice, 0)
+           AS recommendedRetailPriceDiscount,
+         CAST(isodow(r.date) AS INT) AS weekDay, CAST(day(r.date) AS INT) AS day,
+         CAST(week(r.date) AS INT) AS week, {O.week_of_month('r.date', eda=True)} AS weekOfMonth
+  FROM res0 r LEFT JOIN items_v i ON r.itemID = i.itemID)"""
+
+EDA_CTES = [O.LINEITEM.txn, O.LINEITEM.items, EDA_SQL]
+
+
+@register("eda_results", O.with_(*EDA_CTES) + "SELECT * FROM res",
+          fuzz=("weightedAveragePrice", "recommendedRetailPriceDiscount"),
+          ops=("A3", "J6", "F4", "F6", "F7", "F9", "P4", "P6", "P9", "P17", "W1"))
+def q_eda_results(spark, sf):
+    """Exploration results table: daily units, mean unit price, promotion, item data,
+    rating flag, discount to retail price, calendar fields."""
+    return D.eda_results(_eda_txn(spark, sf), FX.items(spark, sf)).drop("split")
+
+
+@register("per_txn_by_promotion", O.with_(*EDA_CTES) + """SELECT in_promotion,
+  sum("order" * salesPrice) / count(*) AS revenue_per_row, sum("order") / count(*) AS units_per_row,
+  count(*) AS n_rows FROM eda GROUP BY in_promotion""",
+          fuzz=("revenue_per_row", "units_per_row"), ops=("A13", "A14"))
+def q_per_txn_by_promotion(spark, sf):
+    """Revenue and units per order line, by promotion flag."""
+    return D.per_transaction_by_promotion(D.eda_line_promotion(_eda_txn(spark, sf)))
+
+
+@register("per_day_by_promotion", O.with_(*EDA_CTES) + """SELECT in_promotion,
+  sum("order" * weightedAveragePrice) / count(*) AS revenue_per_row,
+  sum("order") / count(*) AS units_per_row, count(*) AS n_rows FROM res GROUP BY in_promotion""",
+          fuzz=("revenue_per_row", "units_per_row"), ops=("A13", "A14"))
+def q_per_day_by_promotion(spark, sf):
+    """Revenue and units per daily row of the exploration results, by promotion flag."""
+    res = D.eda_results(_eda_txn(spark, sf), FX.items(spark, sf))
+    return D.per_transaction_by_promotion(res, price="weightedAveragePrice")
+
+
+# --- promotion effect (A8-A12) -------------------------------------------------------------
+
+LINES_CTES = O.pipeline_ctes(O.LINEITEM, "lines")
+PROMO_SQL = """dq AS (
+  SELECT split, itemID, date, promotion, CAST(sum("order") AS BIGINT) AS "order"
+  FROM lines WHERE split = 'train' GROUP BY split, itemID, date, promotion),
+ps0 AS (
+  SELECT split, itemID,
+    CAST(coalesce(sum("order") FILTER (WHERE promotion = 0), 0) AS BIGINT) AS QTY_no_promo,
+    CAST(coalesce(sum("order") FILTER (WHERE promotion = 1), 0) AS BIGINT) AS QTY_promo,
+    count(DISTINCT date) FILTER (WHERE promotion = 0) AS count_days_no_promo,
+    count(DISTINCT date) FILTER (WHERE promotion = 1) AS count_days_promo
+  FROM dq GROUP BY split, itemID),
+ps AS (
+  SELECT *,
+    CASE WHEN count_days_no_promo > 0 THEN QTY_no_promo / count_days_no_promo ELSE 0.0 END AS QTY_no_promo_per_day,
+    CASE WHEN count_days_promo > 0 THEN QTY_promo / count_days_promo ELSE 0.0 END AS QTY_promo_per_day
+  FROM ps0)"""
+
+
+@register("units_by_promotion_day", O.with_(*LINES_CTES, PROMO_SQL) + "SELECT * FROM dq",
+          ops=("A8",))
+def q_units_by_promotion_day(spark, sf):
+    """Train units per (item, day, line promotion flag)."""
+    return D.units_by_promotion_day(_train(spark, sf))
+
+
+@register("promotion_summary", O.with_(*LINES_CTES, PROMO_SQL) + "SELECT * FROM ps",
+          fuzz=("QTY_no_promo_per_day", "QTY_promo_per_day"), ops=("A9", "A10"))
+def q_promotion_summary(spark, sf):
+    """Per item units and sale days with / without promotion, units per sale day."""
+    return D.promotion_summary(_train(spark, sf))
+
+
+@register("promotion_uplift", O.with_(*LINES_CTES, PROMO_SQL)
+          + "SELECT split, avg(CAST(QTY_promo_per_day > QTY_no_promo_per_day AS DOUBLE)) AS uplift_share FROM ps GROUP BY split",
+          fuzz=("uplift_share",), ops=("A11",))
+def q_promotion_uplift(spark, sf):
+    """Share of items selling more units per day on promotion."""
+    return D.promotion_uplift_share(D.promotion_summary(_train(spark, sf)))
+
+
+@register("item_daily_stats", O.with_(*O.pipeline_ctes(O.LINEITEM, "grid"), f"""ids AS (
+  SELECT a.split, a.itemID, {O.r2('a.m')} AS avg_daily_orders, {O.r2('b.md')} AS median_daily_orders_unique
+  FROM (SELECT split, itemID, avg(qty_sold) AS m FROM grid WHERE split = 'train' GROUP BY split, itemID) a
+  JOIN (SELECT split, itemID, median(qty_sold) AS md
+        FROM (SELECT DISTINCT split, itemID, qty_sold FROM grid WHERE split = 'train')
+        GROUP BY split, itemID) b ON a.split = b.split AND a.itemID = b.itemID)""")
+          + "SELECT * FROM ids", ops=("A12",))
+def q_item_daily_stats(spark, sf):
+    """Per item mean daily units and median of distinct daily units (train grid)."""
+    return D.item_daily_stats(E1.grid_table(_li(spark, sf), LC).where(F.col("split") == "train"))
+
+
+# --- matrix, totals, profiles (A15-A18, A22-A24, W9, W12, W13, Q6) ---------------------
+
+def _matrix(spark, sf):
+    from tillcast.operators.grid import date_item_matrix
+    return date_item_matrix(_all_txn(spark, sf), LC)
+
+
+MATRIX_SQL = f"""days AS (
+  SELECT CAST(unnest(generate_series({O.d(LC.train_start)}, {O.d(LC.test_end)}, INTERVAL 1 DAY)) AS DATE) AS date),
+tday AS (
+  SELECT itemID, CAST(time AS DATE) AS date, CAST(sum("order") AS BIGINT) AS total_orders,
+         coalesce(sum("order" * salesPrice), 0) AS total_values
+  FROM txn GROUP BY itemID, CAST(time AS DATE)),
+matrix AS (
+  SELECT k.itemID, d.date, coalesce(t.total_orders, 0) AS total_orders,
+         coalesce(t.total_values, 0) AS total_values
+  FROM (SELECT DISTINCT itemID FROM tday) k JOIN days d ON TRUE
+  LEFT JOIN tday t ON t.itemID = k.itemID AND t.date = d.date),
+prof AS (
+  SELECT itemID, sum(total_values) AS total_value,
+         count(*) FILTER (WHERE total_values IS DISTINCT FROM 0) AS n_sale_days,
+         sum(total_values) / nullif(count(*) FILTER (WHERE total_values IS DISTINCT FROM 0), 0)
+           AS avg_value_sale_day
+  FROM matrix GROUP BY itemID)"""
+
+MATRIX_CTES = [O.LINEITEM.txn, MATRIX_SQL]
+
+
+def _profile(spark, sf):
+    return PR.sale_day_profile(_matrix(spark, sf))
+
+
+@register("date_item_matrix", O.with_(*MATRIX_CTES) + "SELECT * FROM matrix",
+          fuzz=("total_values",), ops=("A17", "T1"))
+def q_date_item_matrix(spark, sf):
+    """Units and value per (date, item), every calendar day, gaps 0 (long form)."""
+    return _matrix(spark, sf)
+
+
+@register("totals_per_day", O.with_(O.LINEITEM.txn) + """SELECT CAST(time AS DATE) AS date,
+  CAST(sum("order") AS BIGINT) AS total_orders, coalesce(sum("order" * salesPrice), 0) AS total_values
+FROM txn GROUP BY CAST(time AS DATE)""", fuzz=("total_values",), ops=("A15",))
+def q_totals_per_day(spark, sf):
+    """Units and value per day."""
+    return PR.totals_per_day(_all_txn(spark, sf))
+
+
+@register("totals_per_item", O.with_(*EDA_CTES) + """SELECT itemID, CAST(sum("order") AS BIGINT) AS "order",
+  coalesce(sum("order" * salesPrice), 0) AS value, bool_or(in_promotion) AS in_promotion
+FROM eda GROUP BY itemID""", fuzz=("value",), ops=("A16",))
+def q_totals_per_item(spark, sf):
+    """Per item units, value and whether ever on promotion."""
+    return PR.totals_per_item(D.eda_line_promotion(_eda_txn(spark, sf)))
+
+
+@register("value_counts", O.with_(O.LINEITEM.txn)
+          + "SELECT itemID, count(*) AS count FROM txn GROUP BY itemID", ops=("A18", "O1"))
+def q_value_counts(spark, sf):
+    """Order lines per item, most frequent first."""
+    return PR.value_counts(_li(spark, sf))
+
+
+@register("reconciliation", O.with_(*MATRIX_CTES) + """SELECT coalesce(a.itemID, b.itemID) AS itemID, a.s1, b.s2
+FROM (SELECT itemID, coalesce(sum("order" * salesPrice), 0) AS s1 FROM txn GROUP BY itemID) a
+FULL JOIN (SELECT itemID, sum(total_values) AS s2 FROM matrix GROUP BY itemID) b ON a.itemID = b.itemID
+WHERE abs(coalesce(a.s1, 0) - coalesce(b.s2, 0)) > 1e-8 + 1e-9 * abs(coalesce(b.s2, 0))""",
+          ops=("Q6",))
+def q_reconciliation(spark, sf):
+    """Items whose line total and matrix total disagree (expected: none)."""
+    return PR.reconciliation(_all_txn(spark, sf), _matrix(spark, sf))
+
+
+@register("sale_day_profile", O.with_(*MATRIX_CTES) + "SELECT * FROM prof",
+          fuzz=("total_value", "avg_value_sale_day"), ops=("A22",))
+def q_sale_day_profile(spark, sf):
+    """Per item total value, sale days, value per sale day."""
+    return _profile(spark, sf)
+
+
+_PCOLS = ["total_value", "n_sale_days", "avg_value_sale_day"]
+
+
+@register("profile_correlation", O.with_(*MATRIX_CTES) + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS corr FROM prof"
+    for a in _PCOLS for b in _PCOLS), fuzz=("corr",), ops=("A23",))
+def q_profile_correlation(spark, sf):
+    """Pearson correlations of the sale-day profile columns."""
+    return PR.profile_correlation(_profile(spark, sf))
+
+
+@register("items_above_k", O.with_(*MATRIX_CTES) + "\nUNION ALL\n".join(
+    f"SELECT {k} AS k, count(*) FILTER (WHERE n_sale_days > {k}) AS n_items FROM prof"
+    for k in (1, 5, 25, 50, 100)), ops=("A24",))
+def q_items_above_k(spark, sf):
+    """Items sold on more than k days, k = 1, 5, 25, 50, 100."""
+    return PR.items_above(_profile(spark, sf))
+
+
+@register("concentration_curve", O.with_(*MATRIX_CTES) + """SELECT itemID, total_value,
+  row_number() OVER (ORDER BY total_value, itemID) AS position,
+  sum(total_value) OVER (ORDER BY total_value, itemID ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_value
+FROM prof""", fuzz=("total_value", "cum_value"), ops=("W12",))
+def q_concentration_curve(spark, sf):
+    """Cumulative value over items sorted by value."""
+    return PR.concentration_curve(_profile(spark, sf))
+
+
+@register("ranked_by_value", O.with_(*MATRIX_CTES) + """SELECT itemID, total_value,
+  row_number() OVER (ORDER BY total_value DESC, itemID) AS rank FROM prof""",
+          fuzz=("total_value",), ops=("W13",))
+def q_ranked_by_value(spark, sf):
+    """Items ranked by total value."""
+    return PR.ranked_profile(_profile(spark, sf), "total_value")
+
+
+@register("ranked_by_sale_days", O.with_(*MATRIX_CTES) + """SELECT itemID, n_sale_days,
+  row_number() OVER (ORDER BY n_sale_days DESC, itemID) AS rank FROM prof""", ops=("W13",))
+def q_ranked_by_sale_days(spark, sf):
+    """Items ranked by number of sale days."""
+    return PR.ranked_profile(_profile(spark, sf), "n_sale_days")
+
+
+@register("rolling_value_14", O.with_(*MATRIX_CTES) + """SELECT itemID, date, avg(total_values) OVER w AS rolling_mean
+FROM matrix WINDOW w AS (PARTITION BY itemID ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)
+QUALIFY count(total_values) OVER w = 14""", fuzz=("rolling_mean",), ops=("W9",))
+def q_rolling_value_14(spark, sf):
+    """14-day rolling mean of daily value per item, incomplete windows dropped."""
+    return PR.rolling_value_mean(_matrix(spark, sf), 14)
