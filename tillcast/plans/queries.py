@@ -496,3 +496,299 @@ QUALIFY count(total_values) OVER w = 14""", fuzz=("rolling_mean",), ops=("W9",))
 def q_rolling_value_14(spark, sf):
     """14-day rolling mean of daily value per item, incomplete windows dropped."""
     return PR.rolling_value_mean(_matrix(spark, sf), 14)
+
+
+# --- histograms (A25-A27, F11) -----------------------------------------------------------
+
+def hist_sql(src: str, col: str, bins: int) -> str:
+    """SQL for :func:`tillcast.operators.profile.histogram` over CTE ``src``."""
+    return f"""hx AS (SELECT CAST({col} AS DOUBLE) AS x FROM {src} WHERE {col} IS NOT NULL),
+hs AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM hx),
+hb AS (SELECT CASE WHEN hs.hi > hs.lo
+                   THEN least(CAST(floor((x - hs.lo) / (hs.hi - hs.lo) * {bins}) AS INT) + 1, {bins})
+                   ELSE 1 END AS bin, count(*) AS count
+       FROM hx, hs GROUP BY 1)
+SELECT bin, hs.lo + (bin - 1) * ((hs.hi - hs.lo) / {bins}) AS bin_lo,
+       CASE WHEN bin = {bins} THEN hs.hi ELSE hs.lo + bin * ((hs.hi - hs.lo) / {bins}) END AS bin_hi,
+       count, CAST(count AS DOUBLE) / hs.n * 100 AS pct
+FROM hb, hs"""
+
+
+HFUZZ = ("bin_lo", "bin_hi", "pct")
+
+
+@register("hist_discount", O.with_(*LINES_CTES, "tl AS (SELECT * FROM lines WHERE split = 'train')",
+                                   hist_sql("tl", "discountPerc", 10).split("\nSELECT")[0])
+          + "SELECT" + hist_sql("tl", "discountPerc", 10).split("\nSELECT", 1)[1],
+          fuzz=HFUZZ, ops=("A25",))
+def q_hist_discount(spark, sf):
+    """10-bin histogram of train discount shares, counts and %."""
+    return PR.histogram(P.enrich_transactions(_train(spark, sf)), "discountPerc", 10)
+
+
+def _hist_query(name, src_sql, col, bins, build, ops):
+    body = hist_sql("hsrc", col, bins)
+    head, tail = body.split("\nSELECT", 1)
+    register(name, O.with_(*EDA_CTES, f"hsrc AS ({src_sql})", head) + "SELECT" + tail,
+             fuzz=HFUZZ, ops=ops)(build)
+
+
+def _res(spark, sf):
+    return D.eda_results(_eda_txn(spark, sf), FX.items(spark, sf))
+
+
+_hist_query("hist_daily_units", 'SELECT date, sum("order") AS units FROM res GROUP BY date',
+            "units", 30,
+            lambda spark, sf: PR.histogram(
+                _res(spark, sf).groupBy("date").agg(F.sum("order").alias("units")), "units", 30),
+            ("A25", "A15"))
+_hist_query("hist_item_units", 'SELECT itemID, sum("order") AS units FROM res GROUP BY itemID',
+            "units", 30,
+            lambda spark, sf: PR.histogram(
+                _res(spark, sf).groupBy("itemID").agg(F.sum("order").alias("units")), "units", 30),
+            ("A25", "A16"))
+_hist_query("hist_item_units_promo",
+            'SELECT itemID, sum("order") AS units FROM res GROUP BY itemID HAVING bool_or(in_promotion)',
+            "units", 30,
+            lambda spark, sf: PR.histogram(
+                _res(spark, sf).groupBy("itemID").agg(F.sum("order").alias("units"),
+                                                      F.bool_or("in_promotion").alias("p"))
+                .where("p"), "units", 30),
+            ("A25", "A16"))
+_hist_query("hist_price", "SELECT weightedAveragePrice FROM res", "weightedAveragePrice", 30,
+            lambda spark, sf: PR.histogram(_res(spark, sf), "weightedAveragePrice", 30), ("A25",))
+_hist_query("hist_log_units", 'SELECT ln("order") AS log_order FROM res', "log_order", 30,
+            lambda spark, sf: PR.histogram(PR.log_values(_res(spark, sf), "order"),
+                                           "log_order", 30), ("A27", "F11"))
+_hist_query("hist_log_daily_units",
+            'SELECT date, sum(ln("order")) AS log_units FROM res GROUP BY date', "log_units", 30,
+            lambda spark, sf: PR.histogram(
+                PR.log_values(_res(spark, sf), "order").groupBy("date")
+                .agg(F.sum("log_order").alias("log_units")), "log_units", 30), ("A27", "F11"))
+
+
+@register("hist_price_per_item", O.with_(*O.pipeline_ctes(O.LINEITEM, "prep")) + """, pm AS (
+  SELECT itemID, min(salesPrice) AS lo, max(salesPrice) AS hi FROM prep WHERE split = 'train' GROUP BY itemID)
+SELECT p.itemID, CASE WHEN pm.hi > pm.lo
+    THEN least(CAST(floor((p.salesPrice - pm.lo) / (pm.hi - pm.lo) * 10) AS INT) + 1, 10) ELSE 1 END AS bin,
+  count(*) AS count
+FROM prep p JOIN pm ON p.itemID = pm.itemID WHERE p.split = 'train' AND p.salesPrice IS NOT NULL
+GROUP BY 1, 2""".replace("\n, pm AS", ",\npm AS"), ops=("A26",))
+def q_hist_price_per_item(spark, sf):
+    """10-bin price histogram within each item (train lines)."""
+    return PR.histogram_per_item(_train(spark, sf), "salesPrice", 10)
+
+
+# --- samples (O3, O4, J5, J7, P15, P16, F10) ------------------------------------------------
+
+SAMPLE_SEED = 1
+
+
+@register("sampled_results", O.with_(*EDA_CTES, f"""smp AS (
+  SELECT itemID FROM (SELECT DISTINCT itemID FROM res)
+  ORDER BY {O.uniform(['itemID', str(SAMPLE_SEED)])}, itemID LIMIT 100),
+sres AS (SELECT * FROM res WHERE itemID IN (SELECT itemID FROM smp))""")
+          + """SELECT itemID, date, "order", weightedAveragePrice, in_promotion,
+  CAST(date_diff('day', (SELECT min(date) FROM sres), date) + 1 AS INT) AS days_from_start
+FROM sres""", fuzz=("weightedAveragePrice",), ops=("O4", "J5", "P15", "F10"))
+def q_sampled_results(spark, sf):
+    """Results rows of 100 items chosen by seeded md5, with day number from start."""
+    from tillcast.functions import days_from_start
+    res = _res(spark, sf)
+    items = PR.sample_items(res, 100, SAMPLE_SEED)
+    s = res.join(items, "itemID", "left_semi")
+    first = s.select(F.min("date")).scalar()
+    return s.select("itemID", "date", "order", "weightedAveragePrice", "in_promotion",
+                    days_from_start("date", first).alias("days_from_start"))
+
+
+DEEP_SEED = 222
+
+
+@register("deep_discount_sample", O.with_(*O.pipeline_ctes(O.EVENTS, "lines"), f"""dd AS (
+  SELECT itemID FROM lines WHERE split = 'train' AND discountPerc > 0.79
+  ORDER BY {O.uniform(['itemID', str(DEEP_SEED)])}, itemID LIMIT 50)""")
+          + """SELECT dd.itemID, l.time, l.salesPrice, l."order"
+FROM dd LEFT JOIN (SELECT * FROM lines WHERE split = 'train') l ON dd.itemID = l.itemID""",
+          ops=("P16", "O4", "J7"))
+def q_deep_discount_sample(spark, sf):
+    """50 seeded rows with a discount share above 0.79, fanned out to all of the
+    item's train lines (repeated keys multiply rows)."""
+    tr = P.prepared_transactions(_ev(spark, sf), EC).where(F.col("split") == "train")
+    deep = P.enrich_transactions(tr).where(F.col("discountPerc") > 0.79).select("itemID")
+    sample = PR.seeded_sample(deep, 50, DEEP_SEED)
+    return sample.join(tr.select("itemID", "time", "salesPrice", "order"), "itemID", "left")
+
+
+@register("preview_orders", None, ops=("O3",))
+def q_preview_orders(spark, sf):
+    """First 10 order lines in (time, itemID) order."""
+    return PR.preview(_li(spark, sf), 10)
+
+
+# --- summaries and checks (Q1-Q5, Q7, Q8, A19, A20, A28, A29, J4) --------------------------
+
+def _num_sql(cols):
+    parts = []
+    for c in cols:
+        x = f'CAST("{c}" AS DOUBLE)'
+        parts.append(f"""SELECT '{c}' AS "column", count({x}) AS count, avg({x}) AS mean,
+  stddev_samp({x}) AS std, min({x}) AS min, quantile_cont({x}, 0.25) AS p25,
+  quantile_cont({x}, 0.5) AS p50, quantile_cont({x}, 0.75) AS p75, max({x}) AS max FROM txn""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("numeric_summary", O.with_(O.LINEITEM.txn) + _num_sql(["itemID", "order", "salesPrice"]),
+          fuzz=("mean", "std", "p25", "p50", "p75"), ops=("Q1",))
+def q_numeric_summary(spark, sf):
+    """count, mean, std, min, exact quartiles, max of the numeric order columns."""
+    return PR.numeric_summary(_li(spark, sf), ["itemID", "order", "salesPrice"])
+
+
+def _str_sql(cols):
+    parts = []
+    for c in cols:
+        parts.append(f"""SELECT '{c}' AS "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
+  arg_min(v, (-n, v)) AS top, max(n) AS freq
+FROM (SELECT {c} AS v, count(*) AS n FROM items_v WHERE {c} IS NOT NULL GROUP BY {c})""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("string_summary", O.with_(O.LINEITEM.items) + _str_sql(["category1", "category3"]),
+          ops=("Q2",))
+def q_string_summary(spark, sf):
+    """count, unique, top, freq of the string item columns."""
+    return PR.string_summary(FX.items(spark, sf), ["category1", "category3"])
+
+
+_ITEM_TYPES = [("itemID", "bigint"), ("brand", "int"), ("manufacturer", "int"),
+               ("customerRating", "double"), ("category1", "string"), ("category2", "int"),
+               ("category3", "string"), ("recommendedRetailPrice", "double")]
+
+
+@register("column_inventory", O.with_(O.LINEITEM.items) + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", '{t}' AS type, count({c}) AS non_null FROM items_v"""
+    for c, t in _ITEM_TYPES), ops=("Q3",))
+def q_column_inventory(spark, sf):
+    """Type and non-NULL count of each item column."""
+    return PR.column_inventory(FX.items(spark, sf))
+
+
+@register("uniqueness_check", O.with_(O.LINEITEM.items, O.LINEITEM.infos) + """SELECT a.infos_rows, a.max_per_item, b.items_rows,
+  a.max_per_item = 1 AS unique_items, a.infos_rows = b.items_rows AS same_count
+FROM (SELECT CAST(sum(n) AS BIGINT) AS infos_rows, max(n) AS max_per_item
+      FROM (SELECT itemID, count(*) AS n FROM infos_v GROUP BY itemID)) a,
+     (SELECT count(*) AS items_rows FROM items_v) b""", ops=("Q4",))
+def q_uniqueness_check(spark, sf):
+    """infos has one row per item and as many rows as items."""
+    return PR.uniqueness_check(FX.infos(spark, sf), FX.items(spark, sf))
+
+
+@register("referential_check", O.with_(O.LINEITEM.items, O.LINEITEM.infos) + """SELECT count(*) AS n_missing, count(*) = 0 AS all_known
+FROM infos_v f WHERE NOT EXISTS (SELECT 1 FROM items_v i WHERE i.itemID = f.itemID)""",
+          ops=("Q5",))
+def q_referential_check(spark, sf):
+    """infos items missing from items (expected: none)."""
+    return PR.referential_check(FX.infos(spark, sf), FX.items(spark, sf))
+
+
+@register("shape_results", O.with_(*EDA_CTES)
+          + "SELECT count(*) AS n_rows, CAST(18 AS INT) AS n_cols FROM res", ops=("Q8",))
+def q_shape_results(spark, sf):
+    """Rows and columns of the exploration results table."""
+    return PR.shape(_res(spark, sf).drop("split"))
+
+
+@register("retention", O.with_(*O.pipeline_ctes(O.LINEITEM, "feat", drop_incomplete=False))
+          + f"""SELECT split, count(*) AS rows_before,
+  count(*) FILTER (WHERE qty_sold_lag1 IS NOT NULL AND qty_sold_lag2 IS NOT NULL AND qty_sold_lag3 IS NOT NULL AND qty_sold_lag7 IS NOT NULL) AS rows_kept,
+  {O.r2("CAST(count(*) FILTER (WHERE qty_sold_lag1 IS NOT NULL AND qty_sold_lag2 IS NOT NULL AND qty_sold_lag3 IS NOT NULL AND qty_sold_lag7 IS NOT NULL) AS DOUBLE) / count(*) * 100")} AS kept_pct
+FROM feat GROUP BY split""", ops=("Q7", "P13"))
+def q_retention(spark, sf):
+    """Rows kept when incomplete lag rows are dropped, per split."""
+    from tillcast.operators.features import retention
+    return retention(E1.feature_table(_li(spark, sf), FX.items(spark, sf), LC,
+                                      drop_incomplete=False))
+
+
+SPLIT_SQL = f"""sp AS (
+  SELECT itemID, "order", salesPrice,
+         CASE WHEN CAST(time AS DATE) <= {O.d(LC.split_date)} THEN 'train' ELSE 'test' END AS split
+  FROM txn),
+lost AS (SELECT DISTINCT itemID FROM sp WHERE split = 'test'
+         AND itemID NOT IN (SELECT itemID FROM sp WHERE split = 'train'))"""
+
+
+@register("lost_items", O.with_(O.LINEITEM.txn, SPLIT_SQL)
+          + "SELECT itemID, 'yes' AS will_be_lost FROM lost", ops=("J4",))
+def q_lost_items(spark, sf):
+    """Items sold in test but never in train."""
+    return PR.lost_items(_all_txn(spark, sf))
+
+
+@register("lost_revenue", O.with_(O.LINEITEM.txn, SPLIT_SQL) + f"""SELECT count(DISTINCT l.itemID) AS n_lost_items,
+  {O.r2('sum("order" * salesPrice) FILTER (WHERE l.itemID IS NOT NULL) / nullif(sum("order" * salesPrice), 0) * 100')} AS lost_revenue_pct
+FROM sp LEFT JOIN lost l ON sp.itemID = l.itemID""", ops=("J4", "A19"))
+def q_lost_revenue(spark, sf):
+    """Revenue share (%) of items lost by the split (before zero prices are removed)."""
+    return PR.lost_revenue_share(_all_txn(spark, sf))
+
+
+@register("item_coverage", O.with_(*O.pipeline_ctes(O.LINEITEM, "prep")) + f"""SELECT n_sold, n_items,
+  {O.r2('CAST(n_sold AS DOUBLE) / nullif(n_items, 0) * 100')} AS coverage_pct
+FROM (SELECT (SELECT count(DISTINCT itemID) FROM prep WHERE split = 'train') AS n_sold,
+             (SELECT count(*) FROM items_v) AS n_items)""", ops=("A20",))
+def q_item_coverage(spark, sf):
+    """Share of all items with a train order (after zero prices are removed)."""
+    return PR.item_coverage(_train(spark, sf), FX.items(spark, sf))
+
+
+@register("zero_price_share", O.with_(O.LINEITEM.txn, SPLIT_SQL)
+          + "SELECT avg(CAST(salesPrice = 0 AS DOUBLE)) * 100 AS zero_price_pct FROM sp WHERE split = 'train'",
+          fuzz=("zero_price_pct",), ops=("A29",))
+def q_zero_price_share(spark, sf):
+    """% of train lines at price 0."""
+    return PR.zero_price_share(_all_txn(spark, sf).where(F.col("split") == "train"))
+
+
+@register("distinct_items", O.with_(O.LINEITEM.txn)
+          + "SELECT count(DISTINCT itemID) AS n_items FROM txn", ops=("A28",))
+def q_distinct_items(spark, sf):
+    """Number of distinct items ordered."""
+    return PR.distinct_items(_li(spark, sf))
+
+
+# --- promotion dates of the simulation period (F13, F14, P18) ------------------------------
+
+@register("promotion_dates", O.with_(O.LINEITEM.infos) + """SELECT itemID, CAST(trim(d) AS DATE) AS promo_date
+FROM (SELECT itemID, unnest(string_split(promotion, ',')) AS d FROM infos_v WHERE promotion IS NOT NULL)""",
+          ops=("F13",))
+def q_promotion_dates(spark, sf):
+    """One row per (item, promotion date) of the simulation period."""
+    from tillcast.functions import promotion_dates
+    return FX.infos(spark, sf).select(
+        "itemID", F.explode(promotion_dates("promotion")).alias("promo_date"))
+
+
+@register("promotion_calendar", O.with_(O.LINEITEM.infos) + f"""SELECT f.itemID, CAST(g.d AS DATE) AS date,
+  coalesce(list_contains(list_transform(string_split(f.promotion, ','), lambda x: CAST(trim(x) AS DATE)), CAST(g.d AS DATE)), false) AS promotion
+FROM infos_v f JOIN (SELECT unnest(generate_series({O.d(LC.forecast_start)}, {O.d(LC.forecast_end)}, INTERVAL 1 DAY)) AS d) g ON TRUE""",
+          ops=("F13", "T1"))
+def q_promotion_calendar(spark, sf):
+    """Daily promotion flag of every item over the 14 forecast days."""
+    from tillcast.functions import promotion_dates
+    infos = FX.infos(spark, sf).select("itemID", promotion_dates("promotion").alias("dates"))
+    days = F.sequence(F.lit(LC.forecast_start).cast("date"), F.lit(LC.forecast_end).cast("date"))
+    g = infos.select("itemID", "dates", F.explode(days).alias("date"))
+    return g.select("itemID", "date",
+                    F.coalesce(F.array_contains("dates", F.col("date")), F.lit(False))
+                    .alias("promotion"))
+
+
+@register("multi_promotion_infos", O.with_(O.LINEITEM.infos)
+          + "SELECT itemID, promotion, CAST(length(promotion) AS INT) AS promo_len FROM infos_v WHERE length(promotion) > 10",
+          ops=("P18", "F14"))
+def q_multi_promotion_infos(spark, sf):
+    """Infos rows with several promotion dates (text longer than one date)."""
+    return (FX.infos(spark, sf).withColumn("promo_len", F.length("promotion"))
+            .where(F.col("promo_len") > 10).select("itemID", "promotion", "promo_len"))
