@@ -792,3 +792,274 @@ def q_multi_promotion_infos(spark, sf):
     """Infos rows with several promotion dates (text longer than one date)."""
     return (FX.infos(spark, sf).withColumn("promo_len", F.length("promotion"))
             .where(F.col("promo_len") > 10).select("itemID", "promotion", "promo_len"))
+
+
+# --- series (T4, T6-T12, W10) ---------------------------------------------------------------
+
+from tillcast.operators import features as X  # noqa: E402
+from tillcast.operators import series as S  # noqa: E402
+
+GRID_CTES = O.pipeline_ctes(O.LINEITEM, "grid")
+
+
+def _grid(spark, sf):
+    return E1.grid_table(_li(spark, sf), LC)
+
+
+@register("demand_label", O.with_(*GRID_CTES) + """SELECT split, itemID, date, qty_sold,
+  CASE WHEN count(qty_sold) OVER f = 14 THEN CAST(sum(qty_sold) OVER f AS BIGINT) END AS demand_next_14
+FROM grid WINDOW f AS (PARTITION BY split, itemID ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING)""",
+          ops=("T6",))
+def q_demand_label(spark, sf):
+    """Units of the next 14 days per (item, day); NULL where the horizon is incomplete."""
+    return S.demand_label(_grid(spark, sf)).select("split", "itemID", "date", "qty_sold",
+                                                    "demand_next_14")
+
+
+@register("biweekly_assortment", O.with_(*O.pipeline_ctes(O.LINEITEM, "daily")) + f"""SELECT
+  CAST(floor(date_diff('day', {O.d(LC.train_start)}, date) / 14) AS INT) AS period, itemID,
+  CAST(sum(qty_sold) AS BIGINT) AS units, count(*) AS sale_days
+FROM daily WHERE qty_sold > 0 GROUP BY 1, 2""", ops=("T7",))
+def q_biweekly_assortment(spark, sf):
+    """Items sold in each 14-day restocking period."""
+    return S.biweekly_assortment(E1.daily_table(_li(spark, sf), LC), LC)
+
+
+@register("sparse_item_filter", O.with_(*GRID_CTES) + """SELECT split, itemID, date, qty_sold FROM grid
+WHERE (split, itemID) IN (SELECT split, itemID FROM grid GROUP BY split, itemID
+                          HAVING count(*) FILTER (WHERE qty_sold IS DISTINCT FROM 0) >= 3)""",
+          ops=("T8",))
+def q_sparse_item_filter(spark, sf):
+    """Grid rows of items sold on at least 3 days of their split."""
+    return S.sparse_item_filter(_grid(spark, sf), 3).select("split", "itemID", "date", "qty_sold")
+
+
+@register("outlier_flags", O.with_(*GRID_CTES) + """SELECT split, itemID, date, qty_sold,
+  CASE WHEN stddev_samp(qty_sold) OVER w > 0
+       THEN (qty_sold - avg(qty_sold) OVER w) / stddev_samp(qty_sold) OVER w END AS z_score,
+  coalesce(abs(CASE WHEN stddev_samp(qty_sold) OVER w > 0
+       THEN (qty_sold - avg(qty_sold) OVER w) / stddev_samp(qty_sold) OVER w END) > 3, false) AS z_outlier,
+  (qty_sold < quantile_cont(qty_sold, 0.25) OVER w
+     - 1.5 * (quantile_cont(qty_sold, 0.75) OVER w - quantile_cont(qty_sold, 0.25) OVER w))
+  OR (qty_sold > quantile_cont(qty_sold, 0.75) OVER w
+     + 1.5 * (quantile_cont(qty_sold, 0.75) OVER w - quantile_cont(qty_sold, 0.25) OVER w)) AS iqr_outlier
+FROM grid WINDOW w AS (PARTITION BY split, itemID)""", fuzz=("z_score",), ops=("T9",))
+def q_outlier_flags(spark, sf):
+    """Per item z-score and IQR outlier flags of daily units."""
+    return S.outlier_flags(_grid(spark, sf)).select("split", "itemID", "date", "qty_sold",
+                                                     "z_score", "z_outlier", "iqr_outlier")
+
+
+@register("normalised_units", O.with_(*GRID_CTES) + """SELECT split, itemID, date, qty_sold,
+  CASE WHEN stddev_samp(qty_sold) OVER w > 0
+       THEN (qty_sold - avg(qty_sold) OVER w) / stddev_samp(qty_sold) OVER w END AS qty_sold_z,
+  CASE WHEN max(qty_sold) OVER w > min(qty_sold) OVER w
+       THEN (qty_sold - min(qty_sold) OVER w) / (max(qty_sold) OVER w - min(qty_sold) OVER w) END AS qty_sold_minmax
+FROM grid WINDOW w AS (PARTITION BY split, itemID)""", fuzz=("qty_sold_z", "qty_sold_minmax"),
+          ops=("T10",))
+def q_normalised_units(spark, sf):
+    """Per item z-normalised and min-max scaled daily units."""
+    return S.normalise(_grid(spark, sf)).select("split", "itemID", "date", "qty_sold",
+                                                 "qty_sold_z", "qty_sold_minmax")
+
+
+_SMOOTH = " + ".join(O.harmonic_sql(k) for k in range(1, 11))
+
+
+@register("harmonic_smoothing", O.with_(*GRID_CTES, """gt AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY split, itemID ORDER BY date) - 1 AS DOUBLE) AS t,
+         CAST(count(*) OVER (PARTITION BY split, itemID) AS DOUBLE) AS L FROM grid)""")
+          + f"""SELECT split, itemID, date, qty_sold, ({_SMOOTH}) + avg(qty_sold) OVER wi AS harmonic_smooth
+FROM gt WINDOW wi AS (PARTITION BY split, itemID)""", fuzz=("harmonic_smooth",), ops=("T4", "T3"))
+def q_harmonic_smoothing(spark, sf):
+    """Series mean plus its first 10 Fourier components."""
+    return X.harmonic_smoothing(_grid(spark, sf), "qty_sold", 10).select(
+        "split", "itemID", "date", "qty_sold", "harmonic_smooth")
+
+
+@register("rolling_median_distinct", O.with_(*GRID_CTES) + """SELECT split, itemID, date, qty_sold,
+  CASE WHEN count(qty_sold) OVER r = 7
+       THEN CAST(list_aggregate(list_distinct(list(qty_sold) OVER r), 'median') AS DOUBLE) END
+    AS rolling_median_distinct
+FROM grid WINDOW r AS (PARTITION BY split, itemID ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""",
+          ops=("W10",))
+def q_rolling_median_distinct(spark, sf):
+    """Median of the distinct values among the previous 7 days' units."""
+    return _grid(spark, sf).select("split", "itemID", "date", "qty_sold",
+                                   X.rolling_median_distinct("qty_sold", 7)
+                                   .alias("rolling_median_distinct"))
+
+
+@register("exponential_smoothing", None, ops=("T12",))
+def q_exponential_smoothing(spark, sf):
+    """Exponentially smoothed daily units per item (alpha 0.3)."""
+    return S.exponential_smoothing(_grid(spark, sf), 0.3)
+
+
+@register("kalman_smoothing", None, ops=("T11",))
+def q_kalman_smoothing(spark, sf):
+    """Local-level Kalman filter of daily units per item (q 1, r 10)."""
+    return S.kalman_smoothing(_grid(spark, sf), 1.0, 10.0)
+
+
+# --- inventory value (J8, B1-B6, S6) -----------------------------------------------------------
+
+from tillcast.operators import inventory as B  # noqa: E402
+from tillcast.sources.files import submission  # noqa: E402
+
+# Fixed parameters of the registered value queries: the retailer's limits (money)
+# and the grid of forecast scale factors.
+LIMITS = dict(max_overstock=1_500_000.0, max_lost=4_000_000.0, max_locked=5_000_000.0)
+FACTORS = [round(0.1 * i, 1) for i in range(21)]
+
+
+def _score_input(spark, sf):
+    daily = E1.daily_table(_li(spark, sf), LC)
+    return B.score_input(FX.items(spark, sf), B.naive_forecast(daily, LC),
+                         B.actual_demand(daily, LC), FX.infos(spark, sf))
+
+
+SCORE_SQL = f"""fc AS (SELECT itemID, CAST(sum(qty_sold) AS BIGINT) AS forecast FROM daily
+  WHERE date BETWEEN {O.d(LC.split_date)} - INTERVAL {LC.horizon - 1} DAY AND {O.d(LC.split_date)} GROUP BY itemID),
+ac AS (SELECT itemID, CAST(sum(qty_sold) AS BIGINT) AS actual FROM daily
+  WHERE date BETWEEN {O.d(LC.test_start)} AND {O.d(LC.score_end)} GROUP BY itemID),
+si AS (SELECT i.itemID, coalesce(fc.forecast, 0) AS forecast, coalesce(ac.actual, 0) AS actual,
+         f.simulationPrice AS price
+  FROM items_v i LEFT JOIN fc ON i.itemID = fc.itemID LEFT JOIN ac ON i.itemID = ac.itemID
+  LEFT JOIN infos_v f ON i.itemID = f.itemID)"""
+
+
+def value_sql(src: str, f: str) -> str:
+    return f"""SELECT *,
+  CASE WHEN {f} <= actual THEN price * {f} ELSE price * actual - CAST(0.6 AS DOUBLE) * price * ({f} - actual) END AS value,
+  CAST(greatest({f} - actual, 0) AS BIGINT) AS overstock_units, greatest({f} - actual, 0) * price AS overstock_value,
+  CAST(greatest(actual - {f}, 0) AS BIGINT) AS lost_units, greatest(actual - {f}, 0) * price AS lost_value,
+  {f} * price / CAST(1.3 AS DOUBLE) AS locked_capital
+FROM {src}"""
+
+
+TOTALS_SQL = """sum(value) AS total_value, CAST(sum(overstock_units) AS BIGINT) AS overstock_units,
+  sum(overstock_value) AS overstock_value, CAST(sum(lost_units) AS BIGINT) AS lost_units,
+  sum(lost_value) AS lost_value, sum(locked_capital) AS locked_capital"""
+TOTAL_FUZZ = ("total_value", "overstock_value", "lost_value", "locked_capital")
+VALUE_CTES = O.pipeline_ctes(O.LINEITEM, "daily") + [SCORE_SQL]
+
+
+@register("forecast_value", O.with_(*VALUE_CTES) + value_sql("si", "forecast"),
+          ops=("J8", "B1", "B2", "B3", "B4", "T6"))
+def q_forecast_value(spark, sf):
+    """Per item value, overstock, lost sales and locked capital of a naive
+    last-14-days forecast against the first 14 test days."""
+    return B.monetary_value(_score_input(spark, sf))
+
+
+@register("forecast_value_totals", O.with_(*VALUE_CTES, f"v AS ({value_sql('si', 'forecast')})")
+          + f"SELECT {TOTALS_SQL} FROM v", fuzz=TOTAL_FUZZ, ops=("B1", "B2", "B3", "B4"))
+def q_forecast_value_totals(spark, sf):
+    """Totals of value, overstock, lost sales and locked capital."""
+    return B.value_totals(B.monetary_value(_score_input(spark, sf)))
+
+
+def _limits_sql(src="t"):
+    return f"""SELECT *, overstock_value <= {O.dbl(LIMITS['max_overstock'])} AS overstock_ok,
+  lost_value <= {O.dbl(LIMITS['max_lost'])} AS lost_ok, locked_capital <= {O.dbl(LIMITS['max_locked'])} AS capital_ok,
+  overstock_value <= {O.dbl(LIMITS['max_overstock'])} AND lost_value <= {O.dbl(LIMITS['max_lost'])}
+    AND locked_capital <= {O.dbl(LIMITS['max_locked'])} AS feasible
+FROM {src}"""
+
+
+@register("constraint_check", O.with_(*VALUE_CTES, f"v AS ({value_sql('si', 'forecast')})",
+                                      f"t AS (SELECT {TOTALS_SQL} FROM v)") + _limits_sql(),
+          fuzz=TOTAL_FUZZ, ops=("B5",))
+def q_constraint_check(spark, sf):
+    """Totals checked against the retailer's overstock, lost-sales and capital limits."""
+    tot = B.value_totals(B.monetary_value(_score_input(spark, sf)))
+    return B.constraint_check(tot, **LIMITS)
+
+
+_FACTOR_VALUES = ", ".join(f"({O.dbl(float(x))})" for x in FACTORS)
+
+
+@register("scenario_sweep", O.with_(*VALUE_CTES, f"""sc AS (
+  SELECT si.*, fct.factor, CAST(round_even(si.forecast * fct.factor, 0) AS BIGINT) AS scaled
+  FROM si, (VALUES {_FACTOR_VALUES}) fct(factor))""", f"v AS ({value_sql('sc', 'scaled')})",
+                                    f"t AS (SELECT factor, {TOTALS_SQL} FROM v GROUP BY factor)",
+                                    f"c AS ({_limits_sql()})")
+          + """SELECT *, feasible AND row_number() OVER (PARTITION BY feasible ORDER BY total_value DESC, factor) = 1 AS best
+FROM c""", fuzz=TOTAL_FUZZ, ops=("B6",))
+def q_scenario_sweep(spark, sf):
+    """Forecast scaled by 0.0..2.0: totals, feasibility under the limits, best factor."""
+    return B.scenario_sweep(_score_input(spark, sf), FACTORS, **LIMITS)
+
+
+@register("submission", O.with_(*VALUE_CTES)
+          + "SELECT itemID, CAST(greatest(0, round_even(forecast, 0)) AS INT) AS demandPrediction FROM si",
+          ops=("S6", "M11"))
+def q_submission(spark, sf):
+    """Submission content (itemID, demandPrediction) of the naive forecast."""
+    return submission(_score_input(spark, sf).withColumnRenamed("forecast", "demandPrediction"))
+
+
+# --- models (M1-M11) ---------------------------------------------------------------------------
+
+from tillcast.operators import model as M  # noqa: E402
+
+
+def _ev_features(spark, sf):
+    ft = E1.feature_table(_ev(spark, sf), FX.event_items(spark, sf), EC)
+    return M.prepare_features(ft)
+
+
+@register("score_lag7_predictor", O.with_(*O.pipeline_ctes(O.EVENTS, "feat")) + """SELECT split, count(*) AS n,
+  avg(CAST(CAST(qty_sold_lag7 AS DOUBLE) = CAST(qty_sold AS DOUBLE) AS DOUBLE)) AS accuracy,
+  1 - sum((qty_sold - qty_sold_lag7) * (qty_sold - qty_sold_lag7)) / (sum(CAST(qty_sold AS DOUBLE) * qty_sold) - count(*) * avg(qty_sold) * avg(qty_sold)) AS r2
+FROM feat GROUP BY split""", fuzz=("accuracy", "r2"), ops=("M5", "M6"))
+def q_score_lag7_predictor(spark, sf):
+    """Exact-match accuracy and R2 of the same-weekday-last-week predictor."""
+    ft = _ev_features(spark, sf).withColumn("lag7", F.col("qty_sold_lag7").cast("double"))
+    return M.scores(ft, "lag7", keys=["split"])
+
+
+def _gbt(spark, sf):
+    ft = _ev_features(spark, sf)
+    train, test = ft.where(F.col("split") == "train"), ft.where(F.col("split") == "test")
+    return M.fit_gbt(train), train, test
+
+
+@register("model_gbt_scores", None, ops=("M1", "M2", "M3", "M4", "M5", "M6"))
+def q_model_gbt_scores(spark, sf):
+    """Boosted trees (depth 5, rate 0.1, 50 rounds): accuracy and R2 of rounded test predictions."""
+    model, _, test = _gbt(spark, sf)
+    return M.scores(M.predict(model, test, rounded=True))
+
+
+@register("model_rf_scores", None, ops=("M1", "M2", "M8", "M6"))
+def q_model_rf_scores(spark, sf):
+    """Random forest (depth 5, 100 trees): accuracy and R2 of raw test predictions."""
+    ft = _ev_features(spark, sf)
+    model = M.fit_forest(ft.where(F.col("split") == "train"))
+    return M.scores(M.predict(model, ft.where(F.col("split") == "test"), rounded=False))
+
+
+@register("model_importance", None, ops=("M7", "M9"))
+def q_model_importance(spark, sf):
+    """Feature importance of the boosted trees, with the features ranked above both noise columns."""
+    model, train, _ = _gbt(spark, sf)
+    imp = M.feature_importance(model, train)
+    above = M.above_noise(imp).select("feature", F.lit(True).alias("above_noise"))
+    return imp.join(above, "feature", "left").fillna({"above_noise": False})
+
+
+@register("model_ensemble_forecast", None, ops=("M10", "M11", "S6", "B1"))
+def q_model_ensemble_forecast(spark, sf):
+    """Mean of boosted-tree and forest predictions on test days, summed per item as an
+    integer forecast, valued against the actual units of those days."""
+    ft = _ev_features(spark, sf)
+    train, test = ft.where(F.col("split") == "train"), ft.where(F.col("split") == "test")
+    pg = M.predict(M.fit_gbt(train), test, rounded=False)
+    pr = M.predict(M.fit_forest(train), test, rounded=False)
+    fc = M.item_forecast(M.ensemble([pg, pr]))
+    actual = test.groupBy("itemID").agg(F.sum("qty_sold").cast("long").alias("actual"))
+    si = B.score_input(FX.event_items(spark, sf), fc.withColumnRenamed(
+        "demandPrediction", "forecast"), actual, FX.event_infos(spark, sf))
+    return B.monetary_value(si)
