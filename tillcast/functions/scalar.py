@@ -30,23 +30,21 @@ def _col(c) -> Column:
 # below it (from summation order) is removed before rounding, so a decimal tie
 # such as 845.615 rounds the same way whatever order the sum was taken in.
 SNAP_PLACES = 9
-_EXACT_LIMIT = 1e11   # |x| below this fits decimal(20, 0) after scaling by 1e9
 
 
 def round_half_even(c, places: int = 2) -> Column:
     """Round half to even at ``places`` decimals on the decimal value of ``c``.
 
-    ``x`` is snapped to 9 decimals, and the half-even rounding is done in exact
-    decimal arithmetic (``bround``). Beyond 1e11 in magnitude, where the snap
-    does not fit, plain ``rint(x * 10**places) / 10**places`` is used.
+    ``x`` becomes a ``decimal(18, 9)`` (18 digits keep Spark's decimal in a
+    long, inside generated code) and ``bround`` rounds that decimal half to
+    even. ``x`` is referenced only here and in the fallback, so nested
+    roundings stay small after Catalyst inlines them. Beyond 1e9 in magnitude
+    the cast yields NULL and plain ``rint(x * 10**places) / 10**places`` is used.
     """
     x = _col(c)
-    snapped = (F.rint(x * F.lit(float(10 ** SNAP_PLACES))).cast("decimal(20,0)")
-               * F.lit(10 ** -SNAP_PLACES).cast(f"decimal(10,{SNAP_PLACES})"))
-    exact = F.bround(snapped, places).cast("double")
+    exact = F.bround(x.try_cast(f"decimal(18,{SNAP_PLACES})"), places).cast("double")
     scale = float(10 ** places)
-    plain = F.rint(x * F.lit(scale)) / F.lit(scale)
-    return F.when(F.abs(x) < F.lit(_EXACT_LIMIT), exact).otherwise(plain)
+    return F.coalesce(exact, F.rint(x * F.lit(scale)) / F.lit(scale))
 
 
 def round2(c) -> Column:
@@ -116,22 +114,27 @@ def promotion_dates(c) -> Column:
                     lambda x: x.isNotNull())
 
 
-def md5_uniform(*parts) -> Column:
-    """Uniform in [0, 1) from the md5 of the ``|``-joined text of ``parts``.
+def _hex_fraction(h: Column, start: int) -> Column:
+    # 13 hex digits (52 bits) from position ``start`` as a fraction in [0, 1)
+    return (F.conv(F.substring(h, start, 13), 16, 10).cast("double")
+            / F.lit(float(16 ** 13)))
 
-    The first 13 hex digits (52 bits) become the fraction, so the same key
-    gives the same number on any partitioning, any engine with md5.
-    """
-    key = F.concat_ws("|", *[_col(p).cast("string") for p in parts])
-    head = F.substring(F.md5(key), 1, 13)
-    return F.conv(head, 16, 10).cast("double") / F.lit(float(16 ** 13))
 
+def md5_hex(*parts) -> Column:
+    """md5 of the ``|``-joined text of ``parts``."""
+    return F.md5(F.concat_ws("|", *[_col(p).cast("string") for p in parts]))
 
-def gaussian(*parts) -> Column:
-    """T5: standard normal by Box-Muller on two md5 uniforms of ``parts``.
 
-    ``1 - u`` keeps the log argument in (0, 1].
-    """
-    u1 = md5_uniform(*parts, F.lit("a"))
-    u2 = md5_uniform(*parts, F.lit("b"))
+def md5_uniform(*parts) -> Column:
+    """Uniform in [0, 1) from the first 13 hex digits of the md5 of ``parts``:
+    the same key gives the same number on any partitioning and in any engine
+    with md5."""
+    return _hex_fraction(md5_hex(*parts), 1)
+
+
+def gaussian(*parts) -> Column:
+    """T5: standard normal by Box-Muller on two uniforms taken from one md5 of
+    ``parts`` (hex digits 1-13 and 14-26). ``1 - u`` keeps the log argument in (0, 1]."""
+    h = md5_hex(*parts)
+    u1, u2 = _hex_fraction(h, 1), _hex_fraction(h, 14)
     return F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - u1)) * F.cos(F.lit(2 * math.pi) * u2)

@@ -39,8 +39,13 @@ def day_totals(txn: DataFrame, keys=DAY) -> DataFrame:
         F.count("*").alias("n_lines"))
 
 
+def item_partitions(df: DataFrame) -> int:
+    """Partition count for item-grain work: the session's shuffle parallelism."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def daily_sales(txn: DataFrame, median_disc: DataFrame | None = None,
-                price_basis: str = "price") -> DataFrame:
+                price_basis: str = "price", partitions: int | None = None) -> DataFrame:
     """A1 + A2 + W5: the daily table of the feature pipeline.
 
     Columns: split, date, itemID, qty_sold, sales_value, promotion,
@@ -50,11 +55,18 @@ def daily_sales(txn: DataFrame, median_disc: DataFrame | None = None,
     ``price_basis="price"`` (default): ``PriceToday`` is the mean line price of
     the day and ``Price`` the item mean of it. ``price_basis="revenue"``:
     ``PriceToday`` is the day's sales value and ``Price`` its item mean.
+
+    The daily rows are hash-partitioned by item into ``partitions`` (default:
+    the session's shuffle partitions). Every later per-item step (item windows,
+    joins with item-level tables, grid expansion, series windows) reuses this
+    partitioning. The count is explicit because the grid expands each daily row
+    many times over: sizing partitions by the daily shuffle bytes, as adaptive
+    coalescing does, would leave the expanded grid in too few tasks.
     """
     if price_basis not in ("price", "revenue"):
         raise ValueError("price_basis must be 'price' or 'revenue'")
     w = _item_window()
-    day = day_totals(txn)
+    day = day_totals(txn).repartition(partitions or item_partitions(txn), "itemID")
     max_item = F.max("dayMaxPrice").over(w)
     today = F.col("dayMeanPrice") if price_basis == "price" else F.col("sales_value")
     out = (day

@@ -37,14 +37,17 @@ def _middle(arr: Column, n: Column) -> Column:
 
 # --- W6 ---------------------------------------------------------------------------------
 
-def add_lags(df: DataFrame, col: str, lags=LAGS, prefix: str | None = None,
-             keys=ITEM) -> DataFrame:
+def lag_columns(col: str, lags=LAGS, prefix: str | None = None, keys=ITEM) -> list[Column]:
     """``{prefix}_lag{k}`` = value k rows earlier in the item's series."""
     w = series_window(keys)
     prefix = prefix or col
-    for k in lags:
-        df = df.withColumn(f"{prefix}_lag{k}", F.lag(col, k).over(w))
-    return df
+    return [F.lag(col, k).over(w).alias(f"{prefix}_lag{k}") for k in lags]
+
+
+def add_lags(df: DataFrame, col: str, lags=LAGS, prefix: str | None = None,
+             keys=ITEM) -> DataFrame:
+    """W6 as a transformation of ``df``."""
+    return df.select("*", *lag_columns(col, lags, prefix, keys))
 
 
 # --- W7, W8, W10, W9, W11 ---------------------------------------------------------------
@@ -141,11 +144,14 @@ def harmonic_smoothing(df: DataFrame, col: str = "qty_sold", n: int = 10, keys=I
 
 # --- F6, F8, T5 -------------------------------------------------------------------------
 
-def add_date_fields(df: DataFrame, date: str = "date") -> DataFrame:
+def date_field_columns(date: str = "date") -> list[Column]:
     """F6 + F8: ``weekDay`` (Monday = 1), ``day`` of month, ``weekOfMonth``."""
-    return (df.withColumn("weekDay", weekday_mon1(date))
-            .withColumn("day", month_day(date))
-            .withColumn("weekOfMonth", week_of_month_calendar(date)))
+    return [weekday_mon1(date).alias("weekDay"), month_day(date).alias("day"),
+            week_of_month_calendar(date).alias("weekOfMonth")]
+
+
+def add_date_fields(df: DataFrame, date: str = "date") -> DataFrame:
+    return df.select("*", *date_field_columns(date))
 
 
 # Seeds of the two noise columns, per split.

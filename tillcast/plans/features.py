@@ -45,17 +45,23 @@ def feature_table(txn: DataFrame, items: DataFrame, cal: Calendar, price_basis:
     """
     grid = grid_table(txn, cal, price_basis)
     g = grid.join(items.select("itemID", *ITEM_COLUMNS), "itemID", "left")
-    g = X.add_date_fields(g)
     first = G.split_first_day(cal)
     pos = F.datediff(F.col("date"), first).cast("double")
     length = (F.datediff(G.split_last_day(cal), first) + 1).cast("double")
-    g = X.add_harmonics(g, "qty_sold", 5, pos=pos, length=length)
-    g = g.withColumn("cum_sum_order", X.cumulative_sum("qty_sold",
-                                                       exclude_current=exclude_current_cumsum))
-    g = X.add_rolling(g, "qty_sold", 7)
-    g = X.add_lags(g, "qty_sold", LAGS)
-    g = X.add_lags(g, "PricePerEachToday", LAGS, prefix="PricePerEach")
-    g = X.add_lags(g, "sales_value", LAGS)
+    mean, std, med = X.rolling_previous("qty_sold", 7)
+    # every series column in one projection: Spark plans one Window operator per
+    # window specification (item partition; item partition ordered by date),
+    # both served by a single sort of the grid
+    g = g.select(
+        "*", *X.date_field_columns(),
+        *[X.harmonic("qty_sold", i + 1, pos, length).alias(f"harmonic_{i}") for i in range(5)],
+        X.cumulative_sum("qty_sold", exclude_current=exclude_current_cumsum)
+        .alias("cum_sum_order"),
+        mean.alias("rolling_qty_sold_mean"), std.alias("rolling_qty_sold_std"),
+        med.alias("rolling_qty_sold_median"),
+        *X.lag_columns("qty_sold", LAGS),
+        *X.lag_columns("PricePerEachToday", LAGS, prefix="PricePerEach"),
+        *X.lag_columns("sales_value", LAGS))
     if drop_incomplete:
         g = X.drop_incomplete(g)
     g = X.add_noise(g)

@@ -23,7 +23,7 @@ def rn(x: str, places: int) -> str:
     snapped = (f"(CAST(round_even(({x}) * 1000000000.0, 0) AS DECIMAL(20,0)) "
                f"* CAST(0.000000001 AS DECIMAL(10,9)))")
     plain = f"(round_even(({x}) * {float(10 ** places)!r}, 0) / {float(10 ** places)!r})"
-    return (f"(CASE WHEN abs({x}) < 100000000000.0 "
+    return (f"(CASE WHEN abs({x}) < 1000000000.0 "
             f"THEN CAST(round_even({snapped}, {places}) AS DOUBLE) ELSE {plain} END)")
 
 
@@ -183,14 +183,22 @@ def week_of_month(col: str, eda: bool = False) -> str:
     return (f"(CAST((day({col}) + (isodow(date_trunc('month', {col})) - 1){off}) // 7 AS INT) + 1)")
 
 
+def md5_key(key_parts: list[str]) -> str:
+    return "md5(concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in key_parts) + "))"
+
+
+def hex_fraction(h: str, start: int) -> str:
+    return (f"(CAST(CAST(('0x' || substr({h}, {start}, 13)) AS BIGINT) AS DOUBLE) "
+            f"/ {dbl(float(16 ** 13))})")
+
+
 def uniform(key_parts: list[str]) -> str:
-    key = "concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in key_parts) + ")"
-    return f"(CAST(CAST(('0x' || substr(md5({key}), 1, 13)) AS BIGINT) AS DOUBLE) / {dbl(float(16 ** 13))})"
+    return hex_fraction(md5_key(key_parts), 1)
 
 
 def gaussian(key_parts: list[str]) -> str:
-    u1 = uniform(key_parts + ["'a'"])
-    u2 = uniform(key_parts + ["'b'"])
+    h = md5_key(key_parts)
+    u1, u2 = hex_fraction(h, 1), hex_fraction(h, 14)
     return f"(sqrt({dbl(-2.0)} * ln({dbl(1.0)} - {u1})) * cos({dbl(2 * math.pi)} * {u2}))"
 
 
