@@ -34,7 +34,7 @@ DAILY_COLS = ("split, date, itemID, qty_sold, sales_value, promotion, maxItemPri
 @register("daily_sales", O.with_(*O.pipeline_ctes(O.LINEITEM, "daily"))
           + f"SELECT {DAILY_COLS} FROM daily",
           fuzz=("sales_value", "PriceToday"),
-          ops=("P1", "P2", "P3", "P4", "P5", "W1", "W2", "A1", "A2", "W5", "A6", "P14", "J1"))
+          ops=("P1", "P2", "P3", "P4", "P5", "W1", "W2", "A1", "A2", "W5", "A6", "P14", "J1", "F1"))
 def q_daily_sales(spark, sf):
     """Daily sold table of both splits (price basis: mean line price)."""
     return E1.daily_table(_li(spark, sf), LC)
@@ -226,7 +226,7 @@ mm AS (SELECT itemID, {O.r2('mean_price')} AS mean_price, {O.r2('median_price')}
 
 
 @register("mean_median_gap", O.with_(*O.pipeline_ctes(O.LINEITEM, "prep"), MEAN_MEDIAN_SQL)
-          + "SELECT * FROM mm", ops=("A7", "F12"))
+          + "SELECT * FROM mm", ops=("A7", "F12", "F1"))
 def q_mean_median_gap(spark, sf):
     """Per item mean vs median price with absolute and % gap (round 2)."""
     return P.mean_median_gap(_train(spark, sf))
@@ -620,9 +620,10 @@ def q_deep_discount_sample(spark, sf):
     return sample.join(tr.select("itemID", "time", "salesPrice", "order"), "itemID", "left")
 
 
-@register("preview_orders", None, ops=("O3",))
+@register("preview_orders", O.with_(O.LINEITEM.txn)
+          + 'SELECT * FROM txn ORDER BY time, itemID, "order", salesPrice LIMIT 10', ops=("O3",))
 def q_preview_orders(spark, sf):
-    """First 10 order lines in (time, itemID) order."""
+    """First 10 order lines in (time, itemID, order, price) order."""
     return PR.preview(_li(spark, sf), 10)
 
 
@@ -890,13 +891,45 @@ def q_rolling_median_distinct(spark, sf):
                                    .alias("rolling_median_distinct"))
 
 
-@register("exponential_smoothing", None, ops=("T12",))
+def _fold_sql(init_cols: str, step_cols: str, state: str, out: str) -> str:
+    """DuckDB recursive CTE walking each item's series day by day."""
+    return O.with_(*GRID_CTES, """gn AS (
+  SELECT split, itemID, date, CAST(qty_sold AS DOUBLE) AS x,
+         row_number() OVER (PARTITION BY split, itemID ORDER BY date) AS rn FROM grid)""") \
+        + f"""SELECT split, itemID, date, v AS {out} FROM (
+  WITH RECURSIVE fold(split, itemID, rn, date, {state}) AS (
+    SELECT split, itemID, rn, date, {init_cols} FROM gn WHERE rn = 1
+    UNION ALL
+    SELECT g.split, g.itemID, g.rn, g.date, {step_cols}
+    FROM fold f JOIN gn g ON g.split = f.split AND g.itemID = f.itemID AND g.rn = f.rn + 1)
+  SELECT * FROM fold)"""
+
+
+_A = O.dbl(0.3)
+_ONE = O.dbl(1.0)
+
+
+@register("exponential_smoothing",
+          _fold_sql("x", f"{_A} * g.x + ({_ONE} - {_A}) * f.v", "v", "smoothed"),
+          fuzz=("smoothed",), ops=("T12",))
 def q_exponential_smoothing(spark, sf):
     """Exponentially smoothed daily units per item (alpha 0.3)."""
     return S.exponential_smoothing(_grid(spark, sf), 0.3)
 
 
-@register("kalman_smoothing", None, ops=("T11",))
+_Q, _R = O.dbl(1.0), O.dbl(10.0)
+_PP = f"(f.p + {_Q})"
+_K = f"({_PP} / ({_PP} + {_R}))"
+
+
+_PP0 = f"(({_R} - {_Q}) + {_Q})"          # first step starts from P = r - q
+_K0 = f"({_PP0} / ({_PP0} + {_R}))"
+
+
+@register("kalman_smoothing",
+          _fold_sql(f"x + {_K0} * (x - x), ({_ONE} - {_K0}) * {_PP0}",
+                    f"f.v + {_K} * (g.x - f.v), ({_ONE} - {_K}) * {_PP}", "v, p", "kalman"),
+          fuzz=("kalman",), ops=("T11",))
 def q_kalman_smoothing(spark, sf):
     """Local-level Kalman filter of daily units per item (q 1, r 10)."""
     return S.kalman_smoothing(_grid(spark, sf), 1.0, 10.0)
@@ -1063,3 +1096,33 @@ def q_model_ensemble_forecast(spark, sf):
     si = B.score_input(FX.event_items(spark, sf), fc.withColumnRenamed(
         "demandPrediction", "forecast"), actual, FX.event_infos(spark, sf))
     return B.monetary_value(si)
+
+
+# --- sources and sinks round trips (S1, S4, S5) --------------------------------------------
+
+def _shared_dir(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder of the session."""
+    import uuid
+    from tillcast.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+@register("orders_csv_roundtrip", O.with_(O.LINEITEM.txn) + 'SELECT time, itemID, "order", salesPrice FROM txn',
+          ops=("S1", "S5"))
+def q_orders_csv_roundtrip(spark, sf):
+    """Orders written as pipe-separated CSV with header, read back with the fixed schema."""
+    from tillcast.sources.files import read_orders
+    path = _shared_dir(spark, "orders-csv")
+    (_li(spark, sf).write.option("sep", "|").option("header", True)
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path))
+    return read_orders(spark, path)
+
+
+@register("feature_table_roundtrip", O.with_(*O.pipeline_ctes(O.LINEITEM, "feat"))
+          + f"SELECT {O.FEATURE_SELECT} FROM feat", fuzz=FEATURE_FUZZ, ops=("S4", "S5"))
+def q_feature_table_roundtrip(spark, sf):
+    """Feature table written as Parquet partitioned by split, read back typed."""
+    from tillcast.sources.files import feature_schema, read_feature_table, write_table
+    path = _shared_dir(spark, "features")
+    write_table(E1.feature_table(_li(spark, sf), FX.items(spark, sf), LC), path)
+    return read_feature_table(spark, path, schema=feature_schema(FX.items(spark, sf).schema))
