@@ -242,24 +242,26 @@ def sample_items(df: DataFrame, n: int, seed: int, key: str = "itemID") -> DataF
 # --- Q1-Q8 ---------------------------------------------------------------------------------
 
 def exact_quantiles(df: DataFrame, col: str, qs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact quantiles with linear interpolation (pandas ``describe``), one row per q.
+    """Exact quantiles with linear interpolation (pandas ``describe``): one row,
+    one column ``q<percent>`` per quantile.
 
-    Rows are numbered in a distributed global order (:func:`global_order`) and
-    only the two neighbours of each quantile position are kept.
+    Rows are numbered in a distributed global order (:func:`global_order`);
+    one filtered aggregate keeps only the neighbours of the quantile positions.
     """
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
     n = x.select(F.count("*")).scalar()
     ranked = global_order(x, ["x"])
-    picks = []
+    pos = F.col("position")
+    keep = F.lit(False)
+    parts = []
     for q in qs:
-        pos = F.lit(q) * (n - 1)           # 0-based fractional position
-        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-        frac = pos - F.floor(pos)
-        w_lo = F.when(F.col("position") == lo, F.lit(1.0) - frac).otherwise(F.lit(0.0))
-        w_hi = F.when(F.col("position") == hi, frac).otherwise(F.lit(0.0))
-        picks.append(ranked.where((F.col("position") == lo) | (F.col("position") == hi))
-                     .select(F.lit(q).alias("q"), (F.col("x") * (w_lo + w_hi)).alias("part")))
-    return reduce(DataFrame.unionByName, picks).groupBy("q").agg(F.sum("part").alias("value"))
+        p = F.lit(q) * (n - 1)                       # 0-based fractional position
+        lo, hi, frac = F.floor(p) + 1, F.ceil(p) + 1, p - F.floor(p)
+        keep = keep | (pos == lo) | (pos == hi)
+        term = (F.when(pos == lo, F.col("x") * (F.lit(1.0) - frac)).otherwise(0.0)
+                + F.when(pos == hi, F.col("x") * frac).otherwise(0.0))
+        parts.append(F.sum(term).alias(f"q{int(round(q * 100))}"))
+    return ranked.where(keep).agg(*parts)
 
 
 def numeric_summary(df: DataFrame, cols=None) -> DataFrame:
@@ -272,12 +274,10 @@ def numeric_summary(df: DataFrame, cols=None) -> DataFrame:
         base = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
                       F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
                       F.max(x).alias("max"))
-        q = exact_quantiles(df, c).agg(
-            *[F.max(F.when(F.col("q") == p, F.col("value"))).alias(name)
-              for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-        both = base.select("*", *[q.select(k).scalar().alias(k) for k in ("p25", "p50", "p75")])
-        outs.append(both.select(F.lit(c).alias("column"), "count", "mean", "std", "min",
-                                "p25", "p50", "p75", "max"))
+        qs = exact_quantiles(df, c).select(F.struct("q25", "q50", "q75")).scalar()
+        outs.append(base.select(F.lit(c).alias("column"), "count", "mean", "std", "min",
+                                qs.getField("q25").alias("p25"), qs.getField("q50").alias("p50"),
+                                qs.getField("q75").alias("p75"), "max"))
     return reduce(DataFrame.unionByName, outs)
 
 
