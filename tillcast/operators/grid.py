@@ -39,7 +39,8 @@ def calendar(spark: SparkSession, cal: Calendar) -> DataFrame:
                         .alias("date"))
 
 
-def dense_grid(daily: DataFrame, cal: Calendar) -> DataFrame:
+def dense_grid(daily: DataFrame, cal: Calendar, items: DataFrame | None = None,
+               item_columns=()) -> DataFrame:
     """T2 + W14 + W15: every day of the split for every item sold in it.
 
     Gaps get 0 units, value and promotion; maximum / minimum price, ``Price``
@@ -52,7 +53,9 @@ def dense_grid(daily: DataFrame, cal: Calendar) -> DataFrame:
     by the data) together with the fill values; the calendar is then expanded
     inside that row. The grid, the largest table of the pipeline, is never
     shuffled, and it leaves this step partitioned by item, which is what the
-    series windows downstream need.
+    series windows downstream need. Item attributes (``items``, ``item_columns``)
+    are joined to the one row per item before the expansion, so that join never
+    touches the grid either.
     """
     sale_day = is_nonzero("qty_sold")
     measures = F.struct("qty_sold", "sales_value", "promotion", "PricePerEachToday",
@@ -63,11 +66,14 @@ def dense_grid(daily: DataFrame, cal: Calendar) -> DataFrame:
                                        "medianDiscPerc")],
         F.avg(F.when(sale_day, F.col("PricePerEachToday"))).alias("_ppe_fill"),
         F.avg(F.when(sale_day, F.col("PriceToday"))).alias("_today_fill"))
+    extra = list(item_columns)
+    if items is not None and extra:
+        per_item = per_item.join(items.select("itemID", *extra), "itemID", "left")
     days = F.transform(F.sequence(split_first_day(cal), split_last_day(cal)),
                        lambda d: F.struct(d.alias("date"),
                                           F.try_element_at(F.col("_days"), d).alias("m")))
     g = per_item.select(*ITEM, "maxItemPrice", "minItemPrice", "Price", "medianDiscPerc",
-                        "_ppe_fill", "_today_fill", F.inline(days))
+                        "_ppe_fill", "_today_fill", *extra, F.inline(days))
     m = lambda c: F.col("m").getField(c)
     return g.select(
         "split", "date", "itemID",
@@ -78,19 +84,34 @@ def dense_grid(daily: DataFrame, cal: Calendar) -> DataFrame:
         round2(F.coalesce(m("PricePerEachToday"), F.col("_ppe_fill"))).alias("PricePerEachToday"),
         "Price",
         round2(F.coalesce(m("PriceToday"), F.col("_today_fill"))).alias("PriceToday"),
-        "medianDiscPerc")
+        "medianDiscPerc", *extra)
 
 
 def date_item_matrix(txn: DataFrame, cal: Calendar) -> DataFrame:
     """A17 (long form): units and value per (date, item) over every day of the
-    calendar for every item sold, gaps 0. Wide pivots are left to the caller for
-    a short, given list of items."""
+    calendar for every item sold, gaps 0. Built like :func:`dense_grid`: one
+    bounded map of sold days per item, expanded in place. Wide pivots are left
+    to the caller for a short, given list of items (:func:`wide_matrix`)."""
     day = txn.groupBy("itemID", "date").agg(
         F.sum("order").cast("long").alias("total_orders"),
         F.coalesce(F.sum(F.col("order") * F.col("salesPrice")), F.lit(0.0))
         .alias("total_values"))
-    ids = day.select("itemID").distinct()
-    grid = ids.select("itemID", F.explode(F.sequence(_d(cal.train_start), _d(cal.test_end)))
-                      .alias("date"))
-    return (grid.join(day, ["itemID", "date"], "left")
-            .fillna({"total_orders": 0, "total_values": 0.0}))
+    day = day.repartition(int(txn.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                          "itemID")
+    per_item = day.groupBy("itemID").agg(F.map_from_entries(F.collect_list(
+        F.struct("date", F.struct("total_orders", "total_values")))).alias("_days"))
+    days = F.transform(F.sequence(_d(cal.train_start), _d(cal.test_end)),
+                       lambda d: F.struct(d.alias("date"),
+                                          F.try_element_at(F.col("_days"), d).alias("m")))
+    g = per_item.select("itemID", F.inline(days))
+    return g.select("itemID", "date",
+                    F.coalesce(F.col("m.total_orders"), F.lit(0).cast("long")).alias("total_orders"),
+                    F.coalesce(F.col("m.total_values"), F.lit(0.0)).alias("total_values"))
+
+
+def wide_matrix(matrix: DataFrame, item_ids, value: str = "total_orders") -> DataFrame:
+    """A17 (wide form): one row per date, one column per item of the given list
+    (an explicit pivot value list, so the width is fixed by the caller)."""
+    ids = list(item_ids)
+    return (matrix.where(F.col("itemID").isin(ids)).groupBy("date")
+            .pivot("itemID", ids).agg(F.sum(value)).fillna(0))

@@ -87,7 +87,7 @@ def zero_price_share(txn: DataFrame) -> DataFrame:
 
 def lost_items(split_txn: DataFrame) -> DataFrame:
     """Items sold in test but never in train."""
-    train = split_txn.where(F.col("split") == "train").select("itemID")
+    train = split_txn.where(F.col("split") == "train").select("itemID").distinct()
     return (split_txn.where(F.col("split") == "test").select("itemID").distinct()
             .join(train, "itemID", "left_anti")
             .withColumn("will_be_lost", F.lit("yes")))

@@ -43,8 +43,7 @@ def feature_table(txn: DataFrame, items: DataFrame, cal: Calendar, price_basis:
     ``drop_incomplete=False`` keeps the first days of each series (NULL lags),
     as needed for the retention count (Q7).
     """
-    grid = grid_table(txn, cal, price_basis)
-    g = grid.join(items.select("itemID", *ITEM_COLUMNS), "itemID", "left")
+    g = G.dense_grid(daily_table(txn, cal, price_basis), cal, items, ITEM_COLUMNS)
     first = G.split_first_day(cal)
     pos = F.datediff(F.col("date"), first).cast("double")
     length = (F.datediff(G.split_last_day(cal), first) + 1).cast("double")
