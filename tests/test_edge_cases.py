@@ -138,3 +138,48 @@ def test_scenario_sweep_picks_best_feasible(spark):
            .collect()}
     assert out[0.8].best and not out[1.0].best
     assert out[0.8].total_value == 80.0
+
+
+def test_wide_matrix_and_long_matrix(spark):
+    df = P.add_split(orders(spark, [(ts("2018-01-02 10:00"), 1, 2, 5.0),
+                                    (ts("2018-01-02 12:00"), 1, 1, 5.0),
+                                    (ts("2018-01-04 10:00"), 2, 4, 1.5)]), CAL)
+    m = G.date_item_matrix(df, CAL)
+    assert m.count() == 2 * 7                                  # items x calendar days
+    rows = {(r.itemID, str(r.date)): (r.total_orders, r.total_values) for r in m.collect()}
+    assert rows[(1, "2018-01-02")] == (3, 15.0) and rows[(2, "2018-01-02")] == (0, 0.0)
+    w = {str(r.date): (r["1"], r["2"]) for r in G.wide_matrix(m, [1, 2]).collect()}
+    assert w["2018-01-04"] == (0, 4) and len(w) == 7
+
+
+def test_lost_items_with_repeated_lines(spark):
+    rows = [(ts("2018-01-02 10:00"), 1, 1, 1.0)] * 5 + [(ts("2018-01-06 10:00"), 1, 1, 1.0)] \
+        + [(ts("2018-01-06 11:00"), 3, 1, 1.0)] * 3
+    df = P.add_split(orders(spark, rows), CAL)
+    assert [r.itemID for r in PR.lost_items(df).collect()] == [3]
+
+
+def test_item_daily_stats_median_of_distinct(spark):
+    grid = spark.createDataFrame([("train", 1, 0), ("train", 1, 0), ("train", 1, 0),
+                                  ("train", 1, 4), ("train", 1, 10)],
+                                 "split string, itemID long, qty_sold long")
+    r = D.item_daily_stats(grid).first()
+    assert r.avg_daily_orders == 2.8 and r.median_daily_orders_unique == 4.0
+
+
+def test_constraint_flags(spark):
+    tot = spark.createDataFrame([(100.0, 10.0, 5.0, 50.0)],
+                                "total_value double, overstock_value double, lost_value double, "
+                                "locked_capital double")
+    r = B.constraint_check(tot, max_overstock=10.0, max_lost=4.0, max_locked=60.0).first()
+    assert (r.overstock_ok, r.lost_ok, r.capital_ok, r.feasible) == (True, False, True, False)
+
+
+def test_several_price_share(spark):
+    df = P.add_split(orders(spark, [(ts("2018-01-02 10:00"), 1, 1, 5.0),
+                                    (ts("2018-01-02 11:00"), 1, 1, 4.0),
+                                    (ts("2018-01-03 10:00"), 1, 1, 5.0)]), CAL)
+    items = spark.createDataFrame([(1,), (2,), (3,), (4,)], "itemID long")
+    r = P.several_price_share(df, items).first()
+    assert (r.multi_pairs, r.all_pairs, r.n_items) == (1, 2, 4)
+    assert (r.pairs_per_item_pct, r.pairs_share_pct) == (25.0, 50.0)
