@@ -181,17 +181,24 @@ def item_daily_stats(grid: DataFrame) -> DataFrame:
 
 def per_transaction_by_promotion(lines: DataFrame, flag: str = "in_promotion",
                                  qty: str = "order", price: str = "salesPrice") -> DataFrame:
-    """A13 + A14: per promotion flag, revenue per row and units per row.
-
-    On order lines (``price = salesPrice``) or on the daily results table
-    (``price = weightedAveragePrice``).
-    """
+    """A13 + A14 on rows of the daily results table (``price = weightedAveragePrice``):
+    per promotion flag, revenue per row and units per row."""
     return lines.groupBy(flag).agg(
         (F.sum(F.col(qty) * F.col(price)) / F.count("*")).alias("revenue_per_row"),
         (F.sum(qty) / F.count("*")).alias("units_per_row"),
         F.count("*").alias("n_rows"))
 
 
+def per_line_by_promotion(levels: DataFrame) -> DataFrame:
+    """A13 + A14 on order lines, from price levels (:func:`prepare.price_levels`
+    with keys ``["itemID"]``): revenue and units per line, by whole-period flag."""
+    flag = (F.col("promotion") == 1).alias("in_promotion")
+    return levels.groupBy(flag).agg(
+        (F.sum("value") / F.sum("lines")).alias("revenue_per_row"),
+        (F.sum("units") / F.sum("lines")).alias("units_per_row"),
+        F.sum("lines").alias("n_rows"))
+
+
 def eda_line_promotion(txn: DataFrame) -> DataFrame:
     """Order lines with the whole-period promotion flag of the exploration (W1, no split)."""
     mx = txn.groupBy("itemID").agg(F.max("salesPrice").alias("_item_max"))

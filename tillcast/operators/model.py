@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.schemas import CATEGORICAL_FEATURES, MODEL_FEATURES, TARGET
+from tillcast.session import checkpoint_dir
 
 # Fixed values of the reference models.
 GBT_PARAMS = dict(maxDepth=5, stepSize=0.1, maxIter=50, seed=42)
@@ -52,7 +53,13 @@ def feature_pipeline(df: DataFrame, features=MODEL_FEATURES, nullable=NULLABLE,
 
 
 def fit_gbt(train: DataFrame, **over) -> PipelineModel:
-    """M3: gradient-boosted trees, squared error, depth 5, rate 0.1, 50 rounds, seed 42."""
+    """M3: gradient-boosted trees, squared error, depth 5, rate 0.1, 50 rounds, seed 42.
+
+    The shared checkpoint folder is registered first, so the boosting state is
+    checkpointed every ``checkpointInterval`` (10) rounds and a lost executor
+    does not replay the whole chain of rounds.
+    """
+    checkpoint_dir(train.sparkSession)
     stages, _, bins = feature_pipeline(train)
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxBins=bins,
                        **{**GBT_PARAMS, **over})
@@ -61,6 +68,7 @@ def fit_gbt(train: DataFrame, **over) -> PipelineModel:
 
 def fit_forest(train: DataFrame, **over) -> PipelineModel:
     """M8: random forest, depth 5, 100 trees, all features per split, seed 42."""
+    checkpoint_dir(train.sparkSession)
     stages, _, bins = feature_pipeline(train)
     rf = RandomForestRegressor(featuresCol="features", labelCol="label", maxBins=bins,
                                **{**RF_PARAMS, **over})

@@ -78,6 +78,29 @@ def enrich_transactions(txn: DataFrame, keys=ITEM) -> DataFrame:
             .withColumn("discountPerc", discount_share(F.col("discountAmount"), "maxPrice")))
 
 
+def price_levels(txn: DataFrame, keys=ITEM) -> DataFrame:
+    """Order lines reduced to (item, price) levels: units, value and line count,
+    with the item maximum, the promotion flag and the discount of the level.
+
+    Every line-level statistic that depends only on the line's price and its
+    item (promotion share, discount histogram and extremes, per-transaction
+    means) can be computed from this grain, with line counts as weights,
+    instead of joining each line to its item: a partial aggregate, then a
+    window over the price levels of one item.
+    """
+    lv = txn.groupBy(*keys, "salesPrice").agg(
+        F.sum("order").cast("long").alias("units"),
+        F.coalesce(F.sum(F.col("order") * F.col("salesPrice")), F.lit(0.0)).alias("value"),
+        F.count("*").alias("lines"))
+    w = Window.partitionBy(*keys)
+    return (lv.withColumn("maxPrice", F.max("salesPrice").over(w))
+            .withColumn("promotion",
+                        F.coalesce((F.col("salesPrice") < F.col("maxPrice")).cast("int"),
+                                   F.lit(0)))
+            .withColumn("discountAmount", discount_amount("maxPrice", "salesPrice"))
+            .withColumn("discountPerc", discount_share(F.col("discountAmount"), "maxPrice")))
+
+
 def running_max_promotion(txn: DataFrame, keys=ITEM, bucket: str = "hour") -> DataFrame:
     """``in_promotion_hist`` = price below the item's running maximum.
 
@@ -194,9 +217,10 @@ def mean_median_gap(txn: DataFrame) -> DataFrame:
                         round2(diff).alias("abs_diff"), round2(pct).alias("abs_perc_diff"))
 
 
-def discount_extremes(enriched: DataFrame) -> DataFrame:
-    """Largest discount share and smallest non-zero discount share."""
-    return enriched.agg(
+def discount_extremes(levels: DataFrame) -> DataFrame:
+    """Largest discount share and smallest non-zero discount share (over
+    order lines or, equally, over their price levels)."""
+    return levels.agg(
         F.max("discountPerc").alias("max_discount"),
         F.min(F.when(is_nonzero("discountPerc"), F.col("discountPerc"))).alias(
             "min_nonzero_discount"))

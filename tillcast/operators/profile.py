@@ -31,12 +31,13 @@ def totals_per_day(txn: DataFrame) -> DataFrame:
                                    .alias("total_values"))
 
 
-def totals_per_item(lines: DataFrame, flag: str = "in_promotion") -> DataFrame:
-    """Per item total units, value, and whether it was ever on promotion."""
-    return lines.groupBy("itemID").agg(
-        F.sum("order").cast("long").alias("order"),
-        F.coalesce(F.sum(_value(lines)), F.lit(0.0)).alias("value"),
-        F.bool_or(F.col(flag)).alias("in_promotion"))
+def totals_per_item(levels: DataFrame) -> DataFrame:
+    """Per item total units, value, and whether it was ever on promotion,
+    from price levels (:func:`prepare.price_levels` with keys ``["itemID"]``)."""
+    return levels.groupBy("itemID").agg(
+        F.sum("units").cast("long").alias("order"),
+        F.sum("value").alias("value"),
+        F.bool_or(F.col("promotion") == 1).alias("in_promotion"))
 
 
 def value_counts(df: DataFrame, col: str = "itemID") -> DataFrame:
@@ -122,18 +123,21 @@ def _bucket(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(hi > lo, b).otherwise(F.when(x.isNotNull(), F.lit(1)))
 
 
-def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = 10, weight: str | None = None) -> DataFrame:
     """Equal-width histogram from min to max: bin, edges, count, % of non-NULL.
 
-    Minimum, maximum and count are scalar subqueries: Spark runs them once and
-    hands the three values to every task.
+    ``weight`` counts each row that many times (rows of a pre-aggregated table).
+    Minimum, maximum and total are scalar subqueries: Spark runs them once and
+    hands the values to every task.
     """
-    lo = df.select(F.min(F.col(col).cast("double"))).scalar()
-    hi = df.select(F.max(F.col(col).cast("double"))).scalar()
-    n = df.select(F.count(col)).scalar()
-    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    x = df.select(F.col(col).cast("double").alias("x"), w.alias("_w")).where(
+        F.col("x").isNotNull())
+    lo = x.select(F.min("x")).scalar()
+    hi = x.select(F.max("x")).scalar()
+    n = x.select(F.sum("_w")).scalar()
     h = x.groupBy(_bucket(F.col("x"), lo, hi, bins).alias("bin")).agg(
-        F.count("*").alias("count"))
+        F.sum("_w").alias("count"))
     width = (hi - lo) / bins
     return h.select(
         "bin", (lo + (F.col("bin") - 1) * width).alias("bin_lo"),

@@ -246,7 +246,7 @@ def q_mean_median_top50(spark, sf):
 FROM lines WHERE split = 'train'""", ops=("A21",))
 def q_discount_extremes(spark, sf):
     """Largest and smallest non-zero discount share of train."""
-    return P.discount_extremes(P.enrich_transactions(_train(spark, sf)))
+    return P.discount_extremes(P.price_levels(_train(spark, sf)))
 
 
 # --- exploration results and per-transaction measures (A3, A13, A14, J6, F4-F9) ----------
@@ -301,7 +301,7 @@ def q_eda_results(spark, sf):
           fuzz=("revenue_per_row", "units_per_row"), ops=("A13", "A14"))
 def q_per_txn_by_promotion(spark, sf):
     """Revenue and units per order line, by promotion flag."""
-    return D.per_transaction_by_promotion(D.eda_line_promotion(_eda_txn(spark, sf)))
+    return D.per_line_by_promotion(P.price_levels(_eda_txn(spark, sf), keys=["itemID"]))
 
 
 @register("per_day_by_promotion", O.with_(*EDA_CTES) + """SELECT in_promotion,
@@ -420,7 +420,7 @@ def q_totals_per_day(spark, sf):
 FROM eda GROUP BY itemID""", fuzz=("value",), ops=("A16",))
 def q_totals_per_item(spark, sf):
     """Per item units, value and whether ever on promotion."""
-    return PR.totals_per_item(D.eda_line_promotion(_eda_txn(spark, sf)))
+    return PR.totals_per_item(P.price_levels(_eda_txn(spark, sf), keys=["itemID"]))
 
 
 @register("value_counts", O.with_(O.LINEITEM.txn)
@@ -523,7 +523,7 @@ HFUZZ = ("bin_lo", "bin_hi", "pct")
           fuzz=HFUZZ, ops=("A25",))
 def q_hist_discount(spark, sf):
     """10-bin histogram of train discount shares, counts and %."""
-    return PR.histogram(P.enrich_transactions(_train(spark, sf)), "discountPerc", 10)
+    return PR.histogram(P.price_levels(_train(spark, sf)), "discountPerc", 10, weight="lines")
 
 
 def _hist_query(name, src_sql, col, bins, build, ops):
@@ -1033,13 +1033,29 @@ def q_submission(spark, sf):
     return submission(_score_input(spark, sf).withColumnRenamed("forecast", "demandPrediction"))
 
 
+def _shared_dir(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder of the session."""
+    import uuid
+    from tillcast.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
 # --- models (M1-M11) ---------------------------------------------------------------------------
 
 from tillcast.operators import model as M  # noqa: E402
 
 
-def _ev_features(spark, sf):
+def _ev_features(spark, sf, written: bool = False):
+    """Model input over the events fixture; ``written=True`` writes the feature
+    table to the shared folder and trains from the written copy (cut lineage,
+    one computation for several fits)."""
     ft = E1.feature_table(_ev(spark, sf), FX.event_items(spark, sf), EC)
+    if written:
+        from tillcast.sources.files import feature_schema, read_feature_table, write_table
+        path = _shared_dir(spark, "model-features")
+        write_table(ft, path)
+        ft = read_feature_table(spark, path, schema=feature_schema(
+            FX.event_items(spark, sf).schema))
     return M.prepare_features(ft)
 
 
@@ -1087,7 +1103,7 @@ def q_model_importance(spark, sf):
 def q_model_ensemble_forecast(spark, sf):
     """Mean of boosted-tree and forest predictions on test days, summed per item as an
     integer forecast, valued against the actual units of those days."""
-    ft = _ev_features(spark, sf)
+    ft = _ev_features(spark, sf, written=True)
     train, test = ft.where(F.col("split") == "train"), ft.where(F.col("split") == "test")
     pg = M.predict(M.fit_gbt(train), test, rounded=False)
     pr = M.predict(M.fit_forest(train), test, rounded=False)
@@ -1100,13 +1116,6 @@ def q_model_ensemble_forecast(spark, sf):
 
 # --- sources and sinks round trips (S1, S4, S5) --------------------------------------------
 
-def _shared_dir(spark, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder of the session."""
-    import uuid
-    from tillcast.session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-
-
 @register("orders_csv_roundtrip", O.with_(O.LINEITEM.txn) + 'SELECT time, itemID, "order", salesPrice FROM txn',
           ops=("S1", "S5"))
 def q_orders_csv_roundtrip(spark, sf):
@@ -1126,3 +1135,26 @@ def q_feature_table_roundtrip(spark, sf):
     path = _shared_dir(spark, "features")
     write_table(E1.feature_table(_li(spark, sf), FX.items(spark, sf), LC), path)
     return read_feature_table(spark, path, schema=feature_schema(FX.items(spark, sf).schema))
+
+
+# --- more summaries: infos strings (Q2), orders columns (Q3) -----------------------------
+
+@register("string_summary_infos", O.with_(O.LINEITEM.infos) + """SELECT 'promotion' AS "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
+  arg_min(v, (-n, v)) AS top, max(n) AS freq
+FROM (SELECT promotion AS v, count(*) AS n FROM infos_v WHERE promotion IS NOT NULL GROUP BY promotion)""",
+          ops=("Q2",))
+def q_string_summary_infos(spark, sf):
+    """count, unique, top, freq of the infos promotion text."""
+    return PR.string_summary(FX.infos(spark, sf), ["promotion"])
+
+
+_ORDER_TYPES = [("time", "timestamp_ntz"), ("itemID", "bigint"), ("order", "int"),
+                ("salesPrice", "double")]
+
+
+@register("column_inventory_orders", O.with_(O.LINEITEM.txn) + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", '{t}' AS type, count("{c}") AS non_null FROM txn"""
+    for c, t in _ORDER_TYPES), ops=("Q3",))
+def q_column_inventory_orders(spark, sf):
+    """Type and non-NULL count of each order column."""
+    return PR.column_inventory(_li(spark, sf))
