@@ -116,7 +116,7 @@ def main(argv):
     names = argv[2:]
     from tillcast.plans.registry import load_all
     from tillcast.session import build_session
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[8]", int(os.environ.get("ORACLE_PARTITIONS", "8")))
     con = duck(sf_dir)
     reg = load_all()
     sel = [reg[n] for n in names] if names else list(reg.values())
