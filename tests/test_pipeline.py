@@ -103,3 +103,41 @@ def test_oracle_sf0001(spark, duck, name):
     from oracle_check import compare
     res = compare(spark, duck, load_all()[name], SF_SMALL, verbose=True)
     assert res["status"] == "ok", res
+
+
+def test_exploration_tables_run(spark):
+    from tillcast.plans.exploration import exploration_tables
+    tabs = exploration_tables(FX.transactions(spark, SF_SMALL), FX.items(spark, SF_SMALL),
+                              FX.infos(spark, SF_SMALL), LC)
+    assert tabs["reconciliation"].count() == 0
+    assert tabs["results"].count() > 0
+    assert sum(r["count"] for r in tabs["hist_price"].collect()) == tabs["results"].count()
+
+
+def test_run_from_csv_files(spark, tmp_dir):
+    from tillcast.plans import run
+    txn, items = FX.transactions(spark, SF_SMALL), FX.items(spark, SF_SMALL)
+    for name, df in (("orders", txn), ("items", items), ("infos", FX.infos(spark, SF_SMALL))):
+        (df.write.option("sep", "|").option("header", True)
+         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(os.path.join(tmp_dir, name)))
+    out = os.path.join(tmp_dir, "out")
+    run.main(["--orders", os.path.join(tmp_dir, "orders"), "--items", os.path.join(tmp_dir, "items"),
+              "--infos", os.path.join(tmp_dir, "infos"), "--out", out, "--no-models",
+              "--calendar", LC.train_start, LC.split_date, LC.test_end, LC.forecast_start])
+    back = IO.read_feature_table(spark, os.path.join(out, "features"),
+                                 schema=IO.feature_schema(IO.read_items(
+                                     spark, os.path.join(tmp_dir, "items")).schema))
+    assert back.count() == E1.feature_table(txn, items, LC).count()
+
+
+def test_model_report_on_events(spark):
+    from tillcast.plans.modelling import model_report
+    ft = E1.feature_table(FX.event_transactions(spark, SF_SMALL), FX.event_items(spark, SF_SMALL),
+                          FX.EVENTS_CALENDAR)
+    rep = model_report(ft)
+    s = rep["gbt_scores"].first()
+    assert s.n > 0 and 0.0 <= s.accuracy <= 1.0
+    imp = rep["importance"].collect()
+    assert len(imp) == 42 and abs(sum(r.importance for r in imp) - 1.0) < 1e-6
+    fc = rep["forecast"].collect()
+    assert fc and all(r.demandPrediction >= 0 for r in fc)

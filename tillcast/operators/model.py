@@ -126,3 +126,18 @@ def item_forecast(pred: DataFrame, col: str = "prediction") -> DataFrame:
     """Per item, the sum of daily predictions as a non-negative integer."""
     return pred.groupBy("itemID").agg(
         F.greatest(F.lit(0), F.rint(F.sum(col))).cast("long").alias("demandPrediction"))
+
+
+def category_encoding(df: DataFrame, cols=CATEGORICAL_FEATURES) -> DataFrame:
+    """M1 as a table: (column, value, index) of the fitted string indexers, taken
+    from the transformed data (distinct pairs), most frequent value = 0, ties
+    alphabetical."""
+    out = None
+    for c in cols:
+        s = df.select(F.col(c).cast("string").alias(c))
+        model = StringIndexer(inputCol=c, outputCol="_idx", handleInvalid="keep").fit(s)
+        pairs = (model.transform(s).where(F.col(c).isNotNull())
+                 .select(F.lit(c).alias("column"), F.col(c).alias("value"),
+                         F.col("_idx").cast("int").alias("index")).distinct())
+        out = pairs if out is None else out.unionByName(pairs)
+    return out

@@ -1158,3 +1158,19 @@ _ORDER_TYPES = [("time", "timestamp_ntz"), ("itemID", "bigint"), ("order", "int"
 def q_column_inventory_orders(spark, sf):
     """Type and non-NULL count of each order column."""
     return PR.column_inventory(_li(spark, sf))
+
+
+# --- category encoding (M1) ----------------------------------------------------------------
+
+_CATS = ["promotion", "brand", "manufacturer", "category1", "category2", "category3"]
+
+
+@register("category_encoding", O.with_(*O.pipeline_ctes(O.EVENTS, "feat")) + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", v AS value, CAST(row_number() OVER (ORDER BY n DESC, v) - 1 AS INT) AS index
+FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM feat WHERE split = 'train' AND {c} IS NOT NULL GROUP BY 1)"""
+    for c in _CATS), ops=("M1",))
+def q_category_encoding(spark, sf):
+    """Index of every categorical value as fitted on the train features
+    (most frequent = 0, ties alphabetical)."""
+    ft = E1.feature_table(_ev(spark, sf), FX.event_items(spark, sf), EC)
+    return M.category_encoding(ft.where(F.col("split") == "train"), _CATS)
