@@ -101,7 +101,7 @@ def price_levels(txn: DataFrame, keys=ITEM) -> DataFrame:
             .withColumn("discountPerc", discount_share(F.col("discountAmount"), "maxPrice")))
 
 
-def running_max_promotion(txn: DataFrame, keys=ITEM, bucket: str = "hour") -> DataFrame:
+def running_max_promotion(txn: DataFrame, keys=ITEM, bucket: str = "minute") -> DataFrame:
     """``in_promotion_hist`` = price below the item's running maximum.
 
     The running maximum covers every line of the item with a time up to and

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillcast.operators import daily as D
+from tillcast.operators import features as X
+from tillcast.operators import inventory as B
+from tillcast.operators import model as M
+from tillcast.operators import prepare as P
+from tillcast.operators import profile as PR
+from tillcast.operators import series as S
 from tillcast.plans import features as E1
 from tillcast.plans import oracle as O
 from tillcast.plans.registry import register
 from tillcast.sources import fixtures as FX
+from tillcast.sources.files import submission
 
 LC = FX.LINEITEM_CALENDAR
 EC = FX.EVENTS_CALENDAR
@@ -91,8 +99,6 @@ def q_feature_table_events(spark, sf):
 
 # --- fixture views (P1, P9) -----------------------------------------------------------
 
-from tillcast.operators import daily as D  # noqa: E402
-from tillcast.operators import prepare as P  # noqa: E402
 
 
 @register("orders_view", O.with_(O.LINEITEM.txn) + 'SELECT time, itemID, "order", salesPrice FROM txn',
@@ -251,7 +257,6 @@ def q_discount_extremes(spark, sf):
 
 # --- exploration results and per-transaction measures (A3, A13, A14, J6, F4-F9) ----------
 
-from tillcast.operators import profile as PR  # noqa: E402
 
 
 def _eda_txn(spark, sf):
@@ -797,8 +802,6 @@ def q_multi_promotion_infos(spark, sf):
 
 # --- series (T4, T6-T12, W10) ---------------------------------------------------------------
 
-from tillcast.operators import features as X  # noqa: E402
-from tillcast.operators import series as S  # noqa: E402
 
 GRID_CTES = O.pipeline_ctes(O.LINEITEM, "grid")
 
@@ -937,8 +940,6 @@ def q_kalman_smoothing(spark, sf):
 
 # --- inventory value (J8, B1-B6, S6) -----------------------------------------------------------
 
-from tillcast.operators import inventory as B  # noqa: E402
-from tillcast.sources.files import submission  # noqa: E402
 
 # Fixed parameters of the registered value queries: the retailer's limits (money)
 # and the grid of forecast scale factors.
@@ -1042,7 +1043,6 @@ def _shared_dir(spark, name: str) -> str:
 
 # --- models (M1-M11) ---------------------------------------------------------------------------
 
-from tillcast.operators import model as M  # noqa: E402
 
 
 def _ev_features(spark, sf, written: bool = False):
