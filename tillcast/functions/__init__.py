@@ -6,6 +6,7 @@ from tillcast.functions.scalar import (
     discount_amount,
     discount_share,
     gaussian,
+    gaussian_pair,
     iso_week,
     is_nonzero,
     md5_uniform,
@@ -21,6 +22,7 @@ from tillcast.functions.scalar import (
 
 __all__ = [
     "DAY_KEY_FORMAT", "days_from_start", "discount_amount", "discount_share", "gaussian",
+    "gaussian_pair",
     "iso_week", "is_nonzero", "md5_uniform", "month_day", "promotion_dates", "round2",
     "round_half_even", "safe_div", "week_of_month_calendar", "week_of_month_eda",
     "weekday_mon1",

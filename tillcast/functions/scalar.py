@@ -132,6 +132,24 @@ def md5_uniform(*parts) -> Column:
     return _hex_fraction(md5_hex(*parts), 1)
 
 
+def _hex32(h: Column, k: int) -> Column:
+    # k-th group of 8 hex digits (32 bits) as a fraction in [0, 1)
+    return (F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("double")
+            / F.lit(float(2 ** 32)))
+
+
+def gaussian_pair(*parts) -> tuple[Column, Column]:
+    """T5: two independent standard normals from one md5 of ``parts``: its four
+    32-bit groups are two pairs of uniforms for Box-Muller (``1 - u`` keeps the
+    log argument in (0, 1])."""
+    h = md5_hex(*parts)
+    u = [_hex32(h, k) for k in range(4)]
+
+    def box_muller(u1, u2):
+        return F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - u1)) * F.cos(F.lit(2 * math.pi) * u2)
+    return box_muller(u[0], u[1]), box_muller(u[2], u[3])
+
+
 def gaussian(*parts) -> Column:
     """T5: standard normal by Box-Muller on two uniforms taken from one md5 of
     ``parts`` (hex digits 1-13 and 14-26). ``1 - u`` keeps the log argument in (0, 1]."""

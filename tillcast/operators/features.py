@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.functions import (gaussian, month_day, round2, round_half_even,
+from tillcast.functions import (gaussian_pair, month_day, round2, round_half_even,
                                 week_of_month_calendar, weekday_mon1)
 from tillcast.schemas import LAGS
 
@@ -160,14 +160,14 @@ NOISE_SEEDS = {"train": (22, 66), "test": (23, 67)}
 
 def add_noise(df: DataFrame, keys=("itemID", "date")) -> DataFrame:
     """T5: ``random_noise1/2`` ~ N(0, 1) rounded to 2, seeded per split and keyed
-    by (item, date), so the value of a row does not depend on partitioning."""
-    for j, name in enumerate(("random_noise1", "random_noise2")):
-        seed = F.lit(NOISE_SEEDS["train"][j])
-        for split, seeds in NOISE_SEEDS.items():
-            seed = F.when(F.col("split") == split, F.lit(seeds[j])).otherwise(seed)
-        parts = [F.col(k) for k in keys] + [seed]
-        df = df.withColumn(name, round2(gaussian(*parts)))
-    return df
+    by (item, date), so the value of a row does not depend on partitioning.
+    Both columns come from one md5 of (item, date, seed 1, seed 2)."""
+    s1, s2 = F.lit(NOISE_SEEDS["train"][0]), F.lit(NOISE_SEEDS["train"][1])
+    for split, (a, b) in NOISE_SEEDS.items():
+        s1 = F.when(F.col("split") == split, F.lit(a)).otherwise(s1)
+        s2 = F.when(F.col("split") == split, F.lit(b)).otherwise(s2)
+    n1, n2 = gaussian_pair(*[F.col(k) for k in keys], s1, s2)
+    return df.withColumn("random_noise1", round2(n1)).withColumn("random_noise2", round2(n2))
 
 
 # --- P13, Q7 ----------------------------------------------------------------------------

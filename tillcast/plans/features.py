@@ -48,12 +48,12 @@ def feature_table(txn: DataFrame, items: DataFrame, cal: Calendar, price_basis:
     pos = F.datediff(F.col("date"), first).cast("double")
     length = (F.datediff(G.split_last_day(cal), first) + 1).cast("double")
     mean, std, med = X.rolling_previous("qty_sold", 7)
-    # every series column in one projection: Spark plans one Window operator per
-    # window specification (item partition; item partition ordered by date),
-    # both served by a single sort of the grid
+    # Series columns in two projections: first everything ordered by date
+    # (one Window operator), then the per-item sums of the harmonics (a second
+    # Window operator on the same partition). In this order the date sort of
+    # the first also satisfies the second, so the grid is sorted once.
     g = g.select(
         "*", *X.date_field_columns(),
-        *[X.harmonic("qty_sold", i + 1, pos, length).alias(f"harmonic_{i}") for i in range(5)],
         X.cumulative_sum("qty_sold", exclude_current=exclude_current_cumsum)
         .alias("cum_sum_order"),
         mean.alias("rolling_qty_sold_mean"), std.alias("rolling_qty_sold_std"),
@@ -61,6 +61,8 @@ def feature_table(txn: DataFrame, items: DataFrame, cal: Calendar, price_basis:
         *X.lag_columns("qty_sold", LAGS),
         *X.lag_columns("PricePerEachToday", LAGS, prefix="PricePerEach"),
         *X.lag_columns("sales_value", LAGS))
+    g = g.select("*", *[X.harmonic("qty_sold", i + 1, pos, length).alias(f"harmonic_{i}")
+                        for i in range(5)])
     if drop_incomplete:
         g = X.drop_incomplete(g)
     g = X.add_noise(g)

@@ -202,6 +202,20 @@ def gaussian(key_parts: list[str]) -> str:
     return f"(sqrt({dbl(-2.0)} * ln({dbl(1.0)} - {u1})) * cos({dbl(2 * math.pi)} * {u2}))"
 
 
+def hex32(h: str, k: int) -> str:
+    return (f"(CAST(CAST(('0x' || substr({h}, {1 + 8 * k}, 8)) AS BIGINT) AS DOUBLE) "
+            f"/ {dbl(float(2 ** 32))})")
+
+
+def gaussian_pair(key_parts: list[str]) -> tuple[str, str]:
+    h = md5_key(key_parts)
+    u = [hex32(h, k) for k in range(4)]
+
+    def bm(u1, u2):
+        return f"(sqrt({dbl(-2.0)} * ln({dbl(1.0)} - {u1})) * cos({dbl(2 * math.pi)} * {u2}))"
+    return bm(u[0], u[1]), bm(u[2], u[3])
+
+
 def harmonic_sql(k: int, x: str = "qty_sold") -> str:
     omega = f"({dbl(2 * math.pi * k)} / L)"
     cos_t, sin_t = f"cos({omega} * t)", f"sin({omega} * t)"
@@ -220,10 +234,10 @@ def features(drop_incomplete: bool = True) -> str:
     harm = ",\n         ".join(f"{harmonic_sql(i + 1)} AS harmonic_{i}" for i in range(5))
     where = "WHERE " + " AND ".join(f"qty_sold_lag{k} IS NOT NULL" for k in lags) \
         if drop_incomplete else ""
-    noise = []
-    for j, (tr, te) in enumerate(((22, 23), (66, 67))):
-        seed = f"(CASE WHEN split = 'train' THEN {tr} ELSE {te} END)"
-        noise.append(f"{r2(gaussian(['itemID', 'date', seed]))} AS random_noise{j + 1}")
+    s1 = "(CASE WHEN split = 'train' THEN 22 ELSE 23 END)"
+    s2 = "(CASE WHEN split = 'train' THEN 66 ELSE 67 END)"
+    g1, g2 = gaussian_pair(["itemID", "date", s1, s2])
+    noise = [f"{r2(g1)} AS random_noise1", f"{r2(g2)} AS random_noise2"]
     noise_cols = ",\n         ".join(noise)
     return f"""fg AS (
   SELECT g.*, i.brand, i.manufacturer, i.customerRating, i.category1, i.category2,
