@@ -95,13 +95,16 @@ def lost_items(split_txn: DataFrame) -> DataFrame:
 
 
 def lost_revenue_share(split_txn: DataFrame) -> DataFrame:
-    """Revenue share (%) of the J4 items over all lines, round 2; taken before P4."""
-    flagged = split_txn.join(lost_items(split_txn), "itemID", "left")
-    rev = _value(flagged)
+    """Revenue share (%) of the J4 items over all lines, round 2; taken before P4.
+
+    Revenue is summed per item first (partial aggregate), so the lost-item flag
+    is joined at item grain, not to every line."""
+    per_item = split_txn.groupBy("itemID").agg(F.sum(_value(split_txn)).alias("_rev"))
+    flagged = per_item.join(lost_items(split_txn), "itemID", "left")
+    lost = F.col("will_be_lost") == "yes"
     return flagged.agg(
-        F.count_distinct(F.when(F.col("will_be_lost") == "yes", F.col("itemID")))
-        .alias("n_lost_items"),
-        round2(safe_div(F.sum(F.when(F.col("will_be_lost") == "yes", rev)), F.sum(rev)) * 100)
+        F.count_if(lost).alias("n_lost_items"),
+        round2(safe_div(F.sum(F.when(lost, F.col("_rev"))), F.sum("_rev")) * 100)
         .alias("lost_revenue_pct"))
 
 
@@ -147,13 +150,17 @@ def histogram(df: DataFrame, col: str, bins: int = 10, weight: str | None = None
 
 def histogram_per_item(df: DataFrame, col: str = "salesPrice", bins: int = 10,
                        key: str = "itemID") -> DataFrame:
-    """Histogram within each item (its own min..max), counts per (item, bin)."""
-    # item min / max by aggregate + join, so a hot item is not gathered in one task
-    mm = df.groupBy(key).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    j = df.select(key, F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull()) \
-        .join(mm, key)
-    b = j.withColumn("bin", _bucket(F.col("x"), F.col("_lo"), F.col("_hi"), bins))
-    return b.groupBy(key, "bin").agg(F.count("*").alias("count"))
+    """Histogram within each item (its own min..max), counts per (item, bin).
+
+    Rows are first counted per (item, value), a partial aggregate; the item's
+    min and max are windows over its distinct values, so a hot item's rows
+    never meet in one task.
+    """
+    lv = (df.select(key, F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+          .groupBy(key, "x").agg(F.count("*").alias("n")))
+    w = Window.partitionBy(key)
+    b = lv.withColumn("bin", _bucket(F.col("x"), F.min("x").over(w), F.max("x").over(w), bins))
+    return b.groupBy(key, "bin").agg(F.sum("n").alias("count"))
 
 
 def log_values(df: DataFrame, col: str = "order") -> DataFrame:
