@@ -2,9 +2,10 @@
 
 Per-item windows over the dense grid, as in :mod:`tillcast.operators.features`.
 The two recursive filters (Kalman, exponential smoothing) fold an item's
-date-sorted series with the SQL ``aggregate`` function: the series of one item
-is bounded by the calendar length, the fold runs in the JVM, and the result is
-exploded back to one row per (item, date).
+date-sorted series with the SQL ``aggregate`` function in blocks of about
+sqrt(length) days: the series of one item is bounded by the calendar length,
+the fold runs in the JVM, and the result is exploded back to one row per
+(item, date).
 """
 
 from __future__ import annotations
@@ -76,25 +77,51 @@ def normalise(grid: DataFrame, col: str = "qty_sold", keys=ITEM) -> DataFrame:
             .withColumn(f"{col}_minmax", F.when(mx > mn, (x - mn) / (mx - mn))))
 
 
-def _fold_series(grid: DataFrame, col: str, init, step, out: str, keys=ITEM) -> DataFrame:
+def _fold_series(grid: DataFrame, col: str, init, step, out: str, state_ddl: str,
+                 keys=ITEM) -> DataFrame:
     """Fold each item's date-sorted series; ``step(state, x)`` returns the new state
-    struct whose field ``v`` is the output for that day."""
+    struct (DDL ``state_ddl``) whose field ``v`` is the output for that day.
+
+    Appending one output per step would copy the growing array every time
+    (quadratic in the series length L). Instead the series is cut into blocks of
+    about sqrt(L) days: a first fold over the blocks carries only the state and
+    records the state at each block start; then every block replays its own
+    days from that state. Copies are O(L sqrt(L)), with the same step function,
+    so the same results.
+    """
     series = grid.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("date", F.col(col).cast("double").alias("x"))))
         .alias("_s"))
-    first = F.element_at("_s", 1)
-    empty = F.array().cast("array<struct<date:date,v:double>>")
-    start = F.struct(empty.alias("out"), init(first.getField("x")))
-
-    def merge(acc, e):
-        st = step(acc.getField("st"), e.getField("x"))
-        return F.struct(F.concat(acc.getField("out"),
-                                 F.array(F.struct(e.getField("date").alias("date"),
-                                                  st.getField("v").alias("v")))).alias("out"),
-                        st.alias("st"))
-
-    folded = series.select(*keys, F.aggregate("_s", start, merge).getField("out").alias("_o"))
-    return folded.select(*keys, F.inline("_o")).withColumnRenamed("v", out)
+    s = F.col("_s")
+    n = F.size(s)
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    n_blocks = F.ceil(n / size).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1),
+                         lambda b: F.slice(s, b * size + 1, size))
+    first_state = init(F.element_at(s, 1).getField("x"))
+
+    def run_block(st, blk):
+        return F.aggregate(blk, st, lambda acc, e: step(acc, e.getField("x")))
+
+    no_states = F.array().cast(f"array<{state_ddl}>")
+    starts = F.aggregate(
+        blocks, F.struct(no_states.alias("starts"), first_state.alias("st")),
+        lambda acc, blk: F.struct(
+            F.concat(acc.getField("starts"), F.array(acc.getField("st"))).alias("starts"),
+            run_block(acc.getField("st"), blk).alias("st"))).getField("starts")
+    no_out = F.array().cast("array<struct<date:date,v:double>>")
+
+    def replay(blk, st0):
+        def merge(acc, e):
+            st = step(acc.getField("st"), e.getField("x"))
+            row = F.struct(e.getField("date").alias("date"), st.getField("v").alias("v"))
+            return F.struct(F.concat(acc.getField("out"), F.array(row)).alias("out"),
+                            st.alias("st"))
+        return F.aggregate(blk, F.struct(no_out.alias("out"), st0.alias("st")),
+                           merge).getField("out")
+
+    outputs = F.flatten(F.zip_with(blocks, starts, replay))
+    return series.select(*keys, F.inline(outputs)).withColumnRenamed("v", out)
 
 
 def exponential_smoothing(grid: DataFrame, alpha: float = 0.3, col: str = "qty_sold",
@@ -103,13 +130,13 @@ def exponential_smoothing(grid: DataFrame, alpha: float = 0.3, col: str = "qty_s
     a = F.lit(float(alpha))
 
     def init(x0):
-        return F.struct(x0.alias("v")).alias("st")
+        return F.struct(x0.alias("v"))
 
     def step(st, x):
         return F.struct((a * x + (F.lit(1.0) - a) * st.getField("v")).alias("v"))
 
     # the first step re-applies x0 to s = x0, which leaves it unchanged
-    return _fold_series(grid, col, init, step, "smoothed", keys)
+    return _fold_series(grid, col, init, step, "smoothed", "struct<v:double>", keys)
 
 
 def kalman_smoothing(grid: DataFrame, q: float = 1.0, r: float = 10.0, col: str = "qty_sold",
@@ -120,9 +147,9 @@ def kalman_smoothing(grid: DataFrame, q: float = 1.0, r: float = 10.0, col: str
     qv, rv = F.lit(float(q)), F.lit(float(r))
 
     def init(x0):
-        # a zero-gain first step keeps the start at x0: start with P = r - q so
-        # that the predicted variance before the first update equals r
-        return F.struct(x0.alias("v"), (rv - qv).alias("p")).alias("st")
+        # the first step processes x0 itself from the prior (x0, r - q): its
+        # predicted variance is r, and the level stays x0 since x0 - v = 0
+        return F.struct(x0.alias("v"), (rv - qv).alias("p"))
 
     def step(st, x):
         p_pred = st.getField("p") + qv
@@ -130,4 +157,4 @@ def kalman_smoothing(grid: DataFrame, q: float = 1.0, r: float = 10.0, col: str
         v = st.getField("v") + gain * (x - st.getField("v"))
         return F.struct(v.alias("v"), ((F.lit(1.0) - gain) * p_pred).alias("p"))
 
-    return _fold_series(grid, col, init, step, "kalman", keys)
+    return _fold_series(grid, col, init, step, "kalman", "struct<v:double,p:double>", keys)
