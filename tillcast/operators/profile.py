@@ -66,7 +66,11 @@ def profile_correlation(profile: DataFrame) -> DataFrame:
     return wide.select(F.inline(pairs))
 
 
-def items_above(profile: DataFrame, ks=(1, 5, 25, 50, 100)) -> DataFrame:
+# The sale-day thresholds of the item profile.
+SALE_DAY_THRESHOLDS = (1, 5, 25, 50, 100)
+
+
+def items_above(profile: DataFrame, ks=SALE_DAY_THRESHOLDS) -> DataFrame:
     """Number of items sold on more than k days, for each k."""
     return profile.agg(*[F.count_if(F.col("n_sale_days") > k).alias(f"k{k}") for k in ks]) \
         .select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"),

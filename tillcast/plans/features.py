@@ -19,7 +19,7 @@ from tillcast.operators import daily as D
 from tillcast.operators import features as X
 from tillcast.operators import grid as G
 from tillcast.operators import prepare as P
-from tillcast.schemas import FEATURE_COLUMNS, ITEM_COLUMNS, LAGS
+from tillcast.schemas import FEATURE_COLUMNS, ITEM_COLUMNS, LAGS, N_HARMONICS, ROLLING_DAYS
 from tillcast.sources.fixtures import Calendar
 
 
@@ -47,7 +47,7 @@ def feature_table(txn: DataFrame, items: DataFrame, cal: Calendar, price_basis:
     first = G.split_first_day(cal)
     pos = F.datediff(F.col("date"), first).cast("double")
     length = (F.datediff(G.split_last_day(cal), first) + 1).cast("double")
-    mean, std, med = X.rolling_previous("qty_sold", 7)
+    mean, std, med = X.rolling_previous("qty_sold", ROLLING_DAYS)
     # Series columns in two projections: first everything ordered by date
     # (one Window operator), then the per-item sums of the harmonics (a second
     # Window operator on the same partition). In this order the date sort of
@@ -62,7 +62,7 @@ def feature_table(txn: DataFrame, items: DataFrame, cal: Calendar, price_basis:
         *X.lag_columns("PricePerEachToday", LAGS, prefix="PricePerEach"),
         *X.lag_columns("sales_value", LAGS))
     g = g.select("*", *[X.harmonic("qty_sold", i + 1, pos, length).alias(f"harmonic_{i}")
-                        for i in range(5)])
+                        for i in range(N_HARMONICS)])
     if drop_incomplete:
         g = X.drop_incomplete(g)
     g = X.add_noise(g)

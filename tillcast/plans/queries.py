@@ -586,6 +586,7 @@ def q_hist_price_per_item(spark, sf):
 
 # --- samples (O3, O4, J5, J7, P15, P16, F10) ------------------------------------------------
 
+# Fixed values of the exploration sample: 100 items, seed 1.
 SAMPLE_SEED = 1
 
 
@@ -607,11 +608,13 @@ def q_sampled_results(spark, sf):
                     days_from_start("date", first).alias("days_from_start"))
 
 
+# Fixed values of the deep-discount sample: discount share above 0.79, 50 rows, seed 222.
+DEEP_SHARE = 0.79
 DEEP_SEED = 222
 
 
 @register("deep_discount_sample", O.with_(*O.pipeline_ctes(O.EVENTS, "lines"), f"""dd AS (
-  SELECT itemID FROM lines WHERE split = 'train' AND discountPerc > 0.79
+  SELECT itemID FROM lines WHERE split = 'train' AND discountPerc > {DEEP_SHARE}
   ORDER BY {O.uniform(['itemID', str(DEEP_SEED)])}, itemID LIMIT 50)""")
           + """SELECT dd.itemID, l.time, l.salesPrice, l."order"
 FROM dd LEFT JOIN (SELECT * FROM lines WHERE split = 'train') l ON dd.itemID = l.itemID""",
@@ -620,7 +623,7 @@ def q_deep_discount_sample(spark, sf):
     """50 seeded rows with a discount share above 0.79, fanned out to all of the
     item's train lines (repeated keys multiply rows)."""
     tr = P.prepared_transactions(_ev(spark, sf), EC).where(F.col("split") == "train")
-    deep = P.enrich_transactions(tr).where(F.col("discountPerc") > 0.79).select("itemID")
+    deep = P.enrich_transactions(tr).where(F.col("discountPerc") > DEEP_SHARE).select("itemID")
     sample = PR.seeded_sample(deep, 50, DEEP_SEED)
     return sample.join(tr.select("itemID", "time", "salesPrice", "order"), "itemID", "left")
 

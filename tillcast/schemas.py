@@ -33,8 +33,11 @@ INFOS = T.StructType([
 ITEM_COLUMNS = ["brand", "manufacturer", "customerRating", "category1", "category2",
                 "category3", "recommendedRetailPrice"]
 
+# Fixed values of the feature table: lag offsets (days), number of Fourier
+# components, and the rolling window (previous days).
 LAGS = (1, 2, 3, 7)
 N_HARMONICS = 5
+ROLLING_DAYS = 7
 
 # Column order of the feature table (train.csv / test.csv), without `split`.
 FEATURE_COLUMNS = (
