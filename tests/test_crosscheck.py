@@ -5,7 +5,6 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tillcast.operators import features as X
 from tillcast.operators import series as S

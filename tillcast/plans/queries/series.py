@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from tillcast.operators import features as X
-from tillcast.operators import prepare as P
 from tillcast.operators import series as S
 from tillcast.plans import features as E1
 from tillcast.plans import oracle as O
