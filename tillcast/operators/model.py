@@ -91,8 +91,9 @@ def scores(pred: DataFrame, col: str = "pred", keys=()) -> DataFrame:
         F.avg(y).alias("_mean"), F.count("*").alias("n"),
         F.sum(y * y).alias("_syy"))
     sst = F.col("_syy") - F.col("n") * F.col("_mean") * F.col("_mean")
+    # R2 is NULL for a constant label (zero variance) instead of an ANSI error
     return agg.select(*keys, "n", "accuracy",
-                      (F.lit(1.0) - F.col("_sse") / sst).alias("r2"))
+                      (F.lit(1.0) - F.try_divide(F.col("_sse"), sst)).alias("r2"))
 
 
 def feature_importance(model: PipelineModel, train: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def _ev_features(spark, sf, written: bool = False):
 
 @register("score_lag7_predictor", O.with_(*O.pipeline_ctes(O.EVENTS, "feat")) + """SELECT split, count(*) AS n,
   avg(CAST(CAST(qty_sold_lag7 AS DOUBLE) = CAST(qty_sold AS DOUBLE) AS DOUBLE)) AS accuracy,
-  1 - sum((qty_sold - qty_sold_lag7) * (qty_sold - qty_sold_lag7)) / (sum(CAST(qty_sold AS DOUBLE) * qty_sold) - count(*) * avg(qty_sold) * avg(qty_sold)) AS r2
+  1 - sum((qty_sold - qty_sold_lag7) * (qty_sold - qty_sold_lag7)) / nullif(sum(CAST(qty_sold AS DOUBLE) * qty_sold) - count(*) * avg(qty_sold) * avg(qty_sold), 0) AS r2
 FROM feat GROUP BY split""", fuzz=("accuracy", "r2"), ops=("M5", "M6"))
 def q_score_lag7_predictor(spark, sf):
     """Exact-match accuracy and R2 of the same-weekday-last-week predictor."""
