@@ -5,7 +5,8 @@ Per item: forecast f, actual demand a, price p.
 * value: ``p * f`` if ``f <= a``, else ``p * a - 0.6 * p * (f - a)`` (B1)
 * overstock: ``max(f - a, 0)`` units and their value (B2)
 * lost sales: ``max(a - f, 0)`` units and their value (B3)
-* locked capital: ``f * p / 1.3``, stock at purchase cost under a 30 % markup (B4)
+* locked capital: ``f * p / 1.3``, stock at purchase cost under a 30 % markup (B4);
+  ``stock_value = f * p`` is kept alongside
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillcast.functions import round2
 from tillcast.sources.fixtures import Calendar
 
 # Fixed values of the brief: overstock penalty share and markup on purchase cost.
@@ -62,6 +64,7 @@ def monetary_value(si: DataFrame, forecast: str = "forecast") -> DataFrame:
             .withColumn("overstock_value", over * p)
             .withColumn("lost_units", lost.cast("long"))
             .withColumn("lost_value", lost * p)
+            .withColumn("stock_value", f * p)
             .withColumn("locked_capital", f * p / MARKUP))
 
 
@@ -73,7 +76,8 @@ def value_totals(scored: DataFrame, keys=()) -> DataFrame:
         F.sum("overstock_value").alias("overstock_value"),
         F.sum("lost_units").cast("long").alias("lost_units"),
         F.sum("lost_value").alias("lost_value"),
-        F.sum("locked_capital").alias("locked_capital"))
+        # stock value is whole cents: round its sum to cents, then take off the markup
+        (round2(F.sum("stock_value")) / MARKUP).alias("locked_capital"))
 
 
 def constraint_check(totals: DataFrame, max_overstock: float, max_lost: float,

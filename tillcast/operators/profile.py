@@ -46,9 +46,13 @@ def value_counts(df: DataFrame, col: str = "itemID") -> DataFrame:
 
 
 def sale_day_profile(matrix: DataFrame) -> DataFrame:
-    """Per item total value, number of days with value != 0, value per sale day."""
+    """Per item total value, number of days with value != 0, value per sale day.
+
+    The total is a sum of money, rounded to whole cents, so equal totals are
+    exact ties whatever order the sum was taken in (rankings break ties by item).
+    """
     p = matrix.groupBy("itemID").agg(
-        F.sum("total_values").alias("total_value"),
+        round2(F.sum("total_values")).alias("total_value"),
         F.count_if(is_nonzero("total_values")).alias("n_sale_days"))
     return p.withColumn("avg_value_sale_day", safe_div(F.col("total_value"),
                                                        F.col("n_sale_days")))

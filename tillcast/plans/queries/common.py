@@ -16,8 +16,8 @@ EC = FX.EVENTS_CALENDAR
 
 # float columns of the feature table whose last bits depend on summation order
 FEATURE_FUZZ = ("harmonic_0", "harmonic_1", "harmonic_2", "harmonic_3", "harmonic_4",
-                "rolling_qty_sold_mean", "rolling_qty_sold_std", "sales_value_lag1",
-                "sales_value_lag2", "sales_value_lag3", "sales_value_lag7")
+                "rolling_qty_sold_mean", "rolling_qty_sold_std", ("sales_value_lag1", 2),
+                ("sales_value_lag2", 2), ("sales_value_lag3", 2), ("sales_value_lag7", 2))
 
 
 def _li(spark, sf):
@@ -86,12 +86,11 @@ matrix AS (
          coalesce(t.total_values, 0) AS total_values
   FROM (SELECT DISTINCT itemID FROM tday) k JOIN days d ON TRUE
   LEFT JOIN tday t ON t.itemID = k.itemID AND t.date = d.date),
-prof AS (
-  SELECT itemID, sum(total_values) AS total_value,
-         count(*) FILTER (WHERE total_values IS DISTINCT FROM 0) AS n_sale_days,
-         sum(total_values) / nullif(count(*) FILTER (WHERE total_values IS DISTINCT FROM 0), 0)
-           AS avg_value_sale_day
-  FROM matrix GROUP BY itemID)"""
+prof0 AS (
+  SELECT itemID, {O.r2('sum(total_values)')} AS total_value,
+         count(*) FILTER (WHERE total_values IS DISTINCT FROM 0) AS n_sale_days
+  FROM matrix GROUP BY itemID),
+prof AS (SELECT *, total_value / nullif(n_sale_days, 0) AS avg_value_sale_day FROM prof0)"""
 
 
 MATRIX_CTES = [O.LINEITEM.txn, MATRIX_SQL]

@@ -41,16 +41,16 @@ def value_sql(src: str, f: str) -> str:
   CASE WHEN {f} <= actual THEN price * {f} ELSE price * actual - CAST(0.6 AS DOUBLE) * price * ({f} - actual) END AS value,
   CAST(greatest({f} - actual, 0) AS BIGINT) AS overstock_units, greatest({f} - actual, 0) * price AS overstock_value,
   CAST(greatest(actual - {f}, 0) AS BIGINT) AS lost_units, greatest(actual - {f}, 0) * price AS lost_value,
-  {f} * price / CAST(1.3 AS DOUBLE) AS locked_capital
+  {f} * price AS stock_value, {f} * price / CAST(1.3 AS DOUBLE) AS locked_capital
 FROM {src}"""
 
 
-TOTALS_SQL = """sum(value) AS total_value, CAST(sum(overstock_units) AS BIGINT) AS overstock_units,
+TOTALS_SQL = f"""sum(value) AS total_value, CAST(sum(overstock_units) AS BIGINT) AS overstock_units,
   sum(overstock_value) AS overstock_value, CAST(sum(lost_units) AS BIGINT) AS lost_units,
-  sum(lost_value) AS lost_value, sum(locked_capital) AS locked_capital"""
+  sum(lost_value) AS lost_value, {O.r2('sum(stock_value)')} / CAST(1.3 AS DOUBLE) AS locked_capital"""
 
 
-TOTAL_FUZZ = ("total_value", "overstock_value", "lost_value", "locked_capital")
+TOTAL_FUZZ = ("total_value", ("overstock_value", 2), ("lost_value", 2), "locked_capital")
 
 
 VALUE_CTES = O.pipeline_ctes(O.LINEITEM, "daily") + [SCORE_SQL]

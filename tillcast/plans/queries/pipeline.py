@@ -18,7 +18,7 @@ DAILY_COLS = ("split, date, itemID, qty_sold, sales_value, promotion, maxItemPri
 
 @register("daily_sales", O.with_(*O.pipeline_ctes(O.LINEITEM, "daily"))
           + f"SELECT {DAILY_COLS} FROM daily",
-          fuzz=("sales_value", "PriceToday"),
+          fuzz=(("sales_value", 2), "PriceToday"),
           ops=("P1", "P2", "P3", "P4", "P5", "W1", "W2", "A1", "A2", "W5", "A6", "P14", "J1", "F1"))
 def q_daily_sales(spark, sf):
     """Daily sold table of both splits (price basis: mean line price)."""
@@ -27,7 +27,7 @@ def q_daily_sales(spark, sf):
 
 @register("daily_sales_revenue", O.with_(*O.pipeline_ctes(O.LINEITEM, "daily", "revenue"))
           + f"SELECT {DAILY_COLS} FROM daily",
-          fuzz=("sales_value", "PriceToday"), ops=("A1", "W5"))
+          fuzz=(("sales_value", 2), "PriceToday"), ops=("A1", "W5"))
 def q_daily_sales_revenue(spark, sf):
     """Daily sold table, revenue basis for Price / PriceToday."""
     return E1.daily_table(_li(spark, sf), LC, price_basis="revenue")
@@ -35,7 +35,7 @@ def q_daily_sales_revenue(spark, sf):
 
 @register("daily_sales_events", O.with_(*O.pipeline_ctes(O.EVENTS, "daily"))
           + f"SELECT {DAILY_COLS} FROM daily",
-          fuzz=("sales_value", "PriceToday"), ops=("A1", "A2", "W1", "W5"))
+          fuzz=(("sales_value", 2), "PriceToday"), ops=("A1", "A2", "W1", "W5"))
 def q_daily_sales_events(spark, sf):
     """Daily table over the dense events fixture (several prices per day)."""
     return E1.daily_table(_ev(spark, sf), EC)
@@ -43,7 +43,7 @@ def q_daily_sales_events(spark, sf):
 
 @register("dense_grid", O.with_(*O.pipeline_ctes(O.LINEITEM, "grid"))
           + f"SELECT {DAILY_COLS} FROM grid",
-          fuzz=("sales_value",), ops=("T1", "T2", "J2", "J3", "W14", "W15", "P15"))
+          fuzz=(("sales_value", 2),), ops=("T1", "T2", "J2", "J3", "W14", "W15", "P15"))
 def q_dense_grid(spark, sf):
     """Gap-free date x item table of both splits."""
     return E1.grid_table(_li(spark, sf), LC)
@@ -51,7 +51,7 @@ def q_dense_grid(spark, sf):
 
 @register("dense_grid_events", O.with_(*O.pipeline_ctes(O.EVENTS, "grid"))
           + f"SELECT {DAILY_COLS} FROM grid",
-          fuzz=("sales_value",), ops=("T1", "T2", "W14", "W15"))
+          fuzz=(("sales_value", 2),), ops=("T1", "T2", "W14", "W15"))
 def q_dense_grid_events(spark, sf):
     """Gap-free grid over the events fixture."""
     return E1.grid_table(_ev(spark, sf), EC)

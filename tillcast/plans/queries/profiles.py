@@ -18,7 +18,7 @@ from tillcast.plans.queries.common import (
 # --- matrix, totals, profiles (A15-A18, A22-A24, W9, W12, W13, Q6) ---------------------
 
 @register("date_item_matrix", O.with_(*MATRIX_CTES) + "SELECT * FROM matrix",
-          fuzz=("total_values",), ops=("A17", "T1"))
+          fuzz=(("total_values", 2),), ops=("A17", "T1"))
 def q_date_item_matrix(spark, sf):
     """Units and value per (date, item), every calendar day, gaps 0 (long form)."""
     return _matrix(spark, sf)
@@ -26,7 +26,7 @@ def q_date_item_matrix(spark, sf):
 
 @register("totals_per_day", O.with_(O.LINEITEM.txn) + """SELECT CAST(time AS DATE) AS date,
   CAST(sum("order") AS BIGINT) AS total_orders, coalesce(sum("order" * salesPrice), 0) AS total_values
-FROM txn GROUP BY CAST(time AS DATE)""", fuzz=("total_values",), ops=("A15",))
+FROM txn GROUP BY CAST(time AS DATE)""", fuzz=(("total_values", 2),), ops=("A15",))
 def q_totals_per_day(spark, sf):
     """Units and value per day."""
     return PR.totals_per_day(_all_txn(spark, sf))
@@ -34,7 +34,7 @@ def q_totals_per_day(spark, sf):
 
 @register("totals_per_item", O.with_(*EDA_CTES) + """SELECT itemID, CAST(sum("order") AS BIGINT) AS "order",
   coalesce(sum("order" * salesPrice), 0) AS value, bool_or(in_promotion) AS in_promotion
-FROM eda GROUP BY itemID""", fuzz=("value",), ops=("A16",))
+FROM eda GROUP BY itemID""", fuzz=(("value", 2),), ops=("A16",))
 def q_totals_per_item(spark, sf):
     """Per item units, value and whether ever on promotion."""
     return PR.totals_per_item(P.price_levels(_eda_txn(spark, sf), keys=["itemID"]))
@@ -58,7 +58,7 @@ def q_reconciliation(spark, sf):
 
 
 @register("sale_day_profile", O.with_(*MATRIX_CTES) + "SELECT * FROM prof",
-          fuzz=("total_value", "avg_value_sale_day"), ops=("A22",))
+          fuzz=("avg_value_sale_day",), ops=("A22",))
 def q_sale_day_profile(spark, sf):
     """Per item total value, sale days, value per sale day."""
     return _profile(spark, sf)
@@ -86,7 +86,7 @@ def q_items_above_k(spark, sf):
 @register("concentration_curve", O.with_(*MATRIX_CTES) + """SELECT itemID, total_value,
   row_number() OVER (ORDER BY total_value, itemID) AS position,
   sum(total_value) OVER (ORDER BY total_value, itemID ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_value
-FROM prof""", fuzz=("total_value", "cum_value"), ops=("W12",))
+FROM prof""", fuzz=(("cum_value", 2),), ops=("W12",))
 def q_concentration_curve(spark, sf):
     """Cumulative value over items sorted by value."""
     return PR.concentration_curve(_profile(spark, sf))
@@ -94,7 +94,7 @@ def q_concentration_curve(spark, sf):
 
 @register("ranked_by_value", O.with_(*MATRIX_CTES) + """SELECT itemID, total_value,
   row_number() OVER (ORDER BY total_value DESC, itemID) AS rank FROM prof""",
-          fuzz=("total_value",), ops=("W13",))
+          ops=("W13",))
 def q_ranked_by_value(spark, sf):
     """Items ranked by total value."""
     return PR.ranked_profile(_profile(spark, sf), "total_value")

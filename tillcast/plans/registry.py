@@ -2,7 +2,8 @@
 
 Each query reads the supplied tables of one scale factor directly (through the
 fixture views), so its work grows with them. Float columns whose last bits
-depend on summation order are rounded to 6 decimals on both sides (``fuzz``).
+depend on summation order are rounded on both sides (``fuzz``): money sums to
+their decimal grid (whole cents), other values to 6 decimals.
 """
 
 from __future__ import annotations
@@ -22,24 +23,27 @@ class Query:
     name: str
     build: Build
     sql: str | None
-    fuzz: tuple = ()          # float columns rounded to 6 decimals on both sides
+    fuzz: tuple = ()          # float columns rounded on both sides: "col" (6 places) or (col, places)
     ops: tuple = ()           # SURVEY ids the query exercises
     doc: str = ""
     tags: tuple = field(default_factory=tuple)
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(spark, sf_dir)
-        for c in self.fuzz:
-            df = df.withColumn(c, round_half_even(c, 6))
+        for c, places in self.fuzz_places():
+            df = df.withColumn(c, round_half_even(c, places))
         return df
 
+    def fuzz_places(self):
+        return [(f, 6) if isinstance(f, str) else tuple(f) for f in self.fuzz]
+
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
         if not self.fuzz:
             return self.sql
         from tillcast.plans.oracle import rn
-        rep = ", ".join(f"{rn(c, 6)} AS {c}" for c in self.fuzz)
+        rep = ", ".join(f"{rn(c, n)} AS {c}" for c, n in self.fuzz_places())
         return f"SELECT * REPLACE ({rep}) FROM (\n{self.sql}\n) q"
 
 
