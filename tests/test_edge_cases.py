@@ -183,3 +183,12 @@ def test_several_price_share(spark):
     r = P.several_price_share(df, items).first()
     assert (r.multi_pairs, r.all_pairs, r.n_items) == (1, 2, 4)
     assert (r.pairs_per_item_pct, r.pairs_share_pct) == (25.0, 50.0)
+
+
+def test_numeric_summary_with_null_column(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (4.0, None), (10.0, None)],
+                               "a double, b double")
+    rows = {r.column: r for r in PR.numeric_summary(df, ["a", "b"]).collect()}
+    a = rows["a"]
+    assert (a["count"], a["min"], a["max"], a.p25, a.p50, a.p75) == (4, 1.0, 10.0, 1.75, 3.0, 5.5)
+    assert rows["b"]["count"] == 0 and rows["b"].p50 is None

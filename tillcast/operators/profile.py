@@ -260,44 +260,43 @@ def sample_items(df: DataFrame, n: int, seed: int, key: str = "itemID") -> DataF
 
 # --- Q1-Q8 ---------------------------------------------------------------------------------
 
-def exact_quantiles(df: DataFrame, col: str, qs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact quantiles with linear interpolation (pandas ``describe``): one row,
-    one column ``q<percent>`` per quantile.
-
-    Rows are numbered in a distributed global order (:func:`global_order`);
-    one filtered aggregate keeps only the neighbours of the quantile positions.
+def numeric_summary(df: DataFrame, cols=None, qs=(0.25, 0.5, 0.75)) -> DataFrame:
+    """Q1: count, mean, std, min, quartiles (exact, linear interpolation), max per
+    numeric column, one row per column.
+
+    The columns are stacked as (column, x) rows: one grouped aggregate gives the
+    moments, one distributed sort by (column, x) numbers the values
+    (:func:`global_order`), and a table with one row per column (its start
+    position) turns global positions into positions within the column. Only the
+    neighbours of each quantile position are kept for the final aggregate.
     """
-    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-    n = x.select(F.count("*")).scalar()
-    ranked = global_order(x, ["x"])
-    pos = F.col("position")
+    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+    cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, numeric)]
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
+                      for c in cols])
+    stacked = df.select(F.inline(cells))
+    base = stacked.groupBy("column").agg(
+        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max"))
+    # start of each column in the global order: one row per column
+    before = Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)
+    starts = base.select("column", "count",
+                         F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    ranked = global_order(stacked.where(F.col("x").isNotNull()), ["column", "x"]).join(
+        F.broadcast(starts), "column")
+    pos = F.col("position") - F.col("_start")
     keep = F.lit(False)
     parts = []
     for q in qs:
-        p = F.lit(q) * (n - 1)                       # 0-based fractional position
+        p = F.lit(q) * (F.col("count") - 1)
         lo, hi, frac = F.floor(p) + 1, F.ceil(p) + 1, p - F.floor(p)
         keep = keep | (pos == lo) | (pos == hi)
         term = (F.when(pos == lo, F.col("x") * (F.lit(1.0) - frac)).otherwise(0.0)
                 + F.when(pos == hi, F.col("x") * frac).otherwise(0.0))
-        parts.append(F.sum(term).alias(f"q{int(round(q * 100))}"))
-    return ranked.where(keep).agg(*parts)
-
-
-def numeric_summary(df: DataFrame, cols=None) -> DataFrame:
-    """Q1: count, mean, std, min, quartiles (exact), max per numeric column, long form."""
-    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
-    cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, numeric)]
-    outs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        base = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
-                      F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                      F.max(x).alias("max"))
-        qs = exact_quantiles(df, c).select(F.struct("q25", "q50", "q75")).scalar()
-        outs.append(base.select(F.lit(c).alias("column"), "count", "mean", "std", "min",
-                                qs.getField("q25").alias("p25"), qs.getField("q50").alias("p50"),
-                                qs.getField("q75").alias("p75"), "max"))
-    return reduce(DataFrame.unionByName, outs)
+        parts.append(F.sum(term).alias(f"p{int(round(q * 100))}"))
+    quant = ranked.where(keep).groupBy("column").agg(*parts)
+    return base.join(quant, "column", "left").select(
+        "column", "count", "mean", "std", "min", *[f"p{int(round(q * 100))}" for q in qs], "max")
 
 
 def string_summary(df: DataFrame, cols=None) -> DataFrame:
