@@ -138,15 +138,15 @@ def histogram(df: DataFrame, col: str, bins: int = 10, weight: str | None = None
     """Equal-width histogram from min to max: bin, edges, count, % of non-NULL.
 
     ``weight`` counts each row that many times (rows of a pre-aggregated table).
-    Minimum, maximum and total are scalar subqueries: Spark runs them once and
+    Minimum, maximum and total are one scalar subquery: Spark runs it once and
     hands the values to every task.
     """
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     x = df.select(F.col(col).cast("double").alias("x"), w.alias("_w")).where(
         F.col("x").isNotNull())
-    lo = x.select(F.min("x")).scalar()
-    hi = x.select(F.max("x")).scalar()
-    n = x.select(F.sum("_w")).scalar()
+    st = x.select(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"),
+                           F.sum("_w").alias("n"))).scalar()
+    lo, hi, n = st.getField("lo"), st.getField("hi"), st.getField("n")
     h = x.groupBy(_bucket(F.col("x"), lo, hi, bins).alias("bin")).agg(
         F.sum("_w").alias("count"))
     width = (hi - lo) / bins
