@@ -11,7 +11,7 @@ from tillcast.plans import oracle as O
 from tillcast.plans.registry import register
 from tillcast.sources import fixtures as FX
 from tillcast.plans.queries.common import (
-    EDA_CTES, LC, LINES_CTES, _eda_txn, _li, _train)
+    EC, EDA_CTES, LC, LINES_CTES, _eda_txn, _ev, _li, _train)
 
 
 # --- exploration results and per-transaction measures (A3, A13, A14, J6, F4-F9) ----------
@@ -97,3 +97,12 @@ def q_promotion_uplift(spark, sf):
 def q_item_daily_stats(spark, sf):
     """Per item mean daily units and median of distinct daily units (train grid)."""
     return D.item_daily_stats(E1.grid_table(_li(spark, sf), LC).where(F.col("split") == "train"))
+
+
+@register("promotion_summary_events",
+          O.with_(*O.pipeline_ctes(O.EVENTS, "lines"), PROMO_SQL) + "SELECT * FROM ps",
+          fuzz=("QTY_no_promo_per_day", "QTY_promo_per_day"), ops=("A8", "A9", "A10"))
+def q_promotion_summary_events(spark, sf):
+    """Promotion summary on the events fixture, where most days mix prices."""
+    tr = P.prepared_transactions(_ev(spark, sf), EC).where(F.col("split") == "train")
+    return D.promotion_summary(tr)

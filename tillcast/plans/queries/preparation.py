@@ -160,3 +160,16 @@ FROM lines WHERE split = 'train'""", ops=("A21",))
 def q_discount_extremes(spark, sf):
     """Largest and smallest non-zero discount share of train."""
     return P.discount_extremes(P.price_levels(_train(spark, sf)))
+
+
+@register("txn_enriched_events", O.with_(*O.pipeline_ctes(O.EVENTS, "lines"), """ipc AS (
+  SELECT split, itemID, count(DISTINCT salesPrice) AS item_prices_count FROM prep GROUP BY split, itemID)""")
+          + f"SELECT {LINE_COLS.replace('item_prices_count', 'ipc.item_prices_count').replace('split, itemID,', 'l.split, l.itemID,', 1)} "
+          "FROM lines l JOIN ipc ON l.split = ipc.split AND l.itemID = ipc.itemID",
+          ops=("W1", "W2", "W4", "F2"))
+def q_txn_enriched_events(spark, sf):
+    """Enriched order lines of the events fixture (many prices per item and day)."""
+    lines = P.prepared_transactions(_ev(spark, sf), EC)
+    return P.enrich_transactions(lines).select(
+        "split", "itemID", "date", "time", "order", "salesPrice", "orderValue", "maxPrice",
+        "minPrice", "item_prices_count", "promotion", "discountAmount", "discountPerc")
