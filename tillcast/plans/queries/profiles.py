@@ -444,3 +444,23 @@ _ORDER_TYPES = [("time", "timestamp_ntz"), ("itemID", "bigint"), ("order", "int"
 def q_column_inventory_orders(spark, sf):
     """Type and non-NULL count of each order column."""
     return PR.column_inventory(_li(spark, sf))
+
+
+# --- wide date x item matrix (A17) ------------------------------------------------------
+
+TOP_ITEMS = 10
+
+
+@register("wide_matrix_top_items", O.with_(*MATRIX_CTES, f"""top AS (
+  SELECT itemID FROM (SELECT itemID, count(*) AS n FROM txn GROUP BY itemID)
+  ORDER BY n DESC, itemID LIMIT {TOP_ITEMS})""")
+          + """SELECT * FROM (PIVOT (SELECT date, itemID, total_orders FROM matrix
+                          WHERE itemID IN (SELECT itemID FROM top))
+                   ON itemID USING first(total_orders) GROUP BY date)""",
+          ops=("A17", "O2"))
+def q_wide_matrix_top_items(spark, sf):
+    """Wide date x item table of daily units for the 10 items with the most order lines
+    (a top-k report: the pivot columns are those 10 items)."""
+    from tillcast.operators.grid import wide_matrix
+    top = [r.itemID for r in PR.value_counts(_li(spark, sf)).limit(TOP_ITEMS).collect()]
+    return wide_matrix(_matrix(spark, sf), top)
