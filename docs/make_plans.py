@@ -6,7 +6,7 @@ spark = build_session("local[8]", 16)
 sf = "/root/testdata/sf0.1"
 reg = load_all()
 names = ["feature_table", "daily_sales", "promo_running_max", "txn_enriched", "concentration_curve",
-         "hist_discount", "kalman_smoothing", "scenario_sweep"]
+         "numeric_summary", "hist_discount", "kalman_smoothing", "scenario_sweep"]
 out = ["# Physical plans", "",
        "Operator trees of key queries at sf0.1 (local[8], 16 shuffle partitions), as planned before",
        "adaptive execution (`explain(\"formatted\")`, tree part only). Regenerate with",
