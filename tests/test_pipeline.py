@@ -141,3 +141,15 @@ def test_model_report_on_events(spark):
     assert len(imp) == 42 and abs(sum(r.importance for r in imp) - 1.0) < 1e-6
     fc = rep["forecast"].collect()
     assert fc and all(r.demandPrediction >= 0 for r in fc)
+
+
+def test_direct_forecast_on_events(spark):
+    from tillcast.operators.model import direct_forecast
+    cal = FX.EVENTS_CALENDAR
+    txn = FX.event_transactions(spark, SF_SMALL)
+    ft = E1.feature_table(txn, FX.event_items(spark, SF_SMALL), cal)
+    grid = E1.grid_table(txn, cal)
+    fc = direct_forecast(ft, grid, cal.split_date, horizon=5, maxIter=5)
+    rows = fc.collect()
+    n_items = grid.where("split = 'train'").select("itemID").distinct().count()
+    assert len(rows) == n_items and all(r.demandPrediction >= 0 for r in rows)

@@ -24,8 +24,9 @@ RF_PARAMS = dict(maxDepth=5, numTrees=100, featureSubsetStrategy="all", seed=42)
 NULLABLE = ("medianDiscPerc", "rolling_qty_sold_std")
 
 
-def prepare_features(df: DataFrame, nullable=NULLABLE) -> DataFrame:
-    """NULL -> 0 plus ``<col>_missing`` indicators; categoricals as strings."""
+def prepare_features(df: DataFrame, nullable=NULLABLE, target: str = TARGET) -> DataFrame:
+    """NULL -> 0 plus ``<col>_missing`` indicators; categoricals as strings;
+    ``label`` = ``target`` as double."""
     out = df
     for c in nullable:
         if c in df.columns:
@@ -33,7 +34,7 @@ def prepare_features(df: DataFrame, nullable=NULLABLE) -> DataFrame:
                    .withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0))))
     for c in CATEGORICAL_FEATURES:
         out = out.withColumn(c, F.col(c).cast("string"))
-    return out.withColumn("label", F.col(TARGET).cast("double"))
+    return out.withColumn("label", F.col(target).cast("double"))
 
 
 def feature_pipeline(df: DataFrame, features=MODEL_FEATURES, nullable=NULLABLE,
@@ -142,3 +143,24 @@ def category_encoding(df: DataFrame, cols=CATEGORICAL_FEATURES) -> DataFrame:
                          F.col("_idx").cast("int").alias("index")).distinct())
         out = pairs if out is None else out.unionByName(pairs)
     return out
+
+
+def direct_forecast(features: DataFrame, grid: DataFrame, origin: str, horizon: int = 14,
+                    **gbt_over) -> DataFrame:
+    """M11, direct form: boosted trees on the units of the next ``horizon`` days
+    (T6 label), fitted on the train days whose horizon lies inside train and
+    applied at the forecast origin (the last train day, ``origin``). Returns one
+    non-negative integer ``demandPrediction`` per item.
+    """
+    from tillcast.operators.series import demand_label
+    label = f"demand_next_{horizon}"
+    train_grid = grid.where(F.col("split") == "train")
+    lab = demand_label(train_grid, horizon).select("split", "itemID", "date", label)
+    ft = features.where(F.col("split") == "train").join(lab, ["split", "itemID", "date"])
+    fit_rows = prepare_features(ft.where(F.col(label).isNotNull()), target=label)
+    at_origin = prepare_features(ft.where(F.col("date") == F.lit(origin).cast("date")),
+                                 target=label)
+    model = fit_gbt(fit_rows, **gbt_over)
+    return predict(model, at_origin, rounded=False).select(
+        "itemID", F.greatest(F.lit(0), F.rint("prediction")).cast("long")
+        .alias("demandPrediction"))

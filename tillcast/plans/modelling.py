@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 from tillcast.operators import model as M
 
 
-def model_report(features: DataFrame) -> dict[str, DataFrame]:
+def model_report(features: DataFrame, grid: DataFrame | None = None,
+                 origin: str | None = None) -> dict[str, DataFrame]:
     """Fit boosted trees and a random forest on the train split, score them on
     test, rank feature importance, and sum the ensemble's test predictions per
-    item into an integer forecast. ``features`` should be a written (or
-    checkpointed) table: both fits read it several times."""
+    item into an integer forecast. With the dense ``grid`` and the forecast
+    ``origin`` (last train day), also the direct 14-day forecast (M11).
+    ``features`` should be a written (or checkpointed) table: the fits read it
+    several times."""
     ft = M.prepare_features(features)
     train, test = ft.where(F.col("split") == "train"), ft.where(F.col("split") == "test")
     gbt, rf = M.fit_gbt(train), M.fit_forest(train)
     pg = M.predict(gbt, test, rounded=True)
     pr = M.predict(rf, test, rounded=False)
     imp = M.feature_importance(gbt, train)
-    return {
+    out = {
         "gbt_scores": M.scores(pg),
         "rf_scores": M.scores(pr),
         "importance": imp,
         "above_noise": M.above_noise(imp),
         "forecast": M.item_forecast(M.ensemble([pg, pr])),
     }
+    if grid is not None and origin is not None:
+        out["direct_forecast"] = M.direct_forecast(features, grid, origin)
+    return out
