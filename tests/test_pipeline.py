@@ -153,3 +153,22 @@ def test_direct_forecast_on_events(spark):
     rows = fc.collect()
     n_items = grid.where("split = 'train'").select("itemID").distinct().count()
     assert len(rows) == n_items and all(r.demandPrediction >= 0 for r in rows)
+
+
+def test_run_with_models_writes_submission(spark, tmp_dir):
+    from tillcast.plans import run
+    cal = FX.EVENTS_CALENDAR
+    inputs = (("orders", FX.event_transactions(spark, SF_SMALL)),
+              ("items", FX.event_items(spark, SF_SMALL)),
+              ("infos", FX.event_infos(spark, SF_SMALL)))
+    for name, df in inputs:
+        (df.write.option("sep", "|").option("header", True)
+         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(os.path.join(tmp_dir, name)))
+    out = os.path.join(tmp_dir, "out")
+    run.main(["--orders", os.path.join(tmp_dir, "orders"), "--items", os.path.join(tmp_dir, "items"),
+              "--infos", os.path.join(tmp_dir, "infos"), "--out", out,
+              "--calendar", cal.train_start, cal.split_date, cal.test_end, cal.forecast_start])
+    sub = spark.read.option("sep", "|").option("header", True).csv(os.path.join(out, "submission"))
+    assert sub.columns == ["itemID", "demandPrediction"]
+    assert sub.count() > 0 and sub.where("cast(demandPrediction as int) < 0").count() == 0
+    assert os.path.isdir(os.path.join(out, "gbt_scores"))
