@@ -59,13 +59,7 @@ _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 def _runs(chunk: Chunk, member: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges of the maximal runs of member bytes within one text, at least so long."""
-    m = member[chunk.data]
-    edge = np.zeros(len(m) + 1, bool)
-    edge[chunk.bounds] = True
-    before, after = np.zeros(len(m), bool), np.zeros(len(m), bool)
-    before[1:], after[:-1] = m[:-1], m[1:]
-    starts = np.flatnonzero(m & (~before | edge[:-1]))
-    ends = np.flatnonzero(m & (~after | edge[1:])) + 1
+    starts, ends = chunk.runs(member)
     long = ends - starts >= least
     return starts[long], ends[long]
 

@@ -69,17 +69,20 @@ class Chunk:
     def text(self, i: int) -> bytes:
         return self.data[self.bounds[i]:self.bounds[i + 1]].tobytes()
 
-    @cached_property
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of all texts."""
-        w = IS_WORD[self.data]
+    def runs(self, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte starts and ends of the maximal runs of member bytes; no run spans two texts."""
+        w = member[self.data]
         edge = np.zeros(len(w) + 1, bool)
         edge[self.bounds] = True
         before, after = np.zeros(len(w), bool), np.zeros(len(w), bool)
         before[1:], after[:-1] = w[:-1], w[1:]
         starts = np.flatnonzero(w & (~before | edge[:-1]))
-        ends = np.flatnonzero(w & (~after | edge[1:])) + 1
-        return starts, ends
+        return starts, np.flatnonzero(w & (~after | edge[1:])) + 1
+
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words ``[^\\x20\\x09-\\x0D]+`` of all texts."""
+        return self.runs(IS_WORD)
 
     @cached_property
     def word_bounds(self) -> np.ndarray:
