@@ -6,9 +6,11 @@ from tillcast.llm.line_dedup import OP8_SQL, op8_line_dedup
 from tillcast.llm.packing import op10_packing
 from tillcast.llm.repetition import op5_quality_rules
 from tillcast.llm.secret_scan import op6_secret_scans
+from tillcast.llm.shingle_join import op3_ngram_jaccard
 from tillcast.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_quality_rules, op6_secret_scans, op8_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_toxicity, op5_quality_rules, op6_secret_scans,
+                                     op8_line_dedup, op10_packing)}
 
 #: DuckDB SQL of the queries that SQL can state.
 ORACLE: dict[str, str] = {"op8_line_dedup": OP8_SQL}

@@ -125,8 +125,8 @@ def windows(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np
     return mix(out), at
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Chunks of a string column; a null is an empty text."""
+def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[Chunk]:
+    """Chunks of a string column, of at most so many bytes and rows; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -141,6 +141,6 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
     lo = 0
     while lo < len(column):
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
-        hi = min(max(hi, lo + 1), len(column))
+        hi = min(max(hi, lo + 1), lo + rows, len(column))
         yield Chunk(lo, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
         lo = hi
