@@ -9,9 +9,27 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillcast.llm import packing, secret_scan
-from tillcast.llm.shared import table, written
+from tillcast.llm import line_dedup, packing, secret_scan, shingle_join, toxicity
+from tillcast.llm.shared import fresh, table, written
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the severity model, fitted on the labels table, doesn't reject."""
+    (t,) = fresh(docs, "toxicity")
+    return toxicity.score(docs, table(spark, sf_dir, "labels"), t).where(~F.col(t)["toxic"]).drop(t)
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without lines of many sites; those of which nothing is left go."""
+    found = line_dedup.dedup(docs)
+    return found.where(~F.col(found.columns[-1])).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones; documents without words all stay."""
+    return shingle_join.one_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +42,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("secret scans", without_secrets), ("packing", packed)]
+STAGES = [("toxicity", without_toxic), ("line dedup", without_boilerplate),
+          ("n-gram Jaccard join", without_near_copies), ("secret scans", without_secrets), ("packing", packed)]
 
 #: SQL cannot state a trained model, entropy windows or token ids.
 ORACLE_SQL = None

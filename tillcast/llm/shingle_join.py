@@ -354,11 +354,12 @@ def class_links(sets: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, class (digest of the set, 0 if empty), component_id."""
+    """Per row of docs: doc_id, version (hash of the text), n_shingles, component_id, and group, which
+    is the same for all rows of a component (null for empty sets)."""
     ship(docs.sparkSession)
     c = F.arrow_udf(class_column, "struct<n:bigint,cls:bigint>")
-    own = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), c(F.col(text)).alias("c"))
-                  .select("doc_id", "c.n", "c.cls"))
+    own = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"),
+                              c(F.col(text)).alias("c")).select("doc_id", "version", "c.n", "c.cls"))
     shards = max(1, -(-(own.agg(F.sum("n")).first()[0] or 0) // SHARD))
     spread = docs.select(text).mapInArrow(to_shards(shards), "shard long, head binary, low binary, high binary")
     back = spread.groupBy("shard").applyInArrow(
@@ -366,11 +367,32 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     sets = written(back.groupBy("bucket").applyInArrow(survivors, "cls long, n int, tokens binary"))
     root = components(class_links(sets))
     tied = own.join(root.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "doc_id", "n", "cls", F.coalesce("root", "cls").alias("group"))
-    least = tied.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+        "doc_id", "version", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("group"))
+    least = tied.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return tied.join(least, "group", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "version", "n_shingles", "group",
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near copies: of each component the row with the least doc_id (then
+    version; a null id comes last) stays, once; documents without words all stay."""
+    found = written(join(docs, doc_id, text).where("group is not null"))
+    rows = found.groupBy("group", "doc_id", "version").agg(F.count("*").alias("m"))
+    first = rows.groupBy("group").agg(F.min(F.struct(
+        F.col("doc_id").isNull(), "doc_id", "version", "m")).alias("first"))
+    i, v, m = fresh(docs, "kept_id", "kept_version", "kept_rows")
+    kept = written(first.select(F.col("first.doc_id").alias(i), F.col("first.version").alias(v), F.col("first.m").alias(m)))
+
+    def among(keys: DataFrame, how: str) -> DataFrame:
+        same = docs[doc_id].cast("long").eqNullSafe(keys[i]) & (F.xxhash64(docs[text]) == keys[v])
+        return docs.join(keys, same, how)
+
+    wordless = ~F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    once = among(kept.where(F.col(m) == 1).drop(m).withColumn(m, F.lit(True)), "left").where(
+        F.col(m).isNotNull() | wordless).select(*docs.columns)
+    repeated = among(kept.where(F.col(m) > 1), "left_semi").dropDuplicates([doc_id, text])
+    return once.unionByName(repeated)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
