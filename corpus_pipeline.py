@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm import line_dedup, packing, secret_scan, shingle_join, toxicity
-from tillcast.llm.shared import fresh, table, written
+from tillcast.llm.shared import columns, fresh, table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without lines of many sites; those of which nothing is left go."""
     found = line_dedup.dedup(docs)
-    return found.where(~F.col(found.columns[-1])).select(*docs.columns)
+    return found.where(~F.col(found.columns[-1])).select(*columns(docs))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

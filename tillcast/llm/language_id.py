@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm.shared import fresh, ship, table
+from tillcast.llm.shared import columns, fresh, ship, table
 from tillcast.llm.textbuf import IS_LEAD, Chunk, chunks
 
 CONTEXTS = 1 << 18
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     found = F.col(f"{b}.best") >= 0
     score = F.when(found, 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))).otherwise(0.0)
     limit = F.get(F.array(*(F.lit(x) for x in ceiling)), F.col(f"{b}.best"))
-    return docs.withColumn(b, best).select(*docs.columns, F.struct(
+    return docs.withColumn(b, best).select(*columns(docs, out), F.struct(
         held.alias("held_out"), F.when(found, F.get(names, F.col(f"{b}.best"))).otherwise("und").alias("lang_pred"),
         score.alias("score"), (~found | (score < REJECT_BELOW) | (F.col(f"{b}.entropy") > limit)).alias("rejected"),
         F.when(found, F.col(f"{b}.entropy")).alias("entropy")).alias(out))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm.shared import fresh, table, written
+from tillcast.llm.shared import columns, fresh, table, written
 
 MIN_SITES = 8
 LG_K = 12
@@ -77,7 +77,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str
         n_removed: F.when(F.col(c).isNull(), 0).otherwise(removed).cast("long"),
         text: cleaned,
     }).withColumn(emptied, (F.col(n_removed) > 0) & (F.trim(F.translate(text, "\n", " ")) == "")).select(
-        *docs.columns, n_lines, n_removed, emptied)
+        *columns(docs), n_lines, n_removed, emptied)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm.shared import fresh, ship, table
+from tillcast.llm.shared import columns, fresh, ship, table
 from tillcast.llm.textbuf import IS_LEAD, Chunk, chunks, mix, range_sums, windows
 
 #: Largest share of word characters allowed inside repeated n-grams of a length, and lines.
@@ -56,6 +56,8 @@ def _covered(hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 def _lines(chunk: Chunk, hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per line with a word: its text number, first byte, and a hash that tells lines apart."""
+    if not len(chunk.data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     nonempty = chunk.bounds[:-1][np.diff(chunk.bounds) > 0]
     after_break = np.flatnonzero(chunk.data == 10) + 1
     starts = np.union1d(nonempty, after_break[after_break < len(chunk.data)])
@@ -112,7 +114,7 @@ def quality(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFr
         kept = kept & (F.col(f"{m}.cover_{n}") <= most)
     measured = docs.withColumn(m, F.arrow_udf(measure_column, TYPE)(F.col(text)))
     fields = [F.col(f"{m}.{f}").alias(f) for f in FIELDS[0] + FIELDS[1]]
-    return measured.select(*docs.columns, F.struct(
+    return measured.select(*columns(docs, out), F.struct(
         *fields, base_failed.alias("base_failed"), kept.alias("kept")).alias(out))
 
 

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
@@ -34,12 +35,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
+    """A new folder under ``spark.checkpoint.dir``, which all executors share. Where that is unset, a
+    session of a single process (``local[n]``, as in tests) has a temporary folder; any other has an error."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        if sc.applicationId not in _local:
+            _local[sc.applicationId] = tempfile.mkdtemp(prefix="tillcast-llm-")
+        root = _local[sc.applicationId]
     return f"{root.rstrip('/')}/tillcast-llm-{uuid.uuid4().hex}"
 
 
@@ -66,5 +75,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def columns(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of df, whatever characters their names have, but for some."""
+    gone = {name.lower() for name in without}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in gone]

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm.components import components
-from tillcast.llm.shared import fresh, ship, table, written
+from tillcast.llm.shared import columns, fresh, ship, table, written
 from tillcast.llm.textbuf import LOWER, Chunk, chunks, mix, windows
 
 WORDS = 5
@@ -390,7 +390,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     wordless = ~F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     once = among(kept.where(F.col(m) == 1).drop(m).withColumn(m, F.lit(True)), "left").where(
-        F.col(m).isNotNull() | wordless).select(*docs.columns)
+        F.col(m).isNotNull() | wordless).select(*columns(docs))
     repeated = among(kept.where(F.col(m) > 1), "left_semi").dropDuplicates([doc_id, text])
     return once.unionByName(repeated)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm.shared import fresh, ship, table
+from tillcast.llm.shared import columns, fresh, ship, table
 from tillcast.llm.textbuf import LOWER, Chunk, chunks
 
 DIM = 1 << 18
@@ -194,7 +194,7 @@ def score(docs: DataFrame, labels: DataFrame, out: str = "toxicity") -> DataFram
     (s,) = fresh(docs, "scores")
     scored = docs.withColumn(s, F.arrow_udf(
         scorer(model), "struct<severity:double,grade:int,p_toxic:double>")(F.col("text")))
-    return scored.select(*docs.columns, F.struct(
+    return scored.select(*columns(docs, out), F.struct(
         f"{s}.severity", f"{s}.grade", f"{s}.p_toxic",
         (F.col(f"{s}.p_toxic") >= REJECT).alias("toxic")).alias(out))
 
