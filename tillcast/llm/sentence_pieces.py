@@ -61,8 +61,19 @@ class Pieces:
         self.weight = {s: (-alpha * (math.log(r + 2.7) + total), (i,)) for s, (r, i) in ranked.items()}
         self.byte_weight = -alpha * (math.log(p.get_piece_size() + 2.7) + total)
         self.longest = max(map(len, self.weight))
+        self.bytes_of = [p.id_to_piece(i).encode("utf-8") for i in range(p.get_piece_size())]
+        for b, i in self.byte_id.items():
+            self.bytes_of[i] = bytes([b])
+        for i in range(p.get_piece_size()):
+            if p.is_control(i) or p.is_unknown(i):
+                self.bytes_of[i] = b""
         self.units: dict[str, Unit] = {}
 
+    def text(self, ids: list[int]) -> str:
+        """The pieces' bytes in a row, space marks as spaces, without the one put before the text."""
+        raw = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
+        return raw[1:] if raw[:1] == " " else raw
+
     def unit(self, text: str) -> Unit:
         found = self.units.get(text)
         if found is None:
@@ -200,7 +211,7 @@ def encode(text: Column, path: str) -> Column:
 def decode(ids: Column, path: str) -> Column:
     """The text of an array of ids."""
     def run(x: pa.Array) -> pa.Array:
-        return pa.array([model(path, 1.0).processor.decode(i or []) for i in x.to_pylist()], pa.string())
+        return pa.array([model(path, 1.0).text(i or []) for i in x.to_pylist()], pa.string())
     return F.arrow_udf(run, "string")(ids)
 
 
