@@ -365,13 +365,15 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     back = spread.groupBy("shard").applyInArrow(
         shared_shingles(shards), "bucket long, shard long, head binary, low binary, high binary, rank binary")
     sets = written(back.groupBy("bucket").applyInArrow(survivors, "cls long, n int, tokens binary"))
-    root = components(class_links(sets))
-    tied = own.join(root.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "doc_id", "version", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("group"))
-    least = tied.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return tied.join(least, "group", "left").select(
-        "doc_id", "version", "n_shingles", "group",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    root = components(class_links(sets)).withColumnRenamed("node", "cls")
+    least = own.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(root, "cls", "left").withColumn(
+        "group", F.coalesce("root", "cls"))
+    whole = least.groupBy("group").agg(F.min("least").alias("component_id"))
+    # A table, so that both sides of the join by class are exchanges and a hot class can be split.
+    of_class = written(least.join(whole, "group").select("cls", "group", "component_id"))
+    return own.join(of_class, "cls", "left").select(
+        "doc_id", "version", F.col("n").alias("n_shingles"), "group",
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
