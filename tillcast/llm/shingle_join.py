@@ -45,10 +45,10 @@ from tillcast.llm.shared import columns, fresh, ship, table, written
 from tillcast.llm.textbuf import LOWER, Chunk, chunks, mix, windows
 
 WORDS = 5
-SHARD = 4_000_000
-BLOCK = 2_000_000
+SHARD = 2_000_000
+BLOCK = 1_000_000
 #: Shingles of a task that are sent on at once, and texts of a chunk (12 bits beside 52 of a shingle).
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 ROWS = 4096
 BITS = np.uint64(52)
 MASK = np.uint64((1 << 52) - 1)
