@@ -4,9 +4,10 @@ Everything here returns a ``Column`` built from Spark built-ins, so it stays
 inside whole-stage codegen. The rules follow pandas semantics where the
 results must agree:
 
-* rounding to n places is half-to-even (pandas/NumPy ``round``), taken on
-  the decimal value so that summation-order noise cannot flip a tie;
-  ``F.round`` rounds half-up and differs on ties;
+* rounding to n places is NumPy's ``rint(x * 10**n) / 10**n`` at every magnitude
+  (``F.round`` rounds half-up and differs on ties); sums that are rounded
+  afterwards are taken in decimals first (:func:`exact_sum`), so that the order
+  of a sum cannot flip a tie;
 * ``x != 0`` keeps missing values (pandas compares NaN as unequal);
 * division by zero gives NULL instead of raising under ANSI mode.
 """
@@ -26,25 +27,30 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Values are treated as decimals with at most this many places: float noise
-# below it (from summation order) is removed before rounding, so a decimal tie
-# such as 845.615 rounds the same way whatever order the sum was taken in.
-SNAP_PLACES = 9
+def round_half_even(c, places: int = 2) -> Column:
+    """F1 at any number of places: ``rint(x * 10**places) / 10**places``."""
+    scale = F.lit(float(10 ** places))
+    return F.rint(_col(c) * scale) / scale
 
 
-def round_half_even(c, places: int = 2) -> Column:
-    """Round half to even at ``places`` decimals on the decimal value of ``c``.
+# Decimal types of the terms of exact sums (money, and means of it).
+MONEY = "decimal(24,6)"
+MEAN_OF_MONEY = "decimal(24,10)"
+
+
+def exact_sum(c, kind: str = MONEY) -> Column:
+    """Sum of decimals, as double: the same value in any order of the rows."""
+    return F.sum(_col(c).cast(kind)).cast("double")
+
 
-    ``x`` becomes a ``decimal(18, 9)`` (18 digits keep Spark's decimal in a
-    long, inside generated code) and ``bround`` rounds that decimal half to
-    even. ``x`` is referenced only here and in the fallback, so nested
-    roundings stay small after Catalyst inlines them. Beyond 1e9 in magnitude
-    the cast yields NULL and plain ``rint(x * 10**places) / 10**places`` is used.
-    """
-    x = _col(c)
-    exact = F.bround(x.try_cast(f"decimal(18,{SNAP_PLACES})"), places).cast("double")
-    scale = float(10 ** places)
-    return F.coalesce(exact, F.rint(x * F.lit(scale)) / F.lit(scale))
+def exact_avg(c, kind: str = MONEY) -> Column:
+    """Mean of the values that are not NULL, with an exact sum."""
+    return safe_div(exact_sum(c, kind), F.count(_col(c)))
+
+
+def line_weight(df) -> Column:
+    """How many equal order lines a row stands for: ``lines`` if there, else 1."""
+    return F.col("lines") if "lines" in df.columns else F.lit(1)
 
 
 def round2(c) -> Column:
@@ -148,11 +154,3 @@ def gaussian_pair(*parts) -> tuple[Column, Column]:
     def box_muller(u1, u2):
         return F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - u1)) * F.cos(F.lit(2 * math.pi) * u2)
     return box_muller(u[0], u[1]), box_muller(u[2], u[3])
-
-
-def gaussian(*parts) -> Column:
-    """T5: standard normal by Box-Muller on two uniforms taken from one md5 of
-    ``parts`` (hex digits 1-13 and 14-26). ``1 - u`` keeps the log argument in (0, 1]."""
-    h = md5_hex(*parts)
-    u1, u2 = _hex_fraction(h, 1), _hex_fraction(h, 14)
-    return F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - u1)) * F.cos(F.lit(2 * math.pi) * u2)

@@ -17,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.functions import (iso_week, month_day, round2, safe_div, week_of_month_eda,
-                                weekday_mon1)
+from tillcast.functions import (MEAN_OF_MONEY, exact_sum, iso_week, line_weight, month_day,
+                                round2, safe_div, week_of_month_eda, weekday_mon1)
+from tillcast.operators.prepare import spread_join
 
 ITEM = ["split", "itemID"]
 DAY = ["split", "itemID", "date"]
@@ -30,13 +31,14 @@ def _item_window(keys=ITEM) -> Window:
 
 def day_totals(txn: DataFrame, keys=DAY) -> DataFrame:
     """(split, item, day) totals: units, value, min/max/mean line price, lines."""
+    n, price = line_weight(txn), F.col("salesPrice")
     return txn.groupBy(*keys).agg(
-        F.sum("order").cast("long").alias("qty_sold"),
-        F.coalesce(F.sum(F.col("order") * F.col("salesPrice")), F.lit(0.0)).alias("sales_value"),
+        F.sum(F.col("order") * n).cast("long").alias("qty_sold"),
+        F.coalesce(exact_sum(F.col("order") * price * n), F.lit(0.0)).alias("sales_value"),
         F.min("salesPrice").alias("dayMinPrice"),
         F.max("salesPrice").alias("dayMaxPrice"),
-        F.avg("salesPrice").alias("dayMeanPrice"),
-        F.count("*").alias("n_lines"))
+        safe_div(exact_sum(price * n), F.sum(F.when(price.isNotNull(), n))).alias("dayMeanPrice"),
+        F.sum(n).cast("long").alias("n_lines"))
 
 
 def item_partitions(df: DataFrame) -> int:
@@ -78,7 +80,8 @@ def daily_sales(txn: DataFrame, median_disc: DataFrame | None = None,
            .withColumn("PricePerEachToday", round2(safe_div(F.col("sales_value"),
                                                            F.col("qty_sold"))))
            .withColumn("PriceToday", today)
-           .withColumn("Price", round2(F.avg(today).over(w))))
+           .withColumn("Price", round2(safe_div(
+               F.sum(today.cast(MEAN_OF_MONEY)).over(w).cast("double"), F.count(today).over(w)))))
     if median_disc is not None:
         out = out.join(median_disc.select("itemID", "medianDiscPerc"), "itemID", "left")
     else:
@@ -96,9 +99,11 @@ def eda_daily(txn: DataFrame) -> DataFrame:
 
     ``txn`` is the exploration input: positive prices, no split.
     """
+    n = line_weight(txn)
+    each = safe_div(F.col("salesPrice"), F.col("order"))
     day = txn.groupBy("date", "itemID").agg(
-        F.sum("order").cast("long").alias("order"),
-        F.avg(safe_div(F.col("salesPrice"), F.col("order"))).alias("weightedAveragePrice"),
+        F.sum(F.col("order") * n).cast("long").alias("order"),
+        safe_div(F.sum(each * n), F.sum(F.when(each.isNotNull(), n))).alias("weightedAveragePrice"),
         F.min("salesPrice").alias("_min"), F.max("salesPrice").alias("_max"))
     w = Window.partitionBy("itemID")
     flag = F.coalesce(F.col("_min") < F.max("_max").over(w), F.lit(False))
@@ -126,15 +131,15 @@ def eda_results(txn: DataFrame, items: DataFrame) -> DataFrame:
 def price_level_days(txn: DataFrame) -> DataFrame:
     """(split, item, day, price) units and line counts, with the line promotion flag.
 
-    The flag compares the price with the item maximum, a window over this
-    grain (days x price levels per item), so no line-level join is needed.
+    The flag compares the price with the item maximum, a grouped maximum
+    joined to this grain (days x price levels per item).
     """
+    n = line_weight(txn)
     lvl = txn.groupBy("split", "itemID", "date", "salesPrice").agg(
-        F.sum("order").cast("long").alias("units"), F.count("*").alias("lines"))
-    w = _item_window()
-    return lvl.withColumn(
-        "promotion", F.coalesce((F.col("salesPrice") < F.max("salesPrice").over(w)).cast("int"),
-                                F.lit(0)))
+        F.sum(F.col("order") * n).cast("long").alias("units"), F.sum(n).cast("long").alias("lines"))
+    top = lvl.groupBy(*ITEM).agg(F.max("salesPrice").alias("_top"))
+    return spread_join(lvl, top, ITEM).withColumn(
+        "promotion", F.coalesce((F.col("salesPrice") < F.col("_top")).cast("int"), F.lit(0))).drop("_top")
 
 
 def units_by_promotion_day(txn: DataFrame) -> DataFrame:
@@ -197,12 +202,3 @@ def per_line_by_promotion(levels: DataFrame) -> DataFrame:
         (F.sum("value") / F.sum("lines")).alias("revenue_per_row"),
         (F.sum("units") / F.sum("lines")).alias("units_per_row"),
         F.sum("lines").alias("n_rows"))
-
-
-def eda_line_promotion(txn: DataFrame) -> DataFrame:
-    """Order lines with the whole-period promotion flag of the exploration (W1, no split)."""
-    mx = txn.groupBy("itemID").agg(F.max("salesPrice").alias("_item_max"))
-    return (txn.join(mx, "itemID", "left")
-            .withColumn("in_promotion", F.coalesce(F.col("salesPrice") < F.col("_item_max"),
-                                                   F.lit(False)))
-            .drop("_item_max"))

@@ -150,10 +150,6 @@ def date_field_columns(date: str = "date") -> list[Column]:
             week_of_month_calendar(date).alias("weekOfMonth")]
 
 
-def add_date_fields(df: DataFrame, date: str = "date") -> DataFrame:
-    return df.select("*", *date_field_columns(date))
-
-
 # Seeds of the two noise columns, per split.
 NOISE_SEEDS = {"train": (22, 66), "test": (23, 67)}
 

@@ -8,10 +8,10 @@ never derived from the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillcast.functions import is_nonzero, round2
+from tillcast.functions import MEAN_OF_MONEY, exact_avg, exact_sum, is_nonzero, line_weight, round2
 from tillcast.sources.fixtures import Calendar
 
 ITEM = ["split", "itemID"]
@@ -64,8 +64,8 @@ def dense_grid(daily: DataFrame, cal: Calendar, items: DataFrame | None = None,
         F.map_from_entries(F.collect_list(F.struct("date", measures))).alias("_days"),
         *[F.max(c).alias(c) for c in ("maxItemPrice", "minItemPrice", "Price",
                                        "medianDiscPerc")],
-        F.avg(F.when(sale_day, F.col("PricePerEachToday"))).alias("_ppe_fill"),
-        F.avg(F.when(sale_day, F.col("PriceToday"))).alias("_today_fill"))
+        exact_avg(F.when(sale_day, F.col("PricePerEachToday")), MEAN_OF_MONEY).alias("_ppe_fill"),
+        exact_avg(F.when(sale_day, F.col("PriceToday")), MEAN_OF_MONEY).alias("_today_fill"))
     extra = list(item_columns)
     if items is not None and extra:
         per_item = per_item.join(items.select("itemID", *extra), "itemID", "left")
@@ -92,9 +92,10 @@ def date_item_matrix(txn: DataFrame, cal: Calendar) -> DataFrame:
     calendar for every item sold, gaps 0. Built like :func:`dense_grid`: one
     bounded map of sold days per item, expanded in place. Wide pivots are left
     to the caller for a short, given list of items (:func:`wide_matrix`)."""
+    n = line_weight(txn)
     day = txn.groupBy("itemID", "date").agg(
-        F.sum("order").cast("long").alias("total_orders"),
-        F.coalesce(F.sum(F.col("order") * F.col("salesPrice")), F.lit(0.0))
+        F.sum(F.col("order") * n).cast("long").alias("total_orders"),
+        F.coalesce(exact_sum(F.col("order") * F.col("salesPrice") * n), F.lit(0.0))
         .alias("total_values"))
     day = day.repartition(int(txn.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                           "itemID")
@@ -115,3 +116,13 @@ def wide_matrix(matrix: DataFrame, item_ids, value: str = "total_orders") -> Dat
     ids = list(item_ids)
     return (matrix.where(F.col("itemID").isin(ids)).groupBy("date")
             .pivot("itemID", ids).agg(F.sum(value)).fillna(0))
+
+
+def wide_by_rank(matrix: DataFrame, top: DataFrame, k: int, value: str = "total_orders") -> DataFrame:
+    """Wide report of the items of ``top`` (itemID, count; at most k rows): one row per date,
+    columns item_1 .. item_k by falling count (tie: itemID)."""
+    rank = F.row_number().over(Window.orderBy(F.desc("count"), "itemID"))  # k rows
+    of = matrix.join(F.broadcast(top.select("itemID", rank.alias("_r"))), "itemID")
+    return of.groupBy("date").agg(*[
+        F.sum(F.when(F.col("_r") == r, F.col(value)).otherwise(0)).cast("long").alias(f"item_{r}")
+        for r in range(1, k + 1)])

@@ -1,10 +1,11 @@
 """Transaction preparation: split, cleaning, promotion flags, prices and discounts.
 
 Scale rule for this module: a single item may hold a third of all order lines,
-so nothing here partitions raw order lines by item alone. Item-level facts are
-grouped aggregates (partial aggregation before the shuffle) joined back on the
-item key, where AQE splits a skewed join partition; running statistics over an
-item's lines are split into time buckets first (see :func:`running_max_promotion`).
+so nothing here partitions order lines by item alone. Equal lines are counted
+first (:func:`line_kinds`; every function takes rows with or without ``lines``), item-level
+facts are grouped aggregates, and they are joined back by :func:`spread_join`, which deals an
+item's rows to several places; running statistics over an item's lines are taken
+over distinct times, in buckets (see :func:`running_max_promotion`).
 """
 
 from __future__ import annotations
@@ -12,11 +13,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.functions import (discount_amount, discount_share, is_nonzero, round2,
-                                safe_div)
+from tillcast.functions import (discount_amount, discount_share, exact_sum,
+                                is_nonzero, line_weight, round2, safe_div)
 from tillcast.sources.fixtures import Calendar
 
 ITEM = ["split", "itemID"]
+#: Places that the rows of one key are dealt to in a join with one row per key.
+SPREAD = 16
+
+
+def line_kinds(txn: DataFrame) -> DataFrame:
+    """Equal order lines as one row with their number, ``lines``."""
+    return txn.groupBy(*txn.columns).agg(F.count("*").alias("lines"))
+
+
+def single_lines(kinds: DataFrame) -> DataFrame:
+    """The order lines one by one again."""
+    if "lines" not in kinds.columns:
+        return kinds
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("lines")))
+    return kinds.select(*[c for c in kinds.columns if c != "lines"], copies.alias("_copy")).drop("_copy")
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys, how: str = "left") -> DataFrame:
+    """Join rows with one row of facts per key, where a key may hold a third of the rows.
+
+    A row goes to one of ``SPREAD`` places of its key by a hash of the row, and the facts
+    to all of them. As the join is not by the key alone, whatever aggregates its
+    result by key has an exchange of its own (with partial sums before it), and adaptive
+    execution may split a hot place further. Spark broadcasts the facts if their measured
+    size allows it.
+    """
+    placed = rows.withColumn("_place", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)))
+    every = facts.withColumn("_place", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return placed.join(every, [*keys, "_place"], how).drop("_place")
 
 
 # --- P1-P5 -------------------------------------------------------------------
@@ -63,12 +94,10 @@ def enrich_transactions(txn: DataFrame, keys=ITEM) -> DataFrame:
     """Order lines with item max/min price, promotion flag and discount.
 
     ``promotion`` is 1 when the line price is below the item's maximum over the
-    whole split. The item statistics are one row per item and are joined back
-    by key; Spark broadcasts them only when their measured size is under the
-    broadcast threshold, and AQE splits a hot item's join partition otherwise.
+    whole split. The item statistics are one row per item, joined back by
+    :func:`spread_join`.
     """
-    stats = item_price_stats(txn, keys)
-    out = txn.join(stats, list(keys), "left")
+    out = spread_join(txn, item_price_stats(txn, keys), keys)
     amount = discount_amount("maxPrice", "salesPrice")
     return (out
             .withColumn("promotion",
@@ -86,14 +115,15 @@ def price_levels(txn: DataFrame, keys=ITEM) -> DataFrame:
     item (promotion share, discount histogram and extremes, per-transaction
     means) can be computed from this grain, with line counts as weights,
     instead of joining each line to its item: a partial aggregate, then a
-    window over the price levels of one item.
+    join of the price levels with their item's maximum.
     """
+    n = line_weight(txn)
     lv = txn.groupBy(*keys, "salesPrice").agg(
-        F.sum("order").cast("long").alias("units"),
-        F.coalesce(F.sum(F.col("order") * F.col("salesPrice")), F.lit(0.0)).alias("value"),
-        F.count("*").alias("lines"))
-    w = Window.partitionBy(*keys)
-    return (lv.withColumn("maxPrice", F.max("salesPrice").over(w))
+        F.sum(F.col("order") * n).cast("long").alias("units"),
+        F.coalesce(exact_sum(F.col("order") * F.col("salesPrice") * n), F.lit(0.0)).alias("value"),
+        F.sum(n).cast("long").alias("lines"))
+    top = lv.groupBy(*keys).agg(F.max("salesPrice").alias("maxPrice"))
+    return (spread_join(lv, top, keys)
             .withColumn("promotion",
                         F.coalesce((F.col("salesPrice") < F.col("maxPrice")).cast("int"),
                                    F.lit(0)))
@@ -108,33 +138,33 @@ def running_max_promotion(txn: DataFrame, keys=ITEM, bucket: str = "minute") ->
     including the line's own time (lines with equal times are peers, so the
     result does not depend on file order).
 
-    A plain window over an item's lines would put all lines of a hot item into
-    one task. Instead lines are cut into ``bucket`` time slices: the maximum of
-    each (item, slice) is a partial aggregate, the maximum of all earlier slices
-    is a window over slice rows (a bounded number per item), and only one slice
-    of one item is ordered in a task.
+    The maximum of each (item, time) is a partial aggregate; all windows run over these
+    distinct times. They are cut into ``bucket`` slices: the maximum of all earlier slices
+    is a window over slice rows, and only the times of one slice of one item are ordered
+    in a task. The result is joined back to the lines by item and time, with no window above.
     """
-    with_bucket = txn.withColumn("_bucket", F.date_trunc(bucket, F.col("time")))
-    bkeys = list(keys) + ["_bucket"]
-    per_bucket = with_bucket.groupBy(*bkeys).agg(F.max("salesPrice").alias("_bmax"))
+    at = [*keys, "time"]
+    per_time = txn.groupBy(*at).agg(F.max("salesPrice").alias("_tmax")).withColumn(
+        "_bucket", F.date_trunc(bucket, F.col("time")))
+    bkeys = [*keys, "_bucket"]
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
-    prefix = per_bucket.select(*bkeys, F.max("_bmax").over(before).alias("_prev_max"))
-    within = Window.partitionBy(*bkeys).orderBy("time").rangeBetween(
+    slices = per_time.groupBy(*bkeys).agg(F.max("_tmax").alias("_bmax")).select(
+        *bkeys, F.max("_bmax").over(before).alias("_prev_max"))
+    within = Window.partitionBy(*bkeys).orderBy("time").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    running = F.greatest(F.col("_prev_max"), F.max("salesPrice").over(within))
-    return (with_bucket.join(prefix, bkeys, "left")
-            .withColumn("runningMaxPrice", running)
+    running = per_time.withColumn("_in", F.max("_tmax").over(within)).join(slices, bkeys, "left").select(
+        *at, F.greatest("_prev_max", "_in").alias("runningMaxPrice"))
+    return (spread_join(txn, running, at)
             .withColumn("in_promotion_hist",
                         F.coalesce((F.col("salesPrice") < F.col("runningMaxPrice")).cast("int"),
-                                   F.lit(0)))
-            .drop("_bucket", "_prev_max"))
+                                   F.lit(0))))
 
 
 def promotion_vs_retail_price(txn: DataFrame, items: DataFrame) -> DataFrame:
     """``in_promotion_rrp`` = price below the item's recommended retail price."""
     rrp = items.select("itemID", "recommendedRetailPrice")
-    return (txn.join(rrp, "itemID", "left")
+    return (spread_join(txn, rrp, ["itemID"])
             .withColumn("in_promotion_rrp",
                         F.coalesce((F.col("salesPrice") < F.col("recommendedRetailPrice"))
                                    .cast("int"), F.lit(0))))
@@ -150,9 +180,8 @@ def median_discount(train_txn: DataFrame) -> DataFrame:
     that stays small however many lines a hot item has.
     """
     prices = train_txn.select("itemID", "salesPrice").distinct()
-    item_max = Window.partitionBy("itemID")
-    levels = (prices
-              .withColumn("maxPrice", F.max("salesPrice").over(item_max))
+    top = prices.groupBy("itemID").agg(F.max("salesPrice").alias("maxPrice"))
+    levels = (spread_join(prices, top, ["itemID"])
               .withColumn("discountAmount", discount_amount("maxPrice", "salesPrice"))
               .withColumn("discountPerc", discount_share(F.col("discountAmount"), "maxPrice"))
               .where(is_nonzero("discountAmount"))
@@ -207,9 +236,13 @@ def several_price_share(txn: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def mean_median_gap(txn: DataFrame) -> DataFrame:
-    """Per item mean and median price, absolute and % gap, all rounded to 2."""
-    stats = txn.groupBy("itemID").agg(F.avg("salesPrice").alias("mean_price"),
-                                      F.median("salesPrice").alias("median_price"))
+    """Per item mean and median price, absolute and % gap, all rounded to 2, from
+    price levels with line counts (the median's buffer is an item's distinct prices)."""
+    levels = txn.groupBy("itemID", "salesPrice").agg(F.sum(line_weight(txn)).cast("long").alias("n"))
+    known = F.when(F.col("salesPrice").isNotNull(), F.col("n"))
+    stats = levels.groupBy("itemID").agg(
+        safe_div(exact_sum(F.col("salesPrice") * F.col("n")), F.sum(known)).alias("mean_price"),
+        F.percentile("salesPrice", F.lit(0.5), F.col("n")).alias("median_price"))
     diff = F.abs(F.col("mean_price") - F.col("median_price"))
     pct = F.abs(safe_div(diff, F.col("median_price"))) * 100
     return stats.select("itemID", round2("mean_price").alias("mean_price"),

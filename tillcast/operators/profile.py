@@ -14,20 +14,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.functions import is_nonzero, md5_uniform, round2, safe_div
+from tillcast.functions import (exact_sum, is_nonzero, line_weight, md5_uniform, round2,
+                                safe_div)
 from tillcast.operators.features import rolling_mean_current
+from tillcast.operators.prepare import spread_join
 
 
 def _value(txn: DataFrame) -> Column:
-    return F.col("order") * F.col("salesPrice")
+    return F.col("order") * F.col("salesPrice") * line_weight(txn)
 
 
 # --- A15, A16, A18, A22, A23, A24, A28, A29 -------------------------------------------
 
 def totals_per_day(txn: DataFrame) -> DataFrame:
     """Units and value per day."""
-    return txn.groupBy("date").agg(F.sum("order").cast("long").alias("total_orders"),
-                                   F.coalesce(F.sum(_value(txn)), F.lit(0.0))
+    return txn.groupBy("date").agg(F.sum(F.col("order") * line_weight(txn)).cast("long").alias("total_orders"),
+                                   F.coalesce(exact_sum(_value(txn)), F.lit(0.0))
                                    .alias("total_values"))
 
 
@@ -36,13 +38,13 @@ def totals_per_item(levels: DataFrame) -> DataFrame:
     from price levels (:func:`prepare.price_levels` with keys ``["itemID"]``)."""
     return levels.groupBy("itemID").agg(
         F.sum("units").cast("long").alias("order"),
-        F.sum("value").alias("value"),
+        exact_sum("value").alias("value"),
         F.bool_or(F.col("promotion") == 1).alias("in_promotion"))
 
 
 def value_counts(df: DataFrame, col: str = "itemID") -> DataFrame:
     """Rows per value, most frequent first (ties by value)."""
-    return df.groupBy(col).agg(F.count("*").alias("count")).orderBy(F.desc("count"), col)
+    return df.groupBy(col).agg(F.sum(line_weight(df)).cast("long").alias("count")).orderBy(F.desc("count"), col)
 
 
 def sale_day_profile(matrix: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def sale_day_profile(matrix: DataFrame) -> DataFrame:
     exact ties whatever order the sum was taken in (rankings break ties by item).
     """
     p = matrix.groupBy("itemID").agg(
-        round2(F.sum("total_values")).alias("total_value"),
+        round2(exact_sum("total_values")).alias("total_value"),
         F.count_if(is_nonzero("total_values")).alias("n_sale_days"))
     return p.withColumn("avg_value_sale_day", safe_div(F.col("total_value"),
                                                        F.col("n_sale_days")))
@@ -88,8 +90,9 @@ def distinct_items(txn: DataFrame) -> DataFrame:
 
 def zero_price_share(txn: DataFrame) -> DataFrame:
     """% of lines with price 0."""
-    return txn.agg((F.avg((F.col("salesPrice") == 0).cast("double")) * 100)
-                   .alias("zero_price_pct"))
+    n, price = line_weight(txn), F.col("salesPrice")
+    return txn.agg((safe_div(F.sum(F.when(price == 0, n).when(price.isNotNull(), 0)),
+                             F.sum(F.when(price.isNotNull(), n))) * 100).alias("zero_price_pct"))
 
 
 # --- A19, A20 (J4) ----------------------------------------------------------------------
@@ -107,12 +110,12 @@ def lost_revenue_share(split_txn: DataFrame) -> DataFrame:
 
     Revenue is summed per item first (partial aggregate), so the lost-item flag
     is joined at item grain, not to every line."""
-    per_item = split_txn.groupBy("itemID").agg(F.sum(_value(split_txn)).alias("_rev"))
+    per_item = split_txn.groupBy("itemID").agg(exact_sum(_value(split_txn)).alias("_rev"))
     flagged = per_item.join(lost_items(split_txn), "itemID", "left")
     lost = F.col("will_be_lost") == "yes"
     return flagged.agg(
         F.count_if(lost).alias("n_lost_items"),
-        round2(safe_div(F.sum(F.when(lost, F.col("_rev"))), F.sum("_rev")) * 100)
+        round2(safe_div(exact_sum(F.when(lost, F.col("_rev"))), exact_sum("_rev")) * 100)
         .alias("lost_revenue_pct"))
 
 
@@ -161,13 +164,13 @@ def histogram_per_item(df: DataFrame, col: str = "salesPrice", bins: int = 10,
     """Histogram within each item (its own min..max), counts per (item, bin).
 
     Rows are first counted per (item, value), a partial aggregate; the item's
-    min and max are windows over its distinct values, so a hot item's rows
+    min and max are grouped and joined back, so a hot item's rows or values
     never meet in one task.
     """
-    lv = (df.select(key, F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-          .groupBy(key, "x").agg(F.count("*").alias("n")))
-    w = Window.partitionBy(key)
-    b = lv.withColumn("bin", _bucket(F.col("x"), F.min("x").over(w), F.max("x").over(w), bins))
+    lv = (df.select(key, F.col(col).cast("double").alias("x"), line_weight(df).alias("w"))
+          .where(F.col("x").isNotNull()).groupBy(key, "x").agg(F.sum("w").cast("long").alias("n")))
+    ends = lv.groupBy(key).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    b = spread_join(lv, ends, [key]).withColumn("bin", _bucket(F.col("x"), F.col("_lo"), F.col("_hi"), bins))
     return b.groupBy(key, "bin").agg(F.sum("n").alias("count"))
 
 
@@ -245,56 +248,79 @@ def preview(df: DataFrame, n: int = 10) -> DataFrame:
     return df.orderBy(*df.columns).limit(n)
 
 
-def seeded_sample(df: DataFrame, n: int, seed: int, key: str = "itemID") -> DataFrame:
-    """``n`` rows chosen by the md5 of (key, seed): the same rows on any
-    partitioning and in any engine with md5. A top-n, so only n rows per task
-    travel to the final merge."""
-    u = md5_uniform(F.col(key), F.lit(seed))
-    return df.withColumn("_u", u).orderBy("_u", key).limit(n).drop("_u")
+def seeded_sample(df: DataFrame, n: int, seed: int, key=("itemID",)) -> DataFrame:
+    """``n`` rows chosen by the md5 of (key, seed), where ``key`` tells the rows
+    apart: the same rows on any partitioning and in any engine with md5. A
+    top-n, so only n rows per task travel to the final merge."""
+    u = md5_uniform(*key, F.lit(seed))
+    return df.withColumn("_u", u).orderBy("_u", *key).limit(n).drop("_u")
+
+
+def line_key() -> list[Column]:
+    """Item, time and price in cents of an order line as text parts that any engine writes alike."""
+    return [F.col("itemID"), F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+            F.rint(F.col("salesPrice") * 100).cast("long")]
 
 
 def sample_items(df: DataFrame, n: int, seed: int, key: str = "itemID") -> DataFrame:
     """O4 + P15: ``n`` distinct keys chosen by seeded md5."""
-    return seeded_sample(df.select(key).distinct(), n, seed, key)
+    return seeded_sample(df.select(key).distinct(), n, seed, (key,))
 
 
 # --- Q1-Q8 ---------------------------------------------------------------------------------
 
+#: Ranges of distinct values per column in the numeric summary.
+RANGES = 64
+
+
 def numeric_summary(df: DataFrame, cols=None, qs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Q1: count, mean, std, min, quartiles (exact, linear interpolation), max per
     numeric column, one row per column.
 
-    The columns are stacked as (column, x) rows: one grouped aggregate gives the
-    moments, one distributed sort by (column, x) numbers the values
-    (:func:`global_order`), and a table with one row per column (its start
-    position) turns global positions into positions within the column. Only the
-    neighbours of each quantile position are kept for the final aggregate.
+    The columns are stacked as (column, x) and counted per distinct value, a
+    partial aggregate; everything after works on distinct values with their
+    counts. Values are cut into ``RANGES`` ranges of each column, whose counts give
+    every range its start; only the ranges that hold a quantile's neighbours are
+    then numbered value by value. ``RANGES`` are equal steps between quantile marks
+    of a sketch, so a range holds few distinct values whatever their distribution.
     """
     numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
-    cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, numeric)]
+    cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, numeric) and f.name != "lines"]
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
                       for c in cols])
-    stacked = df.select(F.inline(cells))
-    base = stacked.groupBy("column").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"))
-    # start of each column in the global order: one row per column
-    before = Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)
-    starts = base.select("column", "count",
-                         F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    ranked = global_order(stacked.where(F.col("x").isNotNull()), ["column", "x"]).join(
-        F.broadcast(starts), "column")
-    pos = F.col("position") - F.col("_start")
-    keep = F.lit(False)
+    counts = (df.select(F.inline(cells), line_weight(df).cast("long").alias("w"))
+              if "lines" in df.columns else df.select(F.inline(cells)).withColumn("w", F.lit(1).cast("long")))
+    counts = counts.where(F.col("x").isNotNull()).groupBy("column", "x").agg(F.sum("w").alias("n"))
+    means = counts.groupBy("column").agg(
+        F.sum("n").alias("count"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min("x").alias("min"), F.max("x").alias("max"),
+        F.percentile_approx("x", [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("_marks"))
+    # one row per column: bounded by the schema
+    marked = counts.join(F.broadcast(means), "column")
+    square = F.sum(F.col("n") * (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean")))
+    base = marked.groupBy("column", "count", "mean", "min", "max").agg(
+        F.sqrt(safe_div(square, F.when(F.col("count") > 1, F.col("count") - 1))).alias("std"))
+    ranged = marked.withColumn("_range", F.size(F.filter("_marks", lambda m: m < F.col("x"))))
+    before = Window.partitionBy("column").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("column", "count", "_range").agg(F.sum("n").alias("_n")).withColumn(
+        "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    wanted = F.lit(False)
+    for q in qs:
+        p = F.lit(q) * (F.col("count") - 1)
+        wanted = wanted | ((F.floor(p) + 1 <= F.col("_start") + F.col("_n")) & (F.ceil(p) + 1 > F.col("_start")))
+    # at most two ranges per quantile and column
+    inside = Window.partitionBy("column", "_range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (ranged.join(F.broadcast(starts.where(wanted).select("column", "_range", "_start")), ["column", "_range"])
+              .withColumn("_to", F.col("_start") + F.sum("n").over(inside)))
+    first, last = F.col("_to") - F.col("n") + 1, F.col("_to")
     parts = []
     for q in qs:
         p = F.lit(q) * (F.col("count") - 1)
         lo, hi, frac = F.floor(p) + 1, F.ceil(p) + 1, p - F.floor(p)
-        keep = keep | (pos == lo) | (pos == hi)
-        term = (F.when(pos == lo, F.col("x") * (F.lit(1.0) - frac)).otherwise(0.0)
-                + F.when(pos == hi, F.col("x") * frac).otherwise(0.0))
+        term = (F.when((first <= lo) & (lo <= last), F.col("x") * (F.lit(1.0) - frac)).otherwise(0.0)
+                + F.when((first <= hi) & (hi <= last), F.col("x") * frac).otherwise(0.0))
         parts.append(F.sum(term).alias(f"p{int(round(q * 100))}"))
-    quant = ranked.where(keep).groupBy("column").agg(*parts)
+    quant = ranked.groupBy("column").agg(*parts)
     return base.join(quant, "column", "left").select(
         "column", "count", "mean", "std", "min", *[f"p{int(round(q * 100))}" for q in qs], "max")
 
@@ -345,13 +371,13 @@ def referential_check(infos: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def reconciliation(txn: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Q6: items whose line total differs from the matrix total beyond
-    ``1e-8 + 1e-9 * |matrix|``; empty when consistent."""
-    a = txn.groupBy("itemID").agg(F.coalesce(F.sum(_value(txn)), F.lit(0.0)).alias("s1"))
-    b = matrix.groupBy("itemID").agg(F.sum("total_values").alias("s2"))
-    j = a.join(b, "itemID", "full_outer")
+    """Q6: per item the line total, the matrix total, and whether they agree within
+    ``1e-8 + 1e-9 * |matrix|``."""
+    a = txn.groupBy("itemID").agg(F.coalesce(exact_sum(_value(txn)), F.lit(0.0)).alias("s1"))
+    b = matrix.groupBy("itemID").agg(exact_sum("total_values").alias("s2"))
     s1, s2 = F.coalesce("s1", F.lit(0.0)), F.coalesce("s2", F.lit(0.0))
-    return j.where(F.abs(s1 - s2) > F.lit(1e-8) + F.lit(1e-9) * F.abs(s2))
+    return a.join(b, "itemID", "full_outer").withColumn(
+        "ok", F.abs(s1 - s2) <= F.lit(1e-8) + F.lit(1e-9) * F.abs(s2))
 
 
 def shape(df: DataFrame) -> DataFrame:

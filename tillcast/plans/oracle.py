@@ -14,17 +14,23 @@ from __future__ import annotations
 
 import math
 
-from tillcast.sources.fixtures import (EVENTS_CALENDAR, LINEITEM_CALENDAR, PROMO_ONE_DATE,
+from tillcast.sources.fixtures import (EVENTS_CALENDAR, LINEITEM_CALENDAR, LINEITEM_DAYS, PROMO_ONE_DATE,
                                        PROMO_TWO_DATES, ZERO_PRICE_EVERY, Calendar)
 
 
 def rn(x: str, places: int) -> str:
-    """SQL twin of ``round_half_even``: snap to 9 decimals, half-even in DECIMAL."""
-    snapped = (f"(CAST(round_even(({x}) * 1000000000.0, 0) AS DECIMAL(20,0)) "
-               f"* CAST(0.000000001 AS DECIMAL(10,9)))")
-    plain = f"(round_even(({x}) * {float(10 ** places)!r}, 0) / {float(10 ** places)!r})"
-    return (f"(CASE WHEN abs({x}) < 1000000000.0 "
-            f"THEN CAST(round_even({snapped}, {places}) AS DOUBLE) ELSE {plain} END)")
+    """SQL twin of ``round_half_even``."""
+    return f"(round_even(({x}) * {float(10 ** places)!r}, 0) / {float(10 ** places)!r})"
+
+
+def xsum(x: str, places: int = 6, over: str = "") -> str:
+    """SQL twin of ``exact_sum``."""
+    return f"CAST(sum(CAST({x} AS DECIMAL(24,{places}))) {over} AS DOUBLE)"
+
+
+def xavg(x: str, places: int = 6, over: str = "") -> str:
+    """SQL twin of ``exact_avg``."""
+    return f"({xsum(x, places, over)} / nullif(count({x}) {over}, 0))"
 
 
 def r2(x: str) -> str:
@@ -47,14 +53,15 @@ def div(a: str, b: str) -> str:
 
 # --- fixture views ----------------------------------------------------------------
 
-def lineitem_txn(cal: Calendar = LINEITEM_CALENDAR) -> str:
+def lineitem_txn(cal: Calendar | None = LINEITEM_CALENDAR) -> str:
+    inside = "" if cal is None else f"""
+  WHERE l_shipdate >= CAST({d(cal.train_start)} AS TIMESTAMP)
+    AND l_shipdate < CAST({d(cal.test_end)} + INTERVAL 1 DAY AS TIMESTAMP)"""
     return f"""txn AS (
   SELECT l_shipdate AS time, l_partkey AS itemID, CAST(l_quantity AS INT) AS "order",
          CASE WHEN l_orderkey % {ZERO_PRICE_EVERY} = 0 THEN CAST(0 AS DOUBLE)
               ELSE {r2('p_retailprice * (1 - l_discount)')} END AS salesPrice
-  FROM lineitem JOIN part ON l_partkey = p_partkey
-  WHERE l_shipdate >= CAST({d(cal.train_start)} AS TIMESTAMP)
-    AND l_shipdate < CAST({d(cal.test_end)} + INTERVAL 1 DAY AS TIMESTAMP))"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey{inside})"""
 
 
 LINEITEM_ITEMS = """items_v AS (
@@ -98,6 +105,7 @@ class SqlFixture:
 
 
 LINEITEM = SqlFixture(lineitem_txn(), LINEITEM_ITEMS, LINEITEM_INFOS, LINEITEM_CALENDAR)
+LINEITEM_ALL = SqlFixture(lineitem_txn(None), LINEITEM_ITEMS, LINEITEM_INFOS, LINEITEM_DAYS)
 EVENTS = SqlFixture(EVENTS_TXN, EVENTS_ITEMS, EVENTS_INFOS, EVENTS_CALENDAR)
 
 
@@ -137,15 +145,15 @@ def daily(price_basis: str = "price") -> str:
     today = "PriceTodayRaw" if price_basis == "price" else "sales_value"
     return f"""daily0 AS (
   SELECT split, date, itemID, CAST(sum("order") AS BIGINT) AS qty_sold,
-         coalesce(sum(orderValue), 0) AS sales_value, max(promotion) AS promotion,
+         coalesce({xsum('orderValue')}, 0) AS sales_value, max(promotion) AS promotion,
          max(maxPrice) AS maxItemPrice, max(minPrice) AS minItemPrice,
-         avg(salesPrice) AS PriceTodayRaw
+         {xavg('salesPrice')} AS PriceTodayRaw
   FROM lines GROUP BY split, date, itemID),
 daily AS (
   SELECT d.split, d.date, d.itemID, d.qty_sold, d.sales_value, d.promotion,
          d.maxItemPrice, d.minItemPrice,
          {r2(div('d.sales_value', 'd.qty_sold'))} AS PricePerEachToday,
-         {r2(f'avg(d.{today}) OVER (PARTITION BY d.split, d.itemID)')} AS Price,
+         {r2(xavg(f'd.{today}', 10, 'OVER (PARTITION BY d.split, d.itemID)'))} AS Price,
          d.{today} AS PriceToday, m.medianDiscPerc
   FROM daily0 d LEFT JOIN med m ON d.itemID = m.itemID)"""
 
@@ -170,9 +178,9 @@ grid AS (
          coalesce(d.promotion, 0) AS promotion,
          coalesce(d.maxItemPrice, max(d.maxItemPrice) OVER w) AS maxItemPrice,
          coalesce(d.minItemPrice, max(d.minItemPrice) OVER w) AS minItemPrice,
-         {r2(f'coalesce(d.PricePerEachToday, avg(CASE WHEN {sale} THEN d.PricePerEachToday END) OVER w)')} AS PricePerEachToday,
+         {r2(f"coalesce(d.PricePerEachToday, {xavg(f'CASE WHEN {sale} THEN d.PricePerEachToday END', 10, 'OVER w')})")} AS PricePerEachToday,
          coalesce(d.Price, max(d.Price) OVER w) AS Price,
-         {r2(f'coalesce(d.PriceToday, avg(CASE WHEN {sale} THEN d.PriceToday END) OVER w)')} AS PriceToday,
+         {r2(f"coalesce(d.PriceToday, {xavg(f'CASE WHEN {sale} THEN d.PriceToday END', 10, 'OVER w')})")} AS PriceToday,
          coalesce(d.medianDiscPerc, max(d.medianDiscPerc) OVER w) AS medianDiscPerc
   FROM grid0 g LEFT JOIN daily d ON g.split = d.split AND g.itemID = d.itemID AND g.date = d.date
   WINDOW w AS (PARTITION BY g.split, g.itemID))"""
@@ -196,12 +204,6 @@ def uniform(key_parts: list[str]) -> str:
     return hex_fraction(md5_key(key_parts), 1)
 
 
-def gaussian(key_parts: list[str]) -> str:
-    h = md5_key(key_parts)
-    u1, u2 = hex_fraction(h, 1), hex_fraction(h, 14)
-    return f"(sqrt({dbl(-2.0)} * ln({dbl(1.0)} - {u1})) * cos({dbl(2 * math.pi)} * {u2}))"
-
-
 def hex32(h: str, k: int) -> str:
     return (f"(CAST(CAST(('0x' || substr({h}, {1 + 8 * k}, 8)) AS BIGINT) AS DOUBLE) "
             f"/ {dbl(float(2 ** 32))})")

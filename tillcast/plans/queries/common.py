@@ -20,16 +20,25 @@ FEATURE_FUZZ = ("harmonic_0", "harmonic_1", "harmonic_2", "harmonic_3", "harmoni
                 ("sales_value_lag2", 2), ("sales_value_lag3", 2), ("sales_value_lag7", 2))
 
 
+DC = FX.LINEITEM_DAYS
+
+
 def _li(spark, sf):
-    return FX.transactions(spark, sf, LC)
+    """Order lines of the retail calendar, equal ones counted."""
+    return FX.transaction_kinds(spark, sf, LC)
 
 
 def _ev(spark, sf):
     return FX.event_transactions(spark, sf)
 
 
+def _every(spark, sf):
+    """All order lines, equal ones counted."""
+    return FX.transaction_kinds(spark, sf, None)
+
+
 def _prep(spark, sf):
-    return P.prepared_transactions(_li(spark, sf), LC)
+    return P.prepared_transactions(_every(spark, sf), DC)
 
 
 def _train(spark, sf):
@@ -38,11 +47,16 @@ def _train(spark, sf):
 
 def _eda_txn(spark, sf):
     """Exploration input: all orders with a positive price, with date."""
-    return P.positive_prices(P.add_split(_li(spark, sf), LC))
+    return P.positive_prices(P.add_split(_every(spark, sf), DC))
 
 
 def _all_txn(spark, sf):
     """All orders with date (no price filter), as in the matrix notebook."""
+    return P.add_split(_every(spark, sf), DC)
+
+
+def _split_txn(spark, sf):
+    """Orders of the retail calendar with its split."""
     return P.add_split(_li(spark, sf), LC)
 
 
@@ -66,20 +80,20 @@ res AS (
   FROM res0 r LEFT JOIN items_v i ON r.itemID = i.itemID)"""
 
 
-EDA_CTES = [O.LINEITEM.txn, O.LINEITEM.items, EDA_SQL]
-LINES_CTES = O.pipeline_ctes(O.LINEITEM, "lines")
+EDA_CTES = [O.LINEITEM_ALL.txn, O.LINEITEM_ALL.items, EDA_SQL]
+LINES_CTES = O.pipeline_ctes(O.LINEITEM_ALL, "lines")
 
 
 def _matrix(spark, sf):
     from tillcast.operators.grid import date_item_matrix
-    return date_item_matrix(_all_txn(spark, sf), LC)
+    return date_item_matrix(_all_txn(spark, sf), DC)
 
 
 MATRIX_SQL = f"""days AS (
-  SELECT CAST(unnest(generate_series({O.d(LC.train_start)}, {O.d(LC.test_end)}, INTERVAL 1 DAY)) AS DATE) AS date),
+  SELECT CAST(unnest(generate_series({O.d(DC.train_start)}, {O.d(DC.test_end)}, INTERVAL 1 DAY)) AS DATE) AS date),
 tday AS (
   SELECT itemID, CAST(time AS DATE) AS date, CAST(sum("order") AS BIGINT) AS total_orders,
-         coalesce(sum("order" * salesPrice), 0) AS total_values
+         coalesce({O.xsum('"order" * salesPrice')}, 0) AS total_values
   FROM txn GROUP BY itemID, CAST(time AS DATE)),
 matrix AS (
   SELECT k.itemID, d.date, coalesce(t.total_orders, 0) AS total_orders,
@@ -87,13 +101,13 @@ matrix AS (
   FROM (SELECT DISTINCT itemID FROM tday) k JOIN days d ON TRUE
   LEFT JOIN tday t ON t.itemID = k.itemID AND t.date = d.date),
 prof0 AS (
-  SELECT itemID, {O.r2('sum(total_values)')} AS total_value,
+  SELECT itemID, {O.r2(O.xsum('total_values'))} AS total_value,
          count(*) FILTER (WHERE total_values IS DISTINCT FROM 0) AS n_sale_days
   FROM matrix GROUP BY itemID),
 prof AS (SELECT *, total_value / nullif(n_sale_days, 0) AS avg_value_sale_day FROM prof0)"""
 
 
-MATRIX_CTES = [O.LINEITEM.txn, MATRIX_SQL]
+MATRIX_CTES = [O.LINEITEM_ALL.txn, MATRIX_SQL]
 
 
 def _profile(spark, sf):
@@ -104,10 +118,14 @@ def _res(spark, sf):
     return D.eda_results(_eda_txn(spark, sf), FX.items(spark, sf))
 
 
-SPLIT_SQL = f"""sp AS (
+def split_sql(cal):
+    return f"""sp AS (
   SELECT itemID, "order", salesPrice,
-         CASE WHEN CAST(time AS DATE) <= {O.d(LC.split_date)} THEN 'train' ELSE 'test' END AS split
-  FROM txn),
+         CASE WHEN CAST(time AS DATE) <= {O.d(cal.split_date)} THEN 'train' ELSE 'test' END AS split
+  FROM txn)"""
+
+
+SPLIT_SQL = f"""{split_sql(LC)},
 lost AS (SELECT DISTINCT itemID FROM sp WHERE split = 'test'
          AND itemID NOT IN (SELECT itemID FROM sp WHERE split = 'train'))"""
 

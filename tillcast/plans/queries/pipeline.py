@@ -66,6 +66,13 @@ def q_feature_table(spark, sf):
     return E1.feature_table(_li(spark, sf), FX.items(spark, sf), LC)
 
 
+@register("feature_table_revenue", O.with_(*O.pipeline_ctes(O.LINEITEM, "feat", "revenue"))
+          + f"SELECT {O.FEATURE_SELECT} FROM feat", fuzz=(*FEATURE_FUZZ, ("PriceToday", 2)), ops=("E1", "A1", "W5"))
+def q_feature_table_revenue(spark, sf):
+    """The feature table on the revenue basis for Price and PriceToday."""
+    return E1.feature_table(_li(spark, sf), FX.items(spark, sf), LC, price_basis="revenue")
+
+
 @register("feature_table_events", O.with_(*O.pipeline_ctes(O.EVENTS, "feat"))
           + f"SELECT {O.FEATURE_SELECT} FROM feat",
           fuzz=FEATURE_FUZZ, ops=("E1", "T3", "W6", "W7", "W8"))

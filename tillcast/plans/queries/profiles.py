@@ -11,8 +11,8 @@ from tillcast.plans import oracle as O
 from tillcast.plans.registry import register
 from tillcast.sources import fixtures as FX
 from tillcast.plans.queries.common import (
-    EC, EDA_CTES, LC, LINES_CTES, MATRIX_CTES, SPLIT_SQL, _all_txn, _eda_txn, _ev, _li,
-    _matrix, _profile, _res, _train)
+    DC, EC, EDA_CTES, LC, LINES_CTES, MATRIX_CTES, SPLIT_SQL, _all_txn, _eda_txn, _ev, _every, _li,
+    _matrix, _profile, _res, _split_txn, _train, split_sql)
 
 
 # --- matrix, totals, profiles (A15-A18, A22-A24, W9, W12, W13, Q6) ---------------------
@@ -24,36 +24,36 @@ def q_date_item_matrix(spark, sf):
     return _matrix(spark, sf)
 
 
-@register("totals_per_day", O.with_(O.LINEITEM.txn) + """SELECT CAST(time AS DATE) AS date,
-  CAST(sum("order") AS BIGINT) AS total_orders, coalesce(sum("order" * salesPrice), 0) AS total_values
+@register("totals_per_day", O.with_(O.LINEITEM_ALL.txn) + f"""SELECT CAST(time AS DATE) AS date,
+  CAST(sum("order") AS BIGINT) AS total_orders, coalesce({O.xsum('"order" * salesPrice')}, 0) AS total_values
 FROM txn GROUP BY CAST(time AS DATE)""", fuzz=(("total_values", 2),), ops=("A15",))
 def q_totals_per_day(spark, sf):
     """Units and value per day."""
     return PR.totals_per_day(_all_txn(spark, sf))
 
 
-@register("totals_per_item", O.with_(*EDA_CTES) + """SELECT itemID, CAST(sum("order") AS BIGINT) AS "order",
-  coalesce(sum("order" * salesPrice), 0) AS value, bool_or(in_promotion) AS in_promotion
+@register("totals_per_item", O.with_(*EDA_CTES) + f"""SELECT itemID, CAST(sum("order") AS BIGINT) AS "order",
+  coalesce({O.xsum('"order" * salesPrice')}, 0) AS value, bool_or(in_promotion) AS in_promotion
 FROM eda GROUP BY itemID""", fuzz=(("value", 2),), ops=("A16",))
 def q_totals_per_item(spark, sf):
     """Per item units, value and whether ever on promotion."""
     return PR.totals_per_item(P.price_levels(_eda_txn(spark, sf), keys=["itemID"]))
 
 
-@register("value_counts", O.with_(O.LINEITEM.txn)
+@register("value_counts", O.with_(O.LINEITEM_ALL.txn)
           + "SELECT itemID, count(*) AS count FROM txn GROUP BY itemID", ops=("A18", "O1"))
 def q_value_counts(spark, sf):
     """Order lines per item, most frequent first."""
-    return PR.value_counts(_li(spark, sf))
+    return PR.value_counts(_every(spark, sf))
 
 
-@register("reconciliation", O.with_(*MATRIX_CTES) + """SELECT coalesce(a.itemID, b.itemID) AS itemID, a.s1, b.s2
-FROM (SELECT itemID, coalesce(sum("order" * salesPrice), 0) AS s1 FROM txn GROUP BY itemID) a
-FULL JOIN (SELECT itemID, sum(total_values) AS s2 FROM matrix GROUP BY itemID) b ON a.itemID = b.itemID
-WHERE abs(coalesce(a.s1, 0) - coalesce(b.s2, 0)) > 1e-8 + 1e-9 * abs(coalesce(b.s2, 0))""",
-          ops=("Q6",))
+@register("reconciliation", O.with_(*MATRIX_CTES) + f"""SELECT coalesce(a.itemID, b.itemID) AS itemID, a.s1, b.s2,
+  abs(coalesce(a.s1, 0) - coalesce(b.s2, 0)) <= 1e-8 + 1e-9 * abs(coalesce(b.s2, 0)) AS ok
+FROM (SELECT itemID, coalesce({O.xsum('"order" * salesPrice')}, 0) AS s1 FROM txn GROUP BY itemID) a
+FULL JOIN (SELECT itemID, {O.xsum('total_values')} AS s2 FROM matrix GROUP BY itemID) b ON a.itemID = b.itemID""",
+          fuzz=(("s1", 2), ("s2", 2)), ops=("Q6",))
 def q_reconciliation(spark, sf):
-    """Items whose line total and matrix total disagree (expected: none)."""
+    """Line total and matrix total of every item, and whether they agree."""
     return PR.reconciliation(_all_txn(spark, sf), _matrix(spark, sf))
 
 
@@ -176,6 +176,29 @@ _hist_query("hist_item_units_promo",
             ("A25", "A16"))
 
 
+_hist_query("hist_item_units_regular",
+            'SELECT itemID, sum("order") AS units FROM res GROUP BY itemID HAVING NOT bool_or(in_promotion)',
+            "units", 30,
+            lambda spark, sf: PR.histogram(
+                _res(spark, sf).groupBy("itemID").agg(F.sum("order").alias("units"),
+                                                      F.bool_or("in_promotion").alias("p"))
+                .where(~F.col("p")), "units", 30),
+            ("A25", "A16"))
+
+
+_hist_query("hist_daily_row_units", 'SELECT "order" AS units FROM res', "units", 30,
+            lambda spark, sf: PR.histogram(
+                _res(spark, sf).select(F.col("order").alias("units")), "units", 30), ("A25",))
+
+
+_hist_query("hist_promotion_row_price", "SELECT weightedAveragePrice FROM res WHERE in_promotion", "weightedAveragePrice", 30,
+            lambda spark, sf: PR.histogram(_res(spark, sf).where("in_promotion"), "weightedAveragePrice", 30), ("A25",))
+
+
+_hist_query("hist_regular_row_price", "SELECT weightedAveragePrice FROM res WHERE NOT in_promotion", "weightedAveragePrice", 30,
+            lambda spark, sf: PR.histogram(_res(spark, sf).where("not in_promotion"), "weightedAveragePrice", 30), ("A25",))
+
+
 _hist_query("hist_price", "SELECT weightedAveragePrice FROM res", "weightedAveragePrice", 30,
             lambda spark, sf: PR.histogram(_res(spark, sf), "weightedAveragePrice", 30), ("A25",))
 
@@ -192,7 +215,7 @@ _hist_query("hist_log_daily_units",
                 .agg(F.sum("log_order").alias("log_units")), "log_units", 30), ("A27", "F11"))
 
 
-@register("hist_price_per_item", O.with_(*O.pipeline_ctes(O.LINEITEM, "prep")) + """, pm AS (
+@register("hist_price_per_item", O.with_(*O.pipeline_ctes(O.LINEITEM_ALL, "prep")) + """, pm AS (
   SELECT itemID, min(salesPrice) AS lo, max(salesPrice) AS hi FROM prep WHERE split = 'train' GROUP BY itemID)
 SELECT p.itemID, CASE WHEN pm.hi > pm.lo
     THEN least(CAST(floor((p.salesPrice - pm.lo) / (pm.hi - pm.lo) * 10) AS INT) + 1, 10) ELSE 1 END AS bin,
@@ -235,26 +258,45 @@ DEEP_SHARE = 0.79
 DEEP_SEED = 222
 
 
+LINE_KEY_SQL = ["itemID", "strftime(time, '%Y-%m-%d %H:%M:%S.%f')", "CAST(round_even(salesPrice * 100, 0) AS BIGINT)"]
+
+
 @register("deep_discount_sample", O.with_(*O.pipeline_ctes(O.EVENTS, "lines"), f"""dd AS (
   SELECT itemID FROM lines WHERE split = 'train' AND discountPerc > {DEEP_SHARE}
-  ORDER BY {O.uniform(['itemID', str(DEEP_SEED)])}, itemID LIMIT 50)""")
+  ORDER BY {O.uniform([*LINE_KEY_SQL, str(DEEP_SEED)])}, itemID LIMIT 50)""")
           + """SELECT dd.itemID, l.time, l.salesPrice, l."order"
 FROM dd LEFT JOIN (SELECT * FROM lines WHERE split = 'train') l ON dd.itemID = l.itemID""",
           ops=("P16", "O4", "J7"))
 def q_deep_discount_sample(spark, sf):
-    """50 seeded rows with a discount share above 0.79, fanned out to all of the
-    item's train lines (repeated keys multiply rows)."""
+    """50 seeded order lines with a discount share above 0.79, fanned out to all of their
+    items' train lines (repeated keys multiply rows)."""
     tr = P.prepared_transactions(_ev(spark, sf), EC).where(F.col("split") == "train")
-    deep = P.enrich_transactions(tr).where(F.col("discountPerc") > DEEP_SHARE).select("itemID")
-    sample = PR.seeded_sample(deep, 50, DEEP_SEED)
-    return sample.join(tr.select("itemID", "time", "salesPrice", "order"), "itemID", "left")
-
-
-@register("preview_orders", O.with_(O.LINEITEM.txn)
+    deep = P.enrich_transactions(tr).where(F.col("discountPerc") > DEEP_SHARE)
+    sample = PR.seeded_sample(deep, 50, DEEP_SEED, PR.line_key()).select("itemID")
+    return F.broadcast(sample).join(tr.select("itemID", "time", "salesPrice", "order"), "itemID", "left")
+
+
+@register("gap_items_histograms", O.with_(*O.pipeline_ctes(O.LINEITEM_ALL, "prep"), f"""gs AS (
+  SELECT itemID, {O.xavg('salesPrice')} AS m, median(salesPrice) AS md FROM prep WHERE split = 'train' GROUP BY itemID),
+g50 AS (SELECT itemID FROM gs
+  ORDER BY {O.r2('abs(abs(m - md) / nullif(md, 0)) * 100')} DESC NULLS LAST, itemID LIMIT 50),
+gl AS (SELECT p.itemID, p.salesPrice FROM prep p JOIN g50 ON p.itemID = g50.itemID WHERE p.split = 'train' AND p.salesPrice IS NOT NULL),
+gm AS (SELECT itemID, min(salesPrice) AS lo, max(salesPrice) AS hi FROM gl GROUP BY itemID)""")
+          + """SELECT gl.itemID, CASE WHEN gm.hi > gm.lo
+    THEN least(CAST(floor((gl.salesPrice - gm.lo) / (gm.hi - gm.lo) * 10) AS INT) + 1, 10) ELSE 1 END AS bin, count(*) AS count
+FROM gl JOIN gm ON gl.itemID = gm.itemID GROUP BY 1, 2""", ops=("J7", "A26", "O2"))
+def q_gap_items_histograms(spark, sf):
+    """Price histograms of the 50 items with the largest mean/median gap, over all their train lines."""
+    tr = _train(spark, sf)
+    top = PR.top_k(P.mean_median_gap(tr), "abs_perc_diff", 50).select("itemID")
+    return PR.histogram_per_item(tr.join(F.broadcast(top), "itemID"), "salesPrice", 10)
+
+
+@register("preview_orders", O.with_(O.LINEITEM_ALL.txn)
           + 'SELECT * FROM txn ORDER BY time, itemID, "order", salesPrice LIMIT 10', ops=("O3",))
 def q_preview_orders(spark, sf):
     """First 10 order lines in (time, itemID, order, price) order."""
-    return PR.preview(_li(spark, sf), 10)
+    return PR.preview(FX.transactions(spark, sf, None), 10)
 
 
 
@@ -271,11 +313,11 @@ def _num_sql(cols):
     return "\nUNION ALL\n".join(parts)
 
 
-@register("numeric_summary", O.with_(O.LINEITEM.txn) + _num_sql(["itemID", "order", "salesPrice"]),
+@register("numeric_summary", O.with_(O.LINEITEM_ALL.txn) + _num_sql(["itemID", "order", "salesPrice"]),
           fuzz=("mean", "std", "p25", "p50", "p75"), ops=("Q1",))
 def q_numeric_summary(spark, sf):
     """count, mean, std, min, exact quartiles, max of the numeric order columns."""
-    return PR.numeric_summary(_li(spark, sf), ["itemID", "order", "salesPrice"])
+    return PR.numeric_summary(_every(spark, sf), ["itemID", "order", "salesPrice"])
 
 
 def _str_sql(cols):
@@ -348,15 +390,15 @@ def q_retention(spark, sf):
           + "SELECT itemID, 'yes' AS will_be_lost FROM lost", ops=("J4",))
 def q_lost_items(spark, sf):
     """Items sold in test but never in train."""
-    return PR.lost_items(_all_txn(spark, sf))
+    return PR.lost_items(_split_txn(spark, sf))
 
 
 @register("lost_revenue", O.with_(O.LINEITEM.txn, SPLIT_SQL) + f"""SELECT count(DISTINCT l.itemID) AS n_lost_items,
-  {O.r2('sum("order" * salesPrice) FILTER (WHERE l.itemID IS NOT NULL) / nullif(sum("order" * salesPrice), 0) * 100')} AS lost_revenue_pct
+  {O.r2(O.xsum('CASE WHEN l.itemID IS NOT NULL THEN "order" * salesPrice END') + ' / nullif(' + O.xsum('"order" * salesPrice') + ', 0) * 100')} AS lost_revenue_pct
 FROM sp LEFT JOIN lost l ON sp.itemID = l.itemID""", ops=("J4", "A19"))
 def q_lost_revenue(spark, sf):
     """Revenue share (%) of items lost by the split (before zero prices are removed)."""
-    return PR.lost_revenue_share(_all_txn(spark, sf))
+    return PR.lost_revenue_share(_split_txn(spark, sf))
 
 
 @register("item_coverage", O.with_(*O.pipeline_ctes(O.LINEITEM, "prep")) + f"""SELECT n_sold, n_items,
@@ -365,10 +407,11 @@ FROM (SELECT (SELECT count(DISTINCT itemID) FROM prep WHERE split = 'train') AS
              (SELECT count(*) FROM items_v) AS n_items)""", ops=("A20",))
 def q_item_coverage(spark, sf):
     """Share of all items with a train order (after zero prices are removed)."""
-    return PR.item_coverage(_train(spark, sf), FX.items(spark, sf))
+    train = P.drop_zero_prices(_split_txn(spark, sf)).where(F.col("split") == "train")
+    return PR.item_coverage(train, FX.items(spark, sf))
 
 
-@register("zero_price_share", O.with_(O.LINEITEM.txn, SPLIT_SQL)
+@register("zero_price_share", O.with_(O.LINEITEM_ALL.txn, split_sql(DC))
           + "SELECT avg(CAST(salesPrice = 0 AS DOUBLE)) * 100 AS zero_price_pct FROM sp WHERE split = 'train'",
           fuzz=("zero_price_pct",), ops=("A29",))
 def q_zero_price_share(spark, sf):
@@ -376,11 +419,11 @@ def q_zero_price_share(spark, sf):
     return PR.zero_price_share(_all_txn(spark, sf).where(F.col("split") == "train"))
 
 
-@register("distinct_items", O.with_(O.LINEITEM.txn)
+@register("distinct_items", O.with_(O.LINEITEM_ALL.txn)
           + "SELECT count(DISTINCT itemID) AS n_items FROM txn", ops=("A28",))
 def q_distinct_items(spark, sf):
     """Number of distinct items ordered."""
-    return PR.distinct_items(_li(spark, sf))
+    return PR.distinct_items(_every(spark, sf))
 
 
 
@@ -438,12 +481,12 @@ _ORDER_TYPES = [("time", "timestamp_ntz"), ("itemID", "bigint"), ("order", "int"
                 ("salesPrice", "double")]
 
 
-@register("column_inventory_orders", O.with_(O.LINEITEM.txn) + "\nUNION ALL\n".join(
+@register("column_inventory_orders", O.with_(O.LINEITEM_ALL.txn) + "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS "column", '{t}' AS type, count("{c}") AS non_null FROM txn"""
     for c, t in _ORDER_TYPES), ops=("Q3",))
 def q_column_inventory_orders(spark, sf):
     """Type and non-NULL count of each order column."""
-    return PR.column_inventory(_li(spark, sf))
+    return PR.column_inventory(FX.transactions(spark, sf, None))
 
 
 # --- wide date x item matrix (A17) ------------------------------------------------------
@@ -451,16 +494,17 @@ def q_column_inventory_orders(spark, sf):
 TOP_ITEMS = 10
 
 
+_RANKS = range(1, TOP_ITEMS + 1)
+
+
 @register("wide_matrix_top_items", O.with_(*MATRIX_CTES, f"""top AS (
-  SELECT itemID FROM (SELECT itemID, count(*) AS n FROM txn GROUP BY itemID)
-  ORDER BY n DESC, itemID LIMIT {TOP_ITEMS})""")
-          + """SELECT * FROM (PIVOT (SELECT date, itemID, total_orders FROM matrix
-                          WHERE itemID IN (SELECT itemID FROM top))
-                   ON itemID USING first(total_orders) GROUP BY date)""",
-          ops=("A17", "O2"))
+  SELECT itemID, row_number() OVER (ORDER BY n DESC, itemID) AS r
+  FROM (SELECT itemID, count(*) AS n FROM txn GROUP BY itemID) QUALIFY r <= {TOP_ITEMS})""")
+          + "SELECT date, " + ", ".join(
+              f"CAST(sum(CASE WHEN r = {k} THEN total_orders ELSE 0 END) AS BIGINT) AS item_{k}" for k in _RANKS)
+          + " FROM matrix m JOIN top ON m.itemID = top.itemID GROUP BY date", ops=("A17", "O2"))
 def q_wide_matrix_top_items(spark, sf):
-    """Wide date x item table of daily units for the 10 items with the most order lines
-    (a top-k report: the pivot columns are those 10 items)."""
-    from tillcast.operators.grid import wide_matrix
-    top = [r.itemID for r in PR.value_counts(_li(spark, sf)).limit(TOP_ITEMS).collect()]
-    return wide_matrix(_matrix(spark, sf), top)
+    """Top-k report: daily units of the 10 items with the most order lines, a column per rank."""
+    from tillcast.operators.grid import wide_by_rank
+    top = PR.value_counts(_every(spark, sf)).limit(TOP_ITEMS)
+    return wide_by_rank(_matrix(spark, sf), top.select("itemID", "count"), TOP_ITEMS)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.functions import round2
@@ -48,6 +48,8 @@ class Calendar:
 # The retail calendar (2018-01-01..06-08 train, 06-09..06-29 test,
 # forecast from 06-30) moved back 20 years for lineitem, and the events calendar.
 LINEITEM_CALENDAR = Calendar("1998-01-01", "1998-06-08", "1998-06-29", "1998-06-30")
+# A calendar over all days of lineitem, for whole-table queries that need days or a split.
+LINEITEM_DAYS = Calendar("1995-01-01", "2000-12-31", "2001-12-31", "2002-01-01")
 EVENTS_CALENDAR = Calendar("2024-01-01", "2024-01-20", "2024-01-30", "2024-01-31")
 
 # Fixed values of the fixture view: every 500th order key is sold at price 0.
@@ -61,26 +63,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def transactions(spark: SparkSession, sf_dir: str,
-                 cal: Calendar = LINEITEM_CALENDAR) -> DataFrame:
-    """Orders view: one row per lineitem shipped inside the calendar.
-
-    Unit price is the retail price after the line discount (rounded to cents);
-    lines of every 500th order carry price 0.
-    """
+def _lineitem(spark: SparkSession, sf_dir: str, cal: Calendar | None) -> DataFrame:
+    li = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_shipdate")
+    if cal is None:
+        return li
     start = F.lit(cal.train_start).cast("timestamp_ntz")
     end = F.date_add(F.lit(cal.test_end).cast("date"), 1).cast("timestamp_ntz")
-    li = (_table(spark, sf_dir, "lineitem")
-          .select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_shipdate")
-          .where((F.col("l_shipdate") >= start) & (F.col("l_shipdate") < end)))
-    part = _table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    price = F.when(F.col("l_orderkey") % ZERO_PRICE_EVERY == 0, F.lit(0.0)).otherwise(
+    return li.where((F.col("l_shipdate") >= start) & (F.col("l_shipdate") < end))
+
+
+def _free() -> Column:
+    return F.col("l_orderkey") % ZERO_PRICE_EVERY == 0
+
+
+def _priced(li: DataFrame, part: DataFrame, free: Column, *more: str) -> DataFrame:
+    price = F.when(free, F.lit(0.0)).otherwise(
         round2(F.col("p_retailprice") * (1 - F.col("l_discount"))))
-    return (li.join(part, li.l_partkey == part.p_partkey)
+    return (li.join(part.select("p_partkey", "p_retailprice"), li.l_partkey == part.p_partkey)
             .select(F.col("l_shipdate").cast("timestamp_ntz").alias("time"),
                     F.col("l_partkey").alias("itemID"),
                     F.col("l_quantity").cast("int").alias("order"),
-                    price.alias("salesPrice")))
+                    price.alias("salesPrice"), *more))
+
+
+def transactions(spark: SparkSession, sf_dir: str,
+                 cal: Calendar | None = LINEITEM_CALENDAR) -> DataFrame:
+    """Orders view: one row per lineitem (shipped inside the calendar, if one is given).
+
+    Unit price is the retail price after the line discount (rounded to cents);
+    lines of every 500th order carry price 0.
+    """
+    return _priced(_lineitem(spark, sf_dir, cal), _table(spark, sf_dir, "part"), _free())
+
+
+def transaction_kinds(spark: SparkSession, sf_dir: str,
+                      cal: Calendar | None = LINEITEM_CALENDAR) -> DataFrame:
+    """The orders view with equal lines counted: one row per (time, item, order,
+    price) and its number of ``lines``.
+
+    Lines are counted per (part, day, quantity, discount, free) before the
+    price is joined: a partial aggregate, so a hot part sends at most one row
+    per kind and task to the shuffle, and the join sees kinds, of which a part has
+    no more than days x quantities x discounts.
+    """
+    kinds = _lineitem(spark, sf_dir, cal).groupBy(
+        "l_partkey", "l_shipdate", "l_quantity", "l_discount", _free().alias("free")).agg(
+        F.count("*").alias("lines"))
+    return _priced(kinds, _table(spark, sf_dir, "part"), F.col("free"), "lines")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
