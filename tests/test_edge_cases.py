@@ -95,7 +95,8 @@ def test_week_of_month_sunday(spark):
 
 
 @pytest.mark.parametrize("x,want", [(0.125, 0.12), (0.135, 0.14), (845.615, 845.62),
-                                    (-1.005, -1.0), (2.675, 2.68), (None, None)])
+                                    (-1.005, -1.0), (2.675, 2.68), (1.015, 1.01), (8.345, 8.35),
+                                    (12345678901.235, 12345678901.24), (None, None)])
 def test_round_half_even(spark, x, want):
     got = spark.createDataFrame([(x,)], "x double").select(round2("x").alias("r")).first().r
     assert got == want

@@ -290,9 +290,10 @@ def numeric_summary(df: DataFrame, cols=None, qs=(0.25, 0.5, 0.75)) -> DataFrame
                       for c in cols])
     counts = (df.select(F.inline(cells), line_weight(df).cast("long").alias("w"))
               if "lines" in df.columns else df.select(F.inline(cells)).withColumn("w", F.lit(1).cast("long")))
-    counts = counts.where(F.col("x").isNotNull()).groupBy("column", "x").agg(F.sum("w").alias("n"))
+    counts = counts.groupBy("column", "x").agg(F.sum("w").alias("n"))
+    known = F.sum(F.when(F.col("x").isNotNull(), F.col("n")).otherwise(0))
     means = counts.groupBy("column").agg(
-        F.sum("n").alias("count"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
+        known.alias("count"), safe_div(F.sum(F.col("x") * F.col("n")), known).alias("mean"),
         F.min("x").alias("min"), F.max("x").alias("max"),
         F.percentile_approx("x", [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("_marks"))
     # one row per column: bounded by the schema
@@ -300,7 +301,7 @@ def numeric_summary(df: DataFrame, cols=None, qs=(0.25, 0.5, 0.75)) -> DataFrame
     square = F.sum(F.col("n") * (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean")))
     base = marked.groupBy("column", "count", "mean", "min", "max").agg(
         F.sqrt(safe_div(square, F.when(F.col("count") > 1, F.col("count") - 1))).alias("std"))
-    ranged = marked.withColumn("_range", F.size(F.filter("_marks", lambda m: m < F.col("x"))))
+    ranged = marked.where(F.col("x").isNotNull()).withColumn("_range", F.size(F.filter("_marks", lambda m: m < F.col("x"))))
     before = Window.partitionBy("column").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("column", "count", "_range").agg(F.sum("n").alias("_n")).withColumn(
         "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
