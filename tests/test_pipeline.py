@@ -170,5 +170,6 @@ def test_run_with_models_writes_submission(spark, tmp_dir):
               "--calendar", cal.train_start, cal.split_date, cal.test_end, cal.forecast_start])
     sub = spark.read.option("sep", "|").option("header", True).csv(os.path.join(out, "submission"))
     assert sub.columns == ["itemID", "demandPrediction"]
-    assert sub.count() > 0 and sub.where("cast(demandPrediction as int) < 0").count() == 0
+    assert sub.count() == FX.event_items(spark, SF_SMALL).count() == sub.select("itemID").distinct().count()
+    assert sub.where("cast(demandPrediction as int) < 0").count() == 0
     assert os.path.isdir(os.path.join(out, "gbt_scores"))

@@ -9,7 +9,7 @@ from tillcast.plans.registry import load_all
 from conftest import SF_SMALL
 
 SKIP_EXEC = {"model_gbt_scores", "model_rf_scores", "model_importance",
-             "model_ensemble_forecast", "orders_csv_roundtrip", "feature_table_roundtrip"}
+             "model_ensemble_forecast", "forecast_14_days", "orders_csv_roundtrip", "feature_table_roundtrip"}
 
 
 def plan_of(df) -> str:

@@ -13,6 +13,7 @@ supplied parquet tables. Retail views are CTEs: ``txn`` (orders), ``items_v``,
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from tillcast.sources.fixtures import (EVENTS_CALENDAR, LINEITEM_CALENDAR, LINEITEM_DAYS, PROMO_ONE_DATE,
                                        PROMO_TWO_DATES, ZERO_PRICE_EVERY, Calendar)
@@ -106,6 +107,9 @@ class SqlFixture:
 
 LINEITEM = SqlFixture(lineitem_txn(), LINEITEM_ITEMS, LINEITEM_INFOS, LINEITEM_CALENDAR)
 LINEITEM_ALL = SqlFixture(lineitem_txn(None), LINEITEM_ITEMS, LINEITEM_INFOS, LINEITEM_DAYS)
+# The retail calendar as one series up to the day before the forecast.
+WHOLE_SERIES = SqlFixture(lineitem_txn(), LINEITEM_ITEMS, LINEITEM_INFOS,
+                          replace(LINEITEM_CALENDAR, split_date=LINEITEM_CALENDAR.test_end))
 EVENTS = SqlFixture(EVENTS_TXN, EVENTS_ITEMS, EVENTS_INFOS, EVENTS_CALENDAR)
 
 

@@ -11,12 +11,12 @@ from tillcast.plans import oracle as O
 from tillcast.plans.registry import register
 from tillcast.sources import fixtures as FX
 from tillcast.plans.queries.common import (
-    EC, _ev, _shared_dir)
+    EC, LC, _ev, _shared_dir)
 
 
 # --- models (M1-M11) ---------------------------------------------------------------------------
 
-def _ev_features(spark, sf, written: bool = False):
+def _ev_features(spark, sf, written: bool = True):
     """Model input over the events fixture; ``written=True`` writes the feature
     table to the shared folder and trains from the written copy (cut lineage,
     one computation for several fits)."""
@@ -36,7 +36,7 @@ def _ev_features(spark, sf, written: bool = False):
 FROM feat GROUP BY split""", fuzz=("accuracy", "r2"), ops=("M5", "M6"))
 def q_score_lag7_predictor(spark, sf):
     """Exact-match accuracy and R2 of the same-weekday-last-week predictor."""
-    ft = _ev_features(spark, sf).withColumn("lag7", F.col("qty_sold_lag7").cast("double"))
+    ft = _ev_features(spark, sf, written=False).withColumn("lag7", F.col("qty_sold_lag7").cast("double"))
     return M.scores(ft, "lag7", keys=["split"])
 
 
@@ -74,7 +74,7 @@ def q_model_importance(spark, sf):
 def q_model_ensemble_forecast(spark, sf):
     """Mean of boosted-tree and forest predictions on test days, summed per item as an
     integer forecast, valued against the actual units of those days."""
-    ft = _ev_features(spark, sf, written=True)
+    ft = _ev_features(spark, sf)
     train, test = ft.where(F.col("split") == "train"), ft.where(F.col("split") == "test")
     pg = M.predict(M.fit_gbt(train), test, rounded=False)
     pr = M.predict(M.fit_forest(train), test, rounded=False)
@@ -87,6 +87,50 @@ def q_model_ensemble_forecast(spark, sf):
 
 
 
+@register("forecast_14_days", None, ops=("M11", "F13", "S6"))
+def q_forecast_14_days(spark, sf):
+    """The forecast of the brief on the events fixture: units of every item in the 14 days from the
+    forecast start, with the promotion dates of infos as input."""
+    from tillcast.plans import modelling as E2
+    items = FX.event_items(spark, sf)
+    path = _shared_dir(spark, "horizon")
+    E2.horizon_table(_ev(spark, sf), items, FX.event_infos(spark, sf), EC).write.parquet(path)
+    return E2.forecast_all_items(spark.read.schema(E2.horizon_schema(items)).parquet(path), EC)
+
+
+_HORIZON_COLS = ["itemID", "date", "demand", "promo_days", "qty_sold_lag1", "cum_sum_order", "PriceToday", "weekDay"]
+
+
+@register("forecast_inputs", O.with_(*O.pipeline_ctes(O.WHOLE_SERIES, "feat", drop_incomplete=False), f"""hz AS (
+  SELECT *, CASE WHEN count(*) OVER a = {LC.horizon} THEN CAST(sum(qty_sold) OVER a AS BIGINT) END AS demand,
+         CASE WHEN count(*) OVER a = {LC.horizon} THEN CAST(sum(promotion) OVER a AS BIGINT) END AS pd
+  FROM feat WINDOW a AS (PARTITION BY itemID ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {LC.horizon} FOLLOWING)),
+pl AS (SELECT itemID, simulationPrice, len(list_filter(list_transform(string_split(promotion, ','), lambda x: CAST(trim(x) AS DATE)),
+         lambda d: d BETWEEN {O.d(LC.forecast_start)} AND {O.d(LC.forecast_end)})) AS n FROM infos_v)""") + f"""
+SELECT itemID, date, demand, pd AS promo_days, qty_sold_lag1, cum_sum_order, PriceToday, weekDay FROM hz WHERE demand IS NOT NULL
+UNION ALL
+SELECT i.itemID, {O.d(LC.test_end)}, NULL, CAST(coalesce(pl.n, 0) AS BIGINT), h.qty_sold_lag1, h.cum_sum_order,
+  coalesce(h.PriceToday, pl.simulationPrice), CAST(isodow({O.d(LC.test_end)}) AS INT)
+FROM items_v i LEFT JOIN (SELECT * FROM hz WHERE date = {O.d(LC.test_end)}) h ON i.itemID = h.itemID
+LEFT JOIN pl ON pl.itemID = i.itemID""", ops=("M11", "T6", "F13"))
+def q_forecast_inputs(spark, sf):
+    """Inputs of the 14-day forecast: known horizons of the history, and a row of every item at the origin."""
+    from tillcast.plans import modelling as E2
+    kinds = FX.transaction_kinds(spark, sf, LC)
+    return E2.horizon_table(kinds, FX.items(spark, sf), FX.infos(spark, sf), LC).select(*_HORIZON_COLS)
+
+
+@register("ensemble_of_lags", O.with_(*O.pipeline_ctes(O.EVENTS, "feat")) + """SELECT split, itemID, date,
+  (CAST(qty_sold_lag7 AS DOUBLE) + rolling_qty_sold_mean) / 2 AS prediction FROM feat""",
+          fuzz=("prediction",), ops=("M10",))
+def q_ensemble_of_lags(spark, sf):
+    """Mean of two fixed predictors (same weekday last week; mean of the last 7 days) per row."""
+    ft = _ev_features(spark, sf, written=False)
+    two = [ft.select("split", "itemID", "date", F.col(c).cast("double").alias("prediction"))
+           for c in ("qty_sold_lag7", "rolling_qty_sold_mean")]
+    return M.ensemble(two, keys=("split", "itemID", "date"))
+
+
 # --- category encoding (M1) ----------------------------------------------------------------
 
 _CATS = ["promotion", "brand", "manufacturer", "category1", "category2", "category3"]

@@ -14,6 +14,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from tillcast.operators.prepare import line_kinds
 from tillcast.plans import features as E1
 from tillcast.plans import modelling as E2
 from tillcast.sources import files as IO
@@ -31,15 +32,17 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--calendar", nargs=4, default=DEFAULT_CALENDAR,
                     metavar=("TRAIN_START", "SPLIT_DATE", "TEST_END", "FORECAST_START"))
+    ap.add_argument("--price-basis", choices=("price", "revenue"), default="price",
+                    help="what Price and PriceToday are: mean line price, or revenue of the day")
     ap.add_argument("--no-models", action="store_true")
     a = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("tillcast").getOrCreate()
     cal = Calendar(*a.calendar)
-    orders = IO.read_orders(spark, a.orders)
+    orders = line_kinds(IO.read_orders(spark, a.orders))
     items = IO.read_items(spark, a.items)
     out = a.out.rstrip("/")
-    IO.write_table(E1.feature_table(orders, items, cal), f"{out}/features")
+    IO.write_table(E1.feature_table(orders, items, cal, a.price_basis), f"{out}/features")
     if a.no_models:
         return
     features = IO.read_feature_table(spark, f"{out}/features",
@@ -47,7 +50,10 @@ def main(argv=None) -> None:
     report = E2.model_report(features)
     for name in ("gbt_scores", "rf_scores", "importance"):
         IO.write_table(report[name], f"{out}/{name}", partition_by=())
-    IO.write_submission(report["forecast"], f"{out}/submission")
+    infos = IO.read_infos(spark, a.infos)
+    IO.write_table(E2.horizon_table(orders, items, infos, cal), f"{out}/horizon", partition_by=())
+    horizon = spark.read.schema(E2.horizon_schema(items)).parquet(f"{out}/horizon")
+    IO.write_submission(E2.forecast_all_items(horizon, cal), f"{out}/submission")
 
 
 if __name__ == "__main__":
