@@ -45,8 +45,10 @@ from tillcast.llm.shared import columns, fresh, ship, table, written
 from tillcast.llm.textbuf import LOWER, Chunk, chunks, mix, windows
 
 WORDS = 5
-SHARD = 2_000_000
+SHARD = 8_000_000
 BLOCK = 1_000_000
+#: A shard is worked on in so many ranges of hashes, which bounds the memory of its task.
+RANGES = 8
 #: Shingles of a task that are sent on at once, and texts of a chunk (12 bits beside 52 of a shingle).
 FLUSH = 2_000_000
 ROWS = 4096
@@ -162,39 +164,47 @@ def to_shards(shards: int):
     return run
 
 
+def _shared_in_range(low: np.ndarray, high: np.ndarray, holder: np.ndarray, k: int):
+    """Class number, shingle and rank of every shared shingle in the k-th range of a shard."""
+    here = np.flatnonzero(high // (256 // RANGES) == k)
+    token, owner = low[here].astype(np.uint64) | high[here].astype(np.uint64) << np.uint64(32), holder[here]
+    ordered = np.sort(token)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(again):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    at = np.minimum(np.searchsorted(again, token), len(again) - 1)
+    twice = again[at] == token
+    pair = np.unique(owner[twice].astype(np.int64) * len(again) + at[twice])  # a class once in a list
+    owner, at = pair // len(again), pair % len(again)
+    length = np.bincount(at, minlength=len(again))
+    rank = np.minimum(255, np.floor(8 * np.log2(np.maximum(length, 1)))).astype(np.uint8)
+    stay = length[at] > 1
+    return owner[stay], again[at[stay]], rank[at[stay]]
+
+
 def shared_shingles(buckets: int):
     """One shard -> (bucket, shard, head, low, high, rank): shingles of two or more classes, by
     class; rank is 8 times the logarithm of the list's length, the same for all classes."""
     def run(rows: pa.Table) -> pa.Table:
         shard = rows.column("shard")[0].as_py()
         head = np.concatenate([np.frombuffer(x.as_py(), HEAD) for x in rows.column("head")])
-        token = np.concatenate([_join40(a.as_py(), b.as_py()) for a, b in zip(rows.column("low"), rows.column("high"))])
+        low = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in rows.column("low")])
+        high = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in rows.column("high")])
         ids, number = np.unique(head["cls"], return_inverse=True)
         n = np.zeros(len(ids), np.uint32)
         n[number] = head["n"]
-        owner = np.repeat(number, head["count"])
-        ordered = np.sort(token)
-        again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        if len(again):
-            at = np.minimum(np.searchsorted(again, token), len(again) - 1)
-            twice = again[at] == token
-            pair = np.unique(owner[twice] * len(again) + at[twice])  # a class once in a list
-            owner, at = pair // len(again), pair % len(again)
-            length = np.bincount(at, minlength=len(again))
-            rank = np.minimum(255, np.floor(8 * np.log2(np.maximum(length, 1)))).astype(np.uint8)
-            stay = length[at] > 1
-            owner, at = owner[stay], at[stay]
-        else:
-            owner = at = np.zeros(0, np.int64)
-            rank = np.zeros(0, np.uint8)
+        holder = np.repeat(number.astype(np.int32), head["count"])
+        del rows, head
+        parts = [_shared_in_range(low, high, holder, k) for k in range(RANGES)]
+        owner, token, rank = (np.concatenate(x) for x in zip(*parts))
         bucket = ids[owner].view(np.uint64) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        bucket, owner, at = bucket[order], owner[order], at[order]
+        order = np.argsort(bucket.astype(np.int64) * len(ids) + owner, kind="stable")
+        bucket, owner, token, rank = bucket[order], owner[order], token[order], rank[order]
         first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
         out = {k: [] for k in ("bucket", "shard", "head", "low", "high", "rank")}
         for a, b in zip(first, np.append(first[1:], len(bucket)) if len(bucket) else []):
-            low, high = _split40(again[at[a:b]])
-            for k, x in zip(out, (int(bucket[a]), shard, _heads(ids, n, owner[a:b])[0], low, high, rank[at[a:b]].tobytes())):
+            low, high = _split40(token[a:b])
+            for k, x in zip(out, (int(bucket[a]), shard, _heads(ids, n, owner[a:b])[0], low, high, rank[a:b].tobytes())):
                 out[k].append(x)
         return pa.Table.from_batches([_batch(out)])
     return run
