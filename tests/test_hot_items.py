@@ -87,3 +87,26 @@ def test_a_hot_item_is_spread_over_places(spark, hot, no_broadcast):
     assert place.distinct().count() >= P.SPREAD // 2
     again = plan_of(joined.groupBy("split", "itemID").agg(F.sum("order")))
     assert "partial_sum" in again[:again.index("SortMergeJoin")]
+
+
+@pytest.mark.parametrize("partitions,reuse", [(1, "true"), (8, "false"), (200, "false")])
+def test_global_orders_hold_for_any_partitioning(spark, partitions, reuse):
+    rows = spark.range(3000).select(
+        F.col("id").alias("itemID"),
+        F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 3 == 1, (F.col("id") % 11).cast("double"))
+        .otherwise(F.when(F.col("id") % 2 == 0, F.col("id") * 1.25)).alias("v"),
+        F.lit(1).alias("one")).repartition(partitions)
+    keys = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.exchange.reuse": reuse}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        for descending in (False, True):
+            got = [(r.itemID, r.position, r.running_sum) for r in
+                   PR.global_order(rows, "v", descending=descending, sum_col="one").collect()]
+            known = sorted(rows.collect(), key=lambda r: (
+                r.v is not None, -r.v if descending and r.v is not None else r.v or 0.0, r.itemID))
+            assert sorted(got) == sorted((r.itemID, i, i) for i, r in enumerate(known, 1))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -39,6 +39,19 @@ def calendar(spark: SparkSession, cal: Calendar) -> DataFrame:
                         .alias("date"))
 
 
+def every_day(sold: str, first: Column, last: Column) -> Column:
+    """All days first..last as (date, m), from a sorted array of sold days (date, m): ``m`` is NULL
+    on a gap. Each sold day writes itself and the gap behind it, so the work is linear in the
+    number of days; a day before the first one writes the leading gap."""
+    inside = F.filter(F.col(sold), lambda e: e["date"].between(first, last))
+    nothing = F.get(inside, F.lit(-1))["m"]  # NULL of the right type
+    starts = F.concat(F.array(F.struct(F.date_sub(first, 1).alias("date"), nothing.alias("m"))), inside)
+    ends = F.concat(F.transform(inside, lambda e: F.date_sub(e["date"], 1)), F.array(last))
+    runs = F.zip_with(starts, ends, lambda e, stop: F.transform(
+        F.sequence(e["date"], stop), lambda d: F.struct(d.alias("date"), F.when(d == e["date"], e["m"]).alias("m"))))
+    return F.filter(F.flatten(runs), lambda x: x["date"] >= first)
+
+
 def dense_grid(daily: DataFrame, cal: Calendar, items: DataFrame | None = None,
                item_columns=()) -> DataFrame:
     """T2 + W14 + W15: every day of the split for every item sold in it.
@@ -48,8 +61,8 @@ def dense_grid(daily: DataFrame, cal: Calendar, items: DataFrame | None = None,
     ``PriceToday`` take the item's mean over sale days, and both columns are
     rounded to 2 afterwards.
 
-    Plan: one aggregate per (split, item) gathers the item's sold days into a
-    map (at most one entry per calendar day, a bound set by the calendar, not
+    Plan: one aggregate per (split, item) gathers the item's sold days into an
+    array (at most one entry per calendar day, a bound set by the calendar, not
     by the data) together with the fill values; the calendar is then expanded
     inside that row. The grid, the largest table of the pipeline, is never
     shuffled, and it leaves this step partitioned by item, which is what the
@@ -61,7 +74,7 @@ def dense_grid(daily: DataFrame, cal: Calendar, items: DataFrame | None = None,
     measures = F.struct("qty_sold", "sales_value", "promotion", "PricePerEachToday",
                         "PriceToday")
     per_item = daily.groupBy(*ITEM).agg(
-        F.map_from_entries(F.collect_list(F.struct("date", measures))).alias("_days"),
+        F.array_sort(F.collect_list(F.struct("date", measures.alias("m")))).alias("_days"),
         *[F.max(c).alias(c) for c in ("maxItemPrice", "minItemPrice", "Price",
                                        "medianDiscPerc")],
         exact_avg(F.when(sale_day, F.col("PricePerEachToday")), MEAN_OF_MONEY).alias("_ppe_fill"),
@@ -69,9 +82,7 @@ def dense_grid(daily: DataFrame, cal: Calendar, items: DataFrame | None = None,
     extra = list(item_columns)
     if items is not None and extra:
         per_item = per_item.join(items.select("itemID", *extra), "itemID", "left")
-    days = F.transform(F.sequence(split_first_day(cal), split_last_day(cal)),
-                       lambda d: F.struct(d.alias("date"),
-                                          F.try_element_at(F.col("_days"), d).alias("m")))
+    days = every_day("_days", split_first_day(cal), split_last_day(cal))
     g = per_item.select(*ITEM, "maxItemPrice", "minItemPrice", "Price", "medianDiscPerc",
                         "_ppe_fill", "_today_fill", *extra, F.inline(days))
     m = lambda c: F.col("m").getField(c)
@@ -87,23 +98,25 @@ def dense_grid(daily: DataFrame, cal: Calendar, items: DataFrame | None = None,
         "medianDiscPerc", *extra)
 
 
-def date_item_matrix(txn: DataFrame, cal: Calendar) -> DataFrame:
-    """A17 (long form): units and value per (date, item) over every day of the
-    calendar for every item sold, gaps 0. Built like :func:`dense_grid`: one
-    bounded map of sold days per item, expanded in place. Wide pivots are left
-    to the caller for a short, given list of items (:func:`wide_matrix`)."""
+def sold_days(txn: DataFrame) -> DataFrame:
+    """Units and value per (item, date) with an order."""
     n = line_weight(txn)
-    day = txn.groupBy("itemID", "date").agg(
+    return txn.groupBy("itemID", "date").agg(
         F.sum(F.col("order") * n).cast("long").alias("total_orders"),
         F.coalesce(exact_sum(F.col("order") * F.col("salesPrice") * n), F.lit(0.0))
         .alias("total_values"))
-    day = day.repartition(int(txn.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+
+
+def date_item_matrix(txn: DataFrame, cal: Calendar) -> DataFrame:
+    """A17 (long form): units and value per (date, item) over every day of the
+    calendar for every item sold, gaps 0. Built like :func:`dense_grid`: one
+    bounded array of sold days per item, expanded in place. Wide pivots are left
+    to the caller for a short, given list of items (:func:`wide_matrix`)."""
+    day = sold_days(txn).repartition(int(txn.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                           "itemID")
-    per_item = day.groupBy("itemID").agg(F.map_from_entries(F.collect_list(
-        F.struct("date", F.struct("total_orders", "total_values")))).alias("_days"))
-    days = F.transform(F.sequence(_d(cal.train_start), _d(cal.test_end)),
-                       lambda d: F.struct(d.alias("date"),
-                                          F.try_element_at(F.col("_days"), d).alias("m")))
+    per_item = day.groupBy("itemID").agg(F.array_sort(F.collect_list(
+        F.struct("date", F.struct("total_orders", "total_values").alias("m")))).alias("_days"))
+    days = every_day("_days", _d(cal.train_start), _d(cal.test_end))
     g = per_item.select("itemID", F.inline(days))
     return g.select("itemID", "date",
                     F.coalesce(F.col("m.total_orders"), F.lit(0).cast("long")).alias("total_orders"),

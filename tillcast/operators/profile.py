@@ -189,49 +189,62 @@ def rolling_value_mean(matrix: DataFrame, n: int = 14) -> DataFrame:
     return m.where(F.col("rolling_mean").isNotNull()).select("itemID", "date", "rolling_mean")
 
 
-def global_order(df: DataFrame, order: list, sum_col: str | None = None) -> DataFrame:
-    """1-based ``position`` of each row in a global order, and optionally the
-    running sum of ``sum_col`` along it, without gathering the table in one task.
-
-    The sort is range-partitioned over all tasks; each task numbers and sums its
-    own rows; a table with one row per partition (size bound: the partition
-    count) gives every partition its offset, and is broadcast back. Both uses of
-    the sorted data share one exchange, so partition ids agree.
+#: Ranges that a global order, or a column's distinct values, are cut into.
+RANGES = 64
+
+
+def _range_of(x: Column, marks: Column) -> Column:
+    return F.size(F.filter(marks, lambda m: m < x))
+
+
+def global_order(df: DataFrame, by: str, tie: str = "itemID", descending: bool = False,
+                 sum_col: str | None = None) -> DataFrame:
+    """1-based ``position`` of each row in the order of ``by`` (ties by ascending ``tie``),
+    and optionally the running sum of ``sum_col`` along it, without gathering the table
+    in one task.
+
+    Rows are dealt to ranges of ``by`` between quantile marks; the marks are a scalar
+    subquery, so every use of them sees the same values, and a range is a column of the row,
+    not a property of some exchange. A value that is several marks at once (many rows have it) is
+    the last of its range; its rows are dealt once more, by ranges of ``tie``. The counts of the
+    ranges, at most ``RANGES * (RANGES + 1)`` rows, give each its start; rows are numbered
+    within their range.
     """
-    s = df.orderBy(*order).withColumn("_pid", F.spark_partition_id())
-    local = Window.partitionBy("_pid").orderBy(*order)
-    s = s.withColumn("_pos", F.row_number().over(local))
-    aggs = [F.count("*").alias("_n")]
-    if sum_col:
-        s = s.withColumn("_cum", F.sum(sum_col).over(
-            local.rowsBetween(Window.unboundedPreceding, 0)))
-        aggs.append(F.sum(sum_col).alias("_s"))
-    parts = s.groupBy("_pid").agg(*aggs)
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n")]
+    steps = [k / RANGES for k in range(1, RANGES)]
+    x = F.col(by).cast("double")
+    s = df.withColumn("_x", -x if descending else x)
+    marks = s.select(F.percentile_approx("_x", steps, 100 * RANGES)).scalar()
+    ties = s.select(F.percentile_approx(tie, steps, 100 * RANGES)).scalar()
+    s = s.withColumns({"_marks": marks, "_ties": ties})
+    often = F.size(F.filter("_marks", lambda m: m == F.col("_x"))) > 1
+    s = s.withColumn("_r", F.coalesce(_range_of(F.col("_x"), F.col("_marks")), F.lit(-1))).withColumn(
+        "_t", F.when(often, 1 + F.coalesce(_range_of(F.col(tie), F.col("_ties")), F.lit(0))).otherwise(0)
+    ).drop("_marks", "_ties")
+    inside = Window.partitionBy("_r", "_t").orderBy("_x", tie)
+    before = Window.orderBy("_r", "_t").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = s.groupBy("_r", "_t").agg(F.count("*").alias("_n"), F.sum(F.col(sum_col) if sum_col else F.lit(0)).alias("_s"))
+    offsets = ranges.select("_r", "_t", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
+                            F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off_s"))
+    out = s.withColumn("position", F.row_number().over(inside))
     if sum_col:
-        offs.append(F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off_s"))
-    offsets = parts.select("_pid", *offs)
-    out = s.join(F.broadcast(offsets), "_pid").withColumn(
-        "position", (F.col("_off_n") + F.col("_pos")).cast("long"))
-    drop = ["_pid", "_pos", "_off_n"]
+        out = out.withColumn("running_sum", F.sum(sum_col).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.join(F.broadcast(offsets), ["_r", "_t"]).withColumn(
+        "position", (F.col("_off_n") + F.col("position")).cast("long"))
     if sum_col:
-        out = out.withColumn("running_sum", F.col("_off_s") + F.col("_cum"))
-        drop += ["_cum", "_off_s"]
-    return out.drop(*drop)
+        out = out.withColumn("running_sum", F.col("_off_s") + F.col("running_sum"))
+    return out.drop("_x", "_r", "_t", "_off_n", "_off_s")
 
 
 def concentration_curve(profile: DataFrame) -> DataFrame:
     """Cumulative value over items sorted by value ascending (tie: itemID)."""
-    g = global_order(profile.select("itemID", "total_value"), ["total_value", "itemID"],
-                     "total_value")
+    g = global_order(profile.select("itemID", "total_value"), "total_value", sum_col="total_value")
     return g.select("itemID", "total_value", "position",
                     F.col("running_sum").alias("cum_value"))
 
 
 def ranked_profile(profile: DataFrame, by: str = "total_value") -> DataFrame:
     """Items ranked by ``by`` descending (tie: itemID), with position."""
-    g = global_order(profile.select("itemID", by), [F.desc(by), F.asc("itemID")])
+    g = global_order(profile.select("itemID", by), by, descending=True)
     return g.select("itemID", by, F.col("position").alias("rank"))
 
 
@@ -269,10 +282,6 @@ def sample_items(df: DataFrame, n: int, seed: int, key: str = "itemID") -> DataF
 
 # --- Q1-Q8 ---------------------------------------------------------------------------------
 
-#: Ranges of distinct values per column in the numeric summary.
-RANGES = 64
-
-
 def numeric_summary(df: DataFrame, cols=None, qs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Q1: count, mean, std, min, quartiles (exact, linear interpolation), max per
     numeric column, one row per column.
@@ -301,7 +310,7 @@ def numeric_summary(df: DataFrame, cols=None, qs=(0.25, 0.5, 0.75)) -> DataFrame
     square = F.sum(F.col("n") * (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean")))
     base = marked.groupBy("column", "count", "mean", "min", "max").agg(
         F.sqrt(safe_div(square, F.when(F.col("count") > 1, F.col("count") - 1))).alias("std"))
-    ranged = marked.where(F.col("x").isNotNull()).withColumn("_range", F.size(F.filter("_marks", lambda m: m < F.col("x"))))
+    ranged = marked.where(F.col("x").isNotNull()).withColumn("_range", _range_of(F.col("x"), F.col("_marks")))
     before = Window.partitionBy("column").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("column", "count", "_range").agg(F.sum("n").alias("_n")).withColumn(
         "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -41,15 +41,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder and register it with the context.
 
     The cluster names the folder in ``spark.checkpoint.dir``; it is read from
-    the session. Only a local session without that setting (tests) gets a
-    fresh temporary folder; a cluster session without it is an error, because
-    a machine-local folder does not survive the loss of an executor.
+    the session. Only a session of one process (``local[n]``, as in tests) without
+    that setting gets a fresh temporary folder; any other is an error, because
+    other machines don't see a local folder.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is not set for this cluster session")
         path = tempfile.mkdtemp(prefix="tillcast-ckpt-")
     if sc.getCheckpointDir() is None:
