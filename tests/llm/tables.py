@@ -1,11 +1,7 @@
-import os
-import sys
+"""Small documents tables for the tests here."""
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path.insert(0, ROOT)
-
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -8,6 +8,7 @@ import corpus_pipeline as cp
 from tests.llm.test_line_dedup import brute as lines_by_hand
 from tests.llm.test_packing import check
 from tests.llm.test_shingle_join import brute as groups_by_hand
+from tests.llm.tables import documents  # noqa: F401  a fixture
 from tillcast.llm import line_dedup, packing, secret_scan
 
 MID = "/root/testdata/sf0.01"

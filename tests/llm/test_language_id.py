@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tests.llm.tables import documents  # noqa: F401  a fixture
 from tillcast.llm import language_id as li
 from tillcast.llm.textbuf import chunks
 

@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import duckdb
 
+from tests.llm.tables import documents  # noqa: F401  a fixture
 from tillcast.llm import line_dedup as ld
 
 SMALL = "/root/testdata/sf0.001"

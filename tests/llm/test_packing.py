@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tests.llm.tables import documents  # noqa: F401  a fixture
 from tillcast.llm import packing as pk
 from tillcast.llm.textbuf import chunks
 

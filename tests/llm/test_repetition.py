@@ -5,6 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tests.llm.tables import documents  # noqa: F401  a fixture
 from tillcast.llm import repetition as rp
 
 SMALL = "/root/testdata/sf0.001"

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tests.llm.tables import documents  # noqa: F401  a fixture
 from tillcast.llm import shingle_join as sj
 
 SMALL = "/root/testdata/sf0.001"
