@@ -45,7 +45,7 @@ DISCOUNT = (0.1, 0.95)
 def symbol_table() -> np.ndarray:
     """Symbol of every code point: 0 for what is no letter, 1 to 26, hashed 27 to 63."""
     out = np.zeros(0x110000, np.uint8)
-    for c in range(0x32000):
+    for c in range(0x32400):
         if chr(c).isalpha():
             low = ord(chr(c).lower()[0])
             out[c] = low - 96 if 97 <= low <= 122 else 27 + (low * 0x9E3779B1 >> 13) % 37
