@@ -5,6 +5,7 @@ Runs each query on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
 is collected; the oracle-comparison rounding of the registry is not
 applied), takes the median of ``$BENCH_RUNS`` runs (default 3) after one
 warm-up run per query on the smallest data set, and prints one JSON line.
+``BENCH_BROADCAST=off`` joins without broadcasts.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ HEADLINE = [
     "kalman_smoothing",
     "scenario_sweep",
     "numeric_summary",
+    "harmonic_smoothing",
+    "orders_csv_roundtrip",
 ]
 
 
@@ -47,6 +50,9 @@ def main() -> None:
 
     spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
                           extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
+    if os.environ.get("BENCH_BROADCAST") == "off":  # as with tables too large to broadcast
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(key, "-1")
     reg = load_all()
     # warm-up: each query once on the smallest sibling data set (JIT, generated
     # classes), so the timed runs measure execution rather than compilation
