@@ -56,6 +56,26 @@ def test_verdicts_nulls_long_texts_and_clashing_columns(documents):
     assert rp.quality(documents([])).count() == 0
 
 
+def repeating(size, times, total, per_line=0):
+    """A text of ``total`` words of four letters with ``times`` passages of ``size`` words that come twice."""
+    word = iter(f"{i:04d}" for i in range(10_000))
+    twice = [[next(word) for _ in range(size)] for _ in range(times)]
+    rest = [next(word) for _ in range(total - 2 * size * times)]
+    parts = []
+    for p in twice + twice:  # a word of its own behind every passage, so that none goes on into the next
+        parts.append(" ".join(p) + (("\n" if per_line else " ") + rest.pop()))
+    return ("\n" if per_line else " ").join(parts + rest)
+
+
+def test_the_method_rejects_documents_that_pass_the_base_rule(documents):
+    texts = [repeating(5, 9, 210), repeating(7, 14, 500), repeating(30, 3, 500), repeating(2, 10, 100, per_line=1),
+             repeating(5, 8, 210), repeating(7, 13, 500), repeating(17, 5, 500), repeating(2, 8, 100, per_line=1)]
+    df = documents(list(enumerate(texts)))
+    got = {r.doc_id: r.quality for r in rp.quality(df).collect()}
+    assert not any(q.base_failed for q in got.values())
+    assert [got[i].kept for i in range(8)] == [False] * 4 + [True] * 4
+
+
 def test_query_over_the_whole_table(spark):
     got = {r.doc_id: r for r in rp.op5_quality_rules(spark, SMALL).collect()}
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()

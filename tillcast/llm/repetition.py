@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from tillcast.llm.shared import columns, fresh, ship, table
 from tillcast.llm.textbuf import IS_LEAD, Chunk, chunks, mix, range_sums, windows
 
-#: Largest share of word characters allowed inside repeated n-grams of a length, and lines: about
-#: half, as in the base rule, so a short clean text whose heading comes again stays.
-MAX_COVERAGE = {5: 0.55, 7: 0.5, 10: 0.5}
-MAX_LINE_COVERAGE = 0.5
+#: Largest share of word characters allowed inside repeated n-grams of a length, and lines. Words in
+#: repeated 5-, 7- or 10-grams are in repeated 3-grams too, of which the base rule allows 50 %, so
+#: only limits below that say more than it.
+MAX_COVERAGE = {5: 0.40, 7: 0.38, 10: 0.35}
+MAX_LINE_COVERAGE = 0.35
 MIN_WORDS = 50
 
 _SYMBOL = np.zeros(256, bool)
