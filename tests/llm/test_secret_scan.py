@@ -1,9 +1,11 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,6 +68,35 @@ def test_entropy_finds_random_keys_and_the_allow_list_suppresses():
     assert kinds(f"token={key}") == ["assign"]
 
 
+@pytest.mark.parametrize("prefix", ["", "auth_", "id-", "sk/", "k=", "+", "key"])
+@pytest.mark.parametrize("n, digits", [(24, "0123456789abcdef"), (28, "0123456789abcdef"), (40, "0123456789ABCDEF")])
+def test_hex_keys_are_found_behind_a_prefix_as_alone(prefix, n, digits):
+    rng = random.Random(5)
+    keys = ["".join(rng.choices(digits, k=n)) for _ in range(200)]
+    alone = [bool(kinds(f"a {x} b")) for x in keys]
+    assert sum(alone) > 190
+    assert all(kinds(f"a {prefix}{x} b") or not found for x, found in zip(keys, alone))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abcdef0123456789XYZ+/", min_size=1, max_size=40) | st.text(alphabet="0123456789abcdefABCDEF", min_size=20, max_size=30),
+                min_size=1, max_size=4).map("".join))
+def test_each_window_has_the_class_of_its_own_characters(run):
+    covered = set()
+    hexes = [m for m in re.finditer("[0-9A-Fa-f]+", run) if re.search("[0-9]", m[0]) and re.search("[A-Fa-f]", m[0]) or m[0] == run]
+    for i in range(len(run) - ss.WINDOW + 1):
+        inside = any(m.start() <= i and i + ss.WINDOW <= m.end() for m in hexes)
+        limit = ss.THRESHOLD["hex" if inside else "general"]
+        c = Counter(run[i:i + ss.WINDOW])
+        if -sum(n / ss.WINDOW * math.log2(n / ss.WINDOW) for n in c.values()) >= limit - 1e-9:
+            covered |= set(range(i, i + ss.WINDOW))
+    assert set().union(*(range(a, b) for a, b in ss.candidates(run.encode()))) == covered
+
+
+def test_digits_behind_a_prefix_are_no_hex_key():
+    assert kinds("order-20231105123987460125") == []
+
+
 def test_redaction_keeps_rows_columns_and_nulls(documents):
     df = documents([(1, "é password=abcdefgh1 x"), (2, None), (3, ""), (1, "é password=abcdefgh1 x"), (None, "clean")], "")
     got = sorted(((r.doc_id, r.text) for r in ss.redact(df).collect()), key=str)

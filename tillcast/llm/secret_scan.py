@@ -5,8 +5,9 @@ The method adds spans of kind ``entropy``: in every run of 20 or more key charac
 that mixes letters and digits, a window slides by one character at a time; the counts of
 its characters, and with them the sum of c*log2(c), change by the one character that
 enters and the one that leaves. A window is suspicious when its Shannon entropy reaches
-the threshold of its character class (hexadecimal or general); overlapping suspicious
-windows are one span. Spans that touch a fixed-pattern span, or that the allow-list
+the threshold of its character class: general, or hexadecimal inside a stretch of 20 or
+more hexadecimal digits that mixes letters and digits, whatever the rest of the run is;
+overlapping suspicious windows are one span. Spans that touch a fixed-pattern span, or that the allow-list
 covers, are left out.
 
 Cases: a null or empty text has no spans; ties of start are ordered as the kinds are
@@ -54,6 +55,8 @@ _DIGIT[48:58] = True
 _ALPHA = np.zeros(256, bool)
 _ALPHA[65:91] = _ALPHA[97:123] = True
 _HEX_ANY = frozenset(b"0123456789abcdefABCDEF")
+_HEX_STRETCH = re.compile(rb"[0-9A-Fa-f]{%d,}" % WINDOW)
+_MIX = re.compile(rb"[0-9][A-Fa-f]|[A-Fa-f][0-9]")
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -64,9 +67,10 @@ def _runs(chunk: Chunk, member: np.ndarray, least: int) -> tuple[np.ndarray, np.
     return starts[long], ends[long]
 
 
-def suspicious(run: bytes) -> list[tuple[int, int]]:
-    """Ranges of a candidate run that windows of high entropy cover."""
-    limit = THRESHOLD["hex" if _HEX_ANY.issuperset(run) else "general"]
+def suspicious(run: bytes, kind: str = "") -> list[tuple[int, int]]:
+    """Ranges of a candidate run that windows of high entropy cover, for one class of all windows
+    (by default the run's)."""
+    limit = THRESHOLD[kind or ("hex" if _HEX_ANY.issuperset(run) else "general")]
     most = (math.log2(WINDOW) - limit) * WINDOW  # largest sum of c*log2(c) of a suspicious window
     count = [0] * 256
     total = 0.0
@@ -89,6 +93,26 @@ def suspicious(run: bytes) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def candidates(run: bytes) -> list[tuple[int, int]]:
+    """Ranges of a run that suspicious windows cover, each window by its own class."""
+    if _HEX_ANY.issuperset(run):
+        return suspicious(run, "hex")
+    found = suspicious(run, "general")
+    general = len(found)
+    for m in _HEX_STRETCH.finditer(run):
+        if _MIX.search(m[0]):
+            found += [(m.start() + a, m.start() + b) for a, b in suspicious(m[0], "hex")]
+    if len(found) == general:
+        return found
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and out[-1][1] >= a:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def _scan_chunk(chunk: Chunk) -> list[list[tuple[int, int, int]]]:
     """Per text its (start byte, kind number, end byte), ordered."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in range(chunk.n)]
@@ -125,7 +149,7 @@ def _scan_chunk(chunk: Chunk) -> list[list[tuple[int, int, int]]]:
             if ALLOW.search(run):
                 continue
             i = int(np.searchsorted(chunk.bounds, s, side="right")) - 1
-            for a, b in suspicious(run):
+            for a, b in candidates(run):
                 if fixed[s + b] == fixed[s + a]:
                     add(i, s + a - int(chunk.bounds[i]), 3, s + b - int(chunk.bounds[i]))
     for i, spans in enumerate(found):
