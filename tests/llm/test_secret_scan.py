@@ -97,6 +97,34 @@ def test_digits_behind_a_prefix_are_no_hex_key():
     assert kinds("order-20231105123987460125") == []
 
 
+KEY, LONG = "zQ8vK2mXr7Lp4TnB6wYc9Hd3", "wJ4lrXUtnFQMI/K7MDENG/bPxRf1CYzR8vTq2LsK"
+
+
+def redacted(text):
+    return ss.redact_column(pa.array([text]))[0].as_py()
+
+
+def test_the_allow_list_covers_its_own_part_of_a_run_only():
+    for word in ("sample", "example", "dummy", "lorem"):
+        assert redacted(f"a {word}/{KEY} b") == f"a {word}[SECRET] b"
+        assert redacted(f"a {KEY}_{word} b") == f"a [SECRET]{word} b"
+        assert kinds(f"a {word}{KEY} b") == []
+    blob = "".join(random.Random(3).sample("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwyz123456789", 60)) * 6
+    for filler in ("00000000", "xxxxxxxx", "12345678", "abcdefgh"):
+        assert redacted(f"a {blob}{filler}{blob} b") == f"a [SECRET]{filler}[SECRET] b"
+    assert redacted(f"{blob}Sample{blob}") == "[SECRET]" + blob[-ss.REACH:] + "Sample" + blob[:ss.REACH] + "[SECRET]"
+    assert kinds("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") == []
+
+
+@pytest.mark.parametrize("fixed", ["AKIA" + "Q7ZP" * 4, "0123456789abcdef" * 2, "token=abcdefgh1"])
+@pytest.mark.parametrize("key", [KEY, LONG])
+def test_a_key_joined_to_a_fixed_span_goes_too(fixed, key):
+    if not fixed.startswith("token"):
+        assert redacted(f"é {fixed}/{key} b") == "é [SECRET] b"
+        assert redacted(f"é {fixed}_{key} b") == "é [SECRET] b"
+    assert redacted(f"é {key}/{fixed} b") == "é [SECRET] b"
+
+
 def test_redaction_keeps_rows_columns_and_nulls(documents):
     df = documents([(1, "é password=abcdefgh1 x"), (2, None), (3, ""), (1, "é password=abcdefgh1 x"), (None, "clean")], "")
     got = sorted(((r.doc_id, r.text) for r in ss.redact(df).collect()), key=str)

@@ -7,8 +7,8 @@ its characters, and with them the sum of c*log2(c), change by the one character
 enters and the one that leaves. A window is suspicious when its Shannon entropy reaches
 the threshold of its character class: general, or hexadecimal inside a stretch of 20 or
 more hexadecimal digits that mixes letters and digits, whatever the rest of the run is;
-overlapping suspicious windows are one span. Spans that touch a fixed-pattern span, or that the allow-list
-covers, are left out.
+overlapping suspicious windows are one span. Windows that overlap a fixed-pattern span, or
+what the allow-list covers, are left out; the rest of the run is scanned all the same.
 
 Cases: a null or empty text has no spans; ties of start are ordered as the kinds are
 listed; repeated rows give equal results each; a very long text is scanned whole, in time
@@ -41,10 +41,13 @@ ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api")
 #: lower-case words stay under 3.6.
 WINDOW = 20
 THRESHOLD = {"hex": 3.0, "general": 3.85}
-#: Runs that are no secrets: sample keys and placeholders, UUIDs, names and numbers in series.
+#: What is no secret: sample keys and placeholders, UUIDs, names and numbers in series. A word also
+#: covers the characters joined to it without a sign between, at most REACH on either side.
 ALLOW = re.compile(
-    rb"(?i)example|sample|placeholder|changeme|dummy|lorem|x{6}|0{8}|12345678|abcdefgh"
+    rb"(?i)(example|sample|placeholder|changeme|dummy|lorem)|x{6,}|0{8,}|12345678|abcdefgh"
     rb"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+SIGNS = frozenset(b"+/_=-")
+REACH = 40
 
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
@@ -56,6 +59,7 @@ _ALPHA = np.zeros(256, bool)
 _ALPHA[65:91] = _ALPHA[97:123] = True
 _HEX_ANY = frozenset(b"0123456789abcdefABCDEF")
 _HEX_STRETCH = re.compile(rb"[0-9A-Fa-f]{%d,}" % WINDOW)
+_FREE = re.compile(rb"\0{%d,}" % WINDOW)
 _MIX = re.compile(rb"[0-9][A-Fa-f]|[A-Fa-f][0-9]")
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
@@ -93,15 +97,18 @@ def suspicious(run: bytes, kind: str = "") -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def candidates(run: bytes) -> list[tuple[int, int]]:
-    """Ranges of a run that suspicious windows cover, each window by its own class."""
+def candidates(run: bytes, taken: bytearray | None = None) -> list[tuple[int, int]]:
+    """Ranges of a run that suspicious windows cover, each window by its own class; windows with a
+    byte that is marked in ``taken`` are left out."""
+    pieces = [(0, len(run))] if taken is None else [m.span() for m in _FREE.finditer(taken)]
     if _HEX_ANY.issuperset(run):
-        return suspicious(run, "hex")
-    found = suspicious(run, "general")
+        return [(i + a, i + b) for i, j in pieces for a, b in suspicious(run[i:j], "hex")]
+    found = [(i + a, i + b) for i, j in pieces for a, b in suspicious(run[i:j], "general")]
     general = len(found)
-    for m in _HEX_STRETCH.finditer(run):
-        if _MIX.search(m[0]):
-            found += [(m.start() + a, m.start() + b) for a, b in suspicious(m[0], "hex")]
+    for i, j in pieces:
+        for m in _HEX_STRETCH.finditer(run, i, j):
+            if _MIX.search(m[0]):
+                found += [(m.start() + a, m.start() + b) for a, b in suspicious(m[0], "hex")]
     if len(found) == general:
         return found
     out: list[tuple[int, int]] = []
@@ -113,6 +120,22 @@ def candidates(run: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def _allow(run: bytes, taken: bytearray | None) -> bytearray | None:
+    """The bytes of a run that are taken, with those that the allow-list covers; None: no byte."""
+    for m in ALLOW.finditer(run):
+        a, b = m.span()
+        if m[1]:
+            first, last = max(0, a - REACH), min(len(run), b + REACH)
+            while a > first and run[a - 1] not in SIGNS:
+                a -= 1
+            while b < last and run[b] not in SIGNS:
+                b += 1
+        if taken is None:
+            taken = bytearray(len(run))
+        taken[a:b] = b"\1" * (b - a)
+    return taken
+
+
 def _scan_chunk(chunk: Chunk) -> list[list[tuple[int, int, int]]]:
     """Per text its (start byte, kind number, end byte), ordered."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in range(chunk.n)]
@@ -141,17 +164,15 @@ def _scan_chunk(chunk: Chunk) -> list[list[tuple[int, int, int]]]:
 
     starts, ends = _runs(chunk, _KEY, WINDOW)
     if len(starts):
+        taken = np.cumsum(marked)[:-1] > 0
         digits, letters, fixed = (np.concatenate(([0], np.cumsum(x))) for x in (
-            _DIGIT[chunk.data], _ALPHA[chunk.data], np.cumsum(marked)[:-1] > 0))
+            _DIGIT[chunk.data], _ALPHA[chunk.data], taken))
         mixed = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
         for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
             run = chunk.data[s:e].tobytes()
-            if ALLOW.search(run):
-                continue
             i = int(np.searchsorted(chunk.bounds, s, side="right")) - 1
-            for a, b in candidates(run):
-                if fixed[s + b] == fixed[s + a]:
-                    add(i, s + a - int(chunk.bounds[i]), 3, s + b - int(chunk.bounds[i]))
+            for a, b in candidates(run, _allow(run, bytearray(taken[s:e].tobytes()) if fixed[e] > fixed[s] else None)):
+                add(i, s + a - int(chunk.bounds[i]), 3, s + b - int(chunk.bounds[i]))
     for i, spans in enumerate(found):
         if spans:
             spans.sort()
