@@ -120,3 +120,16 @@ def test_query_over_the_whole_table(spark):
         ids, logp, inclusion = sp.sample(rows[r.conv_id, r.turn], key[r.conv_id, r.turn], sp.SAMPLES, PIECES)[r.sample - 1]
         assert (r.n_pieces, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         assert abs(r.logp - logp) < 1e-9 and abs(r.inclusion - inclusion) < 1e-9
+
+
+def test_the_registered_query_segments_whole_documents(spark):
+    from tillcast.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", F.xxhash64("doc_id").alias("k")).collect()
+    name = next(n for n in QUERIES if n.startswith("op9_"))
+    got = QUERIES[name](spark, SMALL).collect()
+    assert {r.doc_id for r in got} == {r.doc_id for r in docs} and all(r.round_trip for r in got)
+    longest = max(docs, key=lambda r: len(r.text or ""))
+    want = sp.sample(longest.text, longest.k, sp.SAMPLES, PIECES)
+    assert [(r.n_pieces, r.ids_crc32) for r in sorted((r for r in got if r.doc_id == longest.doc_id), key=lambda r: r.sample)] == [
+        (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for ids, _, _ in want]

@@ -8,14 +8,14 @@ from tillcast.llm.packing import op10_packing
 from tillcast.llm.pivot_topk import OP2_SQL, op2_exact_topk
 from tillcast.llm.repetition import op5_quality_rules
 from tillcast.llm.secret_scan import op6_secret_scans
-from tillcast.llm.sentence_pieces import op9_sentencepiece
+from tillcast.llm.sentence_pieces import op9_sentencepiece, op9_sentencepiece_documents
 from tillcast.llm.shingle_join import op3_ngram_jaccard
 from tillcast.llm.toxicity import op4_toxicity
 from tillcast.llm.url_filter import op1_url_filters
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_exact_topk, op3_ngram_jaccard, op4_toxicity, op5_quality_rules, op6_secret_scans,
-    op7_language_id, op8_line_dedup, op9_sentencepiece, op10_packing)}
+    op7_language_id, op8_line_dedup, op9_sentencepiece_documents, op9_sentencepiece, op10_packing)}
 
 #: DuckDB SQL of the queries that SQL can state.
 ORACLE: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op8_line_dedup": OP8_SQL}

@@ -24,8 +24,10 @@ from __future__ import annotations
 import math
 import random
 import zlib
+from array import array
 from bisect import insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,16 +186,16 @@ def model(path: str, alpha: float) -> Pieces:
 def sampler(path: str, alpha: float, k: int):
     def run(text: pa.Array, key: pa.Array) -> pa.Array:
         pieces = model(path, alpha)
-        size, at, cols = [0], [0], [[], [], [], []]
+        size, at, cols = [0], [0], [[], array("i"), [], []]
         for t, seed in zip(text.to_pylist(), key.to_pylist()):
             for n, (ids, logp, inclusion) in enumerate(sample(t or "", seed, k, pieces), 1):
                 cols[0].append(n)
-                cols[1] += ids
+                cols[1].fromlist(ids)
                 at.append(len(cols[1]))
                 cols[2].append(logp)
                 cols[3].append(inclusion)
             size.append(len(cols[0]))
-        ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(cols[1], pa.int32()))
+        ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.array(cols[1], np.int32)))
         return pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays(
             [pa.array(cols[0], pa.int32()), ids, pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())],
             ["sample", "ids", "logp", "inclusion"]))
@@ -211,7 +213,7 @@ def encode(text: Column, path: str) -> Column:
 def decode(ids: Column, path: str) -> Column:
     """The text of an array of ids."""
     def run(x: pa.Array) -> pa.Array:
-        return pa.array([model(path, 1.0).text(i or []) for i in x.to_pylist()], pa.string())
+        return pa.array([model(path, 1.0).text(i.as_py() or []) for i in x], pa.string())
     return F.arrow_udf(run, "string")(ids)
 
 
@@ -231,16 +233,23 @@ def checksum_column(ids: pa.Array) -> pa.Array:
     return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:])], pa.int64())
 
 
-def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _drawn(rows: DataFrame, key: list[str]) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     (s,) = fresh(rows, "segmentation")
-    drawn = sampled(rows, path, ["conv_id", "turn"], out=s)
+    drawn = sampled(rows, path, key, out=s)
     ids = F.col(f"{s}.ids")
     return drawn.select(
-        "conv_id", "turn", F.col(f"{s}.sample").alias("sample"), F.size(ids).cast("long").alias("n_pieces"),
+        *key, F.col(f"{s}.sample").alias("sample"), F.size(ids).cast("long").alias("n_pieces"),
         F.arrow_udf(checksum_column, "long")(ids).alias("ids_crc32"), F.col(f"{s}.logp").alias("logp"),
         F.col(f"{s}.inclusion").alias("inclusion"),
         (decode(ids, path) == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+def op9_sentencepiece_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drawn(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drawn(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
