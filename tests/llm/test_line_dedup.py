@@ -48,6 +48,16 @@ def test_counts_near_the_threshold_are_exact(documents):
     assert got(df, min_sites=310) == brute(rows, 310)
 
 
+def test_lines_of_equal_first_hash_are_told_apart(documents):
+    gap = "-" * 24
+    one, two = "e8GMJC78" + gap + "wlQR6wBu" + gap, "yVP7YeRh" + gap + "k3c5ilQi" + gap
+    rows = [(i, (one, two)[i % 2], f"s{i}") for i in range(10)]
+    df = documents([(d, t, "en", s) for d, t, s in rows])
+    hashes = ld.lines(df, "doc_id", "text", "source")
+    assert hashes.select("h1").distinct().count() == 1 and hashes.select("h2").distinct().count() == 2
+    assert got(df, min_sites=8) == brute(rows, 8)
+
+
 def test_emptied_rows_clashing_columns_and_empty_tables(documents):
     df = documents([(i, "menu", "en", f"s{i}", i) for i in range(9)], ", n_lines int")
     found = ld.dedup(df)

@@ -38,7 +38,7 @@ def lines(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
     line = F.trim("line")
     return each.where(line != "").select(
         "id", "version", "site", "pos", F.xxhash64(line).alias("h1"),
-        F.xxhash64(line, F.lit(1)).alias("h2"))
+        F.xxhash64(F.lit(1), line).alias("h2"))  # the first argument seeds the second
 
 
 def boilerplate(found: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
