@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tillcast.llm.language_id import op7_language_id
+from tillcast.llm.lexical_search import OP11_SQL, op11_lexical_search
 from tillcast.llm.line_dedup import OP8_SQL, op8_line_dedup
 from tillcast.llm.packing import op10_packing
 from tillcast.llm.pivot_topk import OP2_SQL, op2_exact_topk
@@ -15,7 +16,7 @@ from tillcast.llm.url_filter import op1_url_filters
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_exact_topk, op3_ngram_jaccard, op4_toxicity, op5_quality_rules, op6_secret_scans,
-    op7_language_id, op8_line_dedup, op9_sentencepiece_documents, op9_sentencepiece, op10_packing)}
+    op7_language_id, op8_line_dedup, op9_sentencepiece_documents, op9_sentencepiece, op10_packing, op11_lexical_search)}
 
 #: DuckDB SQL of the queries that SQL can state.
-ORACLE: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op8_line_dedup": OP8_SQL}
+ORACLE: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op8_line_dedup": OP8_SQL, "op11_lexical_search": OP11_SQL}
