@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tillcast.llm.collocations import OP12_SQL, op12_collocations
 from tillcast.llm.decontaminate import OP13_SQL, op13_decontaminate
 from tillcast.llm.language_id import op7_language_id
 from tillcast.llm.lexical_search import OP11_SQL, op11_lexical_search
@@ -17,8 +18,9 @@ from tillcast.llm.url_filter import op1_url_filters
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_exact_topk, op3_ngram_jaccard, op4_toxicity, op5_quality_rules, op6_secret_scans,
-    op7_language_id, op8_line_dedup, op9_sentencepiece_documents, op9_sentencepiece, op10_packing, op11_lexical_search, op13_decontaminate)}
+    op7_language_id, op8_line_dedup, op9_sentencepiece_documents, op9_sentencepiece, op10_packing, op11_lexical_search, op12_collocations,
+    op13_decontaminate)}
 
 #: DuckDB SQL of the queries that SQL can state.
 ORACLE: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op8_line_dedup": OP8_SQL, "op11_lexical_search": OP11_SQL,
-                          "op13_decontaminate": OP13_SQL}
+                          "op12_collocations": OP12_SQL, "op13_decontaminate": OP13_SQL}
