@@ -4,24 +4,33 @@ Spark ML trees train distributed (per-partition histograms merged per level),
 so the fit scales with the feature table. Differences to the reference's
 libraries: boosting is plain gradient boosting (no second-order
 regularisation), and missing values are not native, so NULL features become 0
-with a 0/1 indicator column.
+with a 0/1 indicator column. :mod:`tillcast.operators.boosting` has second-order boosting
+that takes missing values as they are.
+
+Categories are positions in the order of their mean label (:mod:`tillcast.operators.categories`), plain
+numbers to the trees, so neither the driver nor ``maxBins`` sees how wide a category is.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from dataclasses import dataclass
+
+from pyspark.ml import Model
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.operators.categories import category_order, encoded
 from tillcast.schemas import CATEGORICAL_FEATURES, MODEL_FEATURES, TARGET
-from tillcast.session import checkpoint_dir
+from tillcast.session import checkpoint_dir, written
 
 # Fixed values of the reference models.
 GBT_PARAMS = dict(maxDepth=5, stepSize=0.1, maxIter=50, seed=42)
 RF_PARAMS = dict(maxDepth=5, numTrees=100, featureSubsetStrategy="all", seed=42)
 NULLABLE = ("medianDiscPerc", "rolling_qty_sold_std")
+#: Bins of a feature, however many values it has.
+MAX_BINS = 64
 
 
 def prepare_features(df: DataFrame, nullable=NULLABLE, target: str = TARGET) -> DataFrame:
@@ -37,46 +46,49 @@ def prepare_features(df: DataFrame, nullable=NULLABLE, target: str = TARGET) ->
     return out.withColumn("label", F.col(target).cast("double"))
 
 
-def feature_pipeline(df: DataFrame, features=MODEL_FEATURES, nullable=NULLABLE,
-                     max_bins: int | None = None):
-    """M1 + M2: index the categorical columns (unseen values kept in an extra
-    index), assemble the 40 features plus missing indicators. Returns the
-    stages and the ``maxBins`` the trees need (above the largest category)."""
-    indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep")
-                for c in CATEGORICAL_FEATURES]
-    cols = [f"{c}_idx" if c in CATEGORICAL_FEATURES else c for c in features]
-    cols += [f"{c}_missing" for c in nullable if c in df.columns]
-    assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    if max_bins is None:
-        n = df.agg(*[F.count_distinct(c).alias(c) for c in CATEGORICAL_FEATURES]).first()
-        max_bins = max(32, max(n) + 2)
-    return indexers + [assembler], cols, max_bins
-
-
-def fit_gbt(train: DataFrame, **over) -> PipelineModel:
-    """M3: gradient-boosted trees, squared error, depth 5, rate 0.1, 50 rounds, seed 42.
-
-    The shared checkpoint folder is registered first, so the boosting state is
-    checkpointed every ``checkpointInterval`` (10) rounds and a lost executor
-    does not replay the whole chain of rounds.
+@dataclass
+class TreeModel:
+    """Fitted trees with the order of category values they were fitted on."""
+
+    trees: Model
+    order: DataFrame
+    columns: list[str]
+
+    def features(self, df: DataFrame) -> DataFrame:
+        """M2: one vector of all features; NULL and unseen categories are -1."""
+        ready = encoded(df, self.order, CATEGORICAL_FEATURES).fillna(-1.0, CATEGORICAL_FEATURES)
+        return VectorAssembler(inputCols=self.columns, outputCol="features", handleInvalid="keep").transform(ready)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.trees.transform(self.features(df))
+
+
+def fit_trees(train: DataFrame, trees, features=MODEL_FEATURES, nullable=NULLABLE) -> TreeModel:
+    """M1 + M2 + fit of a Spark ML tree estimator on ``label``.
+
+    The shared checkpoint folder is registered first, so boosting is checkpointed every
+    ``checkpointInterval`` (10) rounds and a lost executor doesn't replay the whole chain of rounds.
     """
     checkpoint_dir(train.sparkSession)
-    stages, _, bins = feature_pipeline(train)
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", maxBins=bins,
-                       **{**GBT_PARAMS, **over})
-    return Pipeline(stages=stages + [gbt]).fit(train)
+    order = written(category_order(train, CATEGORICAL_FEATURES, "label"))
+    model = TreeModel(None, order, [*features, *(f"{c}_missing" for c in nullable if c in train.columns)])
+    model.trees = trees.fit(model.features(train))
+    return model
+
 
+def fit_gbt(train: DataFrame, features=MODEL_FEATURES, nullable=NULLABLE, **over) -> TreeModel:
+    """M3: gradient-boosted trees, squared error, depth 5, rate 0.1, 50 rounds, seed 42."""
+    return fit_trees(train, GBTRegressor(featuresCol="features", labelCol="label", maxBins=MAX_BINS,
+                                         **{**GBT_PARAMS, **over}), features, nullable)
 
-def fit_forest(train: DataFrame, **over) -> PipelineModel:
+
+def fit_forest(train: DataFrame, **over) -> TreeModel:
     """M8: random forest, depth 5, 100 trees, all features per split, seed 42."""
-    checkpoint_dir(train.sparkSession)
-    stages, _, bins = feature_pipeline(train)
-    rf = RandomForestRegressor(featuresCol="features", labelCol="label", maxBins=bins,
-                               **{**RF_PARAMS, **over})
-    return Pipeline(stages=stages + [rf]).fit(train)
+    return fit_trees(train, RandomForestRegressor(featuresCol="features", labelCol="label", maxBins=MAX_BINS,
+                                                  **{**RF_PARAMS, **over}))
 
 
-def predict(model: PipelineModel, df: DataFrame, rounded: bool = True) -> DataFrame:
+def predict(model: TreeModel, df: DataFrame, rounded: bool = True) -> DataFrame:
     """M4: predictions, rounded to the nearest integer (half even) if ``rounded``."""
     p = model.transform(df)
     pred = F.rint("prediction") if rounded else F.col("prediction")
@@ -97,12 +109,10 @@ def scores(pred: DataFrame, col: str = "pred", keys=()) -> DataFrame:
                       (F.lit(1.0) - F.try_divide(F.col("_sse"), sst)).alias("r2"))
 
 
-def feature_importance(model: PipelineModel, train: DataFrame) -> DataFrame:
+def feature_importance(model: TreeModel, spark) -> DataFrame:
     """M7: importance per feature name, ranked (1 = most important)."""
-    _, cols, _ = feature_pipeline(train, max_bins=32)
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    spark = train.sparkSession
-    rows = sorted(zip(cols, imp), key=lambda t: (-t[1], t[0]))
+    imp = model.trees.featureImportances.toArray().tolist()
+    rows = sorted(zip(model.columns, imp), key=lambda t: (-t[1], t[0]))
     return spark.createDataFrame([(c, float(v), i + 1) for i, (c, v) in enumerate(rows)],
                                  "feature string, importance double, rank int")
 
@@ -130,21 +140,6 @@ def item_forecast(pred: DataFrame, col: str = "prediction") -> DataFrame:
         F.greatest(F.lit(0), F.rint(F.sum(col))).cast("long").alias("demandPrediction"))
 
 
-def category_encoding(df: DataFrame, cols=CATEGORICAL_FEATURES) -> DataFrame:
-    """M1 as a table: (column, value, index) of the fitted string indexers, taken
-    from the transformed data (distinct pairs), most frequent value = 0, ties
-    alphabetical."""
-    out = None
-    for c in cols:
-        s = df.select(F.col(c).cast("string").alias(c))
-        model = StringIndexer(inputCol=c, outputCol="_idx", handleInvalid="keep").fit(s)
-        pairs = (model.transform(s).where(F.col(c).isNotNull())
-                 .select(F.lit(c).alias("column"), F.col(c).alias("value"),
-                         F.col("_idx").cast("int").alias("index")).distinct())
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
-
-
 def direct_forecast(features: DataFrame, grid: DataFrame, origin: str, horizon: int = 14,
                     **gbt_over) -> DataFrame:
     """M11, direct form: boosted trees on the units of the next ``horizon`` days

@@ -35,18 +35,21 @@ def single_lines(kinds: DataFrame) -> DataFrame:
     return kinds.select(*[c for c in kinds.columns if c != "lines"], copies.alias("_copy")).drop("_copy")
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, keys, how: str = "left") -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, keys, how: str = "left", hint: str | None = None) -> DataFrame:
     """Join rows with one row of facts per key, where a key may hold a third of the rows.
 
     A row goes to one of ``SPREAD`` places of its key by a hash of the row, and the facts
     to all of them. As the join is not by the key alone, whatever aggregates its
     result by key has an exchange of its own (with partial sums before it), and adaptive
-    execution may split a hot place further. Spark broadcasts the facts if their measured
-    size allows it.
+    execution may split a hot place further. Spark broadcasts the facts if their
+    size allows it; for facts that may be many, ``hint`` names another join, as Spark's estimate
+    doesn't count the ``SPREAD`` copies.
     """
     placed = rows.withColumn("_place", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)))
     every = facts.withColumn("_place", F.explode(F.sequence(
         F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    if hint:
+        every = every.hint(hint)
     return placed.join(every, [*keys, "_place"], how).drop("_place")
 
 

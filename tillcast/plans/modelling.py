@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.ml import Pipeline
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +29,7 @@ def model_report(features: DataFrame, grid: DataFrame | None = None,
     gbt, rf = M.fit_gbt(train), M.fit_forest(train)
     pg = M.predict(gbt, test, rounded=True)
     pr = M.predict(rf, test, rounded=False)
-    imp = M.feature_importance(gbt, train)
+    imp = M.feature_importance(gbt, features.sparkSession)
     out = {
         "gbt_scores": M.scores(pg),
         "rf_scores": M.scores(pr),
@@ -94,10 +92,7 @@ def forecast_all_items(table: DataFrame, cal: Calendar, **gbt_over) -> DataFrame
     now = ready.where((F.col("date") == F.lit(cal.test_end).cast("date")) & F.col("label").isNull())
     if train.isEmpty():
         return now.select("itemID", F.lit(0).cast("long").alias("demandPrediction"))
-    M.checkpoint_dir(table.sparkSession)
-    stages, _, bins = M.feature_pipeline(ready, HORIZON_FEATURES, nullable=())
-    trees = GBTRegressor(featuresCol="features", labelCol="label", maxBins=bins, **{**M.GBT_PARAMS, **gbt_over})
-    model = Pipeline(stages=[*stages, trees]).fit(train)
+    model = M.fit_gbt(train, HORIZON_FEATURES, nullable=(), **gbt_over)
     return M.predict(model, now, rounded=False).select(
         "itemID", F.greatest(F.lit(0), F.rint("prediction")).cast("long").alias("demandPrediction"))
 
