@@ -52,11 +52,6 @@ def test_orders_csv_roundtrip(spark, tmp_dir):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, txn.collect()))
 
 
-def test_zip_is_rejected(spark):
-    with pytest.raises(ValueError):
-        IO.read_orders(spark, "/nowhere/orders.csv.zip")
-
-
 def test_feature_table_write_and_read(spark, tmp_dir):
     ft = E1.feature_table(FX.transactions(spark, SF_SMALL), FX.items(spark, SF_SMALL), LC)
     path = os.path.join(tmp_dir, "features")

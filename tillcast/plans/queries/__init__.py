@@ -9,3 +9,4 @@ from tillcast.plans.queries import series  # noqa: F401
 from tillcast.plans.queries import inventory  # noqa: F401
 from tillcast.plans.queries import models  # noqa: F401
 from tillcast.plans.queries import io  # noqa: F401
+from tillcast.plans.queries import recursive  # noqa: F401
