@@ -72,7 +72,8 @@ def test_trees_learn_a_repeating_series(spark, inputs):
         {c: F.lit(None).cast("double") for c in R.DAY_FEATURES + R.ITEM_FEATURES})
     history = spark.createDataFrame([(k, [float((d % 7) + k) for d in range(60 - R.HISTORY, 60)]) for k in (1, 2, 3)], "itemID long, _history array<double>")
     state = items.join(history, "itemID").withColumn("_promo", F.array().cast("array<date>"))
-    days = R.recursive_forecast(state, R.tree_predictor(table, rounds=8, rate=0.7, depth=4), CAL)
+    trees = R.tree_predictor(table, rounds=8, rate=0.7, depth=4)
+    days = R.recursive_forecast(state, lambda df: trees(df).withColumn("prediction", F.rint("prediction")), CAL)
     for r in days.collect():
         assert abs(r["prediction"] - (((60 + (r["date"] - dt.date(2024, 2, 1)).days) % 7) + r["itemID"])) < 0.8
 

@@ -132,14 +132,40 @@ def add_harmonics(df: DataFrame, col: str = "qty_sold", n: int = 5, pos: Column
 
 def harmonic_smoothing(df: DataFrame, col: str = "qty_sold", n: int = 10, keys=ITEM,
                        out: str = "harmonic_smooth") -> DataFrame:
-    """T4: item mean plus the sum of the first ``n`` components."""
-    tmp = add_harmonics(df, col, n, keys=keys)
-    comps = [F.col(f"harmonic_{i}") for i in range(n)]
-    total = comps[0]
-    for c in comps[1:]:
-        total = total + c
-    smooth = total + F.avg(col).over(Window.partitionBy(*keys))
-    return tmp.withColumn(out, smooth).drop(*[f"harmonic_{i}" for i in range(n)])
+    """T4: item mean plus the sum of the first ``n`` components; NULL for a series of ``n`` days or fewer.
+
+    An item's days are gathered in one sorted array. One fold over it carries a Goertzel recurrence per component,
+    ``a_t = x_t + 2 cos(w) a_{t-1} - a_{t-2}``, whose last two values give both sums of the component, so neither
+    pass over the days has a window or a shuffle of its own, and cosines are taken once a component in the fold.
+    """
+    more = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
+        F.col("date"), *[F.col(c) for c in more if c != "date"]))).alias("_s"))
+    size = F.size("_s").cast("double")
+    rows = rows.withColumn("_w", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct(
+        (F.lit(2 * math.pi) * k / size).alias("w"),
+        F.when(size == 2 * k, F.lit(1.0) / size).otherwise(F.lit(2.0) / size).alias("c"))))
+    x = F.transform("_s", lambda e: e.getField(col).cast("double"))
+    rows = rows.withColumn("_x", x).withColumn("_k", F.transform("_w", lambda c: F.lit(2.0) * F.cos(c.getField("w"))))
+    zero = F.transform("_w", lambda _: F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")))
+    states = F.aggregate("_x", zero, lambda acc, v: F.zip_with(acc, F.col("_k"), lambda st, k: F.struct(
+        (v + k * st.getField("a") - st.getField("b")).alias("a"), st.getField("a").alias("b"))))
+
+    def sums(st: Column, c: Column) -> Column:
+        w, a = c.getField("w"), st.getField("a")
+        return F.struct(w.alias("w"), (c.getField("c") * (F.cos(w) * a - st.getField("b"))).alias("cos"),
+                        (c.getField("c") * -F.sin(w) * a).alias("sin"))
+
+    rows = rows.withColumn("_c", F.zip_with(states, F.col("_w"), sums)).withColumn(
+        "_mean", F.aggregate("_x", F.lit(0.0), lambda a, v: a + v) / size)
+
+    def day(e: Column, t: Column) -> Column:
+        smooth = F.aggregate("_c", F.col("_mean"), lambda a, c: a + F.cos(c.getField("w") * t) * c.getField("cos")
+                             + F.sin(c.getField("w") * t) * c.getField("sin"))
+        return F.struct(e.alias("e"), F.when(size > n, smooth).alias("v"))
+
+    return rows.select(*keys, F.inline(F.transform("_s", day))).select(
+        *[F.col(c) if c in keys else F.col(f"e.{c}").alias(c) for c in df.columns], F.col("v").alias(out))
 
 
 # --- F6, F8, T5 -------------------------------------------------------------------------

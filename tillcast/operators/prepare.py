@@ -238,14 +238,48 @@ def several_price_share(txn: DataFrame, items: DataFrame) -> DataFrame:
         (safe_div(F.col("multi_pairs"), F.col("all_pairs")) * 100).alias("pairs_share_pct"))
 
 
+#: Ranges that the values of a key are cut into by :func:`exact_median`.
+RANGES = 64
+
+
+def exact_median(levels: DataFrame, key: str, value: str, weight: str) -> DataFrame:
+    """(key, median): the exact median of each key's values, which may be many and all different for a hot key.
+
+    Quantile marks of a bounded sketch cut the distinct values of a key into ``RANGES`` ranges; their counts
+    say which one or two ranges hold the middle, and only the values of these are put in
+    order. No buffer holds a key's values, and a hot key's rows are spread (:func:`spread_join`) until
+    only its middle ranges are left.
+    """
+    known = levels.where(F.col(value).isNotNull()).select(key, value, weight)
+    marks = known.groupBy(key).agg(F.sum(weight).alias("_all"), F.percentile_approx(
+        value, [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("_marks"))
+    x = F.col(value)
+    ranged = spread_join(known, marks, [key], "inner").select(
+        key, value, weight, "_all", F.size(F.filter("_marks", lambda m: m < x)).alias("_range"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(key, "_range", "_all").agg(F.sum(weight).alias("_n")).withColumn(
+        "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # RANGES rows a key at most
+    low, high = F.floor((F.col("_all") - 1) / 2) + 1, F.floor(F.col("_all") / 2) + 1
+    middle = starts.where((F.col("_start") + F.col("_n") >= low) & (F.col("_start") < high)).select(key, "_range", "_start")
+    upto = Window.partitionBy(key, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.join(middle, [key, "_range"]).withColumn("_to", F.col("_start") + F.sum(weight).over(upto))
+    first, last = F.col("_to") - F.col(weight) + 1, F.col("_to")
+
+    def at(rank):
+        return F.max(F.when((first <= rank) & (rank <= last), x))
+
+    return ranked.groupBy(key).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def mean_median_gap(txn: DataFrame) -> DataFrame:
     """Per item mean and median price, absolute and % gap, all rounded to 2, from
-    price levels with line counts (the median's buffer is an item's distinct prices)."""
+    price levels with line counts."""
     levels = txn.groupBy("itemID", "salesPrice").agg(F.sum(line_weight(txn)).cast("long").alias("n"))
     known = F.when(F.col("salesPrice").isNotNull(), F.col("n"))
-    stats = levels.groupBy("itemID").agg(
-        safe_div(exact_sum(F.col("salesPrice") * F.col("n")), F.sum(known)).alias("mean_price"),
-        F.percentile("salesPrice", F.lit(0.5), F.col("n")).alias("median_price"))
+    means = levels.groupBy("itemID").agg(
+        safe_div(exact_sum(F.col("salesPrice") * F.col("n")), F.sum(known)).alias("mean_price"))
+    medians = exact_median(levels, "itemID", "salesPrice", "n").withColumnRenamed("median", "median_price")
+    stats = means.join(medians, "itemID", "left")
     diff = F.abs(F.col("mean_price") - F.col("median_price"))
     pct = F.abs(safe_div(diff, F.col("median_price"))) * 100
     return stats.select("itemID", round2("mean_price").alias("mean_price"),

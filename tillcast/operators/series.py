@@ -10,7 +10,7 @@ the fold runs in the JVM, and the result is exploded back to one row per
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.functions import is_nonzero
@@ -77,10 +77,15 @@ def normalise(grid: DataFrame, col: str = "qty_sold", keys=ITEM) -> DataFrame:
             .withColumn(f"{col}_minmax", F.when(mx > mn, (x - mn) / (mx - mn))))
 
 
-def _fold_series(grid: DataFrame, col: str, init, step, out: str, state_ddl: str,
-                 keys=ITEM) -> DataFrame:
-    """Fold each item's date-sorted series; ``step(state, x)`` returns the new state
-    struct (DDL ``state_ddl``) whose field ``v`` is the output for that day.
+def _series(grid: DataFrame, col: str, keys) -> DataFrame:
+    """One row per item with its date-sorted days ``_s``, an array of (date, x)."""
+    return grid.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("date", F.col(col).cast("double").alias("x")))).alias("_s"))
+
+
+def _folded(s: Column, first_state: Column, step, state_ddl: str, row, row_ddl: str) -> Column:
+    """Folds an array of days; ``step(state, day)`` returns the new state struct (DDL ``state_ddl``), of which
+    ``row(state, day)`` makes the day's result (DDL ``row_ddl``). Returns the array of results.
 
     Appending one output per step would copy the growing array every time
     (quadratic in the series length L). Instead the series is cut into blocks of
@@ -89,19 +94,14 @@ def _fold_series(grid: DataFrame, col: str, init, step, out: str, state_ddl: str
     days from that state. Copies are O(L sqrt(L)), with the same step function,
     so the same results.
     """
-    series = grid.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("date", F.col(col).cast("double").alias("x"))))
-        .alias("_s"))
-    s = F.col("_s")
     n = F.size(s)
     size = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
     n_blocks = F.ceil(n / size).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1),
                          lambda b: F.slice(s, b * size + 1, size))
-    first_state = init(F.element_at(s, 1).getField("x"))
 
     def run_block(st, blk):
-        return F.aggregate(blk, st, lambda acc, e: step(acc, e.getField("x")))
+        return F.aggregate(blk, st, step)
 
     no_states = F.array().cast(f"array<{state_ddl}>")
     starts = F.aggregate(
@@ -109,18 +109,27 @@ def _fold_series(grid: DataFrame, col: str, init, step, out: str, state_ddl: str
         lambda acc, blk: F.struct(
             F.concat(acc.getField("starts"), F.array(acc.getField("st"))).alias("starts"),
             run_block(acc.getField("st"), blk).alias("st"))).getField("starts")
-    no_out = F.array().cast("array<struct<date:date,v:double>>")
+    no_out = F.array().cast(f"array<{row_ddl}>")
 
     def replay(blk, st0):
         def merge(acc, e):
-            st = step(acc.getField("st"), e.getField("x"))
-            row = F.struct(e.getField("date").alias("date"), st.getField("v").alias("v"))
-            return F.struct(F.concat(acc.getField("out"), F.array(row)).alias("out"),
-                            st.alias("st"))
+            st = step(acc.getField("st"), e)
+            return F.struct(F.concat(acc.getField("out"), F.array(row(st, e))).alias("out"), st.alias("st"))
         return F.aggregate(blk, F.struct(no_out.alias("out"), st0.alias("st")),
                            merge).getField("out")
 
-    outputs = F.flatten(F.zip_with(blocks, starts, replay))
+    return F.flatten(F.zip_with(blocks, starts, replay))
+
+
+def _fold_series(grid: DataFrame, col: str, init, step, out: str, state_ddl: str,
+                 keys=ITEM) -> DataFrame:
+    """Fold each item's date-sorted series; ``step(state, x)`` returns the new state
+    struct whose field ``v`` is the output for that day."""
+    series = _series(grid, col, keys)
+    s = F.col("_s")
+    outputs = _folded(s, init(F.element_at(s, 1).getField("x")), lambda st, e: step(st, e.getField("x")), state_ddl,
+                      lambda st, e: F.struct(e.getField("date").alias("date"), st.getField("v").alias("v")),
+                      "struct<date:date,v:double>")
     return series.select(*keys, F.inline(outputs)).withColumnRenamed("v", out)
 
 
@@ -158,3 +167,58 @@ def kalman_smoothing(grid: DataFrame, q: float = 1.0, r: float = 10.0, col: str
         return F.struct(v.alias("v"), ((F.lit(1.0) - gain) * p_pred).alias("p"))
 
     return _fold_series(grid, col, init, step, "kalman", "struct<v:double,p:double>", keys)
+
+
+#: Process and measurement variances that a series' own are chosen from.
+VARIANCES = [(q, r) for q in (0.01, 0.1, 1.0) for r in (1.0, 10.0, 100.0)]
+
+
+def kalman_smoother(grid: DataFrame, col: str = "qty_sold", keys=ITEM, variances=VARIANCES) -> DataFrame:
+    """T11, both passes: the level of every day given the whole series, with variances of the item's own.
+
+    One fold carries a filter for every pair (q, r) of ``variances`` and the log-likelihood of the series
+    under it; the likeliest pair (the first, if equal) is the item's. A second fold filters with
+    it and keeps each day's level v and variance p; a third goes backwards over these:
+    ``s_t = v_t + p_t / (p_t + q) * (s_{t+1} - v_t)``, starting at the last day's level. As in
+    :func:`kalman_smoothing`, the level starts at the first value with variance r.
+    """
+    series = _series(grid, col, keys).withColumn("_grid", F.array(*[
+        F.struct(F.lit(float(q)).alias("q"), F.lit(float(r)).alias("r")) for q, r in variances]))
+    s, first = F.col("_s"), F.element_at("_s", 1).getField("x")
+
+    def filtered(v: Column, p: Column, q: Column, r: Column, x: Column) -> tuple[Column, Column, Column]:
+        """Level, variance and predicted variance after a day."""
+        ahead = p + q
+        gain = ahead / (ahead + r)
+        return v + gain * (x - v), (F.lit(1.0) - gain) * ahead, ahead
+
+    def likelier(states: Column, e: Column) -> Column:
+        def one(st, c):
+            v, p, ahead = filtered(st.getField("v"), st.getField("p"), c.getField("q"), c.getField("r"), e.getField("x"))
+            miss, spread = e.getField("x") - st.getField("v"), ahead + c.getField("r")
+            return F.struct(v.alias("v"), p.alias("p"), (st.getField("l") - F.lit(0.5) * (F.log(spread) + miss * miss / spread)).alias("l"))
+        return F.zip_with(states, F.col("_grid"), one)
+
+    start = F.transform("_grid", lambda c: F.struct(first.alias("v"), (c.getField("r") - c.getField("q")).alias("p"), F.lit(0.0).alias("l")))
+    found = F.transform(F.aggregate(s, start, likelier), lambda st: st.getField("l"))
+    series = series.withColumn("_l", found).withColumn("_c", F.element_at("_grid", F.array_position("_l", F.array_max("_l")).cast("int")))
+    q, r = F.col("_c").getField("q"), F.col("_c").getField("r")
+
+    def forward(st: Column, e: Column) -> Column:
+        v, p, _ = filtered(st.getField("v"), st.getField("p"), q, r, e.getField("x"))
+        return F.struct(v.alias("v"), p.alias("p"))
+
+    day = "struct<date:date,v:double,p:double>"
+    series = series.withColumn("_f", _folded(
+        s, F.struct(first.alias("v"), (r - q).alias("p")), forward, "struct<v:double,p:double>",
+        lambda st, e: F.struct(e.getField("date").alias("date"), st.getField("v").alias("v"), st.getField("p").alias("p")), day))
+
+    def backward(st: Column, e: Column) -> Column:
+        v, p = e.getField("v"), e.getField("p")
+        return F.struct((v + p / (p + q) * (st.getField("s") - v)).alias("s"))
+
+    last = F.struct(F.element_at("_f", -1).getField("v").alias("s"))  # the last day's step from itself leaves it there
+    rows = _folded(F.reverse("_f"), last, backward, "struct<s:double>",
+                   lambda st, e: F.struct(e.getField("date").alias("date"), e.getField("v").alias("v"), st.getField("s").alias("s")),
+                   "struct<date:date,v:double,s:double>")
+    return series.select(*keys, q.alias("q"), r.alias("r"), F.inline(rows)).withColumnsRenamed({"v": "kalman", "s": "smoothed"})

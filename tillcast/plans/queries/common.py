@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tillcast.operators import daily as D
@@ -55,9 +57,13 @@ def _all_txn(spark, sf):
     return P.add_split(_every(spark, sf), DC)
 
 
+#: All days of lineitem, split after the first quarter, so that some items are sold in test only.
+QUARTER = replace(DC, split_date="1995-03-31")
+
+
 def _split_txn(spark, sf):
-    """Orders of the retail calendar with its split."""
-    return P.add_split(_li(spark, sf), LC)
+    """All orders, split after the first quarter."""
+    return P.add_split(_every(spark, sf), QUARTER)
 
 
 EDA_SQL = f"""eda AS (
@@ -127,7 +133,7 @@ def split_sql(cal):
   FROM txn)"""
 
 
-SPLIT_SQL = f"""{split_sql(LC)},
+SPLIT_SQL = f"""{split_sql(QUARTER)},
 lost AS (SELECT DISTINCT itemID FROM sp WHERE split = 'test'
          AND itemID NOT IN (SELECT itemID FROM sp WHERE split = 'train'))"""
 

@@ -154,6 +154,17 @@ def q_mean_median_top50(spark, sf):
     return top_k(P.mean_median_gap(_train(spark, sf)), "abs_perc_diff", 50)
 
 
+@register("mean_median_gap_hot", f"""WITH prep AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS itemID, value AS salesPrice, 'train' AS split FROM events),
+{MEAN_MEDIAN_SQL}
+SELECT * FROM mm""", ops=("A7",))
+def q_mean_median_gap_hot(spark, sf):
+    """Mean vs median price of the events fixture with a third of its lines, nearly all of different prices, on one item."""
+    item = F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("user_id"))
+    events = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
+    return P.mean_median_gap(events.select(item.alias("itemID"), F.col("value").alias("salesPrice")))
+
+
 @register("discount_extremes", O.with_(*O.pipeline_ctes(O.LINEITEM_ALL, "lines")) + """SELECT max(discountPerc) AS max_discount,
   min(discountPerc) FILTER (WHERE discountPerc IS DISTINCT FROM 0) AS min_nonzero_discount
 FROM lines WHERE split = 'train'""", ops=("A21",))

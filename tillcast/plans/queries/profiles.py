@@ -11,7 +11,7 @@ from tillcast.plans import oracle as O
 from tillcast.plans.registry import register
 from tillcast.sources import fixtures as FX
 from tillcast.plans.queries.common import (
-    DC, EC, EDA_CTES, LC, LINES_CTES, MATRIX_CTES, SPLIT_SQL, _all_txn, _eda_txn, _ev, _every, _li,
+    DC, EC, EDA_CTES, LC, LINES_CTES, MATRIX_CTES, QUARTER, SPLIT_SQL, _all_txn, _eda_txn, _ev, _every, _li,
     _matrix, _profile, _res, _split_txn, _train, split_sql)
 
 
@@ -386,14 +386,14 @@ def q_retention(spark, sf):
                                       drop_incomplete=False))
 
 
-@register("lost_items", O.with_(O.LINEITEM.txn, SPLIT_SQL)
+@register("lost_items", O.with_(O.LINEITEM_ALL.txn, SPLIT_SQL)
           + "SELECT itemID, 'yes' AS will_be_lost FROM lost", ops=("J4",))
 def q_lost_items(spark, sf):
     """Items sold in test but never in train."""
     return PR.lost_items(_split_txn(spark, sf))
 
 
-@register("lost_revenue", O.with_(O.LINEITEM.txn, SPLIT_SQL) + f"""SELECT count(DISTINCT l.itemID) AS n_lost_items,
+@register("lost_revenue", O.with_(O.LINEITEM_ALL.txn, SPLIT_SQL) + f"""SELECT count(DISTINCT l.itemID) AS n_lost_items,
   {O.r2(O.xsum('CASE WHEN l.itemID IS NOT NULL THEN "order" * salesPrice END') + ' / nullif(' + O.xsum('"order" * salesPrice') + ', 0) * 100')} AS lost_revenue_pct
 FROM sp LEFT JOIN lost l ON sp.itemID = l.itemID""", ops=("J4", "A19"))
 def q_lost_revenue(spark, sf):
@@ -401,7 +401,7 @@ def q_lost_revenue(spark, sf):
     return PR.lost_revenue_share(_split_txn(spark, sf))
 
 
-@register("item_coverage", O.with_(*O.pipeline_ctes(O.LINEITEM, "prep")) + f"""SELECT n_sold, n_items,
+@register("item_coverage", O.with_(*O.LINEITEM_ALL.views(), O.prep(QUARTER)) + f"""SELECT n_sold, n_items,
   {O.r2('CAST(n_sold AS DOUBLE) / nullif(n_items, 0) * 100')} AS coverage_pct
 FROM (SELECT (SELECT count(DISTINCT itemID) FROM prep WHERE split = 'train') AS n_sold,
              (SELECT count(*) FROM items_v) AS n_items)""", ops=("A20",))

@@ -8,7 +8,7 @@ from tillcast.plans import features as E1
 from tillcast.plans import oracle as O
 from tillcast.plans.registry import register
 from tillcast.plans.queries.common import (
-    GRID_CTES, LC, _grid, _li)
+    DC, GRID_CTES, _every, _grid)
 
 
 # --- series (T4, T6-T12, W10) ---------------------------------------------------------------
@@ -23,13 +23,13 @@ def q_demand_label(spark, sf):
                                                     "demand_next_14")
 
 
-@register("biweekly_assortment", O.with_(*O.pipeline_ctes(O.LINEITEM, "daily")) + f"""SELECT
-  CAST(floor(date_diff('day', {O.d(LC.train_start)}, date) / 14) AS INT) AS period, itemID,
+@register("biweekly_assortment", O.with_(*O.pipeline_ctes(O.LINEITEM_ALL, "daily")) + f"""SELECT
+  CAST(floor(date_diff('day', {O.d(DC.train_start)}, date) / 14) AS INT) AS period, itemID,
   CAST(sum(qty_sold) AS BIGINT) AS units, count(*) AS sale_days
 FROM daily WHERE qty_sold > 0 GROUP BY 1, 2""", ops=("T7",))
 def q_biweekly_assortment(spark, sf):
     """Items sold in each 14-day restocking period."""
-    return S.biweekly_assortment(E1.daily_table(_li(spark, sf), LC), LC)
+    return S.biweekly_assortment(E1.daily_table(_every(spark, sf), DC), DC)
 
 
 @register("sparse_item_filter", O.with_(*GRID_CTES) + """SELECT split, itemID, date, qty_sold FROM grid
@@ -80,8 +80,7 @@ _SMOOTH = " + ".join(O.harmonic_sql(k) for k in range(1, 11))
 FROM gt WINDOW wi AS (PARTITION BY split, itemID)""", fuzz=("harmonic_smooth",), ops=("T4", "T3"))
 def q_harmonic_smoothing(spark, sf):
     """Series mean plus its first 10 Fourier components."""
-    return X.harmonic_smoothing(_grid(spark, sf), "qty_sold", 10).select(
-        "split", "itemID", "date", "qty_sold", "harmonic_smooth")
+    return X.harmonic_smoothing(_grid(spark, sf).select("split", "itemID", "date", "qty_sold"), "qty_sold", 10)
 
 
 @register("rolling_median_distinct", O.with_(*GRID_CTES) + """SELECT split, itemID, date, qty_sold,
@@ -147,3 +146,40 @@ _K0 = f"({_PP0} / ({_PP0} + {_R}))"
 def q_kalman_smoothing(spark, sf):
     """Local-level Kalman filter of daily units per item (q 1, r 10)."""
     return S.kalman_smoothing(_grid(spark, sf), 1.0, 10.0)
+
+
+def _smoother_sql() -> str:
+    """Filters of every (q, r), the likeliest, its days again with their variances, and the walk back."""
+    grid = ", ".join(f"({k}, {O.dbl(q)}, {O.dbl(r)})" for k, (q, r) in enumerate(S.VARIANCES))
+    pp, half, one = "(f.p + f.q)", O.dbl(0.5), O.dbl(1.0)
+    gain = f"({pp} / ({pp} + f.r))"
+    p0 = "((r - q) + q)"
+    g0 = f"({p0} / ({p0} + r))"
+    return O.with_(*GRID_CTES, """gn AS (
+  SELECT split, itemID, date, CAST(qty_sold AS DOUBLE) AS x, row_number() OVER (PARTITION BY split, itemID ORDER BY date) AS rn FROM grid)""") \
+        + f"""SELECT split, itemID, date, q, r, v AS kalman, s AS smoothed FROM (
+  WITH RECURSIVE variances(k, q, r) AS (VALUES {grid}),
+  fold(k, q, r, split, itemID, rn, date, v, p, l) AS (
+    SELECT k, q, r, split, itemID, rn, date, x + {g0} * (x - x), ({one} - {g0}) * {p0}, {O.dbl(0.0)} - {half} * (ln({p0} + r) + 0 / ({p0} + r))
+    FROM gn, variances WHERE rn = 1
+    UNION ALL
+    SELECT f.k, f.q, f.r, g.split, g.itemID, g.rn, g.date, f.v + {gain} * (g.x - f.v), ({one} - {gain}) * {pp},
+           f.l - {half} * (ln({pp} + f.r) + (g.x - f.v) * (g.x - f.v) / ({pp} + f.r))
+    FROM fold f JOIN gn g ON g.split = f.split AND g.itemID = f.itemID AND g.rn = f.rn + 1),
+  kept AS (
+    SELECT *, first_value(k) OVER (PARTITION BY split, itemID ORDER BY rn DESC, l DESC, k) AS best,
+           max(rn) OVER (PARTITION BY split, itemID) AS n FROM fold),
+  chosen AS (SELECT * FROM kept WHERE k = best),
+  back(split, itemID, rn, date, q, r, v, s) AS (
+    SELECT split, itemID, rn, date, q, r, v, v FROM chosen WHERE rn = n
+    UNION ALL
+    SELECT c.split, c.itemID, c.rn, c.date, c.q, c.r, c.v, c.v + c.p / (c.p + c.q) * (b.s - c.v)
+    FROM back b JOIN chosen c ON c.split = b.split AND c.itemID = b.itemID AND c.rn = b.rn - 1)
+  SELECT * FROM back)"""
+
+
+@register("kalman_smoother", _smoother_sql(), fuzz=("kalman", "smoothed"), ops=("T11",))
+def q_kalman_smoother(spark, sf):
+    """Level of daily units given the whole series (filter and backward pass), with variances per item chosen
+    by likelihood."""
+    return S.kalman_smoother(_grid(spark, sf))
