@@ -49,6 +49,8 @@ SHARD = 8_000_000
 BLOCK = 1_000_000
 #: A shard is worked on in so many ranges of hashes, which bounds the memory of its task.
 RANGES = 8
+#: Shingles of a bucket that are put in order at once.
+PART = 1_000_000
 #: Shingles of a task that are sent on at once, and texts of a chunk (12 bits beside 52 of a shingle).
 FLUSH = 2_000_000
 ROWS = 4096
@@ -116,10 +118,6 @@ def _split40(token: np.ndarray) -> tuple[bytes, bytes]:
     return (token & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (token >> np.uint64(32)).astype(np.uint8).tobytes()
 
 
-def _join40(low: bytes, high: bytes) -> np.ndarray:
-    return np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32)
-
-
 def to_shards(shards: int):
     """texts -> (shard, head, low, high): the shingles of each class by hash range."""
     def flush(cls, n, rows, token):
@@ -164,10 +162,21 @@ def to_shards(shards: int):
     return run
 
 
-def _shared_in_range(low: np.ndarray, high: np.ndarray, holder: np.ndarray, k: int):
-    """Class number, shingle and rank of every shared shingle in the k-th range of a shard."""
-    here = np.flatnonzero(high // (256 // RANGES) == k)
-    token, owner = low[here].astype(np.uint64) | high[here].astype(np.uint64) << np.uint64(32), holder[here]
+def _views(batches: Iterator[pa.RecordBatch], **kinds) -> list[tuple[np.ndarray, ...]]:
+    """The binary columns of every row as arrays that share its memory."""
+    return [tuple(np.frombuffer(batch.column(name)[r].as_buffer(), kind) for name, kind in kinds.items())
+            for batch in batches for r in range(batch.num_rows)]
+
+
+def _shared_in_range(rows: list[tuple[np.ndarray, ...]], k: int):
+    """Class number, shingle and rank of every shared shingle in the k-th range of a shard; rows are the numbers
+    and counts of a row's classes, and its shingles."""
+    token, owner = [], []
+    for number, count, low, high in rows:
+        here = np.flatnonzero(high // (256 // RANGES) == k)
+        token.append(low[here].astype(np.uint64) | high[here].astype(np.uint64) << np.uint64(32))
+        owner.append(number[np.searchsorted(np.cumsum(count), here, side="right")])
+    token, owner = np.concatenate(token), np.concatenate(owner)
     ordered = np.sort(token)
     again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(again):
@@ -183,30 +192,31 @@ def _shared_in_range(low: np.ndarray, high: np.ndarray, holder: np.ndarray, k: i
 
 
 def shared_shingles(buckets: int):
-    """One shard -> (bucket, shard, head, low, high, rank): shingles of two or more classes, by
+    """One shard -> (bucket, shard, head, low, high, rank), range by range: shingles of two or more classes, by
     class; rank is 8 times the logarithm of the list's length, the same for all classes."""
-    def run(rows: pa.Table) -> pa.Table:
-        shard = rows.column("shard")[0].as_py()
-        head = np.concatenate([np.frombuffer(x.as_py(), HEAD) for x in rows.column("head")])
-        low = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in rows.column("low")])
-        high = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in rows.column("high")])
-        ids, number = np.unique(head["cls"], return_inverse=True)
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = key[0].as_py()
+        rows = _views(batches, head=HEAD, low="<u4", high=np.uint8)
+        ids, number = np.unique(np.concatenate([head["cls"] for head, _, _ in rows]), return_inverse=True)
         n = np.zeros(len(ids), np.uint32)
-        n[number] = head["n"]
-        holder = np.repeat(number.astype(np.int32), head["count"])
-        del rows, head
-        parts = [_shared_in_range(low, high, holder, k) for k in range(RANGES)]
-        owner, token, rank = (np.concatenate(x) for x in zip(*parts))
-        bucket = ids[owner].view(np.uint64) % np.uint64(buckets)
-        order = np.argsort(bucket.astype(np.int64) * len(ids) + owner, kind="stable")
-        bucket, owner, token, rank = bucket[order], owner[order], token[order], rank[order]
-        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
-        out = {k: [] for k in ("bucket", "shard", "head", "low", "high", "rank")}
-        for a, b in zip(first, np.append(first[1:], len(bucket)) if len(bucket) else []):
-            low, high = _split40(token[a:b])
-            for k, x in zip(out, (int(bucket[a]), shard, _heads(ids, n, owner[a:b])[0], low, high, rank[a:b].tobytes())):
-                out[k].append(x)
-        return pa.Table.from_batches([_batch(out)])
+        n[number] = np.concatenate([head["n"] for head, _, _ in rows])
+        at = np.cumsum([0] + [len(head) for head, _, _ in rows])
+        rows = [(number[a:b].astype(np.int32), head["count"], low, high) for (head, low, high), a, b in zip(rows, at[:-1], at[1:])]
+        home = (ids.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        for k in range(RANGES):
+            owner, token, rank = _shared_in_range(rows, k)
+            if not len(owner):
+                continue
+            order = np.argsort(home[owner] * len(ids) + owner, kind="stable")
+            owner, token, rank = owner[order], token[order], rank[order]
+            bucket = home[owner]
+            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            out = {c: [] for c in ("bucket", "shard", "head", "low", "high", "rank")}
+            for a, b in zip(first, np.append(first[1:], len(bucket))):
+                low, high = _split40(token[a:b])
+                for c, x in zip(out, (int(bucket[a]), shard, _heads(ids, n, owner[a:b])[0], low, high, rank[a:b].tobytes())):
+                    out[c].append(x)
+            yield _batch(out)
     return run
 
 
@@ -215,25 +225,38 @@ def least_overlap(n: int) -> int:
     return -(-3 * n // 4)
 
 
-def survivors(rows: pa.Table) -> pa.Table:
-    """One bucket -> (cls, n, tokens): classes with enough shared shingles, shortest lists first."""
-    cls, n, token, rank = [], [], [], []
-    for r in rows.to_pylist():
-        head = np.frombuffer(r["head"], HEAD)
-        cls.append(np.repeat(head["cls"], head["count"]))
-        n.append(np.repeat(head["n"], head["count"]))
-        token.append(_join40(r["low"], r["high"]) | np.uint64(r["shard"]) << np.uint64(40))
-        rank.append(np.frombuffer(r["rank"], np.uint8))
-    cls, n, token, rank = (np.concatenate(x) for x in (cls, n, token, rank))
-    order = np.lexsort((token, rank, cls))
-    cls, n, token = cls[order], n[order], token[order]
-    at = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1])))
-    ends = np.append(at[1:], len(cls))
-    enough = 4 * (ends - at) >= 3 * n[at].astype(np.int64)
-    at, ends = at[enough], ends[enough]
-    return pa.table([pa.array(cls[at]), pa.array(n[at].astype(np.int32)),
-                     pa.array([token[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())],
-                    names=["cls", "n", "tokens"])
+def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket -> (cls, n, tokens): classes with enough shared shingles, shortest lists first. The classes are
+    put in order some at a time, about ``PART`` shingles."""
+    rows, shards = [], []
+    for batch in batches:
+        rows += _views([batch], head=HEAD, low="<u4", high=np.uint8, rank=np.uint8)
+        shards += batch.column("shard").to_pylist()
+    heads = np.concatenate([r[0] for r in rows])
+    ids, number = np.unique(heads["cls"], return_inverse=True)
+    n, size = np.zeros(len(ids), np.int64), np.bincount(number, weights=heads["count"]).astype(np.int64)
+    n[number] = heads["n"]
+    enough = 4 * size >= 3 * n
+    part = np.where(enough, np.cumsum(size) // PART, -1)
+    at = np.cumsum([0] + [len(r[0]) for r in rows])
+    for p in np.unique(part[enough]).tolist():
+        owner, token, rank = [], [], []
+        for (head, low, high, length), shard, a, b in zip(rows, shards, at[:-1], at[1:]):
+            mine = part[number[a:b]] == p
+            if not mine.any():
+                continue
+            here = np.repeat(mine, head["count"])
+            owner.append(np.repeat(number[a:b][mine], head["count"][mine]))
+            token.append(low[here].astype(np.uint64) | high[here].astype(np.uint64) << np.uint64(32) | np.uint64(shard) << np.uint64(40))
+            rank.append(length[here])
+        owner, token, rank = (np.concatenate(x) for x in (owner, token, rank))
+        order = np.lexsort((token, rank, owner))
+        owner, token = owner[order], token[order]
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        cls = owner[first]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[cls]), pa.array(n[cls].astype(np.int32)),
+             pa.array([token[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(owner)))], pa.binary())], ["cls", "n", "tokens"])
 
 
 def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
