@@ -39,7 +39,7 @@ from tillcast.llm.textbuf import Chunk, chunks
 CAPACITY = 4096
 END_ID = 2
 GROUP_DOCS = 2048
-CACHE = 1_000_000
+CACHE = 400_000
 PIECES = "array<struct<start:bigint,length:bigint,ids_crc32:bigint,doc_tokens:bigint>>"
 
 #: Strings of these characters alone are the same before and after NFC, have plain lower-case
