@@ -11,10 +11,10 @@ Per item: forecast f, actual demand a, price p.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.functions import round2
+from tillcast.functions import exact_sum, round2
 from tillcast.sources.fixtures import Calendar
 
 # Fixed values of the brief: overstock penalty share and markup on purchase cost.
@@ -53,19 +53,19 @@ def score_input(items: DataFrame, forecast: DataFrame, actual: DataFrame,
             .fillna({"forecast": 0, "actual": 0}))
 
 
-def monetary_value(si: DataFrame, forecast: str = "forecast") -> DataFrame:
-    """B1-B4 per item."""
-    f, a, p = F.col(forecast), F.col("actual"), F.col("price")
+def measures(f: Column, a: Column, p: Column) -> dict[str, Column]:
+    """B1-B4 of forecast ``f``, demand ``a`` and price ``p``."""
     over = F.greatest(f - a, F.lit(0))
     lost = F.greatest(a - f, F.lit(0))
-    value = F.when(f <= a, p * f).otherwise(p * a - OVERSTOCK_PENALTY * p * (f - a))
-    return (si.withColumn("value", value)
-            .withColumn("overstock_units", over.cast("long"))
-            .withColumn("overstock_value", over * p)
-            .withColumn("lost_units", lost.cast("long"))
-            .withColumn("lost_value", lost * p)
-            .withColumn("stock_value", f * p)
-            .withColumn("locked_capital", f * p / MARKUP))
+    return {"value": F.when(f <= a, p * f).otherwise(p * a - OVERSTOCK_PENALTY * p * (f - a)),
+            "overstock_units": over.cast("long"), "overstock_value": over * p,
+            "lost_units": lost.cast("long"), "lost_value": lost * p,
+            "stock_value": f * p, "locked_capital": f * p / MARKUP}
+
+
+def monetary_value(si: DataFrame, forecast: str = "forecast") -> DataFrame:
+    """B1-B4 per item."""
+    return si.withColumns(measures(F.col(forecast), F.col("actual"), F.col("price")))
 
 
 def value_totals(scored: DataFrame, keys=()) -> DataFrame:
@@ -80,18 +80,27 @@ def value_totals(scored: DataFrame, keys=()) -> DataFrame:
         (round2(F.sum("stock_value")) / MARKUP).alias("locked_capital"))
 
 
-def constraint_check(totals: DataFrame, max_overstock: float, max_lost: float,
-                     max_locked: float) -> DataFrame:
-    """Compare totals with the retailer's three limits (values in money)."""
-    ok_o = F.col("overstock_value") <= F.lit(float(max_overstock))
-    ok_l = F.col("lost_value") <= F.lit(float(max_lost))
-    ok_c = F.col("locked_capital") <= F.lit(float(max_locked))
+def _money(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def demand_shares(si: DataFrame, max_overstock: float, max_lost: float, max_locked: float) -> dict[str, Column]:
+    """The three limits in money, from shares of the value of the demand (NULL if there is none)."""
+    demand = si.agg(exact_sum(F.col("actual") * F.col("price"))).scalar()
+    return {"max_overstock": F.lit(float(max_overstock)) * demand, "max_lost": F.lit(float(max_lost)) * demand,
+            "max_locked": F.lit(float(max_locked)) * demand}
+
+
+def constraint_check(totals: DataFrame, max_overstock, max_lost, max_locked) -> DataFrame:
+    """Compare totals with the retailer's three limits (values in money, or columns of them)."""
+    ok_o = F.col("overstock_value") <= _money(max_overstock)
+    ok_l = F.col("lost_value") <= _money(max_lost)
+    ok_c = F.col("locked_capital") <= _money(max_locked)
     return (totals.withColumn("overstock_ok", ok_o).withColumn("lost_ok", ok_l)
             .withColumn("capital_ok", ok_c).withColumn("feasible", ok_o & ok_l & ok_c))
 
 
-def scenario_sweep(si: DataFrame, factors, max_overstock: float, max_lost: float,
-                   max_locked: float) -> DataFrame:
+def scenario_sweep(si: DataFrame, factors, max_overstock, max_lost, max_locked) -> DataFrame:
     """Scale every forecast by each factor (rounded half-even to units),
     total B1-B4 per factor, mark the factors within all limits, and rank the
     feasible ones by value (``best`` = rank 1).
