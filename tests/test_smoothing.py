@@ -98,3 +98,35 @@ def test_exact_median_of_hot_and_cold_items(spark):
     assert got == {k: float(np.median(x)) for k, x in prices.items() if len(x)}
     gap = {r["itemID"]: r for r in P.mean_median_gap(txn).collect()}
     assert gap[6]["median_price"] is None and gap[6]["mean_price"] is None and len(gap) == 6
+
+
+def _smoothed(x, a):
+    v, error, levels, ahead = None, 0.0, [], []
+    for value in x:
+        before = value if v is None else v
+        now = before if value is None else value
+        if now is not None:
+            error += (now - before) ** 2
+            v = a * now + (1 - a) * before
+        levels.append(v)
+        ahead.append(before)
+    return error, levels, ahead
+
+
+def test_smoothing_parameter_per_item(spark):
+    rng = np.random.default_rng(9)
+    series = {1: list(rng.poisson(5, 60)), 2: list(np.cumsum(rng.integers(-3, 6, 60))), 3: [7], 4: [0] * 12,
+              5: [None, None, 4, None, 9, 9, None, 8], 6: [None, None], 7: [0] * 20 + [30] * 20}
+    got, chosen = {}, {}
+    for row in S.fitted_smoothing(_grid(spark, series)).collect():
+        got.setdefault(row["itemID"], []).append(row)
+    for item, x in series.items():
+        rows = sorted(got[item], key=lambda r: r["date"])
+        best = min(S.ALPHAS, key=lambda a: _smoothed(x, a)[0])
+        error, levels, ahead = _smoothed(x, best)
+        assert {r["alpha"] for r in rows} == {best} and abs(rows[0]["squared_error"] - error) < 1e-6
+        for have, want in (("smoothed", levels), ("ahead", ahead)):
+            assert all((r[have] is None) == (w is None) and (w is None or abs(r[have] - w) < 1e-9) for r, w in zip(rows, want))
+        chosen[item] = best
+    assert chosen[1] < chosen[2] and chosen[4] == S.ALPHAS[0]
+    assert S.fitted_smoothing(_grid(spark, {})).count() == 0

@@ -148,6 +148,50 @@ def exponential_smoothing(grid: DataFrame, alpha: float = 0.3, col: str = "qty_s
     return _fold_series(grid, col, init, step, "smoothed", "struct<v:double>", keys)
 
 
+#: Smoothing parameters that a series' own is chosen from.
+ALPHAS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
+
+
+def fitted_smoothing(grid: DataFrame, col: str = "qty_sold", keys=ITEM, alphas=ALPHAS) -> DataFrame:
+    """T12 with a parameter of the item's own: the one of ``alphas`` whose level predicts the next day best.
+
+    One fold carries the level under every alpha and the sum of its squared one-day-ahead errors; the alpha
+    with the least sum (the first, if equal) is the item's. A second fold smooths with it.
+    Output: ``alpha``, its ``squared_error``, ``smoothed`` (the level after the day) and ``ahead`` (the level
+    before it, that is the day's forecast; the first day's is its own value). A missing value costs nothing
+    and leaves the level; before the first value the level is NULL.
+    """
+    series = _series(grid, col, keys).withColumn("_grid", F.array(*[F.lit(float(a)) for a in alphas]))
+    s = F.col("_s")
+
+    def after(v: Column, a: Column, x: Column) -> tuple[Column, Column, Column]:
+        """Level after the day, level before it, and its error."""
+        ahead = F.coalesce(v, x)
+        now = F.coalesce(x, ahead)
+        return a * now + (F.lit(1.0) - a) * ahead, ahead, F.coalesce(now - ahead, F.lit(0.0))
+
+    def errors(states: Column, e: Column) -> Column:
+        def one(st, a):
+            v, _, miss = after(st.getField("v"), a, e.getField("x"))
+            return F.struct(v.alias("v"), (st.getField("e") + miss * miss).alias("e"))
+        return F.zip_with(states, F.col("_grid"), one)
+
+    nothing = F.lit(None).cast("double")
+    start = F.transform("_grid", lambda a: F.struct(nothing.alias("v"), F.lit(0.0).alias("e")))
+    series = series.withColumn("_e", F.transform(F.aggregate(s, start, errors), lambda st: st.getField("e")))
+    series = series.withColumn("_a", F.element_at("_grid", F.array_position("_e", F.array_min("_e")).cast("int")))
+    a = F.col("_a")
+
+    def step(st: Column, e: Column) -> Column:
+        v, ahead, _ = after(st.getField("v"), a, e.getField("x"))
+        return F.struct(v.alias("v"), ahead.alias("ahead"))
+
+    rows = _folded(s, F.struct(nothing.alias("v"), nothing.alias("ahead")), step, "struct<v:double,ahead:double>",
+                   lambda st, e: F.struct(e.getField("date").alias("date"), st.getField("v").alias("v"), st.getField("ahead").alias("ahead")),
+                   "struct<date:date,v:double,ahead:double>")
+    return series.select(*keys, a.alias("alpha"), F.array_min("_e").alias("squared_error"), F.inline(rows)).withColumnRenamed("v", "smoothed")
+
+
 def kalman_smoothing(grid: DataFrame, q: float = 1.0, r: float = 10.0, col: str = "qty_sold",
                      keys=ITEM) -> DataFrame:
     """Local-level Kalman filter per item (process variance ``q``,

@@ -124,6 +124,31 @@ def q_exponential_smoothing(spark, sf):
     return S.exponential_smoothing(_grid(spark, sf), 0.3)
 
 
+def _fitted_sql() -> str:
+    """Smoothing with every alpha, its summed squared errors, and the rows of the best one."""
+    grid = ", ".join(f"({k}, {O.dbl(a)})" for k, a in enumerate(S.ALPHAS))
+    miss = "(g.x - f.v)"
+    return O.with_(*GRID_CTES, """gn AS (
+  SELECT split, itemID, date, CAST(qty_sold AS DOUBLE) AS x, row_number() OVER (PARTITION BY split, itemID ORDER BY date) AS rn FROM grid)""") \
+        + f"""SELECT split, itemID, alpha, squared_error, date, v AS smoothed, ahead FROM (
+  WITH RECURSIVE alphas(k, alpha) AS (VALUES {grid}),
+  fold(k, alpha, split, itemID, rn, date, v, ahead, e) AS (
+    SELECT k, alpha, split, itemID, rn, date, alpha * x + ({_ONE} - alpha) * x, x, {O.dbl(0.0)} FROM gn, alphas WHERE rn = 1
+    UNION ALL
+    SELECT f.k, f.alpha, g.split, g.itemID, g.rn, g.date, f.alpha * g.x + ({_ONE} - f.alpha) * f.v, f.v, f.e + {miss} * {miss}
+    FROM fold f JOIN gn g ON g.split = f.split AND g.itemID = f.itemID AND g.rn = f.rn + 1),
+  kept AS (
+    SELECT *, first_value(k) OVER last AS best, first_value(e) OVER last AS squared_error
+    FROM fold WINDOW last AS (PARTITION BY split, itemID ORDER BY rn DESC, e, k))
+  SELECT * FROM kept WHERE k = best)"""
+
+
+@register("fitted_smoothing", _fitted_sql(), fuzz=("squared_error", "smoothed", "ahead"), ops=("T12",))
+def q_fitted_smoothing(spark, sf):
+    """Exponentially smoothed daily units, the parameter of every item chosen by its one-day-ahead errors."""
+    return S.fitted_smoothing(_grid(spark, sf))
+
+
 _Q, _R = O.dbl(1.0), O.dbl(10.0)
 
 
