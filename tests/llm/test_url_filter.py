@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tillcast.llm import url_filter as uf
 
@@ -69,3 +70,41 @@ def test_query_over_the_whole_table_and_accuracy_on_ruled_urls(spark):
             labelled += 1
             right += (r.p_block >= uf.BLOCK_FROM) == (action == "block")
     assert right / labelled > 0.9
+
+
+def _model(spark, monkeypatch, sf_dir):
+    kept = []
+    fit = uf.fitted
+    monkeypatch.setattr(uf, "fitted", lambda *a, **k: kept.append(fit(*a, **k)) or kept[-1])
+    rows = uf.op1_url_filters(spark, sf_dir).collect()
+    return kept[0], rows
+
+
+def test_trees_use_lexical_features(spark, monkeypatch):
+    model, _ = _model(spark, monkeypatch, "/root/testdata/sf0.1")
+    weight = dict(zip(uf.FEATURES, model.featureImportances.toArray()))
+    assert len(weight) == model.numFeatures
+    assert sum(weight[name] > 0 for name in uf.LEXICAL) >= 3
+
+
+def _among(rows, urls):
+    return {urls[r.page_id]: r.verdict for r in rows if r.rule is None}
+
+
+def test_verdicts_of_unruled_urls_do_not_turn_with_the_size_of_the_table(spark):
+    small = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    large = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select((F.col("page_id") + 10**6).alias("page_id"), "url")
+    urls = {r.page_id: r.url for r in small.union(large).collect()}
+    alone, together = _among(uf.judge(small).collect(), urls), _among(uf.judge(small.union(large)).collect(), urls)
+    same = sum(together[u] == v for u, v in alone.items())
+    assert len(alone) > 100 and same / len(alone) > 0.95
+
+
+def test_shares_fall_back_to_the_parent_suffix(spark):
+    row = spark.createDataFrame([([0.0], 90, 40, 40, 50, 20, 20, 1, 0, 0)], "lexical array<double>, " + ", ".join(
+        f"{level}_{c} long" for level in uf.LEVELS for c in ("urls", "n", "b")))
+    f = {h: row.select(uf.features(100, 0.5, F.lit(h)).alias("f")).first().f[1:] for h in range(4)}
+    site = (20 + 8 * (40 + 4) / 48) / 28
+    assert abs(f[0][5] - site) < 1e-12 and f[0][8] == f[0][5] and f[0][7] == 0.0  # a section without labels
+    assert f[2][5] == f[2][2] and f[3][2] == f[3][8] == 0.5 and f[3][1] == 0.0
+    assert f[0][0] == 0.9 and f[3][0] == 0.9

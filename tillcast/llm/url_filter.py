@@ -5,21 +5,29 @@ path starts with the rule's; the longest fitting rule decides. Urls that a rule
 labelled urls. On a bounded sample of them (``SAMPLE_ROWS``, chosen by a hash of the url) Spark ML's
 gradient-boosted trees learn lexical features: lengths, depth, digit ratio, character entropy, parameter
 counts, and statistics of suffixes (the last label of the host; the last two; the last two with the first
-path segment): how many urls have them, and the blocked share of the labelled ones. These
-statistics cover all urls. A labelled url's own fifth of the urls is left out of its shares, so
+path segment): the share of all urls that have them, the blocked share of the labelled ones, and how much
+evidence that is, ``n / (n + SHRINK)``. A suffix's blocked share is shrunk towards its parent suffix's with the weight of
+``SHRINK`` urls, the last label's towards that of all labelled urls, so a suffix without labels has its parent's.
+These statistics cover all urls. A labelled url's own fifth of the urls is left out of its shares, so
 that its label doesn't reach its features.
 
+The labels restate their rules' suffixes, so trees that always see these learn nothing else. Therefore
+each sampled url is learned from once per number of hidden suffixes: with all labels seen, without the
+section's, without the site's, and without any. There the lexical features have to do. Both labels weigh the
+same, so a url that nothing speaks for or against has a probability near 1/2, and
+is blocked from ``BLOCK_FROM`` on only.
+
 Cases: a null url, or one without ``://``, has an empty host and path and fits no rule; its features
 are zeros. Repeated urls are judged alike. If the rules don't give both labels, the method allows
-everything. An empty table gives no rows. Hot suffixes are counted by partial sums and joined by
-adaptive execution, which splits them.
+everything. An empty table gives no rows. Hot suffixes are counted by partial sums; the counts are written,
+so adaptive execution broadcasts them if they are small and splits a hot suffix's urls if not.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +42,10 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 SAMPLE_ROWS = 20_000
 TREES = 10
 DEPTH = 4
+LEAST_ROWS = 20   # of a leaf
 FOLDS = 5
-BLOCK_FROM = 0.5
+SHRINK = 8.0
+BLOCK_FROM = 0.75
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -93,26 +103,55 @@ def suffixes(host: Column, path: Column) -> dict[str, Column]:
             "section": F.concat_ws("/", site, F.get(F.split(path, "/"), 1))}
 
 
-def with_statistics(urls: DataFrame) -> DataFrame:
-    """Adds the suffix features to urls (with label, fold and the LEVELS columns)."""
+def with_counts(urls: DataFrame) -> DataFrame:
+    """Adds to urls (with label, fold and the LEVELS columns) of each suffix the urls that have it, and
+    the labelled and blocked ones outside a labelled url's own fold: ``<level>_urls``, ``_n`` and ``_b``. All
+    levels are counted in one pass."""
+    each = urls.select("fold", "label", F.explode(F.array(*[
+        F.struct(F.lit(level).alias("level"), F.col(level).alias("suffix")) for level in LEVELS])).alias("s"))
+    counts = written(each.groupBy("s.level", "s.suffix").agg(F.count("*").alias("urls"), *[
+        F.sum(F.when((F.col("fold") == f) & (F.col("label") >= y), 1).otherwise(0)).alias(f"s{y}{f}") for y in (0, 1) for f in range(FOLDS)]))
     for level in LEVELS:
-        sums = [F.sum(F.when((F.col("fold") == f) & (F.col("label") == y), 1).otherwise(0)).alias(f"s{y}{f}")
-                for y in (0, 1) for f in range(FOLDS)]
-        stats = urls.groupBy(level).agg(F.count("*").alias("all_urls"), *sums)
-        here = urls.join(stats, level)
+        stats = counts.where(F.col("level") == level).drop("level").withColumnRenamed("suffix", level)
 
         def total(y: int) -> Column:
             own = F.element_at(F.array(*(F.col(f"s{y}{f}") for f in range(FOLDS))), F.col("fold") + 1)
             return sum((F.col(f"s{y}{f}") for f in range(FOLDS)), F.lit(0)) - F.when(
                 F.col("label").isNotNull(), own).otherwise(0)
 
-        urls = here.withColumns({
-            f"{level}_urls": F.log1p("all_urls"), f"{level}_labelled": F.log1p(total(0) + total(1)),
-            f"{level}_blocked": (total(1) + 1.0) / (total(0) + total(1) + 2.0),
-        }).drop("all_urls", *(f"s{y}{f}" for y in (0, 1) for f in range(FOLDS)))
+        urls = (urls.join(stats, level).withColumns({f"{level}_n": total(0), f"{level}_b": total(1)})
+                .withColumnRenamed("urls", f"{level}_urls").drop(*(f"s{y}{f}" for y in (0, 1) for f in range(FOLDS))))
     return urls
 
 
+def features(all_urls: int, prior: float, hidden: Column) -> Column:
+    """The trees' features; labels of the last ``hidden`` LEVELS are not seen."""
+    share, out = F.lit(prior), []
+    for k, level in enumerate(LEVELS):
+        seen = hidden < len(LEVELS) - k
+        n, b = (F.when(seen, F.col(f"{level}_{c}")).otherwise(0) for c in ("n", "b"))
+        share = (b + SHRINK * share) / (n + SHRINK)
+        out += [F.col(f"{level}_urls") / float(max(all_urls, 1)), n / (n + SHRINK), share]
+    return F.concat("lexical", F.array(*out))
+
+
+FEATURES = [*LEXICAL, *(f"{level}_{what}" for level in LEVELS for what in ("share", "evidence", "blocked"))]
+
+
+def fitted(counted: DataFrame, every: int, labelled: int, blocked: int, sample_rows: int = SAMPLE_ROWS) -> GBTClassificationModel:
+    """The trees of a sample of the labelled urls, each with 0 to 3 hidden levels of labels."""
+    slots = max(1, round(1_000_000 * min(1.0, sample_rows / labelled)))
+    sample = (counted.where("label is not null")
+              .where(F.pmod(F.xxhash64("url", "page_id"), F.lit(1_000_000)) < slots)
+              .withColumn("hidden", F.explode(F.sequence(F.lit(0), F.lit(len(LEVELS)))))
+              .select(F.col("label").cast("double").alias("label"),
+                      F.when(F.col("label") == 1, labelled / (2.0 * blocked)).otherwise(labelled / (2.0 * (labelled - blocked))).alias("weight"),
+                      array_to_vector(features(every, blocked / labelled, F.col("hidden"))).alias("features")))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, minInstancesPerNode=LEAST_ROWS, weightCol="weight", seed=7,
+                          checkpointInterval=-1)
+    return trees.fit(written_vectors(sample))
+
+
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES,
           sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, p_block (the method's probability)."""
@@ -127,20 +166,14 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RU
         "fold": F.pmod(F.xxhash64(F.coalesce(raw, F.lit("")), F.lit(7)), F.lit(FOLDS)).cast("int"),
         "lexical": F.arrow_udf(lexical_column, "array<double>")(F.coalesce(raw, F.lit(""))),
         **suffixes(F.col("host"), F.col("path"))})
-    statistics = [f"{level}_{what}" for level in LEVELS for what in ("urls", "labelled", "blocked")]
-    table_ = written(with_statistics(urls).select(
-        "page_id", "url", "host", "path", "rule", "action", "label", F.concat("lexical", F.array(*statistics)).alias("f")))
-    both = table_.where("label is not null").agg(F.count("*"), F.sum("label")).first()
-    if not both[1] or both[1] == both[0]:
+    table_ = written(with_counts(written(urls)).select(
+        "page_id", "url", "host", "path", "rule", "action", "label", "lexical", *[f"{level}_{c}" for level in LEVELS for c in ("urls", "n", "b")]))
+    every, labelled, blocked = table_.agg(F.count("*"), F.count("label"), F.sum("label")).first()
+    if not blocked or blocked == labelled:
         judged = table_.withColumn("p_block", F.lit(0.0))
     else:
-        slots = max(1, round(1_000_000 * min(1.0, sample_rows / both[0])))
-        sample = (table_.where("label is not null")
-                  .where(F.pmod(F.xxhash64("url", "page_id"), F.lit(1_000_000)) < slots)
-                  .select(F.col("label").cast("double").alias("label"), array_to_vector(F.col("f")).alias("features")))
-        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7, checkpointInterval=-1)
-        model = trees.fit(written_vectors(sample))
-        judged = (model.transform(table_.withColumn("features", array_to_vector(F.col("f"))))
+        model = fitted(table_, every, labelled, blocked, sample_rows)
+        judged = (model.transform(table_.withColumn("features", array_to_vector(features(every, blocked / labelled, F.lit(0)))))
                   .withColumn("p_block", vector_to_array("probability")[1]))
     verdict = F.coalesce("action", F.when(F.col("p_block") >= BLOCK_FROM, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "p_block")
