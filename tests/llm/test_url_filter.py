@@ -107,4 +107,4 @@ def test_shares_fall_back_to_the_parent_suffix(spark):
     site = (20 + 8 * (40 + 4) / 48) / 28
     assert abs(f[0][5] - site) < 1e-12 and f[0][8] == f[0][5] and f[0][7] == 0.0  # a section without labels
     assert f[2][5] == f[2][2] and f[3][2] == f[3][8] == 0.5 and f[3][1] == 0.0
-    assert f[0][0] == 0.9 and f[3][0] == 0.9
+    assert f[0][0] == 0.9 and f[3][0] == 0.0 and f[0][6] == 0.0

@@ -12,8 +12,8 @@ These statistics cover all urls. A labelled url's own fifth of the urls is left
 that its label doesn't reach its features.
 
 The labels restate their rules' suffixes, so trees that always see these learn nothing else. Therefore
-each sampled url is learned from once per number of hidden suffixes: with all labels seen, without the
-section's, without the site's, and without any. There the lexical features have to do. Both labels weigh the
+each sampled url is learned from once per number of hidden suffixes: with all seen, without the
+section, without the site too, and without any. There the lexical features have to do. Both labels weigh the
 same, so a url that nothing speaks for or against has a probability near 1/2, and
 is blocked from ``BLOCK_FROM`` on only.
 
@@ -125,13 +125,14 @@ def with_counts(urls: DataFrame) -> DataFrame:
 
 
 def features(all_urls: int, prior: float, hidden: Column) -> Column:
-    """The trees' features; labels of the last ``hidden`` LEVELS are not seen."""
+    """The trees' features; the last ``hidden`` LEVELS are not seen. A suffix without labels is as if not
+    seen: how many urls have it would only tell the trees which suffix it is."""
     share, out = F.lit(prior), []
     for k, level in enumerate(LEVELS):
         seen = hidden < len(LEVELS) - k
         n, b = (F.when(seen, F.col(f"{level}_{c}")).otherwise(0) for c in ("n", "b"))
         share = (b + SHRINK * share) / (n + SHRINK)
-        out += [F.col(f"{level}_urls") / float(max(all_urls, 1)), n / (n + SHRINK), share]
+        out += [F.when(n > 0, F.col(f"{level}_urls") / float(max(all_urls, 1))).otherwise(0.0), n / (n + SHRINK), share]
     return F.concat("lexical", F.array(*out))
 
 
