@@ -1,18 +1,23 @@
 """SentencePiece encoding, decoding, and sampling of segmentations without replacement.
 
-The segmentations of a text are the paths of a lattice: nodes are the places between characters, edges
-the pieces that match there (a character without a piece is one edge of its byte pieces). A path's
+The segmentations of a text are the paths of a lattice: nodes are places between characters, edges
+the pieces that match there (a character without a piece is a chain of its byte pieces). A path's
 log-weight is the sum of its pieces' log-probabilities, which fall with a piece's rank as Zipf's law
 has it, times ``alpha``. No piece holds a space mark behind its first character, so a lattice is a chain of the lattices of
-its space-separated units, and those of frequent units are kept.
+its space-separated units; equal units share one, built for all new units of some texts at once (a trie walked
+from every character a byte a step, masses summed from the ends of the units backwards).
 
 Gumbel top-k: perturbing every path's log-probability with Gumbel noise and taking the k largest draws k
 distinct paths without replacement. They are found by A* from the root, top down: a node carries the
-largest perturbed value below it, its children get noise conditioned on that maximum (log-masses below a node
-come from one backward pass), so the child with the largest value continues the path and the best of the others wait.
-At most k + 1 waiting nodes can matter, so no more are kept. The value of the best node left after k paths is
-the threshold t; a path of log-probability p has the inclusion score P(p + Gumbel > t) = 1 - exp(-exp(p - t)).
-Noise comes from a generator seeded by the row's key, so a row's samples don't depend on its partition.
+largest perturbed value g below it. Of a node's edges, the one with the largest value is a draw by probability,
+independent of g; the largest value of all paths that leave by another edge is a Gumbel of their log-mass cut off at g.
+So the best path below a node is one walk, and every edge of it leaves one waiting node: "this prefix, then any other edge".
+All texts of a chunk are searched together, a path a round: each takes its best waiting node, draws another of its edges, and all
+units behind it are walked at once. At most k + 1 waiting nodes can matter, so no more are kept; the noise has 52 bits, so
+a value is at most LEAD above its log-mass, and nodes that can't reach the kept ones get none.
+The value of the best node left after k paths is the threshold t; a path of log-probability p has the inclusion score
+P(p + Gumbel > t) = 1 - exp(-exp(p - t)). Noise is a hash of the row's key, the round and the place in the text, so a
+row's samples don't depend on its partition or the texts beside it.
 
 Cases: a null text is empty; an empty text has one segmentation, without pieces, of inclusion 1; with fewer
 than k segmentations all are returned, with inclusion 1; equal keys and texts give equal samples; a
@@ -24,8 +29,9 @@ from __future__ import annotations
 import math
 import random
 import zlib
-from array import array
-from bisect import insort
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,148 +39,378 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm.shared import fresh, ship, table
+from tillcast.llm.textbuf import IS_LEAD, U64, mix
 
 SAMPLES = 3
 ALPHA = 0.6
 SPACE = "▁"
-#: Units whose edges are kept, and the longest of them.
-KEPT_UNITS, LONGEST = 30_000, 40
+#: Characters of the texts searched together; a longer text is searched by itself.
+CHUNK_CHARS = 2_000_000
+#: Units whose lattices are kept from one chunk to the next, and their mean length at most.
+KEPT_UNITS, LONGEST = 100_000, 40
+#: -log of the smallest exponential noise, rounded up.
+LEAD = 37.0
+#: Places of a walk that get noise in any case.
+FIRST = 256
 SAMPLE = ("array<struct<sample:int,ids:array<int>,logp:double,inclusion:double>>")
 
+_STEP, _ROUND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _models: dict = {}
 
 
+def times(n: int, factor: int) -> np.uint64:
+    return U64(n * factor & (1 << 64) - 1)
+
+
+def uniforms(base: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) of 52 bits, by hash."""
+    return ((mix(base) >> U64(12)).astype(np.float64) + 0.5) * 2.0 ** -52
+
+
 class Pieces:
-    """The pieces of a model file, as log-probabilities by string."""
+    """The pieces of a model file, as log-probabilities by string and as a trie of their bytes."""
 
     def __init__(self, path: str, alpha: float):
         from sentencepiece import SentencePieceProcessor
 
         self.processor = p = SentencePieceProcessor(model_file=path)
-        self.byte_id, ranked = {}, {}
+        byte_id, ranked = {}, {}
         for i in range(p.get_piece_size()):
             if p.is_byte(i):
-                self.byte_id[int(p.id_to_piece(i)[3:5], 16)] = i
+                byte_id[int(p.id_to_piece(i)[3:5], 16)] = i
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)) and p.get_score(i) > -1e8:
                 ranked[p.id_to_piece(i)] = (-p.get_score(i), i)
         if any(SPACE in s[1:] for s in ranked):
             raise ValueError("a piece holds a space mark behind its first character")
         total = math.log(sum(1 / (r + 2.7) for r, _ in ranked.values()))
-        self.weight = {s: (-alpha * (math.log(r + 2.7) + total), (i,)) for s, (r, i) in ranked.items()}
+        self.weight = {s: (-alpha * (math.log(r + 2.7) + total), i) for s, (r, i) in ranked.items()}
         self.byte_weight = -alpha * (math.log(p.get_piece_size() + 2.7) + total)
-        self.longest = max(map(len, self.weight))
-        self.bytes_of = [p.id_to_piece(i).encode("utf-8") for i in range(p.get_piece_size())]
-        for b, i in self.byte_id.items():
-            self.bytes_of[i] = bytes([b])
+        self.byte_id = np.array([byte_id[b] for b in range(256)], np.int32)
+        self.weight_of = np.full(p.get_piece_size(), self.byte_weight)
+        for w, i in self.weight.values():
+            self.weight_of[i] = w
+        self.bytes_of = np.empty(p.get_piece_size(), object)
         for i in range(p.get_piece_size()):
-            if p.is_control(i) or p.is_unknown(i):
-                self.bytes_of[i] = b""
-        self.units: dict[str, Unit] = {}
-
-    def text(self, ids: list[int]) -> str:
+            self.bytes_of[i] = b"" if p.is_control(i) or p.is_unknown(i) else p.id_to_piece(i).encode("utf-8")
+        self.bytes_of[self.byte_id] = [bytes([b]) for b in range(256)]
+        self._trie()
+        self.kept = Lattice(self)
+
+    def _trie(self) -> None:
+        """``child[node, class of the byte]`` (0: none), and the piece that ends at a node (-1: none)."""
+        at, pairs, ends = {b"": 0}, [], [-1]
+        for s, (_, i) in self.weight.items():
+            raw = s.encode("utf-8")
+            for n in range(1, len(raw) + 1):
+                if raw[:n] not in at:
+                    at[raw[:n]] = len(ends)
+                    pairs.append((at[raw[:n - 1]], raw[n - 1], len(ends)))
+                    ends.append(-1)
+            ends[at[raw]] = i
+        parent, byte, node = np.array(pairs, np.int64).T
+        self.byte_class = np.zeros(256, np.int64)
+        used = np.unique(byte)
+        self.byte_class[used] = np.arange(1, len(used) + 1)
+        inner = np.unique(parent)  # nodes with children come first, the root as 0
+        number = np.empty(len(ends), np.int64)
+        number[inner] = np.arange(len(inner))
+        number[np.setdiff1d(np.arange(len(ends)), inner)] = np.arange(len(inner), len(ends))
+        self.n_inner, self.width = len(inner), len(used) + 1
+        self.child = np.zeros(len(inner) * self.width, np.int32)
+        self.child[number[parent] * self.width + self.byte_class[byte]] = number[node]
+        self.piece_at = np.empty(len(ends), np.int32)
+        self.piece_at[number] = ends
+
+    def text(self, ids) -> str:
         """The pieces' bytes in a row, space marks as spaces, without the one put before the text."""
-        raw = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
+        raw = b"".join(self.bytes_of[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "replace").replace(SPACE, " ")
         return raw[1:] if raw[:1] == " " else raw
 
     def unit(self, text: str) -> Unit:
-        found = self.units.get(text)
-        if found is None:
-            found = Unit(text, self)
-            if len(text) <= LONGEST:
-                if len(self.units) >= KEPT_UNITS:
-                    self.units.clear()
-                self.units[text] = found
-        return found
+        return Unit(text, self)
 
 
 class Unit:
-    """The lattice of one unit: edges(i) are (end, log-weight, ids); mass[i] is the log of the summed
-    weights of all paths from i to the end."""
+    """The edges of one unit read off its text: edges(i) are (end, log-weight, ids) from character i."""
 
     def __init__(self, text: str, pieces: Pieces):
-        self.text, self.pieces, n = text, pieces, len(text)
-        self.mass = [0.0] * (n + 1)
-        self.kept = [()] * n if n <= LONGEST else None
-        for i in range(n - 1, -1, -1):
-            edges = self.find(i)
-            if self.kept is not None:
-                self.kept[i] = edges
-            values = [w + self.mass[j] for j, w, _ in edges]
-            top = max(values)
-            self.mass[i] = top + math.log(sum(math.exp(v - top) for v in values)) if len(values) > 1 else top
-
-    def find(self, i: int) -> tuple:
-        text, weight, out = self.text, self.pieces.weight, []
-        for j in range(i + 1, min(len(text), i + self.pieces.longest) + 1):
-            hit = weight.get(text[i:j])
+        self.text, self.pieces = text, pieces
+
+    def edges(self, i: int) -> list[tuple]:
+        weight, out = self.pieces.weight, []
+        for j in range(i + 1, len(self.text) + 1):
+            hit = weight.get(self.text[i:j])
             if hit is not None:
-                out.append((j, hit[0], hit[1]))
+                out.append((j, hit[0], (hit[1],)))
         if not out or out[0][0] != i + 1:
-            raw = text[i].encode("utf-8")
-            out.append((i + 1, self.pieces.byte_weight * len(raw), tuple(self.pieces.byte_id[b] for b in raw)))
-        return tuple(out)
-
-    def edges(self, i: int) -> tuple:
-        return self.kept[i] if self.kept is not None else self.find(i)
+            raw = self.text[i].encode("utf-8")
+            out.append((i + 1, self.pieces.byte_weight * len(raw), tuple(self.pieces.byte_id[list(raw)].tolist())))
+        return out
 
 
 def units_of(text: str) -> list[str]:
-    return [SPACE + u for u in text.replace(" ", SPACE).split(SPACE)] if text else []
+    return [SPACE + u for u in bare_units(text)]
+
+
+def bare_units(text: str) -> list[str]:
+    """The units without the space mark that each begins with."""
+    return text.replace(SPACE, " ").split(" ") if text else []
+
+
+class Lattice:
+    """The lattices of some units. State 0 is the end of a unit; the edges of state s are those from ``off[s]`` on, with
+    piece ``id``, next state ``to``, log-probability ``logp`` given the state, summed probability ``upto`` (infinite
+    for the last one) and log-probability ``other`` of the state's other edges."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.n_edges = pieces, 0
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.first = np.zeros(0, np.int64)
+        self.off, self.to, self.source = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.id, self.logp, self.upto, self.other = np.zeros(0, np.int32), np.zeros(0), np.zeros(0), np.zeros(0)
+
+    @property
+    def full(self) -> bool:
+        return len(self.number) > KEPT_UNITS or len(self.off) > KEPT_UNITS * LONGEST
+
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """Per text the numbers of its units; units not met before are added."""
+        number, known = self.number, len(self.number)
+        out = [np.array([*map(number.__getitem__, bare_units(t))], np.int64) for t in texts]
+        if len(number) > known:
+            self._add("".join([SPACE + u for u in islice(number, known, None)]).encode("utf-8"))
+        return out
+
+    def _add(self, raw: bytes) -> None:
+        p, data = self.pieces, np.frombuffer(raw, np.uint8)
+        size = len(data)
+        # a unit starts at each space mark and nowhere else
+        mark = np.frombuffer(SPACE.encode("utf-8"), np.uint8)
+        start = np.flatnonzero((data[:-2] == mark[0]) & (data[1:-1] == mark[1]) & (data[2:] == mark[2]))
+        lead = np.flatnonzero(IS_LEAD[data])
+        char_end = np.zeros(size, np.int64)
+        char_end[lead] = np.append(lead[1:], size)
+        classes = np.append(p.byte_class[data], 0)
+        count, whole, found = np.zeros(size, np.int64), np.zeros(size, bool), []
+        at, node, depth = lead, np.zeros(len(lead), np.int64), 0
+        while len(at):
+            node = p.child[node * p.width + classes[at + depth]]
+            hit = np.flatnonzero(node)
+            at, node, depth = at[hit], node[hit], depth + 1
+            piece = p.piece_at[node]
+            ends = np.flatnonzero(piece >= 0)
+            here = at[ends]
+            found.append((here, count[here], here + depth, piece[ends]))
+            count[here] += 1
+            whole[here[char_end[here] == here + depth]] = True
+            on = np.flatnonzero((node < p.n_inner) & (at + depth < size))
+            at, node = at[on], node[on].astype(np.int64)
+        lone = ~whole & IS_LEAD[data]  # characters without a piece: byte by byte
+        lone = np.flatnonzero(lone[lead[np.cumsum(IS_LEAD[data]) - 1]])
+        found.append((lone, count[lone], lone + 1, p.byte_id[data[lone]]))
+        count[lone] += 1
+        # states by their distance from the end of the unit, so a state's edges lead to states before it
+        which = np.flatnonzero(count)
+        stop = np.append(start[1:], size)
+        away = stop[np.searchsorted(start, which, "right") - 1] - which
+        order = np.argsort(away, kind="stable")
+        which, away = which[order], away[order]
+        base, n_old = len(self.off), self.n_edges
+        state = np.zeros(size + 1, np.int64)
+        state[which] = np.arange(base, base + len(which))
+        first = state[start]
+        degree = count[which]
+        off = np.cumsum(degree) - degree
+        n = int(degree.sum())
+        to, piece, inner_end = np.empty(n, np.int64), np.empty(n, np.int32), np.ones(size + 1, bool)
+        inner_end[start] = inner_end[size] = False
+        for here, rank, end, ids in found:
+            e = off[state[here] - base] + rank
+            to[e], piece[e] = np.where(inner_end[end], state[end], 0), ids
+        mass = np.zeros(base + len(which))  # of the new states; the old ones aren't met
+        weight = p.weight_of[piece]
+        source = np.repeat(np.arange(len(which)), degree)
+        steps = np.append(np.flatnonzero(np.diff(away, prepend=-1)), len(which)).tolist()
+        for a, b in zip(steps[:-1], steps[1:]):
+            x, y = off[a], off[b] if b < len(which) else n
+            value = weight[x:y] + mass[to[x:y]]
+            cuts = off[a:b] - x
+            top = np.maximum.reduceat(value, cuts)
+            summed = np.add.reduceat(np.exp(value - top[source[x:y] - a]), cuts)
+            mass[base + a:base + b] = top + np.log(summed)
+        logp = np.minimum(weight + mass[to] - mass[base + source], 0.0)
+        prob = np.exp(logp)
+        before, after, upto = np.zeros(n), np.zeros(n), np.empty(n)
+        sums, most = np.zeros(len(which)), int(degree.max(initial=0))
+        for j in range(most):
+            have = np.flatnonzero(degree > j)
+            e = off[have] + j
+            before[e] = sums[have]
+            sums[have] += prob[e]
+            upto[e] = sums[have]
+        sums[:] = 0
+        for j in range(most - 1, -1, -1):
+            have = np.flatnonzero(degree > j)
+            e = off[have] + j
+            after[e] = sums[have]
+            sums[have] += prob[e]
+        upto[off + degree - 1] = np.inf
+        with np.errstate(divide="ignore"):
+            other = np.log(before + after)
+        self.first = np.append(self.first, first)
+        self.off = np.append(self.off, off + n_old)
+        self.to, self.source = np.append(self.to, to), np.append(self.source, source + base)
+        self.id, self.logp = np.append(self.id, piece), np.append(self.logp, logp)
+        self.upto, self.other, self.n_edges = np.append(self.upto, upto), np.append(self.other, other), n_old + n
+
+    def edges_of(self, state: int) -> range:
+        e = int(self.off[state])
+        stop = e + 1
+        while self.upto[stop - 1] < math.inf:
+            stop += 1
+        return range(e, stop)
+
+    def walk(self, state: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A drawn path from each state to the end of its unit: the edges one after the other, and their bounds."""
+        live = np.flatnonzero(state)
+        s, b, steps, length = state[live], base[live], [], np.zeros(len(state) + 1, np.int64)
+        off, upto, to = self.off, self.upto, self.to
+        while len(live):
+            u = uniforms(b)
+            e = off[s]
+            more = np.flatnonzero(u >= upto[e])
+            while len(more):
+                e[more] += 1
+                more = more[u[more] >= upto[e[more]]]
+            steps.append((live, e))
+            s = to[e]
+            on = np.flatnonzero(s)
+            if len(on) < len(s):
+                length[live + 1] = len(steps)
+                live, s, b = live[on], s[on], b[on]
+            b = b + U64(_STEP)
+        bounds = np.cumsum(length)
+        out = np.empty(bounds[-1], np.int64)
+        for n, (who, e) in enumerate(steps):
+            out[bounds[who] + n] = e
+        return out, bounds
+
+
+class Search:
+    """The A* search of one text. A path is (edges, log-probabilities up to each edge's start and of all, first edge of each unit);
+    a waiting node is (value, path, place, edges taken there), the worst first."""
+
+    def __init__(self, units: np.ndarray, seed: int, k: int, lattice: Lattice):
+        self.lattice, self.k, self.paths = lattice, k, []
+        self.first = lattice.first[units]
+        self.seed = mix(np.array([seed & (1 << 64) - 1], U64))
+        self.random = random.Random(seed)
+        self.waiting: list[tuple] = []
+        self.done = not len(units)
+
+    def _noise(self) -> float:
+        return -math.log(self.random.random() or 5e-324)
+
+    def begin(self) -> tuple[np.ndarray, np.ndarray]:
+        """The states to walk from in this round, and the bases of their noise."""
+        lat, nth = self.lattice, len(self.paths)
+        if not nth:
+            self.value, self.kept, self.unit = -math.log(self._noise()), None, 0
+            start = self.first
+        else:
+            self.value, path, place, taken = self.waiting.pop()
+            edges, upto, bounds = self.paths[path]
+            free = [e for e in lat.edges_of(lat.source[edges[place]]) if e not in taken]
+            top = max(lat.logp[e] for e in free)
+            chance = [math.exp(lat.logp[e] - top) for e in free]
+            u, pick = self.random.random() * sum(chance), 0
+            while pick < len(free) - 1 and u >= chance[pick]:
+                u -= chance[pick]
+                pick += 1
+            left = sum(chance[:pick] + chance[pick + 1:])
+            if left:
+                self._wait([(self._held(upto[place] + top + math.log(left)), path, place, (*taken, free[pick]))])
+            self.kept = (edges[:place], free[pick], upto[:place + 1])
+            self.unit = int(np.searchsorted(bounds, place, "right")) - 1
+            self.heads = bounds[:self.unit + 1]
+            start = np.append(lat.to[free[pick]], self.first[self.unit + 1:])
+        at = np.arange(self.unit, self.unit + len(start)).astype(U64)
+        return start, mix(self.seed + times(nth + 1, _ROUND) + at * U64(_STEP))
+
+    def _held(self, mass: float) -> float:
+        """A Gumbel of this log-mass, cut off at the node's value."""
+        return float(mass - np.logaddexp(mass - self.value, math.log(self._noise() or 5e-324)))
+
+    def _wait(self, nodes: list[tuple]) -> None:
+        room = self.k - len(self.paths)
+        self.waiting = sorted(self.waiting + nodes, key=lambda n: n[0])[-room:]
+
+    def end(self, walked: np.ndarray, bounds: np.ndarray) -> None:
+        """Take the walk as the next path; of its edges, keep what may matter as waiting nodes."""
+        lat, nth = self.lattice, len(self.paths)
+        edges, heads, skip, before = walked, bounds[:-1], 0, np.zeros(1)
+        if self.kept is not None:
+            prefix, edge, before = self.kept
+            edges = np.concatenate([prefix, [edge], walked])
+            skip = len(prefix) + 1
+            heads = np.append(self.heads, bounds[1:-1] + skip)
+            before = np.append(before, before[-1] + lat.logp[edge])
+        upto = np.concatenate([before[:-1], np.cumsum(np.append(before[-1], lat.logp[walked]))])
+        noise = self.seed + times(nth + 1, _STEP)
+        room, nodes, known, stop = self.k - nth, [], 0, min(FIRST, len(walked))
+        while known < stop:
+            places = np.arange(known, stop)
+            mass = upto[skip + known:skip + stop] + lat.other[walked[known:stop]]
+            wait = np.log(-np.log(uniforms(mix(noise + places.astype(U64) * U64(_ROUND)))))
+            held = mass - np.logaddexp(mass - self.value, wait)
+            nodes += [(float(held[b]), nth, skip + int(places[b]), (int(walked[places[b]]),))
+                      for b in np.argsort(held, kind="stable")[-room:] if mass[b] > -math.inf]
+            ranked = sorted([n[0] for n in self.waiting + nodes])
+            low = ranked[-room] if len(ranked) >= room else -math.inf
+            # a node's log-mass is at most that of its prefix, which falls along the path
+            known, stop = stop, int(np.searchsorted(-upto[skip:-1], LEAD - low, "right"))
+        self._wait(nodes)
+        self.paths.append((edges, upto, heads))
+        self.done = len(self.paths) == self.k or not self.waiting
+
+    def result(self) -> list[tuple[np.ndarray, float, float]]:
+        if not len(self.first):
+            return [(np.zeros(0, np.int32), 0.0, 1.0)]
+        limit = self.waiting[-1][0] if self.waiting else -math.inf
+        return [(self.lattice.id[edges], float(upto[-1]),
+                 -math.expm1(-math.exp(min(700.0, upto[-1] - limit))) if limit > -math.inf else 1.0)
+                for edges, upto, _ in self.paths]
+
+
+def samples(texts: list[str], seeds: list[int], k: int, pieces: Pieces) -> Iterator[list[tuple[np.ndarray, float, float]]]:
+    """Per text at most k distinct segmentations by falling perturbed value: (ids, log-probability, inclusion)."""
+    at = 0
+    while at < len(texts):
+        stop, chars = at + 1, len(texts[at])
+        while stop < len(texts) and chars + len(texts[stop]) <= CHUNK_CHARS:
+            chars += len(texts[stop])
+            stop += 1
+        if pieces.kept.full:
+            pieces.kept = Lattice(pieces)
+        lattice = pieces.kept
+        searches = [Search(u, s, k, lattice) for u, s in zip(lattice.numbers(texts[at:stop]), seeds[at:stop])]
+        while going := [s for s in searches if not s.done]:
+            states, bases = zip(*[s.begin() for s in going])
+            edges, bounds = lattice.walk(np.concatenate(states), np.concatenate(bases))
+            a = 0
+            for s, started in zip(going, states):
+                own = bounds[a:a + len(started) + 1]
+                s.end(edges[own[0]:own[-1]], own - own[0])
+                a += len(started)
+        for s in searches:
+            yield s.result()
+        at = stop
 
 
 def sample(text: str, seed: int, k: int, pieces: Pieces) -> list[tuple[list[int], float, float]]:
-    """At most k distinct segmentations by falling perturbed value: (ids, log-probability, inclusion)."""
-    lattice = [pieces.unit(u) for u in units_of(text)]
-    if not lattice:
-        return [([], 0.0, 1.0)]
-    after = [0.0] * (len(lattice) + 1)
-    for u in range(len(lattice) - 1, -1, -1):
-        after[u] = after[u + 1] + lattice[u].mass[0]
-    uniform, log, exp, log1p = random.Random(seed).random, math.log, math.exp, math.log1p
-    noise = lambda: -log(-log(uniform() or 5e-324))
-    # waiting nodes, worst first: (value, order, unit, place, log-probability so far, path so far)
-    waiting, order, found = [(noise(), 0, 0, 0, -after[0], None)], 0, []
-    while waiting and len(found) < k:
-        g, _, u, i, phi, path = waiting.pop()
-        room = k - len(found)  # of the others, so many can matter: k - 1 more paths, and the threshold
-        if len(waiting) > room:
-            del waiting[:len(waiting) - room]
-        while u < len(lattice):
-            unit = lattice[u]
-            edges = unit.edges(i)
-            if len(edges) > 1:
-                rest, mass = after[u + 1], unit.mass
-                values = [phi + w + mass[j] + rest - log(-log(uniform() or 5e-324)) for j, w, _ in edges]
-                top = max(values)
-                best = values.index(top)
-                for c, value in enumerate(values):
-                    if c != best:
-                        gap = value - top
-                        v = g - value + (log1p(-exp(gap)) if gap < 0 else -math.inf)
-                        held = g - max(0.0, v) - log1p(exp(-abs(v)))
-                        if len(waiting) < room or held > waiting[0][0]:
-                            j, w, ids = edges[c]
-                            order += 1
-                            insort(waiting, (held, order, u + (j == len(unit.text)), j if j < len(unit.text) else 0,
-                                             phi + w, (path, ids)))
-                            if len(waiting) > room:
-                                del waiting[0]
-                j, w, ids = edges[best]
-            else:
-                j, w, ids = edges[0]
-            phi, path = phi + w, (path, ids)
-            u, i = (u + 1, 0) if j == len(unit.text) else (u, j)
-        found.append((path, phi))
-    threshold = waiting[-1][0] if waiting else -math.inf
-    out = []
-    for path, phi in found:
-        ids: list[tuple] = []
-        while path is not None:
-            path, part = path
-            ids.append(part)
-        out.append(([i for part in reversed(ids) for i in part], phi,
-                    -math.expm1(-exp(min(700.0, phi - threshold))) if threshold > -math.inf else 1.0))
-    return out
+    """The samples of one text, ids as a list."""
+    return [(ids.tolist(), logp, inclusion) for ids, logp, inclusion in next(samples([text], [seed], k, pieces))]
 
 
 def model(path: str, alpha: float) -> Pieces:
@@ -185,19 +421,18 @@ def model(path: str, alpha: float) -> Pieces:
 
 def sampler(path: str, alpha: float, k: int):
     def run(text: pa.Array, key: pa.Array) -> pa.Array:
-        pieces = model(path, alpha)
-        size, at, cols = [0], [0], [[], array("i"), [], []]
-        for t, seed in zip(text.to_pylist(), key.to_pylist()):
-            for n, (ids, logp, inclusion) in enumerate(sample(t or "", seed, k, pieces), 1):
-                cols[0].append(n)
-                cols[1].fromlist(ids)
-                at.append(len(cols[1]))
-                cols[2].append(logp)
-                cols[3].append(inclusion)
-            size.append(len(cols[0]))
-        ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.array(cols[1], np.int32)))
+        texts = [t or "" for t in text.to_pylist()]
+        size, ids, cols = [0], [], [[], [], []]
+        for drawn in samples(texts, key.to_pylist(), k, model(path, alpha)):
+            for n, row in enumerate(drawn, 1):
+                ids.append(row[0])
+                for col, value in zip(cols, (n, *row[1:])):
+                    col.append(value)
+            size.append(len(ids))
+        at = np.cumsum([0, *map(len, ids)])
+        flat = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
         return pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays(
-            [pa.array(cols[0], pa.int32()), ids, pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())],
+            [pa.array(cols[0], pa.int32()), flat, pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())],
             ["sample", "ids", "logp", "inclusion"]))
     return run
 
@@ -213,7 +448,9 @@ def encode(text: Column, path: str) -> Column:
 def decode(ids: Column, path: str) -> Column:
     """The text of an array of ids."""
     def run(x: pa.Array) -> pa.Array:
-        return pa.array([model(path, 1.0).text(i.as_py() or []) for i in x], pa.string())
+        pieces, at = model(path, 1.0), np.cumsum([0, *(n or 0 for n in pa.compute.list_value_length(x).to_pylist())])
+        flat = x.flatten().to_numpy(zero_copy_only=False)
+        return pa.array([pieces.text(flat[a:b]) for a, b in zip(at[:-1], at[1:])], pa.string())
     return F.arrow_udf(run, "string")(ids)
 
 
