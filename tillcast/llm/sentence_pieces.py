@@ -51,7 +51,7 @@ KEPT_UNITS, LONGEST = 100_000, 40
 #: -log of the smallest exponential noise, rounded up.
 LEAD = 37.0
 #: Places of a walk that get noise in any case.
-FIRST = 256
+FIRST = 160
 SAMPLE = ("array<struct<sample:int,ids:array<int>,logp:double,inclusion:double>>")
 
 _STEP, _ROUND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -167,7 +167,7 @@ class Lattice:
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
         self.first = np.zeros(0, np.int64)
-        self.off, self.to, self.source = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.off, self.to, self.source = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.id, self.logp, self.upto, self.other = np.zeros(0, np.int32), np.zeros(0), np.zeros(0), np.zeros(0)
 
     @property
@@ -212,23 +212,26 @@ class Lattice:
         count[lone] += 1
         # states by their distance from the end of the unit, so a state's edges lead to states before it
         which = np.flatnonzero(count)
-        stop = np.append(start[1:], size)
-        away = stop[np.searchsorted(start, which, "right") - 1] - which
-        order = np.argsort(away, kind="stable")
+        stop, begins = np.append(start[1:], size), np.zeros(size, np.int8)
+        begins[start] = 1
+        away = stop[np.cumsum(begins, dtype=np.int32)[which] - 1] - which
+        order = np.argsort(away.astype(np.uint16) if away.max() < 1 << 16 else away, kind="stable")
         which, away = which[order], away[order]
         base, n_old = len(self.off), self.n_edges
         state = np.zeros(size + 1, np.int64)
-        state[which] = np.arange(base, base + len(which))
-        first = state[start]
+        state[which] = np.arange(1, 1 + len(which))
+        first = state[start] + (base - 1)
         degree = count[which]
         off = np.cumsum(degree) - degree
+        at_edge = np.zeros(size, np.int64)
+        at_edge[which] = off
         n = int(degree.sum())
-        to, piece, inner_end = np.empty(n, np.int64), np.empty(n, np.int32), np.ones(size + 1, bool)
-        inner_end[start] = inner_end[size] = False
+        to, piece = np.empty(n, np.int64), np.empty(n, np.int32)
+        state[start] = 0
         for here, rank, end, ids in found:
-            e = off[state[here] - base] + rank
-            to[e], piece[e] = np.where(inner_end[end], state[end], 0), ids
-        mass = np.zeros(base + len(which))  # of the new states; the old ones aren't met
+            e = at_edge[here] + rank
+            to[e], piece[e] = state[end], ids
+        mass = np.zeros(1 + len(which))  # by new state, from 1 on; 0 is the end
         weight = p.weight_of[piece]
         source = np.repeat(np.arange(len(which)), degree)
         steps = np.append(np.flatnonzero(np.diff(away, prepend=-1)), len(which)).tolist()
@@ -238,29 +241,28 @@ class Lattice:
             cuts = off[a:b] - x
             top = np.maximum.reduceat(value, cuts)
             summed = np.add.reduceat(np.exp(value - top[source[x:y] - a]), cuts)
-            mass[base + a:base + b] = top + np.log(summed)
-        logp = np.minimum(weight + mass[to] - mass[base + source], 0.0)
+            mass[1 + a:1 + b] = top + np.log(summed)
+        logp = np.minimum(weight + mass[to] - mass[1 + source], 0.0)
         prob = np.exp(logp)
         before, after, upto = np.zeros(n), np.zeros(n), np.empty(n)
-        sums, most = np.zeros(len(which)), int(degree.max(initial=0))
-        for j in range(most):
-            have = np.flatnonzero(degree > j)
-            e = off[have] + j
-            before[e] = sums[have]
-            sums[have] += prob[e]
-            upto[e] = sums[have]
+        sums, have, ranks = np.zeros(len(which)), np.arange(len(which)), []
+        while len(have):
+            e = off[have] + len(ranks)
+            ranks.append((have, e))
+            before[e] = part = sums[have]
+            sums[have] = upto[e] = part + prob[e]
+            have = have[degree[have] > len(ranks)]
         sums[:] = 0
-        for j in range(most - 1, -1, -1):
-            have = np.flatnonzero(degree > j)
-            e = off[have] + j
-            after[e] = sums[have]
-            sums[have] += prob[e]
+        for have, e in reversed(ranks):
+            after[e] = part = sums[have]
+            sums[have] = part + prob[e]
         upto[off + degree - 1] = np.inf
         with np.errstate(divide="ignore"):
             other = np.log(before + after)
         self.first = np.append(self.first, first)
         self.off = np.append(self.off, off + n_old)
-        self.to, self.source = np.append(self.to, to), np.append(self.source, source + base)
+        to[to > 0] += base - 1
+        self.to, self.source = np.append(self.to, to), np.append(self.source, (source + base).astype(np.int32))
         self.id, self.logp = np.append(self.id, piece), np.append(self.logp, logp)
         self.upto, self.other, self.n_edges = np.append(self.upto, upto), np.append(self.other, other), n_old + n
 
@@ -316,7 +318,8 @@ class Search:
         """The states to walk from in this round, and the bases of their noise."""
         lat, nth = self.lattice, len(self.paths)
         if not nth:
-            self.value, self.kept, self.unit = -math.log(self._noise()), None, 0
+            self.value, self.unit = -math.log(self._noise()), 0
+            self.kept, self.heads = (np.zeros(0, np.int64), np.zeros(1)), np.zeros(0, np.int64)
             start = self.first
         else:
             self.value, path, place, taken = self.waiting.pop()
@@ -331,7 +334,7 @@ class Search:
             left = sum(chance[:pick] + chance[pick + 1:])
             if left:
                 self._wait([(self._held(upto[place] + top + math.log(left)), path, place, (*taken, free[pick]))])
-            self.kept = (edges[:place], free[pick], upto[:place + 1])
+            self.kept = (np.append(edges[:place], free[pick]), np.append(upto[:place + 1], upto[place] + lat.logp[free[pick]]))
             self.unit = int(np.searchsorted(bounds, place, "right")) - 1
             self.heads = bounds[:self.unit + 1]
             start = np.append(lat.to[free[pick]], self.first[self.unit + 1:])
@@ -349,14 +352,14 @@ class Search:
     def end(self, walked: np.ndarray, bounds: np.ndarray) -> None:
         """Take the walk as the next path; of its edges, keep what may matter as waiting nodes."""
         lat, nth = self.lattice, len(self.paths)
-        edges, heads, skip, before = walked, bounds[:-1], 0, np.zeros(1)
-        if self.kept is not None:
-            prefix, edge, before = self.kept
-            edges = np.concatenate([prefix, [edge], walked])
-            skip = len(prefix) + 1
-            heads = np.append(self.heads, bounds[1:-1] + skip)
-            before = np.append(before, before[-1] + lat.logp[edge])
-        upto = np.concatenate([before[:-1], np.cumsum(np.append(before[-1], lat.logp[walked]))])
+        prefix, before = self.kept
+        skip = len(prefix)
+        edges = np.concatenate([prefix, walked])
+        heads = np.concatenate([self.heads, bounds[len(self.heads) > 0:-1] + skip])
+        upto = np.empty(len(edges) + 1)
+        upto[:skip + 1] = before
+        upto[skip + 1:] = lat.logp[walked]
+        np.cumsum(upto[skip:], out=upto[skip:])
         noise = self.seed + times(nth + 1, _STEP)
         room, nodes, known, stop = self.k - nth, [], 0, min(FIRST, len(walked))
         while known < stop:
@@ -369,7 +372,7 @@ class Search:
             ranked = sorted([n[0] for n in self.waiting + nodes])
             low = ranked[-room] if len(ranked) >= room else -math.inf
             # a node's log-mass is at most that of its prefix, which falls along the path
-            known, stop = stop, int(np.searchsorted(-upto[skip:-1], LEAD - low, "right"))
+            known, stop = stop, len(walked) - int(np.searchsorted(upto[skip:-1][::-1], low - LEAD))
         self._wait(nodes)
         self.paths.append((edges, upto, heads))
         self.done = len(self.paths) == self.k or not self.waiting
