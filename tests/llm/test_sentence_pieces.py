@@ -84,6 +84,53 @@ def test_kept_units_change_nothing(monkeypatch):
     assert sp.sample(text, 5, 3, small) == sp.sample(text, 5, 3, PIECES)
 
 
+def test_texts_searched_together_give_what_each_gives_alone():
+    texts = ["the cat sat on the mat " * 40, "", "日本 the\n😀", "thecatsatonthemat" * 30, "a", "the cat"] * 3
+    seeds = list(range(len(texts)))
+    for text, seed, got in zip(texts, seeds, sp.samples(texts, seeds, 3, sp.Pieces(PATH, sp.ALPHA))):
+        alone = sp.sample(text, seed, 3, PIECES)
+        assert [ids.tolist() for ids, _, _ in got] == [ids for ids, _, _ in alone]
+        assert np.allclose([g[1:] for g in got], [a[1:] for a in alone], rtol=1e-9, atol=1e-12)
+
+
+def test_lattice_against_edges_read_off_the_text():
+    lattice = sp.Lattice(PIECES)
+    units = ["▁", "▁the", "▁ñ日x", "▁😀thecat"]
+    (numbers,) = lattice.numbers(["".join(units).replace("▁", " ")[1:]])
+    for unit, n in zip(units, numbers):
+        def walk(state, at):
+            if state == 0:
+                assert at == len(unit.encode())
+                return {(): 0.0}
+            out, total = {}, 0.0
+            for e in lattice.edges_of(state):
+                total += math.exp(lattice.logp[e])
+                piece = int(lattice.id[e])
+                for ids, x in walk(lattice.to[e], at + len(PIECES.bytes_of[piece])).items():
+                    out[piece, *ids] = x + lattice.logp[e]
+                rest = sum(math.exp(lattice.logp[f]) for f in lattice.edges_of(state) if f != e)
+                assert abs(math.exp(lattice.other[e]) - rest) < 1e-12
+            assert abs(total - 1) < 1e-12
+            return out
+
+        def read(i):
+            if i == len(unit):
+                return {(): 0.0}
+            return {ids + rest: w + x for j, w, ids in sp.Unit(unit, PIECES).edges(i) for rest, x in read(j).items()}
+        want, got = read(0), walk(lattice.first[n], 0)
+        total = math.log(sum(map(math.exp, want.values())))
+        assert got.keys() == want.keys() and all(abs(got[p] - (want[p] - total)) < 1e-9 for p in want)
+
+
+def test_clashing_and_repeated_columns(spark):
+    df = spark.createDataFrame([(1, "the cat", 5, 6, 7)], "k long, text string, segmentation int, c1 int, seed int")
+    got = sp.sampled(df, PATH, ["k"])
+    assert got.columns == ["k", "text", "c1", "seed", "segmentation"]
+    assert {(r.k, r.text, r.c1, r.seed) for r in got.collect()} == {(1, "the cat", 6, 7)} and got.count() == 3
+    twice = df.select("k", "text", F.lit(1).alias("x"), F.lit(2).alias("x"))
+    assert sp.sampled(twice, PATH, ["k"]).columns == ["k", "text", "x", "x", "segmentation"]
+
+
 @pytest.mark.parametrize("text", ["", " ", "  a  ", "日本\n😀", "x" * 20_000, "a b " * 20_000])
 def test_odd_and_long_texts(text):
     got = sp.sample(text, 1, 2, PIECES)

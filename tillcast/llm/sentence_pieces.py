@@ -37,22 +37,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillcast.llm.shared import fresh, ship, table
+from tillcast.llm.shared import ship, table
 from tillcast.llm.textbuf import IS_LEAD, U64, mix
 
 SAMPLES = 3
 ALPHA = 0.6
 SPACE = "▁"
 #: Characters of the texts searched together; a longer text is searched by itself.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 #: Units whose lattices are kept from one chunk to the next, and their mean length at most.
-KEPT_UNITS, LONGEST = 100_000, 40
+KEPT_UNITS, LONGEST = 60_000, 40
 #: -log of the smallest exponential noise, rounded up.
 LEAD = 37.0
 #: Places of a walk that get noise in any case.
 FIRST = 160
-SAMPLE = ("array<struct<sample:int,ids:array<int>,logp:double,inclusion:double>>")
+SAMPLE = T.StructType([T.StructField("sample", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+                       T.StructField("logp", T.DoubleType()), T.StructField("inclusion", T.DoubleType())])
 
 _STEP, _ROUND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _models: dict = {}
@@ -167,7 +169,7 @@ class Lattice:
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
         self.first = np.zeros(0, np.int64)
-        self.off, self.to, self.source = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.off, self.to, self.source = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.id, self.logp, self.upto, self.other = np.zeros(0, np.int32), np.zeros(0), np.zeros(0), np.zeros(0)
 
     @property
@@ -192,7 +194,7 @@ class Lattice:
         char_end = np.zeros(size, np.int64)
         char_end[lead] = np.append(lead[1:], size)
         classes = np.append(p.byte_class[data], 0)
-        count, whole, found = np.zeros(size, np.int64), np.zeros(size, bool), []
+        count, whole, found = np.zeros(size, np.int32), np.zeros(size, bool), []
         at, node, depth = lead, np.zeros(len(lead), np.int64), 0
         while len(at):
             node = p.child[node * p.width + classes[at + depth]]
@@ -201,7 +203,7 @@ class Lattice:
             piece = p.piece_at[node]
             ends = np.flatnonzero(piece >= 0)
             here = at[ends]
-            found.append((here, count[here], here + depth, piece[ends]))
+            found.append((here.astype(np.int32), count[here], (here + depth).astype(np.int32), piece[ends]))
             count[here] += 1
             whole[here[char_end[here] == here + depth]] = True
             on = np.flatnonzero((node < p.n_inner) & (at + depth < size))
@@ -226,14 +228,14 @@ class Lattice:
         at_edge = np.zeros(size, np.int64)
         at_edge[which] = off
         n = int(degree.sum())
-        to, piece = np.empty(n, np.int64), np.empty(n, np.int32)
+        to, piece = np.empty(n, np.int32), np.empty(n, np.int32)
         state[start] = 0
         for here, rank, end, ids in found:
             e = at_edge[here] + rank
             to[e], piece[e] = state[end], ids
         mass = np.zeros(1 + len(which))  # by new state, from 1 on; 0 is the end
         weight = p.weight_of[piece]
-        source = np.repeat(np.arange(len(which)), degree)
+        source = np.repeat(np.arange(len(which), dtype=np.int32), degree)
         steps = np.append(np.flatnonzero(np.diff(away, prepend=-1)), len(which)).tolist()
         for a, b in zip(steps[:-1], steps[1:]):
             x, y = off[a], off[b] if b < len(which) else n
@@ -261,8 +263,9 @@ class Lattice:
             other = np.log(before + after)
         self.first = np.append(self.first, first)
         self.off = np.append(self.off, off + n_old)
+        found = None
         to[to > 0] += base - 1
-        self.to, self.source = np.append(self.to, to), np.append(self.source, (source + base).astype(np.int32))
+        self.to, self.source = np.append(self.to, to), np.append(self.source, source + np.int32(base))
         self.id, self.logp = np.append(self.id, piece), np.append(self.logp, logp)
         self.upto, self.other, self.n_edges = np.append(self.upto, upto), np.append(self.other, other), n_old + n
 
@@ -386,34 +389,26 @@ class Search:
                 for edges, upto, _ in self.paths]
 
 
-def samples(texts: list[str], seeds: list[int], k: int, pieces: Pieces) -> Iterator[list[tuple[np.ndarray, float, float]]]:
+def samples(texts: list[str], seeds: list[int], k: int, pieces: Pieces) -> list[list[tuple[np.ndarray, float, float]]]:
     """Per text at most k distinct segmentations by falling perturbed value: (ids, log-probability, inclusion)."""
-    at = 0
-    while at < len(texts):
-        stop, chars = at + 1, len(texts[at])
-        while stop < len(texts) and chars + len(texts[stop]) <= CHUNK_CHARS:
-            chars += len(texts[stop])
-            stop += 1
-        if pieces.kept.full:
-            pieces.kept = Lattice(pieces)
-        lattice = pieces.kept
-        searches = [Search(u, s, k, lattice) for u, s in zip(lattice.numbers(texts[at:stop]), seeds[at:stop])]
-        while going := [s for s in searches if not s.done]:
-            states, bases = zip(*[s.begin() for s in going])
-            edges, bounds = lattice.walk(np.concatenate(states), np.concatenate(bases))
-            a = 0
-            for s, started in zip(going, states):
-                own = bounds[a:a + len(started) + 1]
-                s.end(edges[own[0]:own[-1]], own - own[0])
-                a += len(started)
-        for s in searches:
-            yield s.result()
-        at = stop
+    if pieces.kept.full:
+        pieces.kept = Lattice(pieces)
+    lattice = pieces.kept
+    searches = [Search(u, s, k, lattice) for u, s in zip(lattice.numbers(texts), seeds)]
+    while going := [s for s in searches if not s.done]:
+        states, bases = zip(*[s.begin() for s in going])
+        edges, bounds = lattice.walk(np.concatenate(states), np.concatenate(bases))
+        a = 0
+        for s, started in zip(going, states):
+            own = bounds[a:a + len(started) + 1]
+            s.end(edges[own[0]:own[-1]], own - own[0])
+            a += len(started)
+    return [s.result() for s in searches]
 
 
 def sample(text: str, seed: int, k: int, pieces: Pieces) -> list[tuple[list[int], float, float]]:
     """The samples of one text, ids as a list."""
-    return [(ids.tolist(), logp, inclusion) for ids, logp, inclusion in next(samples([text], [seed], k, pieces))]
+    return [(ids.tolist(), logp, inclusion) for ids, logp, inclusion in samples([text], [seed], k, pieces)[0]]
 
 
 def model(path: str, alpha: float) -> Pieces:
@@ -422,22 +417,29 @@ def model(path: str, alpha: float) -> Pieces:
     return _models[path, alpha]
 
 
-def sampler(path: str, alpha: float, k: int):
-    def run(text: pa.Array, key: pa.Array) -> pa.Array:
-        texts = [t or "" for t in text.to_pylist()]
-        size, ids, cols = [0], [], [[], [], []]
-        for drawn in samples(texts, key.to_pylist(), k, model(path, alpha)):
-            for n, row in enumerate(drawn, 1):
-                ids.append(row[0])
-                for col, value in zip(cols, (n, *row[1:])):
-                    col.append(value)
-            size.append(len(ids))
-        at = np.cumsum([0, *map(len, ids)])
-        flat = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-        return pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays(
-            [pa.array(cols[0], pa.int32()), flat, pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())],
-            ["sample", "ids", "logp", "inclusion"]))
-    return run
+def segmented(batches: Iterator[pa.RecordBatch], k: int, pieces: Pieces) -> Iterator[pa.RecordBatch]:
+    """The rows, once for each sample, with a struct column for the last two, which are text and seed; a batch for each
+    CHUNK_CHARS of text, so that no more than their segmentations are held."""
+    for batch in batches:
+        *_, texts, seeds = batch.columns
+        texts, seeds = [t or "" for t in texts.to_pylist()], seeds.to_pylist()
+        at = 0
+        while at < len(texts):
+            stop, chars = at + 1, len(texts[at])
+            while stop < len(texts) and chars + len(texts[stop]) <= CHUNK_CHARS:
+                chars += len(texts[stop])
+                stop += 1
+            drawn = samples(texts[at:stop], seeds[at:stop], k, pieces)
+            flat = [(n, *row) for rows in drawn for n, row in enumerate(rows, 1)]
+            number, ids, logp, inclusion = zip(*flat)
+            bounds = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            found = pa.StructArray.from_arrays(
+                [pa.array(number, pa.int32()), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(ids))),
+                 pa.array(logp, pa.float64()), pa.array(inclusion, pa.float64())], ["sample", "ids", "logp", "inclusion"])
+            rows = pa.array(np.repeat(np.arange(at, stop), [len(d) for d in drawn]))
+            yield pa.RecordBatch.from_arrays([c.take(rows) for c in batch.columns[:-2]] + [found],
+                                             [*batch.schema.names[:-2], "segmentation"])
+            at = stop
 
 
 def encode(text: Column, path: str) -> Column:
@@ -448,21 +450,37 @@ def encode(text: Column, path: str) -> Column:
     return F.arrow_udf(run, "array<int>")(text)
 
 
+def texts_of(ids: pa.Array, pieces: Pieces) -> list[str]:
+    """The text of each array of ids; a null one is empty."""
+    at = np.cumsum([0, *(n or 0 for n in pa.compute.list_value_length(ids).to_pylist())])
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    return [pieces.text(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of an array of ids."""
     def run(x: pa.Array) -> pa.Array:
-        pieces, at = model(path, 1.0), np.cumsum([0, *(n or 0 for n in pa.compute.list_value_length(x).to_pylist())])
-        flat = x.flatten().to_numpy(zero_copy_only=False)
-        return pa.array([pieces.text(flat[a:b]) for a, b in zip(at[:-1], at[1:])], pa.string())
+        return pa.array(texts_of(x, model(path, ALPHA)), pa.string())
     return F.arrow_udf(run, "string")(ids)
 
 
+def _seeded(rows: DataFrame, key: list[str], text: str) -> DataFrame:
+    """The columns under plain names, then text and seed."""
+    ship(rows.sparkSession)
+    named = rows.select("*", F.col(text).alias("text"), F.xxhash64(*key).alias("seed"))
+    return named.toDF(*[f"c{i}" for i in range(len(named.columns))])
+
+
 def sampled(rows: DataFrame, path: str, key: list[str], text: str = "text", k: int = SAMPLES,
             alpha: float = ALPHA, out: str = "segmentation") -> DataFrame:
     """A row for each sampled segmentation, with a struct column: sample (from 1), ids, logp, inclusion."""
-    ship(rows.sparkSession)
-    draw = F.arrow_udf(sampler(path, alpha, k), SAMPLE)
-    return rows.withColumn(out, F.explode(draw(F.col(text), F.xxhash64(*key))))
+    def run(batches):
+        return segmented(batches, k, model(path, alpha))
+
+    named = _seeded(rows, key, text)
+    schema = T.StructType([*named.schema.fields[:-2], T.StructField("segmentation", SAMPLE)])
+    kept = [(f"c{i}", name) for i, name in enumerate(rows.columns) if name != out]
+    return named.mapInArrow(run, schema).select(*[F.col(c).alias(name) for c, name in kept], F.col("segmentation").alias(out))
 
 
 def checksum_column(ids: pa.Array) -> pa.Array:
@@ -474,22 +492,31 @@ def checksum_column(ids: pa.Array) -> pa.Array:
 
 
 def _drawn(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Counts and checksums of the samples; ``round_trip`` tells that the pieces decode to the text."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    (s,) = fresh(rows, "segmentation")
-    drawn = sampled(rows, path, key, out=s)
-    ids = F.col(f"{s}.ids")
-    return drawn.select(
-        *key, F.col(f"{s}.sample").alias("sample"), F.size(ids).cast("long").alias("n_pieces"),
-        F.arrow_udf(checksum_column, "long")(ids).alias("ids_crc32"), F.col(f"{s}.logp").alias("logp"),
-        F.col(f"{s}.inclusion").alias("inclusion"),
-        (decode(ids, path) == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+    def run(batches):
+        pieces = model(path, ALPHA)
+        for batch in segmented(batches, SAMPLES, pieces):
+            *keys, text, found = batch.columns
+            ids = found.field("ids")
+            same = [a == (b or "") for a, b in zip(texts_of(ids, pieces), text.to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [*keys, found.field("sample"), pa.compute.list_value_length(ids).cast(pa.int64()), checksum_column(ids),
+                 found.field("logp"), found.field("inclusion"), pa.array(same, pa.bool_())], names)
+
+    rows = rows.select(*key, "text")
+    names = [*key, "sample", "n_pieces", "ids_crc32", "logp", "inclusion", "round_trip"]
+    types = [*[f.dataType for f in rows.schema.fields[:-1]], T.IntegerType(), T.LongType(), T.LongType(),
+             T.DoubleType(), T.DoubleType(), T.BooleanType()]
+    return _seeded(rows, key, "text").mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, types)]))
 
 
 def op9_sentencepiece_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drawn(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return _drawn(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drawn(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    return _drawn(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
