@@ -46,9 +46,9 @@ SAMPLES = 3
 ALPHA = 0.6
 SPACE = "▁"
 #: Characters of the texts searched together; a longer text is searched by itself.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 2_000_000
 #: Units whose lattices are kept from one chunk to the next, and their mean length at most.
-KEPT_UNITS, LONGEST = 60_000, 40
+KEPT_UNITS, LONGEST = 150_000, 40
 #: -log of the smallest exponential noise, rounded up.
 LEAD = 37.0
 #: Places of a walk that get noise in any case.
@@ -125,7 +125,7 @@ class Pieces:
 
     def text(self, ids) -> str:
         """The pieces' bytes in a row, space marks as spaces, without the one put before the text."""
-        raw = b"".join(self.bytes_of[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "replace").replace(SPACE, " ")
+        raw = b"".join(self.bytes_of[np.asarray(ids, np.int32)].tolist()).decode("utf-8", "replace").replace(SPACE, " ")
         return raw[1:] if raw[:1] == " " else raw
 
     def unit(self, text: str) -> Unit:
@@ -234,17 +234,15 @@ class Lattice:
             e = at_edge[here] + rank
             to[e], piece[e] = state[end], ids
         mass = np.zeros(1 + len(which))  # by new state, from 1 on; 0 is the end
-        weight = p.weight_of[piece]
-        source = np.repeat(np.arange(len(which), dtype=np.int32), degree)
+        value = p.weight_of[piece]  # with the mass behind an edge, from here on
         steps = np.append(np.flatnonzero(np.diff(away, prepend=-1)), len(which)).tolist()
         for a, b in zip(steps[:-1], steps[1:]):
             x, y = off[a], off[b] if b < len(which) else n
-            value = weight[x:y] + mass[to[x:y]]
-            cuts = off[a:b] - x
-            top = np.maximum.reduceat(value, cuts)
-            summed = np.add.reduceat(np.exp(value - top[source[x:y] - a]), cuts)
-            mass[1 + a:1 + b] = top + np.log(summed)
-        logp = np.minimum(weight + mass[to] - mass[1 + source], 0.0)
+            part, cuts = value[x:y], off[a:b] - x
+            part += mass[to[x:y]]
+            one = part[cuts]  # a state's edges differ by little, so any of them scales their sum
+            mass[1 + a:1 + b] = one + np.log(np.add.reduceat(np.exp(part - np.repeat(one, degree[a:b])), cuts))
+        logp = np.minimum(value - np.repeat(mass[1:], degree), 0.0)
         prob = np.exp(logp)
         before, after, upto = np.zeros(n), np.zeros(n), np.empty(n)
         sums, have, ranks = np.zeros(len(which)), np.arange(len(which)), []
@@ -265,7 +263,7 @@ class Lattice:
         self.off = np.append(self.off, off + n_old)
         found = None
         to[to > 0] += base - 1
-        self.to, self.source = np.append(self.to, to), np.append(self.source, source + np.int32(base))
+        self.to, self.source = np.append(self.to, to), np.append(self.source, np.repeat(np.arange(base, base + len(which), dtype=np.int32), degree))
         self.id, self.logp = np.append(self.id, piece), np.append(self.logp, logp)
         self.upto, self.other, self.n_edges = np.append(self.upto, upto), np.append(self.other, other), n_old + n
 
@@ -303,7 +301,7 @@ class Lattice:
 
 
 class Search:
-    """The A* search of one text. A path is (edges, log-probabilities up to each edge's start and of all, first edge of each unit);
+    """The A* search of one text. A path is (edges, log-probabilities up to each edge's start and of all, first edges of its units);
     a waiting node is (value, path, place, edges taken there), the worst first."""
 
     def __init__(self, units: np.ndarray, seed: int, k: int, lattice: Lattice):
@@ -326,7 +324,8 @@ class Search:
             start = self.first
         else:
             self.value, path, place, taken = self.waiting.pop()
-            edges, upto, bounds = self.paths[path]
+            edges, upto, (heads, bounds, skip) = self.paths[path]
+            heads = np.concatenate([heads, bounds[len(heads) > 0:-1] + skip])
             free = [e for e in lat.edges_of(lat.source[edges[place]]) if e not in taken]
             top = max(lat.logp[e] for e in free)
             chance = [math.exp(lat.logp[e] - top) for e in free]
@@ -338,8 +337,8 @@ class Search:
             if left:
                 self._wait([(self._held(upto[place] + top + math.log(left)), path, place, (*taken, free[pick]))])
             self.kept = (np.append(edges[:place], free[pick]), np.append(upto[:place + 1], upto[place] + lat.logp[free[pick]]))
-            self.unit = int(np.searchsorted(bounds, place, "right")) - 1
-            self.heads = bounds[:self.unit + 1]
+            self.unit = int(np.searchsorted(heads, place, "right")) - 1
+            self.heads = heads[:self.unit + 1]
             start = np.append(lat.to[free[pick]], self.first[self.unit + 1:])
         at = np.arange(self.unit, self.unit + len(start)).astype(U64)
         return start, mix(self.seed + times(nth + 1, _ROUND) + at * U64(_STEP))
@@ -358,7 +357,6 @@ class Search:
         prefix, before = self.kept
         skip = len(prefix)
         edges = np.concatenate([prefix, walked])
-        heads = np.concatenate([self.heads, bounds[len(self.heads) > 0:-1] + skip])
         upto = np.empty(len(edges) + 1)
         upto[:skip + 1] = before
         upto[skip + 1:] = lat.logp[walked]
@@ -377,7 +375,7 @@ class Search:
             # a node's log-mass is at most that of its prefix, which falls along the path
             known, stop = stop, len(walked) - int(np.searchsorted(upto[skip:-1][::-1], low - LEAD))
         self._wait(nodes)
-        self.paths.append((edges, upto, heads))
+        self.paths.append((edges, upto, (self.heads, bounds, skip)))
         self.done = len(self.paths) == self.k or not self.waiting
 
     def result(self) -> list[tuple[np.ndarray, float, float]]:
