@@ -106,7 +106,7 @@ def test_lattice_against_edges_read_off_the_text():
             for e in lattice.edges_of(state):
                 total += math.exp(lattice.logp[e])
                 piece = int(lattice.id[e])
-                for ids, x in walk(lattice.to[e], at + len(PIECES.bytes_of[piece])).items():
+                for ids, x in walk(lattice.to[e], at + int(PIECES.size[piece])).items():
                     out[piece, *ids] = x + lattice.logp[e]
                 rest = sum(math.exp(lattice.logp[f]) for f in lattice.edges_of(state) if f != e)
                 assert abs(math.exp(lattice.other[e]) - rest) < 1e-12

@@ -91,10 +91,12 @@ class Pieces:
         self.weight_of = np.full(p.get_piece_size(), self.byte_weight)
         for w, i in self.weight.values():
             self.weight_of[i] = w
-        self.bytes_of = np.empty(p.get_piece_size(), object)
-        for i in range(p.get_piece_size()):
-            self.bytes_of[i] = b"" if p.is_control(i) or p.is_unknown(i) else p.id_to_piece(i).encode("utf-8")
-        self.bytes_of[self.byte_id] = [bytes([b]) for b in range(256)]
+        raw = [b"" if p.is_control(i) or p.is_unknown(i) else p.id_to_piece(i).encode("utf-8")
+               for i in range(p.get_piece_size())]
+        for b, i in enumerate(self.byte_id.tolist()):
+            raw[i] = bytes([b])
+        self.raw, self.size = np.frombuffer(b"".join(raw), np.uint8), np.array([*map(len, raw)], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
         self._trie()
         self.kept = Lattice(self)
 
@@ -125,7 +127,12 @@ class Pieces:
 
     def text(self, ids) -> str:
         """The pieces' bytes in a row, space marks as spaces, without the one put before the text."""
-        raw = b"".join(self.bytes_of[np.asarray(ids, np.int32)].tolist()).decode("utf-8", "replace").replace(SPACE, " ")
+        ids = np.asarray(ids, np.int64)
+        size = self.size[ids]
+        stop = np.cumsum(size)
+        at = np.repeat(self.begin[ids] - (stop - size), size)
+        at += np.arange(len(at))
+        raw = self.raw[at].tobytes().decode("utf-8", "replace").replace(SPACE, " ")
         return raw[1:] if raw[:1] == " " else raw
 
     def unit(self, text: str) -> Unit:
