@@ -71,7 +71,8 @@ def q_promo_running_max(spark, sf):
 @register("promo_running_max_events", _running_sql(O.EVENTS), ops=("W3",))
 def q_promo_running_max_events(spark, sf):
     """Running-maximum promotion flag on the events fixture (real times of day)."""
-    return P.running_max_promotion(P.prepared_transactions(_ev(spark, sf), EC)).select(
+    lines = P.prepared_transactions(_ev(spark, sf), EC).select("split", "itemID", "time", "salesPrice")
+    return P.running_max_promotion(lines).select(
         "split", "itemID", "time", "salesPrice", "runningMaxPrice", "in_promotion_hist")
 
 
