@@ -59,3 +59,48 @@ def test_promotion_days_are_counted_without_expanding_the_rows(spark):
     for key, found in days.items():
         assert found == tuple(len({r["date"] for r in flags if (r["split"], r["itemID"]) == key and r["promotion"] == p and r["date"]})
                               for p in (0, 1))
+
+
+def test_matrix_writes_gaps_as_rows_and_clips_at_the_calendar(spark):
+    import datetime as dt
+    from tillcast.operators import grid as G
+    cal = FX.Calendar("2018-01-03", "2018-01-05", "2018-01-07", "2018-01-08")
+    sold = [(1, "2018-01-04", 2), (1, "2018-01-06", 3), (2, "2018-01-01", 5), (2, "2018-01-07", 1), (3, "2018-02-01", 4),
+            (4, None, 7), (4, "2018-01-05", 6), (None, "2018-01-03", 8), (5, "2017-01-01", 1)]
+    lines = spark.createDataFrame(sold, "itemID long, d string, order int").select(
+        "itemID", F.to_date("d").alias("date"), "order", F.lit(1.0).alias("salesPrice"))
+    matrix = G.date_item_matrix(lines, cal)
+    assert "inline" not in plan_of(matrix) and "collect_list" not in plan_of(matrix)
+    days = [dt.date(2018, 1, k) for k in range(3, 8)]
+    units = {(i, d): n for i, d, n in sold}
+    want = {(i, d): units.get((i, d.isoformat()), 0) for i in {i for i, _, _ in sold} for d in days}
+    got = matrix.collect()
+    assert len(got) == len(want) and {(r["itemID"], r["date"]): r["total_orders"] for r in got} == want
+    assert all(r["total_values"] == r["total_orders"] for r in got)
+
+
+def test_series_are_dealt_to_more_tasks_than_the_shuffle(spark):
+    from tillcast.operators import grid as G
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert G.date_item_matrix(_lines(spark), FX.LINEITEM_DAYS).rdd.getNumPartitions() == G.SERIES_TASKS * n > n
+
+
+def test_gradients_beyond_the_doubles_are_added_exactly():
+    import numpy as np
+    import pyarrow as pa
+    from tillcast.operators import boosting as T
+    rng = np.random.default_rng(3)
+    y = rng.integers(-2 ** 40, 2 ** 40, 500).astype(float) * 2 ** 12
+    x = [None if k % 7 == 0 else float(k % 5) for k in range(500)]
+    rows = pa.RecordBatch.from_arrays([pa.array(y), pa.array(x, pa.float64())], names=["_y", "x"])
+    packed = list(T._packed([[0.0, 1.0, 2.0]], 0.0, "<i2")([rows.slice(0, 200), rows.slice(200)]))
+    read, end = T._reader(1, "<i2", 2, [])
+    tree = T.Tree({1: (0, 1, True, 0.0)}, {}, {}).arrays(2, 0.1)
+    found = pa.Table.from_batches(T._cells(read, end, 1, 3, 1, tree, 1.0)(packed)).to_pylist()
+    want = {}
+    for v, t in zip(x, y):
+        b = None if v is None else min(3, int(v))
+        at = (2 if b is None or b <= 1 else 3, b)
+        g, h = want.get(at, (0, 0))
+        want[at] = (g - int(t), h + 1)
+    assert {(r["node"], r["bin"]): (r["g"], r["h"]) for r in found} == want
