@@ -93,6 +93,26 @@ def test_texts_searched_together_give_what_each_gives_alone():
         assert np.allclose([g[1:] for g in got], [a[1:] for a in alone], rtol=1e-9, atol=1e-12)
 
 
+def test_vector_steps_do_not_grow_with_the_number_of_texts(monkeypatch):
+    calls, mix = Counter(), sp.mix
+    monkeypatch.setattr(sp, "mix", lambda x: (calls.update(mix=1), mix(x))[1])
+    texts = [f"the cat sat on the mat {i % 7} " * 30 for i in range(300)]
+    drawn = sp.samples(texts, list(range(300)), 3, sp.Pieces(PATH, sp.ALPHA))
+    assert calls["mix"] < 100
+    take = sp.Pieces.texts
+    monkeypatch.setattr(sp.Pieces, "texts", lambda *a: (calls.update(decode=1), take(*a))[1])
+    ids = [i.tolist() for rows in drawn for i, _, _ in rows]
+    assert sp.texts_of(sp.pa.array([None, *ids], sp.pa.list_(sp.pa.int32())), PIECES) == ["", *(t for t in texts for _ in range(3))]
+    assert calls["decode"] == 1
+
+
+def test_decoding_any_pieces():
+    space, e2, x96, x81, a = PROC.piece_to_id("▁"), *(PIECES.byte_id[[0xE2, 0x96, 0x81]].tolist()), PROC.piece_to_id("a")
+    for ids, want in [([], ""), ([space], ""), ([a, space], "a "), ([e2, x96, x81, a], "a"), ([a, e2, x96, x81], "a "),
+                      ([a, e2, x96, space], "a\ufffd "), ([a, space, x81], "a \ufffd"), ([a, e2], "a\ufffd")]:
+        assert PIECES.text(ids) == PIECES.text(np.array(ids, np.int32)) == want
+
+
 def test_lattice_against_edges_read_off_the_text():
     lattice = sp.Lattice(PIECES)
     units = ["▁", "▁the", "▁ñ日x", "▁😀thecat"]

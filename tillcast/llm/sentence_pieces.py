@@ -29,12 +29,12 @@ from __future__ import annotations
 import math
 import random
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,13 +57,11 @@ SAMPLE = T.StructType([T.StructField("sample", T.IntegerType()), T.StructField("
                        T.StructField("logp", T.DoubleType()), T.StructField("inclusion", T.DoubleType())])
 
 _STEP, _ROUND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+MASK = (1 << 64) - 1
+NONE, ZERO = np.zeros(0, np.int64), np.zeros(1)
 _models: dict = {}
 
 
-def times(n: int, factor: int) -> np.uint64:
-    return U64(n * factor & (1 << 64) - 1)
-
-
 def uniforms(base: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) of 52 bits, by hash."""
     return ((mix(base) >> U64(12)).astype(np.float64) + 0.5) * 2.0 ** -52
@@ -95,8 +93,8 @@ class Pieces:
                for i in range(p.get_piece_size())]
         for b, i in enumerate(self.byte_id.tolist()):
             raw[i] = bytes([b])
-        self.raw, self.size = np.frombuffer(b"".join(raw), np.uint8), np.array([*map(len, raw)], np.int64)
-        self.begin = np.cumsum(self.size) - self.size
+        self.size = np.array([*map(len, raw)], np.int64)
+        self.raw = pa.array([r.replace(SPACE.encode("utf-8"), b" ") for r in raw], pa.large_binary())
         self._trie()
         self.kept = Lattice(self)
 
@@ -126,14 +124,17 @@ class Pieces:
         self.piece_at[number] = ends
 
     def text(self, ids) -> str:
-        """The pieces' bytes in a row, space marks as spaces, without the one put before the text."""
-        ids = np.asarray(ids, np.int64)
-        size = self.size[ids]
-        stop = np.cumsum(size)
-        at = np.repeat(self.begin[ids] - (stop - size), size)
-        at += np.arange(len(at))
-        raw = self.raw[at].tobytes().decode("utf-8", "replace").replace(SPACE, " ")
-        return raw[1:] if raw[:1] == " " else raw
+        return self.texts(pa.array(ids, pa.int32()), [0, len(ids)])[0]
+
+    def texts(self, ids: pa.Array, bounds: list[int]) -> list[str]:
+        """Between any two bounds the pieces' bytes in a row, space marks as spaces, without the one put before the text."""
+        _, ends, data = (joined := self.raw.take(ids)).buffers()
+        ends = np.frombuffer(ends, np.int64, len(ids) + 1, 8 * joined.offset)[bounds].tolist() if len(ids) else [0] * len(bounds)
+        data, out = memoryview(data or b""), []
+        for a, b in zip(ends[:-1], ends[1:]):
+            raw = str(data[a:b], "utf-8", "replace").replace(SPACE, " ")
+            out.append(raw[1:] if raw[:1] == " " else raw)
+        return out
 
     def unit(self, text: str) -> Unit:
         return Unit(text, self)
@@ -173,22 +174,26 @@ class Lattice:
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.n_edges = pieces, 0
-        self.number: defaultdict[str, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
+        self.units = pa.array([], pa.string())  # by number, without their space marks
         self.first = np.zeros(0, np.int64)
-        self.off, self.to, self.source = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.off, self.to = np.zeros(1, np.int64), np.zeros(0, np.int32)
         self.id, self.logp, self.upto, self.other = np.zeros(0, np.int32), np.zeros(0), np.zeros(0), np.zeros(0)
 
     @property
     def full(self) -> bool:
-        return len(self.number) > KEPT_UNITS or len(self.off) > KEPT_UNITS * LONGEST
+        return len(self.units) > KEPT_UNITS or len(self.off) > KEPT_UNITS * LONGEST
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """Per text the numbers of its units; units not met before are added."""
-        number, known = self.number, len(self.number)
-        out = [np.array([*map(number.__getitem__, bare_units(t))], np.int64) for t in texts]
-        if len(number) > known:
-            self._add("".join([SPACE + u for u in islice(number, known, None)]).encode("utf-8"))
+        known, full = len(self.units), [n for n, t in enumerate(texts) if t]
+        units = pa.compute.split_pattern(pa.compute.replace_substring(pa.array([texts[n] for n in full], pa.string()), SPACE, " "), " ")
+        once = pa.concat_arrays([self.units, units.flatten()]).dictionary_encode()  # numbers by first place, so known ones stay
+        numbers, self.units = once.indices.to_numpy()[known:].astype(np.int64), once.dictionary
+        if len(self.units) > known:
+            self._add("".join([SPACE + u for u in self.units[known:].to_numpy(zero_copy_only=False)]).encode("utf-8"))
+        out, at = [numbers[:0]] * len(texts), units.offsets.to_pylist()
+        for n, a, b in zip(full, at[:-1], at[1:]):
+            out[n] = numbers[a:b]
         return out
 
     def _add(self, raw: bytes) -> None:
@@ -270,16 +275,11 @@ class Lattice:
         self.off = np.append(self.off, off + n_old)
         found = None
         to[to > 0] += base - 1
-        self.to, self.source = np.append(self.to, to), np.append(self.source, np.repeat(np.arange(base, base + len(which), dtype=np.int32), degree))
-        self.id, self.logp = np.append(self.id, piece), np.append(self.logp, logp)
+        self.to, self.id, self.logp = np.append(self.to, to), np.append(self.id, piece), np.append(self.logp, logp)
         self.upto, self.other, self.n_edges = np.append(self.upto, upto), np.append(self.other, other), n_old + n
 
     def edges_of(self, state: int) -> range:
-        e = int(self.off[state])
-        stop = e + 1
-        while self.upto[stop - 1] < math.inf:
-            stop += 1
-        return range(e, stop)
+        return range(int(self.off[state]), int(self.off[state + 1]) if state + 1 < len(self.off) else self.n_edges)
 
     def walk(self, state: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A drawn path from each state to the end of its unit: the edges one after the other, and their bounds."""
@@ -307,91 +307,141 @@ class Lattice:
         return out, bounds
 
 
+class Path(NamedTuple):
+    """A path of one text: its edges, the log-probability up to each edge's start and of all, and where it left its parent: it has
+    ``skip`` edges from there, the last of them in ``unit``; ``bounds`` are those of the units walked behind it, from its first walked edge."""
+
+    edges: np.ndarray
+    upto: np.ndarray
+    parent: int
+    unit: int
+    skip: int
+    bounds: np.ndarray
+
+
 class Search:
-    """The A* search of one text. A path is (edges, log-probabilities up to each edge's start and of all, first edges of its units);
-    a waiting node is (value, path, place, edges taken there), the worst first."""
-
-    def __init__(self, units: np.ndarray, seed: int, k: int, lattice: Lattice):
-        self.lattice, self.k, self.paths = lattice, k, []
-        self.first = lattice.first[units]
-        self.seed = mix(np.array([seed & (1 << 64) - 1], U64))
-        self.random = random.Random(seed)
+    """The A* search of one text. A waiting node is (value, path, place, edges taken there), the worst first."""
+
+    def __init__(self, first: np.ndarray, seed: int, hashed: int, k: int, lattice: Lattice):
+        self.lattice, self.k, self.first = lattice, k, first
+        self.paths: list[Path] = []
+        self.seed, self.random = hashed, random.Random(seed)
         self.waiting: list[tuple] = []
-        self.done = not len(units)
+        self.done = not len(first)
 
     def _noise(self) -> float:
         return -math.log(self.random.random() or 5e-324)
 
-    def begin(self) -> tuple[np.ndarray, np.ndarray]:
-        """The states to walk from in this round, and the bases of their noise."""
-        lat, nth = self.lattice, len(self.paths)
-        if not nth:
-            self.value, self.unit = -math.log(self._noise()), 0
-            self.kept, self.heads = (np.zeros(0, np.int64), np.zeros(1)), np.zeros(0, np.int64)
-            start = self.first
-        else:
-            self.value, path, place, taken = self.waiting.pop()
-            edges, upto, (heads, bounds, skip) = self.paths[path]
-            heads = np.concatenate([heads, bounds[len(heads) > 0:-1] + skip])
-            free = [e for e in lat.edges_of(lat.source[edges[place]]) if e not in taken]
-            top = max(lat.logp[e] for e in free)
-            chance = [math.exp(lat.logp[e] - top) for e in free]
-            u, pick = self.random.random() * sum(chance), 0
-            while pick < len(free) - 1 and u >= chance[pick]:
-                u -= chance[pick]
-                pick += 1
-            left = sum(chance[:pick] + chance[pick + 1:])
-            if left:
-                self._wait([(self._held(upto[place] + top + math.log(left)), path, place, (*taken, free[pick]))])
-            self.kept = (np.append(edges[:place], free[pick]), np.append(upto[:place + 1], upto[place] + lat.logp[free[pick]]))
-            self.unit = int(np.searchsorted(heads, place, "right")) - 1
-            self.heads = heads[:self.unit + 1]
-            start = np.append(lat.to[free[pick]], self.first[self.unit + 1:])
-        at = np.arange(self.unit, self.unit + len(start)).astype(U64)
-        return start, mix(self.seed + times(nth + 1, _ROUND) + at * U64(_STEP))
+    def begin(self) -> list[np.ndarray]:
+        """The states to walk from in this round, in parts."""
+        lat = self.lattice
+        if not self.paths:
+            self.value = -math.log(self._noise())
+            self.parent, self.unit, self.edges, self.before = -1, 0, NONE, ZERO
+            return [self.first]
+        self.value, self.parent, place, taken = self.waiting.pop()
+        path = self.paths[self.parent]
+        upto = float(path.upto[place])
+        here = lat.edges_of(int(np.searchsorted(lat.off, path.edges[place], "right")) - 1)
+        logp = lat.logp[here.start:here.stop].tolist()
+        free = [e for e in here if e not in taken]
+        weight = [logp[e - here.start] for e in free]
+        top = max(weight)
+        chance = [math.exp(w - top) for w in weight]
+        u, pick = self.random.random() * sum(chance), 0
+        while pick < len(free) - 1 and u >= chance[pick]:
+            u -= chance[pick]
+            pick += 1
+        left = sum(chance[:pick] + chance[pick + 1:])
+        if left:
+            self.wait([(self._held(upto + top + math.log(left)), self.parent, place, (*taken, free[pick]))])
+        self.unit = self._unit(self.parent, place)
+        self.edges = np.append(path.edges[:place], free[pick])
+        self.before = np.append(path.upto[:place + 1], upto + weight[pick])
+        return [lat.to[free[pick]:free[pick] + 1], self.first[self.unit + 1:]]
+
+    def _unit(self, number: int, place: int) -> int:
+        """The unit that holds an edge of a path."""
+        path = self.paths[number]
+        if place >= path.skip:
+            return path.unit + int(np.searchsorted(path.bounds, place - path.skip + path.bounds[0], "right")) - 1
+        return path.unit if place == path.skip - 1 else self._unit(path.parent, place)
 
     def _held(self, mass: float) -> float:
         """A Gumbel of this log-mass, cut off at the node's value."""
         return float(mass - np.logaddexp(mass - self.value, math.log(self._noise() or 5e-324)))
 
-    def _wait(self, nodes: list[tuple]) -> None:
+    def wait(self, nodes: list[tuple]) -> None:
         room = self.k - len(self.paths)
         self.waiting = sorted(self.waiting + nodes, key=lambda n: n[0])[-room:]
 
-    def end(self, walked: np.ndarray, bounds: np.ndarray) -> None:
-        """Take the walk as the next path; of its edges, keep what may matter as waiting nodes."""
-        lat, nth = self.lattice, len(self.paths)
-        prefix, before = self.kept
-        skip = len(prefix)
-        edges = np.concatenate([prefix, walked])
-        upto = np.empty(len(edges) + 1)
-        upto[:skip + 1] = before
-        upto[skip + 1:] = lat.logp[walked]
-        np.cumsum(upto[skip:], out=upto[skip:])
-        noise = self.seed + times(nth + 1, _STEP)
-        room, nodes, known, stop = self.k - nth, [], 0, min(FIRST, len(walked))
-        while known < stop:
-            places = np.arange(known, stop)
-            mass = upto[skip + known:skip + stop] + lat.other[walked[known:stop]]
-            wait = np.log(-np.log(uniforms(mix(noise + places.astype(U64) * U64(_ROUND)))))
-            held = mass - np.logaddexp(mass - self.value, wait)
-            nodes += [(float(held[b]), nth, skip + int(places[b]), (int(walked[places[b]]),))
-                      for b in np.argsort(held, kind="stable")[-room:] if mass[b] > -math.inf]
-            ranked = sorted([n[0] for n in self.waiting + nodes])
-            low = ranked[-room] if len(ranked) >= room else -math.inf
-            # a node's log-mass is at most that of its prefix, which falls along the path
-            known, stop = stop, len(walked) - int(np.searchsorted(upto[skip:-1][::-1], low - LEAD))
-        self._wait(nodes)
-        self.paths.append((edges, upto, (self.heads, bounds, skip)))
+    def end(self, path: Path, nodes: list[tuple]) -> None:
+        """Take the walk as the next path, with those of its edges that may matter as waiting nodes."""
+        self.wait(nodes)
+        self.paths.append(path)
         self.done = len(self.paths) == self.k or not self.waiting
 
     def result(self) -> list[tuple[np.ndarray, float, float]]:
         if not len(self.first):
             return [(np.zeros(0, np.int32), 0.0, 1.0)]
         limit = self.waiting[-1][0] if self.waiting else -math.inf
-        return [(self.lattice.id[edges], float(upto[-1]),
-                 -math.expm1(-math.exp(min(700.0, upto[-1] - limit))) if limit > -math.inf else 1.0)
-                for edges, upto, _ in self.paths]
+        return [(self.lattice.id[path.edges], total, -math.expm1(-math.exp(min(700.0, total - limit))) if limit > -math.inf else 1.0)
+                for path in self.paths for total in [float(path.upto[-1])]]
+
+
+def ranges(start: list[int], size: list[int], of: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, one range after the other; ``of`` counts from 0 in each."""
+    return np.repeat(np.array(start, np.int64), size) + of
+
+
+def a_round(going: list[Search], nth: int) -> None:
+    """The next path of each text."""
+    lattice, room = going[0].lattice, going[0].k - nth
+    parts = [s.begin() for s in going]
+    size = [sum(map(len, p)) for p in parts]
+    stop = np.cumsum(size)
+    of = np.arange(stop[-1]) - np.repeat(stop - size, size)
+    base = ranges([s.unit for s in going], size, of).astype(U64) * U64(_STEP)
+    base += np.repeat(np.array([s.seed + (nth + 1) * _ROUND & MASK for s in going], U64), size)
+    walked, bounds = lattice.walk(np.concatenate([x for p in parts for x in p]), mix(base))
+    own = [bounds[b - n:b + 1] for n, b in zip(size, stop.tolist())]
+    begin, length = [int(b[0]) for b in own], [int(b[-1] - b[0]) for b in own]
+    logp = lattice.logp[walked]
+    edges = np.concatenate([x for s, a, n in zip(going, begin, length) for x in (s.edges, walked[a:a + n])])
+    upto = np.concatenate([x for s, a, n in zip(going, begin, length) for x in (s.before, logp[a:a + n])])
+    paths, place, nodes, at = [], [], [[] for _ in going], 0
+    for i, (s, n) in enumerate(zip(going, length)):
+        skip = len(s.edges)
+        place.append(at + i + skip)
+        paths.append(Path(edges[at:at + skip + n], upto[at + i:at + i + skip + n + 1], s.parent, s.unit, skip, own[i]))
+        np.add.accumulate(paths[-1].upto[skip:], out=paths[-1].upto[skip:])
+        at += skip + n
+    noise = [s.seed + (nth + 1) * _STEP & MASK for s in going]
+    todo = [(i, 0, min(FIRST, n)) for i, n in enumerate(length) if n]
+    while todo:
+        which, known, to = map(list, zip(*todo))
+        size = [b - a for a, b in zip(known, to)]
+        stop = np.cumsum(size)
+        of = ranges(known, size, np.arange(stop[-1]) - np.repeat(stop - size, size))
+        edge = walked[ranges([begin[i] for i in which], size, of)]
+        mass = upto[ranges([place[i] for i in which], size, of)] + lattice.other[edge]
+        hashed = of.astype(U64) * U64(_ROUND) + np.repeat(np.array([noise[i] for i in which], U64), size)
+        gumbel = np.log(-np.log(uniforms(mix(hashed))))
+        held = mass - np.logaddexp(mass - np.repeat(np.array([going[i].value for i in which]), size), gumbel)
+        todo = []
+        for i, a, b, end in zip(which, known, to, stop.tolist()):
+            s, path, first = going[i], paths[i], end - (b - a)
+            best = first + np.argsort(held[first:end], kind="stable")[-room:]
+            nodes[i] += [(h, nth, path.skip + a + j - first, (e,)) for h, m, j, e in zip(
+                held[best].tolist(), mass[best].tolist(), best.tolist(), edge[best].tolist()) if m > -math.inf]
+            ranked = sorted([n[0] for n in s.waiting + nodes[i]])
+            low = ranked[-room] if len(ranked) >= room else -math.inf
+            # a node's log-mass is at most that of its prefix, which falls along the path
+            more = length[i] - int(path.upto[path.skip:-1][::-1].searchsorted(low - LEAD))
+            if more > b:
+                todo.append((i, b, more))
+    for s, path, found in zip(going, paths, nodes):
+        s.end(path, found)
 
 
 def samples(texts: list[str], seeds: list[int], k: int, pieces: Pieces) -> list[list[tuple[np.ndarray, float, float]]]:
@@ -399,15 +449,12 @@ def samples(texts: list[str], seeds: list[int], k: int, pieces: Pieces) -> list[
     if pieces.kept.full:
         pieces.kept = Lattice(pieces)
     lattice = pieces.kept
-    searches = [Search(u, s, k, lattice) for u, s in zip(lattice.numbers(texts), seeds)]
+    numbers, hashed = lattice.numbers(texts), mix(np.array([s & MASK for s in seeds], U64)).tolist()
+    searches = [Search(lattice.first[u], s, h, k, lattice) for u, s, h in zip(numbers, seeds, hashed)]
+    nth = 0
     while going := [s for s in searches if not s.done]:
-        states, bases = zip(*[s.begin() for s in going])
-        edges, bounds = lattice.walk(np.concatenate(states), np.concatenate(bases))
-        a = 0
-        for s, started in zip(going, states):
-            own = bounds[a:a + len(started) + 1]
-            s.end(edges[own[0]:own[-1]], own - own[0])
-            a += len(started)
+        a_round(going, nth)
+        nth += 1
     return [s.result() for s in searches]
 
 
@@ -457,9 +504,7 @@ def encode(text: Column, path: str) -> Column:
 
 def texts_of(ids: pa.Array, pieces: Pieces) -> list[str]:
     """The text of each array of ids; a null one is empty."""
-    at = np.cumsum([0, *(n or 0 for n in pa.compute.list_value_length(ids).to_pylist())])
-    flat = ids.flatten().to_numpy(zero_copy_only=False)
-    return [pieces.text(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
+    return pieces.texts(ids.flatten(), np.cumsum([0, *(n or 0 for n in pa.compute.list_value_length(ids).to_pylist())]).tolist())
 
 
 def decode(ids: Column, path: str) -> Column:
