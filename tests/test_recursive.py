@@ -83,3 +83,16 @@ def test_no_orders_and_no_items(spark, inputs):
     none = R.recursive_forecast(R.item_state(orders.limit(0), items, infos, CAL), R.linear_predictor({"qty_sold_lag1": 1.0}), CAL)
     assert none.agg(F.count("*"), F.sum("prediction")).first()[:] == (15, 0.0)
     assert R.recursive_forecast(R.item_state(orders, items.limit(0), infos, CAL), R.linear_predictor({}), CAL).count() == 0
+
+
+def test_registered_forecast_grows_all_rounds(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from tillcast.plans.registry import load_all
+    asked = []
+
+    def fit(train, features, label, rounds=R.boosting.ROUNDS, **params):
+        asked.append((rounds, params))
+        return R.boosting.Boosted(list(features), 1.0, 0.1, [])
+    monkeypatch.setattr(R.boosting, "fit", fit)
+    load_all()["recursive_tree_forecast"].spark(spark, SF_SMALL)
+    assert asked == [(50, {})]
