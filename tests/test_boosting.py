@@ -123,3 +123,35 @@ def test_encoding_of_null_and_unseen_values(spark):
     assert [r[0] for r in C.encoded(test, order, ["k"]).collect()] == [0.0, None, None]
     index = {r["value"]: r["index"] for r in C.category_encoding(train, ["k"]).collect()}
     assert index == {"a": 0, "b": 1, "c": 2}
+
+
+def test_equal_rows_are_one_with_their_number(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(k % 3), None if k % 4 == 0 else float(k % 4), float(k % 2)) for k in rng.permutation(240).tolist()]
+    batches = spark.createDataFrame(rows, "y double, a double, b double").toArrow().to_batches(max_chunksize=50)
+    packed = list(T._packed([[1.0, 2.0, 3.0], [0.0, 1.0]], 0.5, "<i2", 7)(batches))
+    assert len({b.column(4)[0].as_py() for b in packed}) > 1  # the same rows of other tasks go to the same parts
+    found = {}
+    for b in [x.select([0, 1, 2, 3]) for x in packed * 2]:
+        y, n, x = (np.frombuffer(b.column(c)[0].as_py(), t) for c, t in ((0, "f8"), (2, "i8"), (3, "<i2")))
+        for key, m in zip(zip(y.tolist(), *x.reshape(2, -1).tolist()), n.tolist()):
+            found.setdefault(key, []).append(m)
+    want = {}
+    for y, a, b in rows:
+        key = (y, -1 if a is None else int(a) - 1, int(b))
+        want[key] = want.get(key, 0) + 1
+    assert found == {k: [m, m] for k, m in want.items()}
+    import pyarrow as pa
+    merged = T._merged(2, 0.5, "<i2")(pa.Table.from_batches([b for b in packed * 2]))
+    assert sum(len(v.as_py()) // 8 for v in merged.column("_n")) == len(want)
+    assert sum(np.frombuffer(v.as_py(), "i8").sum() for v in merged.column("_n")) == 2 * len(rows)
+
+
+def test_predictions_in_batches_are_those_of_the_columns(spark):
+    x, y, df = _data(spark, 4, 300)
+    model = T.fit(df, ["a", "b", "c"], "y", rounds=6, depth=3)
+    assert len(model.trees) == 6
+    odd = df.union(spark.createDataFrame([(-1, float("nan"), None, 1e9, 0.0), (-2, None, None, None, None)], df.schema))
+    both = model.predict(odd).select("id", F.col("prediction").alias("p")).join(model.predict_batches(odd), "id")
+    assert both.columns == ["id", "p", "a", "b", "c", "y", "prediction"]
+    assert both.where("p <=> prediction").count() == 302
