@@ -104,3 +104,29 @@ def test_gradients_beyond_the_doubles_are_added_exactly():
         g, h = want.get(at, (0, 0))
         want[at] = (g - int(t), h + 1)
     assert {(r["node"], r["bin"]): (r["g"], r["h"]) for r in found} == want
+
+
+def test_rolling_means_of_a_matrix_need_no_window_over_it(spark):
+    from tillcast.operators import grid as G
+    from tillcast.operators import profile as PR
+    cal = FX.Calendar("2018-01-03", "2018-01-20", "2018-02-07", "2018-02-08")
+    sold = [(1, "2018-01-04", 2.1), (1, "2018-01-06", 3.7), (1, "2018-01-18", 0.1), (1, "2018-01-20", 5.3), (1, "2018-01-21", 0.7),
+            (2, "2018-01-01", 5.0), (2, "2018-01-07", 1.0), (2, "2018-02-07", 1.9), (3, "2018-03-01", 4.0), (4, None, 7.0), (4, "2018-01-05", 6.0),
+            (4, "2018-01-05", 0.3), (None, "2018-01-03", 8.0), (5, "2017-01-01", 1.0), (6, "2018-01-02", 4.0), (6, "2018-01-16", 3.0)]
+    lines = spark.createDataFrame(sold, "itemID long, d string, salesPrice double").select(
+        "itemID", F.to_date("d").alias("date"), F.lit(1).alias("order"), "salesPrice")
+    for n in (14, 3, 1):
+        plain = G.date_item_matrix(lines, cal)
+        matrix = G.date_item_matrix(lines, cal, n)
+        assert sorted(map(str, matrix.drop("rolling_mean").collect())) == sorted(map(str, plain.collect()))
+        got = PR.rolling_value_mean(matrix, n)
+        assert sorted(map(str, got.collect())) == sorted(map(str, PR.rolling_value_mean(plain, n).collect()))
+        plan = plan_of(got)
+        assert "Window" not in plan[:plan.index("Generate")]
+
+
+def test_rolling_value_writes_its_rows_without_a_window(spark):
+    from conftest import SF_SMALL
+    from tillcast.plans.registry import load_all
+    plan = plan_of(load_all()["rolling_value_14"].build(spark, SF_SMALL))
+    assert "Window" not in plan[:plan.index("Generate explode")]

@@ -183,9 +183,10 @@ def log_values(df: DataFrame, col: str = "order") -> DataFrame:
 
 def rolling_value_mean(matrix: DataFrame, n: int = 14) -> DataFrame:
     """Per item, mean of daily value over the last ``n`` days including the current;
-    incomplete windows dropped."""
-    m = matrix.withColumn("rolling_mean", rolling_mean_current("total_values", n,
-                                                               keys=["itemID"]))
+    incomplete windows dropped. A matrix that was written with these means (``mean_days`` of
+    :func:`tillcast.operators.grid.date_item_matrix`) has them already."""
+    m = matrix if "rolling_mean" in matrix.columns else matrix.withColumn(
+        "rolling_mean", rolling_mean_current("total_values", n, keys=["itemID"]))
     return m.where(F.col("rolling_mean").isNotNull()).select("itemID", "date", "rolling_mean")
 
 

@@ -112,7 +112,7 @@ FROM matrix WINDOW w AS (PARTITION BY itemID ORDER BY date ROWS BETWEEN 13 PRECE
 QUALIFY count(total_values) OVER w = 14""", fuzz=("rolling_mean",), ops=("W9",))
 def q_rolling_value_14(spark, sf):
     """14-day rolling mean of daily value per item, incomplete windows dropped."""
-    return PR.rolling_value_mean(_matrix(spark, sf), 14)
+    return PR.rolling_value_mean(_matrix(spark, sf, 14), 14)
 
 
 
