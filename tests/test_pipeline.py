@@ -168,3 +168,16 @@ def test_run_with_models_writes_submission(spark, tmp_dir):
     assert sub.count() == FX.event_items(spark, SF_SMALL).count() == sub.select("itemID").distinct().count()
     assert sub.where("cast(demandPrediction as int) < 0").count() == 0
     assert os.path.isdir(os.path.join(out, "gbt_scores"))
+
+
+def test_written_tables_take_less_disk_and_read_back(spark, tmp_dir):
+    import glob
+
+    import pyarrow.parquet as pq
+    df = spark.range(500).select("id", F.sin("id").alias("x"), F.when(F.col("id") % 3 == 0, "train").otherwise("test").alias("split"))
+    path = os.path.join(tmp_dir, "table")
+    IO.write_table(df, path)
+    codecs = {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in glob.glob(f"{path}/split=*/*.parquet")}
+    assert codecs == {"ZSTD"}
+    back = IO.read_feature_table(spark, path, schema=df.schema)
+    assert sorted(map(str, back.select(df.columns).collect())) == sorted(map(str, df.collect()))
